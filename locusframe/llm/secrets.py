@@ -33,7 +33,7 @@ _TARGET = re.compile(r"""(?:^|[\s,;({\[])(?:export\x20+|set\x20+|const\x20+|let\
 _VALUE = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|([A-Za-z0-9+/_.=$@!%^&*~-]+)""")
 _NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.-]*)\}?")
 #: Parts of target names and what they add to a literal's score.
-SENSITIVE = {"password": 0.7, "passwd": 0.7, "passphrase": 0.7, "pwd": 0.6, "secret": 0.7, "token": 0.6, "apikey": 0.7, "privatekey": 0.7, "accesskey": 0.6, "credential": 0.6, "auth": 0.4, "signature": 0.3, "salt": 0.3, "cert": 0.3, "key": 0.3}
+SENSITIVE = {"password": 0.7, "passwd": 0.7, "passphrase": 0.7, "pwd": 0.6, "secret": 0.7, "token": 0.6, "apikey": 0.7, "privatekey": 0.7, "accesskey": 0.6, "credential": 0.6, "authkey": 0.6, "auth": 0.4, "signature": 0.3, "salt": 0.3, "cert": 0.3, "key": 0.3}
 _PLACEHOLDER = re.compile(r"(?:x{3,}|\*{3,}|<.*>|\$\{.*\}|%.*%|changeme|example|dummy|placeholder|none|null|true|false|your.*)", re.I | re.A)
 
 

@@ -119,7 +119,7 @@ def brute_pii(t):
 PII = [
     "a@b.c_d@e.f x@y x..y@z-1.org. @@ a@b@c.d", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.3.255 9.9.9.9999 1.2.3", "4111 1111 1111 1111 4111111111111111 4111-1111-1111-1112 1 2 3 4 5",
     "+1 (212) 555-8457 +12 +1234567890123456 ++44 20 7946 0958.", "é\U0001f600 me@x.yz 😀 10.0.0.1 wire DE89 3704 0044 0532 0130 00 to my bank account", "ssn 123-45-6789; 123-45-6789", None, "",
-    "iban GB82WEST12345698765432 and GB83WEST12345698765432", "0" * 50_000, "1 " * 20_000, "a" * 6_000, "a." * 3_000 + "@" * 500, "+1" * 9000, "\n+1\n2 3@4.5\r6.7.8.9",
+    "iban GB82WEST12345698765432 and GB83WEST12345698765432", "0" * 4_000, "1 " * 20_000, "a" * 6_000, "a." * 3_000 + "@" * 500, "+1" * 9000, "\n+1\n2 3@4.5\r6.7.8.9",
 ]
 
 
