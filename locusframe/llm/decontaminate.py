@@ -182,11 +182,12 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
 
 _MATCHERS: dict[str, Matcher] = {}
 _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("k", pa.binary()), ("n_words", pa.int64()), ("hits", _SPANS), ("items", pa.list_(pa.string()))])
-_SQL = "doc_id long, text string, k binary, n_words long, hits array<struct<s:int,e:int>>, items array<string>"
+_FOUND = "n_words long, hits array<struct<s:int,e:int>>, items array<string>"
 
 
-def _scanner(shared, key: str, window: int, with_text: bool, only_hits: bool):
+def _scanner(shared, key: str, window: int, only_hits: bool):
+    """Adds the columns of _FOUND behind those of a batch, whose second is the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _MATCHERS:
             _MATCHERS.clear()
@@ -201,9 +202,12 @@ def _scanner(shared, key: str, window: int, with_text: bool, only_hits: bool):
                     n.append(len(ws))
                     hits.append([{"s": s, "e": e} for s, e in united(spans)])
                     items.append(sorted(found))
-                text = part.column(1) if with_text else pa.nulls(part.num_rows, pa.string())
-                out = pa.RecordBatch.from_arrays([part.column(0), text, part.column(2), pa.array(n, pa.int64()), pa.array(hits, _SPANS), pa.array(items, pa.list_(pa.string()))], schema=_SCHEMA)
-                yield out.filter(pa.array([bool(x) for x in items], pa.bool_())) if only_hits else out
+                more = [pa.array(n, pa.int64()), pa.array(hits, _SPANS), pa.array(items, pa.list_(pa.string()))]
+                keep = pa.array([bool(x) or not only_hits for x in items], pa.bool_())
+                own = [c for i, c in enumerate(part.columns) if i != 1 or not only_hits]
+                names = [x for i, x in enumerate(part.schema.names) if i != 1 or not only_hits]
+                out = pa.RecordBatch.from_arrays([*own, *more], names=[*names, "n_words", "hits", "items"])
+                yield out.filter(keep) if only_hits else out
 
     return run
 
@@ -222,41 +226,41 @@ def _joined_spans(col: Column) -> Column:
     )
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, with_text: bool = False) -> DataFrame:
-    """doc_id, [text,] n_words, hits (disjoint word spans), items (sorted identifiers) of each document row.
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, whole_rows: bool = False) -> DataFrame:
+    """doc_id, n_words, hits (disjoint word spans), items (sorted identifiers) of each document row; text and row (a struct of all columns but the text) too if whole_rows.
 
     Null and empty texts have no words. Items without words or with a null
     identifier never occur; rows that repeat an item count once. An empty
     benchmark hits nothing and an empty document table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
-    d = id_text(docs)
-    keyed = d.withColumn("k", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    rest = F.struct(*[docs[c] for c in docs.columns if c != "text"])
+    d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[rest.alias("row")] * whole_rows)
+    own = "doc_id long, text string" + (f", row {d.schema['row'].dataType.simpleString()}" if whole_rows else "")
+    key_of_row = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     base, more = None, []
     for block in blocks(benchmark, block_words):
         block.sort()
         key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
-        run = lambda **how: _scanner(sc.broadcast(block), key, window, **how)  # noqa: B023,E731
+        scan = lambda only: _scanner(sc.broadcast(block), key, window, only)  # noqa: B023,E731
         if base is None:
-            base = (keyed, run(with_text=with_text, only_hits=False))
+            base = d.mapInArrow(scan(False), f"{own}, {_FOUND}")
         else:
-            more.append(keyed.mapInArrow(run(with_text=False, only_hits=True), _SQL))
+            more.append(d.select("doc_id", "text", key_of_row.alias("k")).mapInArrow(scan(True), f"doc_id long, k binary, {_FOUND}"))
+    names = ["doc_id", *["text", "row"] * whole_rows]
     if not more:
-        out = d.withColumn("k", F.lit(None).cast("binary")).mapInArrow(base[1], _SQL)
-    else:
-        # Rows with the same identifier and text have the same hits, so these two make a key.
-        found = more[0]
-        for x in more[1:]:
-            found = found.unionByName(x)
-        found = found.dropDuplicates(["doc_id", "k", "items", "hits"]).groupBy("doc_id", "k").agg(F.flatten(F.collect_list("hits")).alias("h2"), F.flatten(F.collect_list("items")).alias("i2"))
-        first = base[0].mapInArrow(base[1], _SQL).alias("a")
-        found = found.alias("b")
-        out = first.join(found, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")), "left").select(
-            "a.doc_id", "a.text", "a.n_words",
-            F.when(F.col("b.h2").isNull(), F.col("a.hits")).otherwise(_joined_spans(F.concat("a.hits", "b.h2"))).alias("hits"),
-            F.when(F.col("b.i2").isNull(), F.col("a.items")).otherwise(F.array_sort(F.array_distinct(F.concat("a.items", "b.i2")))).alias("items"),
-        )
-    return out.select("doc_id", *["text"] * with_text, "n_words", "hits", "items")
+        return base.select(*names, "n_words", "hits", "items")
+    # Rows with the same identifier and text have the same hits, so these two make a key.
+    found = more[0]
+    for x in more[1:]:
+        found = found.unionByName(x)
+    found = found.distinct().groupBy("doc_id", "k").agg(F.flatten(F.collect_list("hits")).alias("h2"), F.flatten(F.collect_list("items")).alias("i2"))
+    a, b = base.withColumn("k", key_of_row).alias("a"), found.alias("b")
+    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")), "left").select(
+        *[f"a.{x}" for x in names], "a.n_words",
+        F.when(F.col("b.h2").isNull(), F.col("a.hits")).otherwise(_joined_spans(F.concat("a.hits", "b.h2"))).alias("hits"),
+        F.when(F.col("b.i2").isNull(), F.col("a.items")).otherwise(F.array_sort(F.array_distinct(F.concat("a.items", "b.i2")))).alias("items"),
+    )
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -282,26 +286,25 @@ def cut_spans(raw: bytes, spans: list[dict]) -> bytes:
     return b"".join([*out, raw[last:]])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text, n_removed: hit spans are cut out of the texts; a document with over max_coverage of its words hit goes.
+def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs with hit spans cut out of their texts; a row with over max_coverage of its words hit goes.
 
-    Documents without hits keep their text unchanged, null included.
+    Rows without hits are unchanged, null texts included.
     """
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(1)
-                spans = part.column(2).to_pylist()
+                texts, spans = part.column(1), part.column(2).to_pylist()
                 if any(spans):
                     raws = texts.cast(pa.binary()).to_pylist()
                     texts = pa.array([cut_spans(r, x) if x else r for r, x in zip(raws, spans, strict=True)], pa.binary()).cast(pa.string())
-                removed = pa.array([sum(y["e"] - y["s"] for y in x) for x in spans], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), texts, removed], names=["doc_id", "text", "n_removed"])
+                yield pa.RecordBatch.from_arrays([part.column(0), texts], names=["row", "text"])
 
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + (x["e"] - x["s"]))
-    found = find(docs, benchmark, window, block_words, with_text=True).where(n_hit <= max_coverage * F.col("n_words"))
-    return found.select("doc_id", "text", "hits").mapInArrow(strip, "doc_id long, text string, n_removed long")
+    found = find(docs, benchmark, window, block_words, whole_rows=True).where(n_hit <= max_coverage * F.col("n_words"))
+    out = found.select("row", "text", "hits").mapInArrow(strip, f"row {found.schema['row'].dataType.simpleString()}, text string")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusframe.llm import decontaminate, exact_dedup, pii, secrets, sharding
+from locusframe.llm import decontaminate, exact_dedup, jaccard, line_dedup, pieces, pii, quality, secrets, sharding, toxicity
 from locusframe.llm.common import read
 
 
@@ -12,6 +12,20 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -20,5 +34,22 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_decontaminate": op7_decontaminate, "op8_pii": pii.query, "op9_sharding": sharding.query, "op10_secrets": op10_secrets}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op9_sharding": sharding.ORACLE}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
+    "op3_line_dedup": line_dedup.query,
+    "op4_toxicity": op4_toxicity,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_jaccard": jaccard.query,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_pii": pii.query,
+    "op9_sharding": sharding.query,
+    "op10_secrets": op10_secrets,
+}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.ORACLE,
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op6_jaccard": jaccard.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
+    "op9_sharding": sharding.ORACLE,
+}

@@ -94,7 +94,7 @@ def test_decontaminate_clean(spark, docs_of, odd):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     docs = docs_of([(1, "Keep this. " * 9 + item.upper() + " And that."), (2, item), (3, None), (4, "clean")])
-    got = {r.doc_id: r.text for r in decontaminate.clean(docs, bench).collect()}
+    got = {r.doc_id: r.text for r in decontaminate.clean_rows(docs, bench).collect()}
     assert got == {1: "Keep this. " * 9 + " And that.", 3: None, 4: "clean"}
     assert decontaminate.report(odd, bench).count() == len(ROWS)
     assert decontaminate.report(odd, bench.limit(0)).where("n_hit > 0").count() == 0
