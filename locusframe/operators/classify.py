@@ -188,13 +188,11 @@ def feature_oscillation(segments: DataFrame, order: Sequence[str] = ORDER) -> Da
     back = F.coalesce((v == F.lag(v, 2).over(w)) & (v != F.lag(v, 1).over(w)), F.lit(False))
     d = d.withColumn("hit", F.when(back, 1).otherwise(0))
     d = d.withColumn("grp", F.sum(1 - F.col("hit")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = d.where("k >= 3").groupBy("sample", "chromosome", "grp").agg(F.sum("hit").alias("n"), F.min("start_pos").alias("s"), F.max("start_pos").alias("e"))
     # A run is told when the row after it breaks it: o is 0 there. Rows without a run are told where the next value is 0 too.
     d3 = d.where("k >= 3").withColumn("i", F.row_number().over(w)).withColumn("o", F.sum("hit").over(Window.partitionBy("sample", "chromosome", "grp").orderBy("start_pos", *order).rowsBetween(Window.unboundedPreceding, 0)))
     d3 = d3.where("i >= 3").withColumn("next", F.lead("o").over(w))
     told = d3.where((F.col("next") == 0) | (F.col("next").isNull() & (F.col("o") > 0))).select("sample", F.col("o").cast("long").alias("value"))
     few = d.where("k < 3").select("sample", "chromosome").distinct().select("sample", F.lit(0).cast("long").alias("value"))
-    del runs
     return told.unionByName(few)
 
 
@@ -238,7 +236,7 @@ def component_bins() -> list[tuple[str, str, str, float, float]]:
     out = []
     for f, points, bounds in FEATURE_BINS:
         out += [(f, f"{f}[{p}]", "point", float(p), float(p)) for p in points]
-        for a, b in zip(bounds, (*bounds[1:], inf), strict=True):
+        for a, b in zip(bounds, (*bounds[1:], inf)[: len(bounds)], strict=True):
             name = f"{f}[<={b}]" if a == -inf else f"{f}[>{a}]" if b == inf else f"{f}[>{a} & <={b}]"
             out.append((f, name, "range", float(a), float(b)))
         if f == "NC50":
