@@ -10,102 +10,116 @@ starts in the map tasks, so a line that fills a third of the corpus is one row
 per task. The deletion neighbourhood of a distinct line is itself and itself
 without each of its words. Its hashed keys are emitted only for lines that
 share their first or last words and, within one, their word count with another
-line, which holds for every pair that is one word apart. Keys are sums of
-hashes of words at their places, so all variants of a line come from one
-running sum, however long it is. Within a key the earliest line is an
+line, which holds for every pair that is one word apart. A key is the exclusive
+or of hashes of words at their places, so all variants of a line come from one
+running value, however long it is. Within a key the earliest line is an
 aggregate and each other line is held against it, so no pairs are formed; a
 match is verified on the words themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import SPACE, cut, read
 
 #: Words from which on a line is compared with lines one word away, not only with equal ones.
 MIN_WORDS = 8
-#: Candidate lines up to which their places are broadcast to fetch their words; beyond it the documents are shuffled.
-BROADCAST_LINES = 200_000
+#: Words at either end of which a line shares all with a line one word away; at most half of MIN_WORDS.
+ENDS = 4
+#: Rows of a few numbers up to which a side of a join is broadcast; it is counted first, and beyond it both sides are shuffled.
+SMALL_ROWS = 200_000
 
 
 def _norm(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, SPACE, " "))
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row of hashes for each line with words: h1, h2 (the line), doc_id, line_no, th (the text), nw, and four keys of first and last words."""
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    x = d.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    x = x.select("doc_id", "th", "line_no", _norm(F.col("line")).alias("norm")).where("norm != ''")
-    x = x.withColumn("nw", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
-
-    def key(side: int, more: int) -> Column:
-        # Lines of b words and of b - 1 words meet in bucket b; eight words at the end tell more than four, where lines have twice as many.
-        b = F.col("nw") + more
-        ends = F.when(b <= 16, F.substring_index("norm", " ", 4 * side)).otherwise(F.substring_index("norm", " ", 8 * side))
-        return F.when(F.col("nw") >= MIN_WORDS, F.xxhash64(F.lit(side), b, ends))
+def _small(df: DataFrame) -> DataFrame:
+    """df, which is kept already, to be broadcast if it has up to SMALL_ROWS rows."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
-    keys = {"p0": key(1, 0), "p1": key(1, 1), "s0": key(-1, 0), "s1": key(-1, 1)}
-    return x.select(F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), "doc_id", "line_no", "th", "nw", *[c.alias(n) for n, c in keys.items()])
 
-
-def _first() -> Column:
-    return F.struct("doc_id", "line_no", "th")
+def _lines(docs: DataFrame, id_col: str, text_col: str, ends: bool = False) -> DataFrame:
+    """h1, h2 (the line), doc_id, line_no of each line with words; with ends also nw (words) and the hashes of its first and last words."""
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    x = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    x = x.select("doc_id", "line_no", _norm(F.col("line")).alias("norm")).where("norm != ''")
+    found = [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), F.col("doc_id"), F.col("line_no")]
+    if ends:
+        found += [(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).alias("nw"), F.xxhash64(F.substring_index("norm", " ", ENDS)).alias("p"), F.xxhash64(F.lit(1), F.substring_index("norm", " ", -ENDS)).alias("s")]
+    return x.select(*found)
 
 
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """h1, h2, first of the distinct lines that share a key with another one."""
-    k = distinct.where("nw >= %d" % MIN_WORDS).select("h1", "h2", F.explode(F.array("p0", "p1", "s0", "s1")).alias("k"))
-    shared = k.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    found = k.join(shared, "k", "left_semi").select("h1", "h2").distinct()
-    return distinct.join(found, ["h1", "h2"], "left_semi").select("h1", "h2", "first", "nw")
+    """h1, h2, doc_id, line_no of the distinct lines that share an end, and within one the number of words, with another one."""
+    # Lines of b words and of b - 1 words meet in bucket b.
+    keys = [F.xxhash64("p", "nw"), F.xxhash64("p", F.col("nw") + 1), F.xxhash64("s", "nw"), F.xxhash64("s", F.col("nw") + 1)]
+    k = distinct.where(F.col("nw") >= MIN_WORDS).select("h1", F.explode(F.array(*keys)).alias("k"))
+    shared = cut(k.groupBy("k").count().where("count > 1").select("k"))
+    found = cut(k.join(_small(shared), "k", "left_semi").select("h1").distinct())
+    return cut(distinct.join(_small(found), "h1", "left_semi").where(F.col("nw") >= MIN_WORDS).select("h1", "h2", "doc_id", "line_no"))
 
 
 def _texts(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """lines with their words, from the place where each stands first."""
-    wanted = lines.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("h1", "h2", "first", "nw")).alias("held"))
-    if lines.count() <= BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    # Rows that repeat an identifier and its text hold the same lines: the distinct below makes them one.
-    x = d.join(wanted, ["doc_id", "th"]).select(F.split("text", "\n", -1).alias("lines"), F.explode("held").alias("x"))
-    words = F.split(_norm(F.get("lines", F.col("x.first.line_no"))), " ", -1)
-    return x.select("x.*", words.alias("words")).dropDuplicates(["h1", "h2"])
-
-
-def _variants(lines: DataFrame) -> DataFrame:
-    """k (hashed key), at (deleted place from 1 on, 0: the whole line), h1, h2, first of each variant."""
-    x = lines.select("h1", "h2", "first", "nw", F.posexplode("words").alias("i", "w"))
-    low = F.lit((1 << 32) - 1)
-    x = x.withColumns({"t": F.xxhash64("w", F.col("i") + 1), "u": F.xxhash64("w", "i")})
-    w = Window.partitionBy("h1", "h2").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("h1", "h2").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sums = {}
-    for name, part in (("a", lambda c: F.col(c).bitwiseAND(low)), ("b", lambda c: F.shiftrightunsigned(F.col(c), 32))):
-        before, after = F.sum(part("t")).over(w) - part("t"), F.sum(part("u")).over(whole) - F.sum(part("u")).over(w)
-        sums |= {f"{name}_v": before + after, f"{name}_t": F.sum(part("t")).over(whole)}
-    x = x.select("h1", "h2", "first", "nw", "i", *[c.alias(n) for n, c in sums.items()])
-    deleted = F.struct(F.xxhash64("a_v", "b_v", F.col("nw") - 1).alias("k"), (F.col("i") + 1).alias("at"))
-    entire = F.struct(F.xxhash64("a_t", "b_t", "nw").alias("k"), F.lit(0).alias("at"))
-    return x.select("h1", "h2", "first", "nw", F.explode(F.when(F.col("i") == 0, F.array(deleted, entire)).otherwise(F.array(deleted))).alias("v")).select("v.*", "h1", "h2", "first", "nw")
-
-
-def _nearest(lines: DataFrame) -> DataFrame:
+    """lines with their normalised text, from the place where each stands first."""
+    wanted = cut(lines.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "line_no")).alias("held")))
+    wanted = F.broadcast(wanted) if lines.count() <= SMALL_ROWS else wanted
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
+    x = d.join(wanted, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("held").alias("x"))
+    x = x.select("x.h1", "x.h2", "doc_id", "x.line_no", _norm(F.get("lines", F.col("x.line_no"))).alias("norm"))
+    # Rows that repeat an identifier: those that hold the line, each once.
+    return x.where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1", "h2"])
+
+
+def _running(x: Column) -> Column:
+    """Exclusive running exclusive-or of an array of longs, in blocks of about the square root of its length."""
+    zero = F.lit(0).cast("long")
+    size = F.greatest(F.ceil(F.sqrt(F.size(x))).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / size).cast("int") - 1, F.lit(0))), lambda b: F.slice(x, b * size + 1, size))
+
+    def scan(values: Column, first: Column) -> Column:
+        start = F.struct(first.alias("acc"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(values, start, lambda a, v: F.struct(a["acc"].bitwiseXOR(v).alias("acc"), F.concat(a["out"], F.array(a["acc"])).alias("out")), lambda a: a["out"])
+
+    before = scan(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, v: a.bitwiseXOR(v))), zero)
+    return F.flatten(F.zip_with(blocks, before, lambda b, first: scan(b, first)))
+
+
+def _keyed(texts: DataFrame) -> DataFrame:
+    """h1, h2, doc_id, line_no, n (words), whole (key of the line as it stands) and v (its value without each word)."""
+    d = texts.withColumn("w", F.split("norm", " ", -1))
+    d = d.withColumns({"t": F.transform("w", lambda w, i: F.xxhash64(w, i + 1)), "u": F.transform("w", lambda w, i: F.xxhash64(w, i)), "n": F.size("w")})
+    d = d.withColumn("x", F.zip_with("t", "u", lambda a, b: a.bitwiseXOR(b)))
+    xor = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v))
+    # Words behind the deleted one move up by a place: their hashes are those of u.
+    d = d.withColumns({"all_t": xor("t"), "all_u": xor("u"), "before": _running(F.col("x"))})
+    v = F.zip_with("before", "u", lambda a, b: a.bitwiseXOR(b).bitwiseXOR(F.col("all_u")))
+    return d.select("h1", "h2", "doc_id", "line_no", "n", F.xxhash64("all_t", "n").alias("whole"), v.alias("v"))
+
+
+def _nearest(texts: DataFrame) -> DataFrame:
     """h1, h2 of candidate lines that an earlier line is one word away from."""
-    v = _variants(lines)
-    # Replaced: equal keys with the same word deleted. The earliest of the key stands for all earlier ones.
-    meets = v.groupBy("k", "at").agg(F.min(F.struct("first", "h1", "h2")).alias("e"), F.count("*").alias("c")).where("c > 1")
-    replaced = v.where("at > 0").join(meets.where("at > 0"), ["k", "at"]).where("first > e.first").select("h1", "h2", "at", F.lit("r").alias("how"), F.col("e.h1").alias("g1"), F.col("e.h2").alias("g2"))
+    d = _keyed(texts)
+    replaced_key = lambda i, v: F.xxhash64(v, i, F.col("n"))
+    each = F.transform("v", lambda v, i: F.struct(replaced_key(i, v).alias("r"), F.xxhash64(v, F.col("n") - 1).alias("k"), (i + 1).alias("at")))
+    first = F.struct("doc_id", "line_no")
+    # Replaced: the same value without the word at the same place. The earliest line of a key stands for all earlier ones.
+    often = cut(d.select(F.explode(F.transform("v", lambda v, i: replaced_key(i, v))).alias("r")).groupBy("r").count().where("count > 1").select("r"))
+    met = cut(d.select("h1", "h2", first.alias("first"), F.explode(each).alias("e")).select("h1", "h2", "first", "e.r", "e.at").join(_small(often), "r"))
+    least = met.groupBy("r").agg(F.min(F.struct("first", "h1", "h2")).alias("m"))
+    replaced = met.join(least, "r").where("first > m.first").select("h1", "h2", "at", F.lit("r").alias("how"), F.col("m.h1").alias("g1"), F.col("m.h2").alias("g2"))
     # Deleted: a line without a word is another line as it stands.
-    short = v.where("at = 0").select("k", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("first2"))
-    met = v.where(f"at > 0 AND nw > {MIN_WORDS}").join(short, "k")
-    longer = met.where("first2 < first").select("h1", "h2", "at", F.lit("d").alias("how"), "g1", "g2")
-    shorter = met.where("first < first2").select(F.col("g1").alias("h1"), F.col("g2").alias("h2"), "at", F.lit("i").alias("how"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    pairs = replaced.unionByName(longer).unionByName(shorter).dropDuplicates(["h1", "h2", "g1", "g2"])
-    x = lines.select("h1", "h2", F.col("words").alias("x"))
-    y = lines.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("y"))
+    short = cut(d.select(F.col("whole").alias("k"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), first.alias("first2")))
+    long = d.where(F.col("n") > MIN_WORDS).select("h1", "h2", first.alias("first"), F.explode(each).alias("e")).select("h1", "h2", "first", "e.k", "e.at")
+    hit = long.join(_small(short), "k").where("first != first2")
+    later = F.col("first2") < F.col("first")
+    side = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
+    moved = hit.select(side("h1", "g1").alias("h1"), side("h2", "g2").alias("h2"), "at", F.when(later, "d").otherwise("i").alias("how"), side("g1", "h1").alias("g1"), side("g2", "h2").alias("g2"))
+    pairs = replaced.unionByName(moved).dropDuplicates(["h1", "h2", "g1", "g2"])
+    x = texts.select("h1", "h2", F.split("norm", " ", -1).alias("x"))
+    y = texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.split("norm", " ", -1).alias("y"))
     both = pairs.join(x, ["h1", "h2"]).join(y, ["g1", "g2"])
     without = lambda c: F.concat(F.slice(c, F.lit(1), F.col("at") - 1), F.slice(c, F.col("at") + 1, F.size(c)))
     true = F.when(F.col("how") == "r", without("x") == without("y")).when(F.col("how") == "d", without("x") == F.col("y")).otherwise(F.col("x") == without("y"))
@@ -113,17 +127,16 @@ def _nearest(lines: DataFrame) -> DataFrame:
 
 
 def superseded_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, th (hash of the text), n_lines (with words), gone (numbers from 0 of the lines that go) of each document with such lines."""
-    lines = cut(_lines(docs, id_col, text_col))
-    distinct = cut(
-        lines.groupBy("h1", "h2").agg(F.min(_first()).alias("first"), F.count("*").alias("c"), *[F.min(x).alias(x) for x in ("nw", "p0", "p1", "s0", "s1")])
-    )
-    candidates = cut(_candidates(distinct))
-    near = cut(_nearest(cut(_texts(docs, candidates, id_col, text_col))))
-    late = distinct.select("h1", "h2", "first", "c").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 OR near").select("h1", "h2", "first", "near")
-    held = lines.select("h1", "h2", "doc_id", "line_no", "th").join(late, ["h1", "h2"])
-    gone = held.where(F.col("near").isNotNull() | (_first() != F.col("first")))
-    return gone.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
+    """doc_id and gone: line_no (from 0) and h1 of the lines that go, of each document with such lines."""
+    lines = _lines(docs, id_col, text_col, ends=True)
+    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("x"), F.count("*").alias("c"), *[F.min(x).alias(x) for x in ("nw", "p", "s")])
+    distinct = cut(distinct.select("h1", "h2", "x.doc_id", "x.line_no", "c", "nw", "p", "s"))
+    near = cut(_nearest(cut(_texts(docs, _candidates(distinct), id_col, text_col))))
+    late = distinct.select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), "c").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 OR near").drop("c")
+    late = cut(late)
+    held = _lines(docs, id_col, text_col).join(_small(late), ["h1", "h2"])
+    gone = held.where(F.col("near").isNotNull() | (F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line")))
+    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h1")).alias("gone"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,14 +148,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one document: its lines do not supersede themselves. Other columns pass;
     those named n_lines or n_dropped are replaced. An empty table gives no rows.
     """
-    gone = superseded_lines(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    x = docs.withColumn("_h", F.xxhash64(docs[text_col].cast("string")))
-    x = x.join(gone, (x[id_col].cast("long") == gone["_id"]) & (x["_h"] == gone["_th"]), "left")
+    gone = superseded_lines(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
+    x = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    # The hash tells the texts of a repeated identifier apart.
+    own = F.transform(F.filter("_gone", lambda g: F.xxhash64(_norm(F.get(lines, g["line_no"]))) == g["h1"]), lambda g: g["line_no"])
+    x = x.withColumn("_own", F.when(F.col("_gone").isNotNull(), own))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_own"))
+    text = F.when(F.col("_own").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.filter(lines, lambda s: s.rlike(r"[^\x20\x09-\x0D]")))).cast("long")
-    return x.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: text}).drop("_id", "_th", "_h", "_gone")
+    return x.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size("_own"), F.lit(0)).cast("long"), text_col: text}).drop("_id", "_gone", "_own")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
