@@ -47,7 +47,7 @@ def read_segments(
     raw = spark.read.csv(path if isinstance(path, str) else list(path), sep=sep, header=True)
     require_columns(raw, *columns.values())
     typed = {"chromosome": "string", "start_pos": "long", "end_pos": "long", "seg_val": "double", "sample": "string", "minor_cn": "int"}
-    cols = [F.col(f"`{columns[k]}`").cast(t).alias(k) for k, t in typed.items() if k in columns]
+    cols = [F.col(f"`{columns[k]}`").try_cast(t).alias(k) for k, t in typed.items() if k in columns]
     if "sample" not in columns:
         cols.append(file_stem(r"\.gz", r"\.[A-Za-z0-9]+").alias("sample"))
     if keep_extra:
@@ -69,7 +69,7 @@ def read_sequenza(spark: SparkSession, folder: str) -> DataFrame:
     """Segments of all *_segments.txt files of a folder: sample from the file name, total and minor copy number."""
     raw = spark.read.csv(f"{folder}/*_segments.txt", sep="\t", header=True)
     require_columns(raw, "chromosome", "start.pos", "end.pos", "CNt", "B")
-    c = lambda n, t: F.col(f"`{n}`").cast(t)
+    c = lambda n, t: F.col(f"`{n}`").try_cast(t)
     return raw.select(file_stem("_segments.txt").alias("sample"), c("chromosome", "string").alias("chromosome"), c("start.pos", "long").alias("start_pos"), c("end.pos", "long").alias("end_pos"), c("CNt", "int").alias("seg_val"), c("B", "int").alias("minor_cn"))
 
 
@@ -77,8 +77,8 @@ def read_ascat(spark: SparkSession, path: str | Sequence[str], sep: str = "\t")
     """Exported allele-specific segments (sample, chr, startpos, endpos, nMajor, nMinor): total copy number and source file."""
     raw = spark.read.csv(path if isinstance(path, str) else list(path), sep=sep, header=True)
     require_columns(raw, "sample", "chr", "startpos", "endpos", "nMajor", "nMinor")
-    major, minor = F.col("nMajor").cast("int"), F.col("nMinor").cast("int")
-    return raw.select("sample", F.col("chr").alias("chromosome"), F.col("startpos").cast("long").alias("start_pos"), F.col("endpos").cast("long").alias("end_pos"), (major + minor).alias("seg_val"), minor.alias("minor_cn"), F.input_file_name().alias("source"))
+    major, minor = F.col("nMajor").try_cast("int"), F.col("nMinor").try_cast("int")
+    return raw.select("sample", F.col("chr").alias("chromosome"), F.col("startpos").try_cast("long").alias("start_pos"), F.col("endpos").try_cast("long").alias("end_pos"), (major + minor).alias("seg_val"), minor.alias("minor_cn"), F.input_file_name().alias("source"))
 
 
 def _first_of(raw: DataFrame, names: Sequence[str]) -> Column:
@@ -94,7 +94,7 @@ def minimal_variants(raw: DataFrame) -> DataFrame:
         "sample": ("Tumor_Sample_Barcode", "Sample_ID", "sample"), "chrom": ("Chromosome", "chrom", "chr"), "pos": ("Start_Position", "start", "pos"),
         "end_pos": ("End_Position", "end"), "ref": ("Reference_Allele", "reference", "ref"), "alt": ("Tumor_Seq_Allele2", "alt"),
     }
-    d = {k: _first_of(raw, v).cast("long" if k in ("pos", "end_pos") else "string").alias(k) for k, v in names.items()}
+    d = {k: _first_of(raw, v).try_cast("long" if k in ("pos", "end_pos") else "string").alias(k) for k, v in names.items()}
     low = {c.lower(): c for c in raw.columns}
     extra = {"variant_type": "variant_type", "gene": "hugo_symbol", "classification": "variant_classification"}
     out = raw.select(*d.values(), *[F.col(f"`{low[v]}`").alias(k) for k, v in extra.items() if v in low])
@@ -120,7 +120,7 @@ def read_vcf(spark: SparkSession, path: str | Sequence[str], keep_only_pass: boo
     if chrom_prefix:
         chrom = F.concat(F.lit("chr"), F.regexp_replace(chrom, "^(?i)chr", ""))
     g = lambda i: F.get("f", F.lit(i))
-    d = d.select("sample", chrom.alias("chrom"), g(1).cast("long").alias("pos"), g(3).alias("ref"), g(4).alias("alt"), g(6).alias("filter"))
+    d = d.select("sample", chrom.alias("chrom"), g(1).try_cast("long").alias("pos"), g(3).alias("ref"), g(4).alias("alt"), g(6).alias("filter"))
     if keep_only_pass:
         d = d.where(F.col("filter") == "PASS")
     return d.withColumns({"end_pos": F.col("pos") + F.length("ref") - 1, "variant_type": variant_type(F.col("ref"), F.col("alt"))})
