@@ -171,3 +171,11 @@ def rank_solutions(stats: DataFrame) -> DataFrame:
     score = lambda c: 100 - (average_rank(c) - 1) * 5
     d = d.withColumns({"score_silhouette": score(F.col("_d")), "score_error": score(F.col("l2_error"))})
     return d.withColumn("aggregate", 0.4 * F.col("score_silhouette") + 0.6 * F.col("score_error")).drop("_d")
+
+
+def rescale(df: DataFrame, value: str, low: float, high: float, out: str = "scaled") -> DataFrame:
+    """value mapped linearly from its own range to [low, high]; low where it does not vary."""
+    whole = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    d = df.crossJoin(F.broadcast(whole))
+    x = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    return d.withColumn(out, F.when(F.col("_hi") > F.col("_lo"), low + x * (high - low)).otherwise(F.lit(low))).drop("_lo", "_hi")

@@ -179,3 +179,18 @@ def apobec_counts(variants: DataFrame) -> DataFrame:
     back = (F.col("bg_tcw") + F.col("bg_wga")) / (F.col("bg_c") + F.col("bg_g"))
     a = a.withColumn("enrichment", ratio(ratio("n_tcw", "n_c_to_gt"), F.when(F.col("bg_c") + F.col("bg_g") > 0, back)))
     return a.withColumns({"fraction": F.round(F.col("n_tcw") / F.col("n_mutations"), 3), "enriched": F.col("enrichment") > 2})
+
+
+def apobec_test(counts: DataFrame) -> DataFrame:
+    """p_value (one-sided Fisher: motif mutations among C>T and C>G against motifs among background bases) and fdr of the rows of apobec_counts."""
+    from locusframe.operators.stats import bh_adjust, fisher_p
+
+    motif, bases = F.col("bg_tcw") + F.col("bg_wga"), F.col("bg_c") + F.col("bg_g")
+    cells = (F.col("n_tcw"), F.col("n_c_to_gt") - F.col("n_tcw"), motif, F.greatest(bases - motif, F.lit(0)))
+    return bh_adjust(counts.withColumn("p_value", fisher_p(*[c.cast("double") for c in cells], alternative="greater")), "p_value")
+
+
+def with_strand(labelled: DataFrame, label: str, kept: Sequence[str] = ("T", "U", "B", "N", "Q")) -> DataFrame:
+    """Adds label_strand: the strand label before the class, for the labels kept (T and U alone give the smaller catalogues)."""
+    name = F.concat_ws(":", F.col("strand_label"), F.col(label))
+    return labelled.withColumn(f"{label}_strand", F.when(F.col(label).isNotNull() & F.col("strand_label").isin(*kept), name))

@@ -304,3 +304,32 @@ def attribute_activity(catalog: DataFrame, signature: DataFrame, loss: float = 0
             yield pd.DataFrame(rows, columns=["sample", "sig", "exposure"])
 
     return sample_arrays(catalog, components).mapInPandas(run, "sample string, sig string, exposure double")
+
+
+def extract_iterative(catalog: DataFrame, n_sig: int, n_run: int = 10, threshold: float = 0.95, max_iter: int = 10, seed: int = SEED, n_iter: int = 1000) -> list[tuple[DataFrame, DataFrame]]:
+    """Solutions of repeated extraction: each round takes the samples that the round before reconstructed with a cosine under the threshold, until fewer than two or all remain."""
+    from locusframe.operators.catalog import reconstruction_similarity
+
+    out, rest = [], catalog
+    for _ in range(max_iter):
+        sig, expo = extract(rest, n_sig, n_run, seed, n_iter)
+        out.append((sig, expo))
+        fit_ = reconstruction_similarity(rest, sig.select("sig", "component", F.col("share").alias("weight")), expo)
+        r = fit_.agg(F.count("*").alias("n"), F.count(F.when(F.col("cosine") < threshold, 1)).alias("poor")).first()
+        if r["poor"] < 2 or r["poor"] == r["n"]:
+            break
+        rest = rest.join(fit_.where(F.col("cosine") < threshold).select("sample"), "sample", "left_semi")
+    return out
+
+
+def consensus_groups(catalog: DataFrame, n_sig: int, n_run: int = 20, seed: int = SEED, n_iter: int = 500) -> DataFrame:
+    """sample, grp and silhouette: average-linkage groups of how often runs give two samples the same dominant signature."""
+    _, samples, runs = _factorise(catalog, [(n_sig, 0, r, seed + r) for r in range(n_run)], "KL", False, n_iter)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        label = [np.array(x).reshape(n_sig, -1).argmax(axis=0) for x in pdf.sort_values("run")["h"]]
+        dist = 1 - np.mean([x[:, None] == x[None] for x in label], axis=0)
+        grp = solvers.cut_tree(solvers.hclust(dist), len(samples), min(n_sig, len(samples)))
+        return pd.DataFrame({"sample": samples, "grp": grp.astype(np.int32), "silhouette": solvers.silhouette(dist, grp)})
+
+    return runs.groupBy("k").applyInPandas(run, "sample string, grp int, silhouette double")  # n_run rows

@@ -884,3 +884,29 @@ def _(t):
     from pyspark.sql import Window
 
     return t.select("grp", "id", "score", F.row_number().over(Window.partitionBy("grp").orderBy("score", "id")).alias("place"), F.count("*").over(Window.partitionBy("grp")).alias("n"))
+
+
+@query("apobec_test", "variants")
+def _(v):
+    return V.apobec_test(V.apobec_counts(v)).select("sample", *r6("p_value", "fdr"))
+
+
+@query("sbs_strand_catalog", "variants", "transcripts", sql=_STRAND + " SELECT sample, c AS component, count(*) AS n FROM l WHERE c LIKE 'T:%' OR c LIKE 'U:%' GROUP BY 1, 2")
+def _(v, t):
+    d = V.with_strand(V.strand_label(V.label_sbs(v), t, ["t1", "t2", "t3", "t4"]), "sbs6", ("T", "U"))
+    return K.count_components(d, "sbs6_strand")
+
+
+@query("rescale", "traits", sql="SELECT id, round(1 + 9 * (score - (SELECT min(score) FROM traits)) / (SELECT max(score) - min(score) FROM traits), 6) AS scaled FROM traits")
+def _(t):
+    return C.rescale(t, "score", 1.0, 10.0).select("id", *r6("scaled"))
+
+
+@query("nmf_iterative", "catalog")
+def _(c):
+    return X.extract_iterative(c, 2, n_run=2, n_iter=200)[-1][0]
+
+
+@query("nmf_consensus_groups", "catalog")
+def _(c):
+    return X.consensus_groups(c, 3, n_run=6, n_iter=200)
