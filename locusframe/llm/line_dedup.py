@@ -19,7 +19,7 @@ match is verified on the words themselves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import SPACE, cut, read
@@ -33,7 +33,10 @@ SMALL_ROWS = 200_000
 
 
 def _norm(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, SPACE, " "))
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(line, SPACE, " ")).otherwise(line))  # most lines need no pattern
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -73,47 +76,44 @@ def _texts(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> Dat
     return x.where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1", "h2"])
 
 
-def _running(x: Column) -> Column:
-    """Exclusive running exclusive-or of an array of longs, in blocks of about the square root of its length."""
-    zero = F.lit(0).cast("long")
-    size = F.greatest(F.ceil(F.sqrt(F.size(x))).cast("int"), F.lit(1))
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(x) / size).cast("int") - 1, F.lit(0))), lambda b: F.slice(x, b * size + 1, size))
-
-    def scan(values: Column, first: Column) -> Column:
-        start = F.struct(first.alias("acc"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(values, start, lambda a, v: F.struct(a["acc"].bitwiseXOR(v).alias("acc"), F.concat(a["out"], F.array(a["acc"])).alias("out")), lambda a: a["out"])
-
-    before = scan(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, v: a.bitwiseXOR(v))), zero)
-    return F.flatten(F.zip_with(blocks, before, lambda b, first: scan(b, first)))
-
-
 def _keyed(texts: DataFrame) -> DataFrame:
-    """h1, h2, doc_id, line_no, n (words), whole (key of the line as it stands) and v (its value without each word)."""
-    d = texts.withColumn("w", F.split("norm", " ", -1))
-    d = d.withColumns({"t": F.transform("w", lambda w, i: F.xxhash64(w, i + 1)), "u": F.transform("w", lambda w, i: F.xxhash64(w, i)), "n": F.size("w")})
-    d = d.withColumn("x", F.zip_with("t", "u", lambda a, b: a.bitwiseXOR(b)))
-    xor = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a.bitwiseXOR(v))
+    """A row per word of each line: h1, h2, n (words), at (its place from 1 on), r (key of the line without it, for lines of equal length that lack the same place) and k (key of the line without it, as a line)."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = F.split("norm", " ", -1)
+    # Dealt by line before the words are spread, so that the running values need no exchange of words.
+    d = texts.repartition(n, "h1").select("h1", "h2", F.size(w).alias("n"), F.posexplode(w).alias("i", "w"))
     # Words behind the deleted one move up by a place: their hashes are those of u.
-    d = d.withColumns({"all_t": xor("t"), "all_u": xor("u"), "before": _running(F.col("x"))})
-    v = F.zip_with("before", "u", lambda a, b: a.bitwiseXOR(b).bitwiseXOR(F.col("all_u")))
-    return d.select("h1", "h2", "doc_id", "line_no", "n", F.xxhash64("all_t", "n").alias("whole"), v.alias("v"))
+    d = d.select("h1", "h2", "n", "i", F.xxhash64("w", F.col("i") + 1).alias("t"), F.xxhash64("w", "i").alias("u"))
+    line = Window.partitionBy("h1", "h2").orderBy("i")
+    d = d.withColumn("x", F.col("t").bitwiseXOR(F.col("u")))
+    run = F.bit_xor("x").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rest = F.bit_xor("u").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    v = run.bitwiseXOR(F.col("t")).bitwiseXOR(rest)
+    d = d.select("h1", "h2", "n", (F.col("i") + 1).alias("at"), v.alias("v"))
+    return d.select("h1", "h2", "n", "at", F.xxhash64("v", "at", "n").alias("r"), F.xxhash64("v", F.col("n") - 1).alias("k"))
+
+
+def _whole(texts: DataFrame) -> DataFrame:
+    """k, g1, g2: the key of each line as it stands."""
+    w = F.split("norm", " ", -1)
+    value = F.aggregate(F.transform(w, lambda x, i: F.xxhash64(x, i + 1)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    return texts.select(F.xxhash64(value, F.size(w)).alias("k"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
 
 
 def _nearest(texts: DataFrame) -> DataFrame:
     """h1, h2 of candidate lines that an earlier line is one word away from."""
     d = _keyed(texts)
-    replaced_key = lambda i, v: F.xxhash64(v, i, F.col("n"))
-    each = F.transform("v", lambda v, i: F.struct(replaced_key(i, v).alias("r"), F.xxhash64(v, F.col("n") - 1).alias("k"), (i + 1).alias("at")))
-    first = F.struct("doc_id", "line_no")
+    often = cut(d.groupBy("r").count().where("count > 1").select("r", F.lit(True).alias("often")))
+    short = cut(_whole(texts))
+    hits = d.join(_small(often), "r", "left").join(_small(short), "k", "left").where(F.col("often") | (F.col("g1").isNotNull() & (F.col("n") > MIN_WORDS)))
+    first = texts.select("h1", "h2", F.struct("doc_id", "line_no").alias("first"))
+    hits = cut(hits.select("h1", "h2", "at", "r", "often", F.when(F.col("n") > MIN_WORDS, F.col("g1")).alias("g1"), "g2").join(first, ["h1", "h2"]))
     # Replaced: the same value without the word at the same place. The earliest line of a key stands for all earlier ones.
-    often = cut(d.select(F.explode(F.transform("v", lambda v, i: replaced_key(i, v))).alias("r")).groupBy("r").count().where("count > 1").select("r"))
-    met = cut(d.select("h1", "h2", first.alias("first"), F.explode(each).alias("e")).select("h1", "h2", "first", "e.r", "e.at").join(_small(often), "r"))
-    least = met.groupBy("r").agg(F.min(F.struct("first", "h1", "h2")).alias("m"))
-    replaced = met.join(least, "r").where("first > m.first").select("h1", "h2", "at", F.lit("r").alias("how"), F.col("m.h1").alias("g1"), F.col("m.h2").alias("g2"))
+    same = hits.where("often").select("h1", "h2", "first", "r", "at")
+    least = same.groupBy("r").agg(F.min(F.struct("first", "h1", "h2")).alias("m"))
+    replaced = same.join(least, "r").where("first > m.first").select("h1", "h2", "at", F.lit("r").alias("how"), F.col("m.h1").alias("g1"), F.col("m.h2").alias("g2"))
     # Deleted: a line without a word is another line as it stands.
-    short = cut(d.select(F.col("whole").alias("k"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), first.alias("first2")))
-    long = d.where(F.col("n") > MIN_WORDS).select("h1", "h2", first.alias("first"), F.explode(each).alias("e")).select("h1", "h2", "first", "e.k", "e.at")
-    hit = long.join(_small(short), "k").where("first != first2")
+    hit = hits.where("g1 IS NOT NULL").join(first.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("first2")), ["g1", "g2"]).where("first != first2")
     later = F.col("first2") < F.col("first")
     side = lambda a, b: F.when(later, F.col(a)).otherwise(F.col(b))
     moved = hit.select(side("h1", "g1").alias("h1"), side("h2", "g2").alias("h2"), "at", F.when(later, "d").otherwise("i").alias("how"), side("g1", "h1").alias("g1"), side("g2", "h2").alias("g2"))
