@@ -77,7 +77,7 @@ def _texts(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> Dat
 
 
 def _keyed(texts: DataFrame) -> DataFrame:
-    """A row per word of each line: h1, h2, n (words), at (its place from 1 on), r (key of the line without it, for lines of equal length that lack the same place) and k (key of the line without it, as a line)."""
+    """h1, h2, n (words) and v (the value of the line without each of its words, in their order)."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     w = F.split("norm", " ", -1)
     # Dealt by line before the words are spread, so that the running values need no exchange of words.
@@ -89,8 +89,13 @@ def _keyed(texts: DataFrame) -> DataFrame:
     run = F.bit_xor("x").over(line.rowsBetween(Window.unboundedPreceding, 0))
     rest = F.bit_xor("u").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     v = run.bitwiseXOR(F.col("t")).bitwiseXOR(rest)
-    d = d.select("h1", "h2", "n", (F.col("i") + 1).alias("at"), v.alias("v"))
-    return d.select("h1", "h2", "n", "at", F.xxhash64("v", "at", "n").alias("r"), F.xxhash64("v", F.col("n") - 1).alias("k"))
+    return d.withColumn("v", v).groupBy("h1", "h2", "n").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")).select("h1", "h2", "n", F.transform("s", lambda x: x["v"]).alias("v"))
+
+
+def _spread(keyed: DataFrame) -> DataFrame:
+    """A row per word of each line: h1, h2, n, at (its place from 1 on), r (key of the line without it, for lines of equal length that lack the same place) and k (key of the line without it, as a line)."""
+    d = keyed.select("h1", "h2", "n", F.posexplode("v").alias("i", "v"))
+    return d.select("h1", "h2", "n", (F.col("i") + 1).alias("at"), F.xxhash64("v", F.col("i") + 1, "n").alias("r"), F.xxhash64("v", F.col("n") - 1).alias("k"))
 
 
 def _whole(texts: DataFrame) -> DataFrame:
@@ -102,7 +107,7 @@ def _whole(texts: DataFrame) -> DataFrame:
 
 def _nearest(texts: DataFrame) -> DataFrame:
     """h1, h2 of candidate lines that an earlier line is one word away from."""
-    d = _keyed(texts)
+    d = _spread(cut(_keyed(texts)))
     often = cut(d.groupBy("r").count().where("count > 1").select("r", F.lit(True).alias("often")))
     short = cut(_whole(texts))
     hits = d.join(_small(often), "r", "left").join(_small(short), "k", "left").where(F.col("often") | (F.col("g1").isNotNull() & (F.col("n") > MIN_WORDS)))
@@ -150,14 +155,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     gone = superseded_lines(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
     x = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left")
-    lines = F.split(F.col(text_col), "\n", -1)
+    # The lines are a column of their own, lest a lambda splits the text for each of them.
+    x = x.withColumn("_lines", F.split(F.col(text_col), "\n", -1))
+    lines = F.col("_lines")
     # The hash tells the texts of a repeated identifier apart.
     own = F.transform(F.filter("_gone", lambda g: F.xxhash64(_norm(F.get(lines, g["line_no"]))) == g["h1"]), lambda g: g["line_no"])
     x = x.withColumn("_own", F.when(F.col("_gone").isNotNull(), own))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_own"))
     text = F.when(F.col("_own").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.filter(lines, lambda s: s.rlike(r"[^\x20\x09-\x0D]")))).cast("long")
-    return x.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size("_own"), F.lit(0)).cast("long"), text_col: text}).drop("_id", "_gone", "_own")
+    return x.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size("_own"), F.lit(0)).cast("long"), text_col: text}).drop("_id", "_gone", "_own", "_lines")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
