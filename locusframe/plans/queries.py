@@ -76,6 +76,18 @@ def _(s, sizes):
     return base(S.complement_chromosomes(s.where("t2 % 7 <> 0 AND (t2 % 22 <> 5 OR t1 % 3 = 0)"), sizes, exclude=("chr22",)))
 
 
+_GAPS = "CASE WHEN chromosome = 'chr7' AND sample LIKE '%1' THEN 'chrX' ELSE chromosome END"
+
+
+# All segments: gaps arise where chr7 goes by the name of chrX, so that some samples have none of the one and the others none of the other.
+@query("complement_chromosomes_whole", "segments", "chrom_sizes", sql=f"""
+, f AS (SELECT sample, {_GAPS} AS chromosome, start_pos, end_pos, seg_val FROM segments), z AS (SELECT chrom, size FROM chrom_sizes UNION ALL SELECT 'chrX', 155000000 UNION ALL SELECT 'chrY', 57000000), p AS (SELECT sample, chrom, size FROM (SELECT DISTINCT sample FROM f), z WHERE chrom <> 'chrY')
+SELECT sample, chromosome, start_pos, end_pos, seg_val FROM f UNION ALL SELECT sample, chrom, 1, size, 2 FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.sample = p.sample AND f.chromosome = p.chrom)""")
+def _(s, sizes):
+    sex = sizes.sparkSession.createDataFrame([("chrX", 155_000_000), ("chrY", 57_000_000)], "chrom string, size long")
+    return base(S.complement_chromosomes(s.withColumn("chromosome", F.expr(_GAPS)), sizes.select("chrom", "size").unionByName(sex)))
+
+
 _LOH = "seg_val >= 1 AND least(seg_val - minor_cn, minor_cn) = 0 AND end_pos - start_pos > 9999"
 
 
@@ -203,6 +215,13 @@ def _(s, b):
     return I.overlap_join(left, right, ("chromosome", "start_pos", "end_pos"), ("chrom", "bs", "be"), "left").select("sample", "chromosome", "start_pos", "end_pos", "t1", "band")
 
 
+@query("interval_overlap_left_whole", "segments", "bands", sql="SELECT sample, chromosome, s.start_pos, s.end_pos, s.t1, band FROM segments s LEFT JOIN bands b ON chrom = chromosome AND s.start_pos <= b.end_pos AND s.end_pos >= b.start_pos")
+def _(s, b):
+    right = b.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band")
+    left = s.select("sample", "chromosome", "start_pos", "end_pos", "t1")
+    return I.overlap_join(left, right, ("chromosome", "start_pos", "end_pos"), ("chrom", "bs", "be"), "left").select("sample", "chromosome", "start_pos", "end_pos", "t1", "band")
+
+
 @query("interval_overlap_binned", "segments", "bands", sql="SELECT chrom, band, count(*) AS n, CAST(sum(least(s.end_pos, b.end_pos) - greatest(s.start_pos, b.start_pos) + 1) AS BIGINT) AS shared FROM segments s JOIN bands b ON chrom = chromosome AND s.start_pos <= b.end_pos AND s.end_pos >= b.start_pos GROUP BY 1, 2")
 def _(s, b):
     right = b.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band")
