@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
 from locusframe.functions import tests_of_significance as T
 
@@ -117,15 +118,48 @@ def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str], rank:
     return out.withColumn("p_value", kernel(lambda r, n: T.correlation_p(r, int(n)), F.col("r"), F.col("n").cast("double")))
 
 
+#: Distinct (a, b) cells of a block in `kendall`, and blocks of a column at most.
+KENDALL_CELLS, KENDALL_BLOCKS = 50_000, 300
+
+
+def _block(column: str, bounds: Sequence[float]) -> Column:
+    """Number of a value's block: odd for the values of a bound itself, even for those between two bounds."""
+
+    @F.pandas_udf(LongType())
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, v, "left") + np.searchsorted(bounds, v, "right"))
+
+    return run(F.col(column).cast("double"))
+
+
 def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Kendall's tau-b of two columns. The pairs of distinct values are counted, not rows: rows meet only as counts of (a, b)."""
+    """Kendall's tau-b of two numeric columns; null if one of them does not vary.
+
+    Concordant less discordant pairs come from merge counts over the distinct
+    (a, b) cells. Both columns are cut into blocks at quantiles: pairs within a
+    block of a are counted there, pairs of different blocks of a in their common
+    block of b, and all others from the counts of the grid of blocks. A bound is
+    a block of its own, in which nothing is left to count, so a frequent value
+    does not fill a task.
+    """
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("c"))
-    other = cells.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("c").alias("c2"))
-    s = cells.join(other, F.col("x") < F.col("x2")).agg(F.sum(F.col("c") * F.col("c2") * F.signum(F.col("y2") - F.col("y"))).alias("s"))
+    n = max(1, min(KENDALL_BLOCKS, -(-cells.count() // KENDALL_CELLS)))
+    cut = cells.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).approxQuantile(["x", "y"], [i / n for i in range(1, n)], 0.2 / n) if n > 1 else [[], []]
+    d = cells.withColumns({"xb": _block("x", sorted(set(cut[0]))), "yb": _block("y", sorted(set(cut[1])))})
+
+    def counted(x: str, y: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        return lambda pdf: pd.DataFrame({"s": [T.concordance(pdf[x].to_numpy(), pdf[y].to_numpy(), pdf["c"].to_numpy())]})
+
+    grid = d.groupBy("xb", "yb").agg(F.sum("c").alias("c")).toPandas()  # (2 KENDALL_BLOCKS)^2 rows at most
+    across = T.concordance(grid["xb"].to_numpy(), grid["yb"].to_numpy(), grid["c"].to_numpy())
+    within = d.where("xb % 2 = 0").groupBy("xb").applyInPandas(counted("x", "y"), "s long")
+    within = within.unionByName(d.where("yb % 2 = 0").groupBy("yb").applyInPandas(counted("xb", "y"), "s long"))
+    s = within.agg((F.coalesce(F.sum("s"), F.lit(0)) + F.lit(across)).alias("s"))
     tie = lambda k, n: cells.groupBy(k).agg(F.sum("c").alias("t")).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(n))
     n0 = cells.agg((F.sum("c") * (F.sum("c") - 1) / 2).alias("n0"))
     d = s.crossJoin(tie("x", "tx")).crossJoin(tie("y", "ty")).crossJoin(n0)
-    return d.select((F.col("s") / F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty")))).alias("tau"))
+    free = F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty")))
+    return d.select((F.col("s") / F.when(free > 0, free)).alias("tau"))
 
 
 def group_enrichment(df: DataFrame, groups: Sequence[str], numeric: Sequence[str] = (), logical: Sequence[str] = (), by: Sequence[str] = (), reference: str | None = None) -> DataFrame:

@@ -706,6 +706,11 @@ def _(t):
     return T.kendall(t.where("id % 3 = 0").withColumn("x", F.col("id") % 40), "x", "extra").select(*r6("tau"))
 
 
+@query("kendall_tau_whole", "traits")  # no SQL: a join of all pairs of rows would be quadratic
+def _(t):
+    return T.kendall(t, "score", "extra").select(*r6("tau"))
+
+
 _GE = """, l AS (SELECT grp, 'score' AS v, CAST(score AS DOUBLE) AS x FROM traits UNION ALL SELECT grp, 'flag', CASE WHEN flag THEN 1 ELSE 0 END FROM traits),
 p AS (SELECT a.grp, a.v, count(*) FILTER (b.grp = a.grp) AS n1, count(*) FILTER (b.grp <> a.grp) AS n2, avg(b.x) FILTER (b.grp = a.grp) AS m1, avg(b.x) FILTER (b.grp <> a.grp) AS m2, sum(b.x) FILTER (b.grp = a.grp) AS s1, sum(b.x) FILTER (b.grp <> a.grp) AS s2, var_samp(b.x) FILTER (b.grp = a.grp) AS v1, var_samp(b.x) FILTER (b.grp <> a.grp) AS v2 FROM (SELECT DISTINCT grp, v FROM l) a JOIN l b USING (v) GROUP BY 1, 2)"""
 

@@ -1,7 +1,11 @@
 """Queries that do the whole job: no row of their tables is left out."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
+from locusframe.operators import stats as T
 from locusframe.plans.queries import QUERIES
 from locusframe.sources.domain import view
 from tests.conftest import SF
@@ -24,3 +28,31 @@ def test_complement_keeps_every_segment_and_fills_gaps(spark):
     assert out.count() == s.count() + samples  # each sample lacks chr7 or chrX
     assert out.where("chromosome = 'chrY'").count() == 0
     assert out.where("chromosome IN ('chr7', 'chrX') AND start_pos = 1 AND seg_val = 2").groupBy("chromosome").agg(F.count("*").alias("n")).count() == 2
+
+
+def tau_b(rows):
+    sign = lambda v: (v > 0) - (v < 0)
+    s = nx = ny = 0
+    for i, (x, y) in enumerate(rows):
+        for x2, y2 in rows[:i]:
+            a, b = sign(x - x2), sign(y - y2)
+            s, nx, ny = s + a * b, nx + a * a, ny + b * b
+    return s / (nx * ny) ** 0.5
+
+
+def test_kendall_counts_every_row(spark):
+    rows = [tuple(r) for r in view(spark, SF, "traits").select("score", "extra").collect()]
+    assert QUERIES["kendall_tau_whole"](spark, SF).first().tau == pytest.approx(tau_b(rows), abs=1e-6)
+
+
+@pytest.mark.parametrize("cells", [5, 10_000])
+def test_kendall_in_blocks_without_pairs(spark, monkeypatch, cells):
+    rnd = random.Random(3)
+    monkeypatch.setattr(T, "KENDALL_CELLS", cells)
+    rows = [(x := rnd.choice([7, rnd.randrange(60)]), rnd.choice([-1.5, x / 3 + rnd.random(), rnd.randrange(9) * 1.0])) for _ in range(300)]
+    d = spark.createDataFrame([*rows, (None, 1.0), (3, None)], "x long, y double")
+    out = T.kendall(d, "x", "y")
+    assert out.first().tau == pytest.approx(tau_b(rows), abs=1e-12)
+    assert "x2" not in out._jdf.queryExecution().toString()  # no join of cells by an inequality
+    assert T.kendall(spark.createDataFrame([(1, 2), (1, 3)], "x long, y long"), "x", "y").first().tau is None
+    assert T.kendall(d.limit(0), "x", "y").first().tau is None
