@@ -841,12 +841,12 @@ for _method in ("QP", "NNLS", "SA"):
 
 @query("fit_bootstrap", "catalog")
 def _(c):
-    return X.fit_bootstrap(c, _signatures(c), n=20)
+    return X.fit_bootstrap(c, _signatures(c))
 
 
 @query("bootstrap_p_values", "catalog")
 def _(c):
-    return X.bootstrap_p_values(X.fit_bootstrap(c, _signatures(c), n=20))
+    return X.bootstrap_p_values(X.fit_bootstrap(c, _signatures(c)))
 
 
 @query("attribute_activity", "catalog")
@@ -861,22 +861,22 @@ def _(c):
 
 @query("nmf_kl", "catalog")
 def _(c):
-    return X.extract(c, 3, n_run=4)[0]
+    return X.extract(c, 3)[0]
 
 
 @query("nmf_survey", "catalog")
 def _(c):
-    return X.estimate(c, [2, 3, 4], n_run=5)
+    return X.estimate(c, [2, 3, 4])
 
 
 @query("nmf_bayes", "catalog")
 def _(c):
-    return X.auto_extract(c, k0=8, n_run=3, n_iter=2000)[1]
+    return X.auto_extract(c)[1]
 
 
 @query("nmf_best_practice", "catalog")
 def _(c):
-    return X.best_practice(c, [2, 3], n_bootstrap=3, n_run=4, n_iter=300)
+    return X.best_practice(c, [2, 3])
 
 
 # Tables behind plots
@@ -928,9 +928,9 @@ def _(t):
 
 @query("nmf_iterative", "catalog")
 def _(c):
-    return X.extract_iterative(c, 2, n_run=2, n_iter=200)[-1][0]
+    return X.extract_iterative(c, 2)[-1][0]
 
 
 @query("nmf_consensus_groups", "catalog")
 def _(c):
-    return X.consensus_groups(c, 3, n_run=6, n_iter=200)
+    return X.consensus_groups(c, 3)

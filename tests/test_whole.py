@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.operators import stats as T
+from locusframe.plans import extraction as X
 from locusframe.plans.queries import QUERIES
 from locusframe.sources.domain import view
 from tests.conftest import SF
@@ -56,3 +57,25 @@ def test_kendall_in_blocks_without_pairs(spark, monkeypatch, cells):
     assert "x2" not in out._jdf.queryExecution().toString()  # no join of cells by an inequality
     assert T.kendall(spark.createDataFrame([(1, 2), (1, 3)], "x long, y long"), "x", "y").first().tau is None
     assert T.kendall(d.limit(0), "x", "y").first().tau is None
+
+
+@pytest.mark.parametrize(
+    ("name", "runs", "ranks", "catalogues", "n_iter"),
+    [("nmf_bayes", 10, {25}, 1, 20_000), ("nmf_best_practice", 2000, {2, 3}, 20, 1000), ("nmf_kl", 10, {3}, 1, 2000), ("nmf_survey", 30, {2, 3, 4}, 1, 500), ("nmf_iterative", 10, {2}, 1, 1000), ("nmf_consensus_groups", 20, {3}, 1, 500)],
+)
+def test_extraction_queries_run_in_full(spark, monkeypatch, name, runs, ranks, catalogues, n_iter):
+    def seen(catalog, tasks, method, resample, iterations):
+        assert (len(tasks), {t[0] for t in tasks}, len({t[1] for t in tasks}), iterations) == (runs, ranks, catalogues, n_iter)
+        raise StopIteration
+
+    monkeypatch.setattr(X, "_factorise", seen)
+    with pytest.raises(StopIteration):
+        QUERIES[name](spark, SF)
+
+
+def test_bootstrap_queries_take_100_resamples(spark, monkeypatch):
+    kept, whole = [], X.fit_bootstrap
+    monkeypatch.setattr(X, "fit_bootstrap", lambda *a, **k: kept.append(whole(*a, **k)) or kept[-1])
+    QUERIES["fit_bootstrap"](spark, SF)
+    QUERIES["bootstrap_p_values"](spark, SF)
+    assert [d.select("type").distinct().count() for d in kept] == [101, 101]
