@@ -208,13 +208,33 @@ def estimate(catalog: DataFrame, ranks: Sequence[int], n_run: int = 10, seed: in
     return runs.groupBy("k").applyInPandas(survey, "k int, residual double, rss double, evar double, cophenetic double, dispersion double, sparseness double, silhouette double")
 
 
-def auto_extract(catalog: DataFrame, k0: int = 25, n_run: int = 10, prior: str = "L1KL", strategy: str = "stable", seed: int = SEED, n_iter: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """Signatures and exposures of a factorisation that finds its own number of signatures; stable: the most frequent number, then the best posterior; optimal: the best posterior."""
+def auto_extract(catalog: DataFrame, k0: int = 25, n_run: int = 10, prior: str = "L1KL", strategy: str = "stable", seed: int = SEED, n_iter: int = 20_000, reference: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Signatures and exposures of a factorisation that finds its own number of signatures.
+
+    stable: the most frequent number, then the best posterior; optimal: the best
+    posterior; ms: the largest mean, over a run's signatures, of the best cosine
+    with a signature of reference (sig, component, weight).
+    """
+    if strategy not in ("stable", "optimal", "ms"):
+        raise ValueError("strategy must be one of stable, optimal, ms")
+    if strategy == "ms" and reference is None:
+        raise ValueError("strategy ms needs reference signatures")
     tasks = [(k0, 0, r, seed + r) for r in range(n_run)]
     components, samples, runs = _factorise(catalog, tasks, prior, False, n_iter)
     runs = runs.where("kept > 0").withColumn("_n", F.count("*").over(Window.partitionBy("kept")))
-    order = [F.desc("_n"), F.desc("score")] if strategy == "stable" else [F.desc("score")]
-    best = runs.orderBy(*order, "run").first()
+    if strategy == "ms":
+        names, _, p = signature_matrix(reference)
+        at = {c: i for i, c in enumerate(names)}
+        ref = np.array([p[at[c]] if c in at else np.zeros(p.shape[1]) for c in components])
+
+        def similarity(r) -> float:
+            w = np.array(r["w"]).reshape(-1, r["kept"])
+            return float(np.mean([max(solvers.cosine(x, y) for y in ref.T) for x in w.T]))
+
+        best = min(runs.collect(), key=lambda r: (-similarity(r), r["run"]))  # n_run rows
+    else:
+        order = [F.desc("_n"), F.desc("score")] if strategy == "stable" else [F.desc("score")]
+        best = runs.orderBy(*order, "run").first()
     k = best["kept"]
     return _solution(catalog.sparkSession, components, samples, np.array(best["w"]).reshape(-1, k), np.array(best["h"]).reshape(k, -1))
 

@@ -79,3 +79,17 @@ def test_bootstrap_queries_take_100_resamples(spark, monkeypatch):
     QUERIES["fit_bootstrap"](spark, SF)
     QUERIES["bootstrap_p_values"](spark, SF)
     assert [d.select("type").distinct().count() for d in kept] == [101, 101]
+
+
+def test_auto_extract_strategies(spark, monkeypatch):
+    c = spark.createDataFrame([("s", "x", 1), ("s", "y", 1)], "sample string, component string, n long")
+    with pytest.raises(ValueError, match="strategy"):
+        X.auto_extract(c, strategy="best")
+    with pytest.raises(ValueError, match="reference"):
+        X.auto_extract(c, strategy="ms")
+    # run 0 has the better posterior, run 1 the signatures nearer to the reference
+    rows = [(2, 0, 0, 1, 9.0, 1, [1.0, 1.0], [2.0]), (2, 0, 1, 2, 5.0, 2, [1.0, 0.0, 0.0, 1.0], [1.0, 1.0])]
+    monkeypatch.setattr(X, "_factorise", lambda *a: (["x", "y"], ["s"], spark.createDataFrame(rows, X._RUN)))
+    ref = spark.createDataFrame([("A", "x", 1.0), ("B", "y", 1.0)], "sig string, component string, weight double")
+    assert X.auto_extract(c, strategy="optimal")[0].select("sig").distinct().count() == 1
+    assert X.auto_extract(c, strategy="ms", reference=ref)[0].select("sig").distinct().count() == 2
