@@ -166,7 +166,7 @@ def united(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
     """Items (distinct identifiers and texts) in blocks, streamed to the driver one partition at a time."""
-    rows = benchmark.select(benchmark["item_id"].cast("string").alias("i"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("t")).where("i IS NOT NULL").distinct()
+    rows = benchmark.select(benchmark["item_id"].cast("string").alias("i"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("t")).distinct()
     block: list[tuple[str, bytes]] = []
     size = 0
     for r in rows.toLocalIterator():
@@ -180,6 +180,11 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[lis
     yield block
 
 
+def _by_name(name: str | None) -> tuple[bool, str]:
+    """Order of identifiers, null last."""
+    return name is None, name or ""
+
+
 _MATCHERS: dict[str, Matcher] = {}
 _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _FOUND = "n_words long, hits array<struct<s:int,e:int>>, items array<string>"
@@ -201,7 +206,7 @@ def _scanner(shared, key: str, window: int, only_hits: bool):
                     spans, found = matcher.spans(ws)
                     n.append(len(ws))
                     hits.append([{"s": s, "e": e} for s, e in united(spans)])
-                    items.append(sorted(found))
+                    items.append(sorted(found, key=_by_name))
                 more = [pa.array(n, pa.int64()), pa.array(hits, _SPANS), pa.array(items, pa.list_(pa.string()))]
                 keep = pa.array([bool(x) or not only_hits for x in items], pa.bool_())
                 own = [c for i, c in enumerate(part.columns) if i != 1 or not only_hits]
@@ -229,8 +234,9 @@ def _joined_spans(col: Column) -> Column:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, whole_rows: bool = False) -> DataFrame:
     """doc_id, n_words, hits (disjoint word spans), items (sorted identifiers) of each document row; text and row (a struct of all columns but the text) too if whole_rows.
 
-    Null and empty texts have no words. Items without words or with a null
-    identifier never occur; rows that repeat an item count once. An empty
+    Null and empty texts have no words. Items without words never occur; rows
+    that repeat an item count once. Items with a null identifier hit like any
+    other and stand as one null at the end of items. An empty
     benchmark hits nothing and an empty document table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
@@ -240,7 +246,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     key_of_row = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     base, more = None, []
     for block in blocks(benchmark, block_words):
-        block.sort()
+        block.sort(key=lambda x: (_by_name(x[0]), x[1]))
         key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
         scan = lambda only: _scanner(sc.broadcast(block), key, window, only)  # noqa: B023,E731
         if base is None:
