@@ -545,6 +545,12 @@ def _(d):
     return K.count_components(R.label_rs(R.label_clustered(x, ["t1", "t2", "start1", "sample"]).drop("t1")), "rs38")
 
 
+@query("sv_clustered_segmented_rs32", "sv")
+def _(d):
+    x = R.label_size(R.clean(d))
+    return K.count_components(R.label_rs(R.label_clustered(x, ["t1", "t2", "start1", "sample"]).drop("t1")), "rs32")
+
+
 # Catalogue algebra
 
 _COMPONENTS = [f"{p}:{s}" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW") for s in "FOP"]

@@ -106,3 +106,9 @@ def test_items_without_identifier_hit(spark, block_words):
     sums = {r.doc_id: r.items_sha256 for r in decontaminate.report(docs, bench, block_words=block_words).collect()}
     assert sums[1] == sums[4] and sums[2] == sums[3]
     assert {r.doc_id for r in decontaminate.clean_rows(docs, bench, block_words=block_words).collect()} == {3}
+
+
+def test_rs32_by_segmentation(spark):
+    whole = {tuple(r) for r in QUERIES["sv_clustered_segmented"](spark, SF).select("sample", "component", "n").collect()}
+    got = {tuple(r) for r in QUERIES["sv_clustered_segmented_rs32"](spark, SF).select("sample", "component", "n").collect()}
+    assert got and got == {r for r in whole if "<1Kb" not in r[1]}
