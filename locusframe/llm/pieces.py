@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from locusframe.llm.common import id_text, slices
 
 MARK = "▁"
-#: Distinct words that a worker remembers at most between slices.
-REMEMBERED = 300_000
+#: Distinct words, and pairs of pieces, that a worker remembers at most between slices; some 60 MB in all.
+REMEMBERED, PAIRS = 200_000, 200_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -78,21 +79,35 @@ class PieceModel:
             raise ValueError("a piece crosses from a character into a space mark")
         self.ids = {w: i for i, w in enumerate(names) if plain[i]}
         self.scores = {w: p.get_score(i) for w, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self.names = names
         self.unk = p.unk_id()
         self.bytes = [p.piece_to_id(f"<0x{b:02X}>") if any(p.is_byte(i) for i in range(min(n, 300))) else -1 for b in range(256)]
         self.bytes = self.bytes if min(self.bytes) >= 0 and p.is_byte(self.bytes[0]) else []
         self.surface = [w.replace(MARK, " ").encode() if plain[i] else bytes([int(w[3:5], 16)]) if p.is_byte(i) else " ⁇ ".encode() if p.is_unknown(i) else b"" for i, w in enumerate(names)]
         #: Whether a line feed is never part of a longer piece, so that words can be cut there too.
-        self.cut_lines = not any("\n" in w and len(w) > 1 for w in self.ids)
+        self.cut_lines = ("\n" in self.ids or bool(self.bytes)) and not any("\n" in w and len(w) > 1 for w in self.ids)
+        if MARK not in self.ids and not self.bytes:
+            raise ValueError("the model knows no space mark")  # a run of unknown characters would cross from word to word
 
 
 class Encoder:
-    """Encodes sorted batches of words over one model, sharing forward columns along common prefixes."""
+    """Encodes sorted batches of words over one model, sharing forward columns along common prefixes.
+
+    A piece is known by its code: its number in the model, or for a character
+    that the model lacks the number of pieces plus its code point.
+    """
 
     def __init__(self, model: PieceModel):
         self.m = model
-        self.valid: dict[tuple[str, str], bool] = {}
+        self.size = len(model.names)
+        self.span = self.size + 0x110001
+        #: Last three characters of pieces: the lengths of the pieces that end so, longest first.
+        ends: dict[str, set[int]] = {}
+        for w in model.ids:
+            if len(w) > 2:
+                ends.setdefault(w[-3:], set()).add(len(w))
+        self.ends = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items()}
+        self.stays: dict[int, bool] = {}
         self.floor = min(model.scores.values(), default=0.0) - 10.0
 
     def merge(self, s: str) -> list[str]:
@@ -123,67 +138,87 @@ class Encoder:
             offer(i)
         return [x for x in part if x is not None]
 
-    def _stays(self, a: str, b: str) -> bool:
-        got = self.valid.get((a, b))
-        if got is None:
-            if len(self.valid) > 2_000_000:
-                self.valid.clear()
-            got = self.valid[a, b] = self.merge(a + b) == ([a, b] if a else [b])
+    def _stay(self, key: int, a: str, b: str) -> bool:
+        """Whether the pieces a and b stay beside each other when both are merged from characters; a may be empty."""
+        if len(self.stays) >= PAIRS:
+            self.stays.clear()
+        got = self.stays[key] = self.merge(a + b) == ([a, b] if a else [b])
         return got
 
-    def walk(self, words: list[str]) -> Iterator[list[str]]:
-        """Pieces of each word; words must be sorted, so that each shares with the one before all that any earlier one shares."""
-        m, bpe = self.m, self.m.bpe
-        vocabulary, longest = m.scores, m.longest
+    def walk(self, words: list[str]) -> Iterator[list[int]]:
+        """Codes of the pieces of each word; words must be sorted, so that each shares with the one before all that any earlier one shares."""
+        bpe, ids, scores, size, span = self.m.bpe, self.m.ids, self.m.scores, self.size, self.span
+        ends, stays, plain = self.ends, self.stays, (2, 1)
         last: list[int] = [0]  # length of the last piece of each prefix
+        code: list[int] = [span - 1]  # and its code
         best: list[float] = [0.0]
         before = ""
         for w in words:
             k, top = 0, min(len(w), len(before))
             while k < top and w[k] == before[k]:
                 k += 1
-            del last[k + 1 :], best[k + 1 :]
+            del last[k + 1 :], code[k + 1 :]
+            if not bpe:
+                del best[k + 1 :]
             for i in range(k + 1, len(w) + 1):
+                lengths = ends.get(w[i - 3 : i], plain) if i > 2 else plain
                 if bpe:
-                    for n in range(min(longest, i), 0, -1):
-                        t = w[i - n : i]
-                        if n > 1 and t not in vocabulary:
-                            continue
+                    for n in lengths:
                         j = i - n
-                        if self._stays(w[j - last[j] : j], t):
+                        if j < 0:
+                            continue
+                        c = ids.get(w[j:i])
+                        if c is None:
+                            if n > 1:
+                                continue
+                            c = size + ord(w[j])
+                        key = code[j] * span + c
+                        ok = stays.get(key)
+                        if ok is None:
+                            ok = self._stay(key, w[j - last[j] : j], w[j:i])
+                        if ok:
                             last.append(n)
+                            code.append(c)
                             break
                     else:
                         raise AssertionError(f"no encoding of {w[:i]!r}")
                 else:
-                    top_n, top_s = 1, best[i - 1] + vocabulary.get(w[i - 1], self.floor)
-                    for n in range(2, min(longest, i) + 1):
-                        s = vocabulary.get(w[i - n : i])
+                    t = w[i - 1]
+                    top_n, top_s = 1, best[i - 1] + scores.get(t, self.floor)
+                    for n in reversed(lengths):
+                        s = scores.get(w[i - n : i]) if 1 < n <= i else None
                         if s is not None and best[i - n] + s > top_s:
                             top_n, top_s = n, best[i - n] + s
                     last.append(top_n)
                     best.append(top_s)
+                    code.append(ids.get(w[i - top_n : i], size + ord(t)))
             out, i = [], len(w)
             while i:
-                out.append(w[i - last[i] : i])
+                out.append(code[i])
                 i -= last[i]
             out.reverse()
             before = w
             yield out
 
-    def numbers(self, pieces: list[str]) -> list[int]:
-        m, out, unknown = self.m, [], False
-        for t in pieces:
-            i = m.ids.get(t)
-            if i is not None:
-                out.append(i)
+    def numbers(self, codes: list[int]) -> list[int]:
+        """Token ids of codes: the bytes of characters that the model lacks, or one unknown for each run of them."""
+        m, size = self.m, self.size
+        if not codes or max(codes) < size:
+            return codes
+        out, unknown = [], False
+        for c in codes:
+            if c < size:
+                out.append(c)
             elif m.bytes:
-                out.extend(m.bytes[b] for b in t.encode("utf-8", "surrogatepass"))
+                out.extend(m.bytes[b] for b in chr(c - size).encode("utf-8", "surrogatepass"))
             elif not unknown:
                 out.append(m.unk)
-            unknown = i is None
+            unknown = c >= size
         return out
 
+    def codes(self, pieces: list[str]) -> list[int]:
+        return [self.m.ids.get(t, self.size + ord(t[0])) for t in pieces]
+
 
 def words_of(text: str, cut_lines: bool = True) -> list[str]:
     """Keys of the marked words of a text. A key's first word mark is implied; each blank before it is a further mark; a line feed before it means that it has no mark of its own."""
@@ -207,60 +242,89 @@ def words_of(text: str, cut_lines: bool = True) -> list[str]:
 
 
 class Lexicon:
-    """Words met so far by a worker, their token ids in one flat array."""
+    """Words met so far by a worker, their token ids in one flat array; at most `most` stay from slice to slice, those of several slices first."""
 
-    def __init__(self, model: PieceModel):
-        self.encoder, self.model = Encoder(model), model
-        self._clear()
-
-    def _clear(self) -> None:
+    def __init__(self, model: PieceModel, most: int = REMEMBERED):
+        self.encoder, self.model, self.most = Encoder(model), model, most
         self.slot: dict[str, int] = {}
-        self.flat, self.start, self.length = array("i"), array("q"), array("q")
-
-    def _add(self, key: str, ids: list[int]) -> None:
-        self.slot[key] = len(self.start)
-        self.start.append(len(self.flat))
-        self.length.append(len(ids))
-        self.flat.extend(ids)
+        self.flat, self.start, self.length = array("i"), array("q"), array("i")
+        self.seen = np.zeros(0, np.uint8)  # slices that held each word, 2 for more
+        self.runs: dict[int, list[int]] = {}
+
+    def _add(self, keys: list[str], ids: list[list[int]]) -> None:
+        at = len(self.start)
+        self.slot.update(zip(keys, range(at, at + len(keys)), strict=True))
+        lens = np.fromiter(map(len, ids), np.int32, len(ids))
+        first = len(self.flat) + np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+        self.flat.extend(chain.from_iterable(ids))
+        self.start.frombytes(first.tobytes())
+        self.length.frombytes(lens.tobytes())
+
+    def _forget(self) -> None:
+        """Keeps the words that several slices held, if they are not too many themselves."""
+        words = list(self.slot)
+        keep = np.flatnonzero(self.seen > 1) if self.seen.size else np.zeros(0, np.int64)
+        keep = keep if len(keep) <= self.most // 2 else keep[:0]
+        start, length, flat = self.start, self.length, self.flat
+        kept = [(words[i], flat[start[i] : start[i] + length[i]].tolist()) for i in keep.tolist()]
+        self.slot, self.flat, self.start, self.length = {}, array("i"), array("q"), array("i")
+        self._add([w for w, _ in kept], [x for _, x in kept])
+        self.seen = np.ones(len(kept), np.uint8)
 
     def learn(self, keys: set[str]) -> None:
-        if len(self.slot) > REMEMBERED:
-            self._clear()
+        if len(self.slot) > self.most:
+            self._forget()
         m, e = self.model, self.encoder
-        tasks: dict[str, list[str]] = {}  # marked word: the keys that hold it
-        for key in keys:
-            if key in self.slot:
+        new = sorted(keys.difference(self.slot))
+        plain = [k for k in new if k[:1] not in (" ", "\n", "")]
+        self._add(plain, [e.numbers(x) for x in e.walk([MARK + k for k in plain])])
+        tasks: dict[str, list[str]] = {}  # word: the keys with blanks or a line feed before it
+        ids: dict[str, list[int]] = {}
+        for key in new:
+            if key[:1] not in (" ", "\n", ""):
                 continue
             body = key.lstrip(" ")
             if not body:
-                self._add(key, e.numbers(self._run(len(key))))
-                continue
-            word = body[1:] if m.cut_lines and key[0] == "\n" else MARK + body
-            tasks.setdefault(word, []).append(key)
+                ids[key] = e.numbers(self._run(len(key)))
+            elif m.cut_lines and key[0] == "\n":
+                tasks.setdefault(body[1:], []).append(key)
+            else:  # in a unigram model the marks before a word may be shared out in any way
+                tasks.setdefault(MARK * (1 if m.bpe else len(key) - len(body) + 1) + body, []).append(key)
         todo = sorted(tasks)
-        for word, pieces in zip(todo, e.walk(todo), strict=True):
+        for word, codes in zip(todo, e.walk(todo), strict=True):
             for key in tasks[word]:
                 if m.cut_lines and key[0] == "\n":
-                    self._add(key, e.numbers(["\n", *pieces]))
+                    ids[key] = e.numbers([*e.codes(["\n"]), *codes])
                     continue
                 extra = len(key) - len(word) + 1
-                if extra and pieces[0] == MARK:  # the word's own mark joins the run before it
-                    self._add(key, e.numbers(self._run(extra + 1) + pieces[1:]))
+                if m.bpe and extra and codes[0] == m.ids.get(MARK):  # the word's own mark joins the run before it
+                    ids[key] = e.numbers(self._run(extra + 1) + codes[1:])
                 else:
-                    self._add(key, e.numbers((self._run(extra) if extra else []) + pieces))
+                    ids[key] = e.numbers((self._run(extra) if m.bpe and extra else []) + codes)
+        self._add(list(ids), list(ids.values()))
 
-    def _run(self, n: int) -> list[str]:
-        return self.encoder.merge(MARK * n) if self.model.bpe else next(self.encoder.walk([MARK * n]))
+    def _run(self, n: int) -> list[int]:
+        """Codes of n marks; short runs are remembered."""
+        got = self.runs.get(n)
+        if got is None:
+            e = self.encoder
+            got = e.codes(e.merge(MARK * n)) if self.model.bpe else next(e.walk([MARK * n]))
+            if n < 256:
+                self.runs[n] = got
+        return got
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts behind one another, and the offsets of each text."""
         parts = [words_of(t, self.model.cut_lines) for t in texts]
-        self.learn({w for p in parts for w in p})
-        get = self.slot.__getitem__
+        self.learn(set(chain.from_iterable(parts)))
         counts = np.array([len(p) for p in parts], np.int64)
-        at = np.fromiter((get(w) for p in parts for w in p), np.int64, int(counts.sum()))
-        start, length, flat = (np.frombuffer(x, d) for x, d in ((self.start, np.int64), (self.length, np.int64), (self.flat, np.int32))) if len(self.start) else (np.zeros(1, np.int64),) * 3
-        lens = length[at]
+        at = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        del parts
+        self.seen = np.r_[self.seen, np.zeros(len(self.start) - len(self.seen), np.uint8)]
+        held = np.flatnonzero(np.bincount(at, minlength=len(self.seen)))
+        self.seen[held] = np.minimum(self.seen[held] + 1, 2)
+        start, length, flat = (np.frombuffer(x, d) for x, d in ((self.start, np.int64), (self.length, np.int32), (self.flat, np.int32))) if len(self.start) else (np.zeros(1, np.int64),) * 3
+        lens = length[at].astype(np.int64)
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         ids = flat[np.repeat(start[at] - (ends - lens), lens) + np.arange(total)].astype(np.int32) if total else np.zeros(0, np.int32)
@@ -295,7 +359,7 @@ def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, id_col: s
             _LEXICONS[id(model)] = Lexicon(model)
         lexicon = _LEXICONS[id(model)]
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=1 << 20):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 ids, offsets = lexicon.encode(texts)
                 listed = ids.tolist()

@@ -1,4 +1,5 @@
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -169,12 +170,50 @@ def test_pieces_match_library(spark, docs_of):
     assert all(back[i] == t.replace("▁", " ") for i, t in enumerate(texts))
 
 
+def varint(n):
+    return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+
+def field(k, value):
+    return varint(k << 3 | 2) + varint(len(value)) + value
+
+
+def model_file(path, pieces_of, byte_pieces):
+    """A unigram SentencePiece model with identity normalisation, written field by field (1 piece, 2 trainer, 3 rules)."""
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if byte_pieces] + [(w, s, 1) for w, s in pieces_of.items()]
+    raw = b"".join(field(1, field(1, w.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + varint(3 << 3) + varint(kind)) for w, s, kind in rows)
+    raw += field(2, varint(3 << 3) + varint(1) + varint(35 << 3) + varint(int(byte_pieces)))
+    raw += field(3, field(1, b"identity") + b"".join(varint(k << 3) + varint(v) for k, v in ((3, 1), (4, 0), (5, 1))))
+    path.write_bytes(raw)
+
+
+@pytest.mark.parametrize("byte_pieces", [False, True])
+def test_unigram_end_to_end(spark, docs_of, tmp_path, byte_pieces):
+    import sentencepiece
+
+    rnd = random.Random(5)
+    plain = {"▁": -3.0} | {c: -4.0 - i / 100 for i, c in enumerate("abcd\n")}
+    plain |= {"".join(rnd.choice("abcd") for _ in range(rnd.randrange(2, 6))): -rnd.uniform(2, 9) for _ in range(60)}
+    plain |= {"▁" + "".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 4))): -rnd.uniform(2, 9) for _ in range(20)} | {"▁▁": -4.5, "▁▁▁▁": -6.1}
+    model_file(tmp_path / "u.model", plain, byte_pieces)
+    p = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "u.model"))
+    texts = ["".join(rnd.choice("aabbccdd  \nxé") for _ in range(rnd.randrange(60))) for _ in range(400)] + ["", " ", "abcd" * 2000]
+    got = pieces.encode_documents(docs_of(list(enumerate(texts))), model_path=str(tmp_path / "u.model")).collect()
+    scores = {p.piece_to_id(w): s for w, s in plain.items()}
+    worth = lambda ids: round(sum(scores.get(i, 0.0) for i in ids), 3)
+    for r in got:
+        want = p.encode(texts[r.doc_id])
+        # of two best paths with equal scores either will do
+        assert r.token_ids == want or (worth(r.token_ids) == worth(want) and p.decode(r.token_ids) == p.decode(want)), repr(texts[r.doc_id])
+        assert r.exact == (byte_pieces or not set(texts[r.doc_id]) & set("xé"))
+
+
 def test_unigram_walk_brute():
     class Model:
         bpe, bytes, unk = False, [], 0
         scores = {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -3.2, "c": -2.0, "bc": -1.2}
+        names = ["<unk>", *scores]
         ids = {w: i + 1 for i, w in enumerate(scores)}
-        longest = 3
 
     def best(w):
         if not w:
@@ -184,7 +223,20 @@ def test_unigram_walk_brute():
     e = pieces.Encoder(Model)
     words = sorted({"".join(random.Random(i).choice("abcx") for _ in range(1 + i % 7)) for i in range(200)})
     for w, got in zip(words, e.walk(words)):
-        assert "".join(got) == w and abs(sum(Model.scores.get(t, e.floor) for t in got) - best(w)) < 1e-9
+        text = [Model.names[c] if c < e.size else chr(c - e.size) for c in got]
+        assert "".join(text) == w and abs(sum(Model.scores.get(t, e.floor) for t in text) - best(w)) < 1e-9
+
+
+def test_lexicon_forgets(spark):
+    import sentencepiece
+
+    p, lexicon = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL), pieces.Lexicon(pieces.PieceModel(pieces.DEFAULT_MODEL), most=20)
+    rnd = random.Random(3)
+    for _ in range(30):
+        texts = [" ".join(rnd.choice(["often", "the", "of", f"w{rnd.randrange(99)}é"]) for _ in range(9)) for _ in range(4)]
+        ids, at = lexicon.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == p.encode(texts)
+    assert len(lexicon.slot) <= 60 and "often" in lexicon.slot
 
 
 def test_pieces_odd(spark, odd):
