@@ -8,13 +8,14 @@ deleted or replaced. All superseded lines go; the earliest stays.
 Lines are reduced to hashes at once; equal lines meet in an aggregate that
 starts in the map tasks, so a line that fills a third of the corpus is one row
 per task. The deletion neighbourhood of a distinct line is itself and itself
-without each of its words. Its hashed keys are emitted only for lines that
-share their first or last words and, within one, their word count with another
-line, which holds for every pair that is one word apart. A key is the exclusive
-or of hashes of words at their places, so all variants of a line come from one
-running value, however long it is. Within a key the earliest line is an
-aggregate and each other line is held against it, so no pairs are formed; a
-match is verified on the words themselves.
+without each of its words. Two lines that are one word apart share all words of
+one half, the words before or those behind the edit. Hence hashed keys are
+emitted only for lines that share a half with a line of fitting length, and
+only for words outside that half. A key is the exclusive or of hashes of words
+at their places, so all variants of a line come from one running value, however
+long it is. Within a key the earliest line is an aggregate and each other line
+is held against it, so no pairs are formed; a match is verified on the words
+themselves.
 """
 
 from __future__ import annotations
@@ -22,12 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import SPACE, cut, read
+from locusframe.llm.common import SPACE, cut, fresh, read
 
 #: Words from which on a line is compared with lines one word away, not only with equal ones.
 MIN_WORDS = 8
-#: Words at either end of which a line shares all with a line one word away; at most half of MIN_WORDS.
-ENDS = 4
 #: Rows of a few numbers up to which a side of a join is broadcast; it is counted first, and beyond it both sides are shuffled.
 SMALL_ROWS = 200_000
 
@@ -44,57 +43,72 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, ends: bool = False) -> DataFrame:
-    """h1, h2 (the line), doc_id, line_no of each line with words; with ends also nw (words) and the hashes of its first and last words."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, halves: bool = False) -> DataFrame:
+    """h1, h2 (the line), doc_id, line_no of each line with words; with halves also nw (words) and the hashes of its halves, see _halves."""
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     x = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     x = x.select("doc_id", "line_no", _norm(F.col("line")).alias("norm")).where("norm != ''")
     found = [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), F.col("doc_id"), F.col("line_no")]
-    if ends:
-        found += [(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).alias("nw"), F.xxhash64(F.substring_index("norm", " ", ENDS)).alias("p"), F.xxhash64(F.lit(1), F.substring_index("norm", " ", -ENDS)).alias("s")]
+    if halves:
+        x = x.withColumn("nw", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+        found += [F.col("nw"), *_halves()]
     return x.select(*found)
 
 
+#: Hashes of halves: the first and the last words of a line in the bucket of its word count n (k0, k1) and in that of n + 1 (k2, k3).
+HALVES = ("k0", "k1", "k2", "k3")
+
+
+def _halves() -> list[Column]:
+    """Keys of the halves of norm, of nw words, in two buckets: lines of b and of b - 1 words meet in bucket b, where a half is (b - 1) // 2 words."""
+    out = []
+    for i, name in enumerate(HALVES):
+        bucket = F.col("nw") + i // 2
+        size = F.floor((bucket - 1) / 2).cast("int")
+        half = F.call_function("substring_index", F.col("norm"), F.lit(" "), -size if i % 2 else size)
+        out.append(F.when(F.col("nw") >= MIN_WORDS, F.xxhash64(F.lit(i % 2), bucket, half)).alias(name))
+    return out
+
+
 def _candidates(distinct: DataFrame) -> DataFrame:
-    """h1, h2, doc_id, line_no of the distinct lines that share an end, and within one the number of words, with another one."""
-    # Lines of b words and of b - 1 words meet in bucket b.
-    keys = [F.xxhash64("p", "nw"), F.xxhash64("p", F.col("nw") + 1), F.xxhash64("s", "nw"), F.xxhash64("s", F.col("nw") + 1)]
-    k = distinct.where(F.col("nw") >= MIN_WORDS).select("h1", F.explode(F.array(*keys)).alias("k"))
+    """h1, h2, doc_id, line_no and held (bit i: HALVES[i] is shared) of the distinct lines that share a half with another line of their bucket."""
+    k = distinct.where(F.col("nw") >= MIN_WORDS).select("h1", F.posexplode(F.array(*HALVES)).alias("i", "k"))
     shared = cut(k.groupBy("k").count().where("count > 1").select("k"))
-    found = cut(k.join(_small(shared), "k", "left_semi").select("h1").distinct())
-    return cut(distinct.join(_small(found), "h1", "left_semi").where(F.col("nw") >= MIN_WORDS).select("h1", "h2", "doc_id", "line_no"))
+    found = cut(k.join(_small(shared), "k", "left_semi").groupBy("h1").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("held")))
+    return cut(distinct.where(F.col("nw") >= MIN_WORDS).join(_small(found), "h1").select("h1", "h2", "doc_id", "line_no", "held"))
 
 
 def _texts(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """lines with their normalised text, from the place where each stands first."""
-    wanted = cut(lines.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "line_no")).alias("held")))
+    wanted = cut(lines.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "line_no", "held")).alias("lines_of")))
     wanted = F.broadcast(wanted) if lines.count() <= SMALL_ROWS else wanted
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
-    x = d.join(wanted, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("held").alias("x"))
-    x = x.select("x.h1", "x.h2", "doc_id", "x.line_no", _norm(F.get("lines", F.col("x.line_no"))).alias("norm"))
+    x = d.join(wanted, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("lines_of").alias("x"))
+    x = x.select("x.h1", "x.h2", "doc_id", "x.line_no", "x.held", _norm(F.get("lines", F.col("x.line_no"))).alias("norm"))
     # Rows that repeat an identifier: those that hold the line, each once.
     return x.where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1", "h2"])
 
 
 def _keyed(texts: DataFrame) -> DataFrame:
-    """h1, h2, n (words) and v (the value of the line without each of its words, in their order)."""
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """h1, h2, n (words) and s: for the words outside the shared halves their place i (from 0) and v, the value of the line without the word."""
     w = F.split("norm", " ", -1)
+    half = F.floor((F.col("n") - 1) / 2)
+    front, back = F.col("held").bitwiseAND(1) != 0, F.col("held").bitwiseAND(2) != 0
     # Dealt by line before the words are spread, so that the running values need no exchange of words.
-    d = texts.repartition(n, "h1").select("h1", "h2", F.size(w).alias("n"), F.posexplode(w).alias("i", "w"))
+    d = texts.where(front | back).repartition("h1").select("h1", "h2", "held", F.size(w).alias("n"), F.posexplode(w).alias("i", "w"))
     # Words behind the deleted one move up by a place: their hashes are those of u.
-    d = d.select("h1", "h2", "n", "i", F.xxhash64("w", F.col("i") + 1).alias("t"), F.xxhash64("w", "i").alias("u"))
+    d = d.select("h1", "h2", "n", "i", ((front & (F.col("i") >= half)) | (back & (F.col("i") < F.col("n") - half))).alias("out"), F.xxhash64("w", F.col("i") + 1).alias("t"), F.xxhash64("w", "i").alias("u"))
     line = Window.partitionBy("h1", "h2").orderBy("i")
     d = d.withColumn("x", F.col("t").bitwiseXOR(F.col("u")))
     run = F.bit_xor("x").over(line.rowsBetween(Window.unboundedPreceding, 0))
     rest = F.bit_xor("u").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     v = run.bitwiseXOR(F.col("t")).bitwiseXOR(rest)
-    return d.withColumn("v", v).groupBy("h1", "h2", "n").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s")).select("h1", "h2", "n", F.transform("s", lambda x: x["v"]).alias("v"))
+    return d.withColumn("v", v).where("out").groupBy("h1", "h2", "n").agg(F.collect_list(F.struct("i", "v")).alias("s"))
 
 
 def _spread(keyed: DataFrame) -> DataFrame:
-    """A row per word of each line: h1, h2, n, at (its place from 1 on), r (key of the line without it, for lines of equal length that lack the same place) and k (key of the line without it, as a line)."""
-    d = keyed.select("h1", "h2", "n", F.posexplode("v").alias("i", "v"))
+    """A row per word of each line outside its shared halves: h1, h2, n, at (its place from 1 on), r (key of the line without it, for lines of equal length that lack the same place) and k (key of the line without it, as a line)."""
+    d = keyed.select("h1", "h2", "n", F.inline("s"))
     return d.select("h1", "h2", "n", (F.col("i") + 1).alias("at"), F.xxhash64("v", F.col("i") + 1, "n").alias("r"), F.xxhash64("v", F.col("n") - 1).alias("k"))
 
 
@@ -102,7 +116,8 @@ def _whole(texts: DataFrame) -> DataFrame:
     """k, g1, g2: the key of each line as it stands."""
     w = F.split("norm", " ", -1)
     value = F.aggregate(F.transform(w, lambda x, i: F.xxhash64(x, i + 1)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
-    return texts.select(F.xxhash64(value, F.size(w)).alias("k"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
+    shorter = F.col("held").bitwiseAND(12) != 0  # shares a half with a line of one word more
+    return texts.where(shorter).select(F.xxhash64(value, F.size(w)).alias("k"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
 
 
 def _nearest(texts: DataFrame) -> DataFrame:
@@ -133,9 +148,9 @@ def _nearest(texts: DataFrame) -> DataFrame:
 
 def superseded_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and gone: line_no (from 0) and h1 of the lines that go, of each document with such lines."""
-    lines = _lines(docs, id_col, text_col, ends=True)
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("x"), F.count("*").alias("c"), *[F.min(x).alias(x) for x in ("nw", "p", "s")])
-    distinct = cut(distinct.select("h1", "h2", "x.doc_id", "x.line_no", "c", "nw", "p", "s"))
+    lines = _lines(docs, id_col, text_col, halves=True)
+    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("x"), F.count("*").alias("c"), *[F.min(x).alias(x) for x in ("nw", *HALVES)])
+    distinct = cut(distinct.select("h1", "h2", "x.doc_id", "x.line_no", "c", "nw", *HALVES))
     near = cut(_nearest(cut(_texts(docs, _candidates(distinct), id_col, text_col))))
     late = distinct.select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), "c").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 OR near").drop("c")
     late = cut(late)
@@ -153,18 +168,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one document: its lines do not supersede themselves. Other columns pass;
     those named n_lines or n_dropped are replaced. An empty table gives no rows.
     """
-    gone = superseded_lines(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    x = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left")
+    key, gone, lines, own = fresh(docs, "id", "gone", "lines", "own")
+    found = superseded_lines(docs, id_col, text_col).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    x = docs.join(found, docs[id_col].cast("long") == found[key], "left")
     # The lines are a column of their own, lest a lambda splits the text for each of them.
-    x = x.withColumn("_lines", F.split(F.col(text_col), "\n", -1))
-    lines = F.col("_lines")
+    x = x.withColumn(lines, F.split(F.col(text_col), "\n", -1))
     # The hash tells the texts of a repeated identifier apart.
-    own = F.transform(F.filter("_gone", lambda g: F.xxhash64(_norm(F.get(lines, g["line_no"]))) == g["h1"]), lambda g: g["line_no"])
-    x = x.withColumn("_own", F.when(F.col("_gone").isNotNull(), own))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_own"))
-    text = F.when(F.col("_own").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    true = F.transform(F.filter(gone, lambda g: F.xxhash64(_norm(F.get(F.col(lines), g["line_no"]))) == g["h1"]), lambda g: g["line_no"])
+    x = x.withColumn(own, F.when(F.col(gone).isNotNull(), true))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own))
+    text = F.when(F.col(own).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.filter(lines, lambda s: s.rlike(r"[^\x20\x09-\x0D]")))).cast("long")
-    return x.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size("_own"), F.lit(0)).cast("long"), text_col: text}).drop("_id", "_gone", "_own", "_lines")
+    return x.withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size(own), F.lit(0)).cast("long"), text_col: text}).drop(key, gone, lines, own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
