@@ -118,43 +118,59 @@ class Toxicity:
         self.weight, self.bias = weight, bias
 
 
-def _rows(shared):
-    """Kept features of each labelled document, and of each of its sentences with a group term before and after the swap."""
+def _present(text: str, at: dict[int, int]) -> list[int]:
+    """Places of the kept features that a text holds."""
+    return sorted({at[f] for w in words(text) for f in features(w) if f in at})
 
-    def present(text: str, at: dict[int, int]) -> list[int]:
-        return sorted({at[f] for w in words(text) for f in features(w) if f in at})
+
+def _own(shared):
+    """Kept features of each labelled document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = {f: i for i, f in enumerate(shared.value)}
         for batch in batches:
-            out = []
-            for i, text, y in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                text = text or ""
-                out.append((i, y, present(text, at), []))
-                if words(text) & _SWAP.keys():
-                    for s in _SENTENCE.findall(text):
-                        if t := swapped(s):
-                            out.append((i, -1, present(s, at), present(t, at)))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.list_(pa.int32()))], names=["doc_id", "y", "a", "b"])
+            held = [_present(t or "", at) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(held, pa.list_(pa.int32()))], names=["doc_id", "y", "a"])
+
+    return run
+
+
+def _products(shared):
+    """(i, j, v): sums over the partition's sentences with a group term of the products of the changes of features i and j when the term is swapped; (-1, -1, v) counts the sentences that change."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {f: i for i, f in enumerate(shared.value)}
+        total, n = np.zeros((len(at), len(at))), 0
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                if not text or not words(text) & _SWAP.keys():
+                    continue
+                for s in _SENTENCE.findall(text):
+                    if t := swapped(s):
+                        a, b = set(_present(s, at)), set(_present(t, at))
+                        if a != b:
+                            k = np.array([*(a - b), *(b - a)])
+                            v = np.r_[np.ones(len(a - b)), -np.ones(len(b - a))]
+                            total[np.ix_(k, k)] += np.outer(v, v)
+                            n += 1
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[i, -1], pa.int32()), pa.array(np.r_[j, -1], pa.int32()), pa.array(np.r_[total[i, j], n], pa.float64())], names=["i", "j", "v"])
 
     return run
 
 
 def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, steps: int = 500, fair: float = FAIR, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Accelerated gradient descent on the class-balanced logistic loss, the ridge and fair * mean((change . w)^2)."""
+    """Accelerated gradient descent on the class-balanced logistic loss, the ridge and fair * w' change w, where change is the mean product of changes."""
     n, m = x.shape
     w, b = np.zeros(m), 0.0
     vw, vb = w, b
     share = max(y.mean(), 1e-3)
     weight = np.where(y > 0, 0.3 / share, 0.7 / max(1 - share, 1e-3)) / n
-    rate = 4.0 / (1 + (x.astype(np.float64) ** 2).sum(axis=1) @ weight + 4 * fair * ((change**2).sum() / max(len(change), 1)))
+    rate = 4.0 / (1 + (x.astype(np.float64) ** 2).sum(axis=1) @ weight + 4 * fair * np.trace(change))
     for k in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ vw.astype(np.float32) + vb, -30, 30)))
         d = (p - y) * weight
-        gw = x.T @ d.astype(np.float32) + ridge * vw
-        if len(change):
-            gw = gw + 2 * fair * (change.T @ (change @ vw)) / len(change)
+        gw = x.T @ d.astype(np.float32) + ridge * vw + 2 * fair * (change @ vw)
         nw, nb = vw - rate * gw, vb - rate * d.sum()
         k1 = k / (k + 3)
         vw, vb = nw + k1 * (nw - w), nb + k1 * (nb - b)
@@ -163,13 +179,17 @@ def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, steps: int = 500, fair
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> Toxicity:
-    """Learns labels.toxic from at most `sample` labelled rows that are not held out. With one class only, the model holds its smoothed share."""
+    """Learns labels.toxic from at most `sample` labelled rows that are not held out. With one class only, the model holds its smoothed share.
+
+    The driver gets a row of kept features per labelled document, and of the
+    sentences with group terms, however many they are, only a matrix of
+    kept x kept sums.
+    """
     rows = training_texts(docs, labels, "toxic", sample)
     chosen = select_features(rows, kept)
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
-    got = rows.mapInArrow(_rows(shared), "doc_id long, y int, a array<int>, b array<int>").toPandas()  # bounded by the sample
-    got = got.sort_values(["doc_id", "y"], kind="stable")
-    own, pairs = got[got.y >= 0], got[got.y < 0]
+    own = rows.mapInArrow(_own(shared), "doc_id long, y int, a array<int>").toPandas()  # bounded by the sample
+    own = own.sort_values(["doc_id", "y"], kind="stable")
     y = own.y.to_numpy(float)
     if not chosen or not len(y) or y.min() == y.max():
         prior = (y.sum() + 1) / (len(y) + 2)
@@ -177,11 +197,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int =
     x = np.zeros((len(own), len(chosen)), np.float32)
     for i, a in enumerate(own.a):
         x[i, a] = 1
-    change = np.zeros((len(pairs), len(chosen)), np.float32)
-    for i, (a, b) in enumerate(zip(pairs.a, pairs.b, strict=True)):
-        change[i, a] += 1
-        change[i, b] -= 1
-    change = change[np.abs(change).sum(axis=1) > 0]
+    sums = rows.mapInArrow(_products(shared), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()  # at most kept x kept rows
+    count, sums = sums[sums.i < 0].v.sum(), sums[sums.i >= 0]
+    change = np.zeros((len(chosen), len(chosen)))
+    change[sums.i, sums.j] = sums.v / max(count, 1)
     w, bias = fit(x, y, change)
     return Toxicity(dict(zip(chosen, w.tolist(), strict=True)), bias)
 
@@ -207,6 +226,8 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
     """One row per document row: doc_id, held_out, score, predicted (1 from CUT on).
 
     Null and empty texts have no features: their score is that of the bias.
+    Repeated rows, and rows with a null identifier, are scored each; an empty
+    table gives no rows. Other columns stay outside.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
