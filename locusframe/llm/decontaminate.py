@@ -13,19 +13,18 @@ and the hits are united, so nothing that is broadcast grows with the data.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import id_text, raw_texts, slices
+from locusframe.llm.common import cut, id_text, raw_texts, slices
 
 WINDOW = 13
-#: Words of benchmark items in one automaton at most (an item that is longer has its own).
+#: Words of benchmark items in one automaton at most; a longer item is cut into parts that overlap by a window less one word.
 BLOCK_WORDS = 200_000
 
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -67,6 +66,15 @@ class SuffixAutomaton:
                 if n >= window and state not in seen:
                     seen.add(state)
                     self.full.setdefault(state, []).append(name)
+        self._mark()
+
+    def _mark(self) -> None:
+        """For each state, the state of its suffix of window length (0: too short) and the nearest one, itself included, that ends a short item (0: none)."""
+        n, link, length = len(self.link), self.link, self.length
+        self.at, self.near = [0] * n, [0] * n
+        for u in sorted(range(1, n), key=length.__getitem__):  # a suffix link leads to a shorter state
+            self.at[u] = 0 if length[u] < self.window else u if length[link[u]] < self.window else self.at[link[u]]
+            self.near[u] = u if u in self.short else self.near[link[u]]
 
     def _extend(self, last: int, w: int) -> int:
         if w in self.next[last]:
@@ -99,26 +107,23 @@ class SuffixAutomaton:
     def scan(self, seq: list[int], offset: int, hits: list[tuple[int, int]], found: set[str]) -> None:
         """Adds to hits the (start, end) word spans of all windows that occur in seq, and their items to found."""
         state = n = 0
-        nxt, link, length, window = self.next, self.link, self.length, self.window
+        nxt, link, length, window, at, near = self.next, self.link, self.length, self.window, self.at, self.near
         for i, w in enumerate(seq):
             while state and w not in nxt[state]:
                 state = link[state]
                 n = length[state]
             if w in nxt[state]:
                 state, n = nxt[state][w], n + 1
-            u = state
-            while u > 0:
-                low = length[link[u]]
-                if low < window <= min(length[u], n):
-                    names = self.full.get(u)
-                    if names:
-                        hits.append((offset + i + 1 - window, offset + i + 1))
-                        found.update(names)
-                for k, name in self.short.get(u, ()):
+            if n >= window and (names := self.full.get(at[state])):
+                hits.append((offset + i + 1 - window, offset + i + 1))
+                found.update(names)
+            u = near[state]
+            while u:  # at most one state for each length under the window
+                for k, name in self.short[u]:
                     if k <= n:
                         hits.append((offset + i + 1 - k, offset + i + 1))
                         found.add(name)
-                u = link[u]
+                u = near[link[u]]
 
 
 class Matcher:
@@ -164,19 +169,28 @@ def united(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
-    """Items (distinct identifiers and texts) in blocks, streamed to the driver one partition at a time."""
+def _cut_item(raw: bytes, most: int, window: int) -> list[bytes]:
+    """The item, or if it has over `most` words, parts of `most` words whose windows are together those of the item."""
+    ws = words(raw)
+    most = max(most, window)
+    if len(ws) <= most:
+        return [raw]
+    return [b" ".join(ws[i : i + most]) for i in range(0, len(ws) - window + 1, most - window + 1)]
+
+
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[list[tuple[str, bytes]]]:
+    """Items (distinct identifiers and texts) in blocks, streamed to the driver one partition at a time; longer items are cut into overlapping parts."""
     rows = benchmark.select(benchmark["item_id"].cast("string").alias("i"), F.coalesce(benchmark["text"].cast("string"), F.lit("")).alias("t")).distinct()
     block: list[tuple[str, bytes]] = []
     size = 0
     for r in rows.toLocalIterator():
-        raw = r["t"].encode()
-        n = len(words(raw))
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r["i"], raw))
-        size += n
+        for raw in _cut_item(r["t"].encode(), block_words, window):
+            n = len(words(raw))
+            if block and size + n > block_words:
+                yield block
+                block, size = [], 0
+            block.append((r["i"], raw))
+            size += n
     yield block
 
 
@@ -185,19 +199,15 @@ def _by_name(name: str | None) -> tuple[bool, str]:
     return name is None, name or ""
 
 
-_MATCHERS: dict[str, Matcher] = {}
 _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 _FOUND = "n_words long, hits array<struct<s:int,e:int>>, items array<string>"
 
 
-def _scanner(shared, key: str, window: int, only_hits: bool):
+def _scanner(shared, window: int, only_hits: bool):
     """Adds the columns of _FOUND behind those of a batch, whose second is the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(shared.value, window)
-        matcher = _MATCHERS[key]
+        matcher = Matcher(shared.value, window)  # goes with the partition: workers serve other stages too
         for batch in batches:
             for part in slices(batch):
                 n, hits, items = [], [], []
@@ -217,18 +227,17 @@ def _scanner(shared, key: str, window: int, only_hits: bool):
     return run
 
 
-def _joined_spans(col: Column) -> Column:
-    """Sorted spans, those that overlap or touch made one."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    last = lambda acc: F.element_at(acc, -1)
-    return F.aggregate(
-        F.array_sort(col),
-        none,
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x["s"] <= F.try_element_at(acc, F.lit(-1))["e"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last(acc)["s"].alias("s"), F.greatest(last(acc)["e"], x["e"]).alias("e")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))),
-    )
+def _united(found: DataFrame) -> DataFrame:
+    """doc_id, k, hits (sorted, those that overlap or touch made one) and items of rows with doc_id, k, hits and items."""
+    spans = found.select("doc_id", "k", F.inline("hits"))
+    own = Window.partitionBy("doc_id", "k").orderBy("s", "e")
+    before = F.max("e").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(before >= F.col("s"), 0).otherwise(1))
+    spans = spans.withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    one = spans.groupBy("doc_id", "k", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    hits = one.groupBy("doc_id", "k").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("hits"))
+    items = found.groupBy("doc_id", "k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return hits.alias("x").join(items.alias("y"), F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.k") == F.col("y.k"))).select("x.doc_id", "x.k", "hits", "items")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, whole_rows: bool = False) -> DataFrame:
@@ -244,29 +253,22 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *[rest.alias("row")] * whole_rows)
     own = "doc_id long, text string" + (f", row {d.schema['row'].dataType.simpleString()}" if whole_rows else "")
     key_of_row = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    base, more = None, []
-    for block in blocks(benchmark, block_words):
-        block.sort(key=lambda x: (_by_name(x[0]), x[1]))
-        key = hashlib.sha256(repr((window, block)).encode()).hexdigest()
-        scan = lambda only: _scanner(sc.broadcast(block), key, window, only)  # noqa: B023,E731
-        if base is None:
-            base = d.mapInArrow(scan(False), f"{own}, {_FOUND}")
-        else:
-            more.append(d.select("doc_id", "text", key_of_row.alias("k")).mapInArrow(scan(True), f"doc_id long, k binary, {_FOUND}"))
+    shared = [sc.broadcast(block) for block in blocks(benchmark, block_words, window)]
     names = ["doc_id", *["text", "row"] * whole_rows]
-    if not more:
-        return base.select(*names, "n_words", "hits", "items")
+    if len(shared) == 1:
+        return d.mapInArrow(_scanner(shared[0], window, False), f"{own}, {_FOUND}").select(*names, "n_words", "hits", "items")
+    base = d.mapInArrow(_scanner(sc.broadcast([]), window, False), f"{own}, {_FOUND}")  # counts words only
+    keyed = d.select("doc_id", "text", key_of_row.alias("k"))
+    parts = [keyed.mapInArrow(_scanner(x, window, True), f"doc_id long, k binary, {_FOUND}").select("doc_id", "k", "hits", "items") for x in shared]
     # Rows with the same identifier and text have the same hits, so these two make a key.
-    found = more[0]
-    for x in more[1:]:
+    found = parts[0]
+    for x in parts[1:]:
         found = found.unionByName(x)
-    found = found.distinct().groupBy("doc_id", "k").agg(F.flatten(F.collect_list("hits")).alias("h2"), F.flatten(F.collect_list("items")).alias("i2"))
-    a, b = base.withColumn("k", key_of_row).alias("a"), found.alias("b")
+    a, b = base.withColumn("k", key_of_row).alias("a"), _united(cut(found.distinct())).alias("b")
+    none = F.array().cast("array<struct<s:int,e:int>>"), F.array().cast("array<string>")
     return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.k") == F.col("b.k")), "left").select(
-        *[f"a.{x}" for x in names], "a.n_words",
-        F.when(F.col("b.h2").isNull(), F.col("a.hits")).otherwise(_joined_spans(F.concat("a.hits", "b.h2"))).alias("hits"),
-        F.when(F.col("b.i2").isNull(), F.col("a.items")).otherwise(F.array_sort(F.array_distinct(F.concat("a.items", "b.i2")))).alias("items"),
-    )
+        *[f"a.{x}" for x in names], "a.n_words", F.coalesce("b.hits", none[0]).alias("hits"), F.coalesce("b.items", none[1]).alias("items")
+    )
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -280,23 +282,55 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def cut_spans(raw: bytes, spans: list[dict]) -> bytes:
+def cut_spans(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and what stands between them."""
     if not spans:
         return raw
     at = [(m.start(), m.end()) for m in _TOKEN.finditer(raw)]
     out, last = [], 0
-    for x in spans:
-        out.append(raw[last : at[x["s"]][0]])
-        last = at[x["e"] - 1][1]
+    for s, e in spans:
+        out.append(raw[last : at[s][0]])
+        last = at[e - 1][1]
     return b"".join([*out, raw[last:]])
 
 
+def _cleaner(shared, window: int, max_coverage: float):
+    """(row, text) rows of (row, text) rows: the texts without the spans that one block of items hits, rows over max_coverage left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(shared.value, window)
+        for batch in batches:
+            for part in slices(batch):
+                stays, changed = [True] * part.num_rows, {}
+                for i, raw in enumerate(raw_texts(part)):
+                    ws = words(raw)
+                    spans = united(matcher.spans(ws)[0])
+                    if spans:
+                        stays[i] = sum(e - s for s, e in spans) <= max_coverage * len(ws)
+                        changed[i] = cut_spans(raw, spans)
+                texts = part.column(1)
+                if changed:
+                    old = texts.cast(pa.binary()).to_pylist()
+                    texts = pa.array([changed.get(i, x) for i, x in enumerate(old)], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), texts], names=["row", "text"]).filter(pa.array(stays, pa.bool_()))
+
+    return run
+
+
 def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs with hit spans cut out of their texts; a row with over max_coverage of its words hit goes.
 
-    Rows without hits are unchanged, null texts included.
+    Rows without hits are unchanged, null texts included; repeated rows are
+    treated each alike. An empty benchmark changes nothing, an empty table gives
+    no rows. All columns pass.
     """
+    names = [c for c in docs.columns if c != "text"]
+    back = lambda out: out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    d = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), docs["text"].cast("string").alias("text"))
+    kind = f"row {d.schema['row'].dataType.simpleString()}, text string"
+    parts = list(blocks(benchmark, block_words, window))
+    if len(parts) == 1:
+        return back(d.mapInArrow(_cleaner(docs.sparkSession.sparkContext.broadcast(parts[0]), window, max_coverage), kind))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,13 +338,12 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_
                 texts, spans = part.column(1), part.column(2).to_pylist()
                 if any(spans):
                     raws = texts.cast(pa.binary()).to_pylist()
-                    texts = pa.array([cut_spans(r, x) if x else r for r, x in zip(raws, spans, strict=True)], pa.binary()).cast(pa.string())
+                    texts = pa.array([cut_spans(r, [(x["s"], x["e"]) for x in spans_of]) if spans_of else r for r, spans_of in zip(raws, spans, strict=True)], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), texts], names=["row", "text"])
 
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + (x["e"] - x["s"]))
     found = find(docs, benchmark, window, block_words, whole_rows=True).where(n_hit <= max_coverage * F.col("n_words"))
-    out = found.select("row", "text", "hits").mapInArrow(strip, f"row {found.schema['row'].dataType.simpleString()}, text string")
-    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return back(found.select("row", "text", "hits").mapInArrow(strip, kind))
 
 
 ORACLE = r"""

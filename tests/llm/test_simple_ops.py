@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -78,24 +79,38 @@ def brute_windows(docs, items, window=13):
     return out
 
 
-@pytest.mark.parametrize("block_words", [8, 10_000])
+@pytest.mark.parametrize("block_words", [5, 8, 10_000])
 def test_decontaminate_brute(spark, docs_of, block_words):
     rnd = random.Random(3)
     vocab = ["a", "b", "c", "É", "x9"]
     text = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
-    items = [(i, text(rnd.choice([0, 1, 3, 4, 5, 9]))) for i in range(12)] + [(12, None), (3, None)]
+    items = [(i, text(rnd.choice([0, 1, 3, 4, 5, 9, 30]))) for i in range(12)] + [(12, None), (3, None)]
     docs = [(i, text(rnd.choice([0, 2, 5, 40]))) for i in range(40)] + ROWS[:6] + [(0, "a b c a b c")] * 2
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.report(docs_of(docs), bench, window=4, block_words=block_words)
     assert rows_of(got) == sorted(brute_windows(docs, items, 4), key=repr)
 
 
+def test_automaton_steps_do_not_follow_repeats():
+    def seconds(n):
+        m = decontaminate.Matcher([("a", b"w " * n), ("b", b"w w w")])
+        began = time.perf_counter()
+        hits, found = m.spans([b"w"] * n)
+        assert decontaminate.united(hits) == [(0, n)] and found == {"a", "b"}
+        return time.perf_counter() - began
+
+    short = min(seconds(2000) for _ in range(3))
+    assert seconds(32_000) < 100 * short  # 256 times if every step walked the whole chain
+
+
 def test_decontaminate_clean(spark, docs_of, odd):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     docs = docs_of([(1, "Keep this. " * 9 + item.upper() + " And that."), (2, item), (3, None), (4, "clean")])
-    got = {r.doc_id: r.text for r in decontaminate.clean_rows(docs, bench).collect()}
-    assert got == {1: "Keep this. " * 9 + " And that.", 3: None, 4: "clean"}
+    for more, block_words in ((bench, 200_000), (bench.union(spark.createDataFrame([(2, "zz yy xx")], bench.schema)), 14)):  # in one block and in two
+        got = {r.doc_id: r.text for r in decontaminate.clean_rows(docs, more, block_words=block_words).collect()}
+        assert got == {1: "Keep this. " * 9 + " And that.", 3: None, 4: "clean"}
+    assert decontaminate.clean_rows(odd, bench).columns == odd.columns and decontaminate.clean_rows(odd, bench).count() == len(ROWS)
     assert decontaminate.report(odd, bench).count() == len(ROWS)
     assert decontaminate.report(odd, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.report(odd.limit(0), bench).count() == 0
@@ -116,7 +131,26 @@ def brute_pii(t):
     return out
 
 
+def brute_added(t):
+    """IBANs and identity numbers by plain patterns; context ends at the neighbours of the same kind."""
+    t, out = t or "", []
+    for kind, pattern in (("iban", pii.IBAN), ("ssn", pii.SSN)):
+        found = [m.span() for m in re.finditer(pattern, t)]
+        for i, (s, e) in enumerate(found):
+            if kind == "iban":
+                c = t[s:e].replace(" ", "")
+                if int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 != 1:
+                    continue
+            near = t[max(s - pii.NEAR, found[i - 1][1] if i else 0) : min(e + pii.NEAR, found[i + 1][0] if i + 1 < len(found) else len(t))]
+            worth, words = pii.EVIDENCE[kind]
+            score = round(worth + pii.FOR_WORTH * bool(re.search(words, near, re.A)) - pii.AGAINST_WORTH * bool(re.search(pii.AGAINST, near, re.A)), 2)
+            if score >= pii.THRESHOLD:
+                out.append((kind, s, e, score))
+    return out
+
+
 PII = [
+    "DE89 3704 0044 0532 0130 00 nothing near", "an example DE89370400440532013000 of a part", "sample for your bank DE89370400440532013000", "only 123-45-6789 here", "id 123-45-6789 in a test", "GB82 WEST 1234 5698 7654 32, DE89370400440532013000 account",
     "a@b.c_d@e.f x@y x..y@z-1.org. @@ a@b@c.d", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.3.255 9.9.9.9999 1.2.3", "4111 1111 1111 1111 4111111111111111 4111-1111-1111-1112 1 2 3 4 5",
     "+1 (212) 555-8457 +12 +1234567890123456 ++44 20 7946 0958.", "é\U0001f600 me@x.yz 😀 10.0.0.1 wire DE89 3704 0044 0532 0130 00 to my bank account", "ssn 123-45-6789; 123-45-6789", None, "",
     "iban GB82WEST12345698765432 and GB83WEST12345698765432", "0" * 4_000, "1 " * 20_000, "a" * 6_000, "a." * 3_000 + "@" * 500, "+1" * 9000, "\n+1\n2 3@4.5\r6.7.8.9",
@@ -132,7 +166,21 @@ def test_pii_brute(spark, docs_of):
     assert len(got) == len(docs)
     for i, t in docs:
         assert [(k, x.s, x.e) for k in pii.BASE for x in got[i][k]] == brute_pii(t), (i, t and t[:80])
-    assert [x.m for x in got[4]["iban"]] == ["DE89 3704 0044 0532 0130 00"] and len(got[5]["ssn"]) == 2 and len(got[8]["iban"]) == 1
+    for i, t in docs:
+        assert [(k, x.s, x.e, x.score) for k in ("iban", "ssn") for x in got[i][k]] == brute_added(t), (i, t and t[:80])
+    assert [len(got[i]["iban"]) for i in (0, 1, 2, 5)] == [1, 0, 1, 2] and [len(got[i]["ssn"]) for i in (3, 4)] == [0, 0]
+
+
+def test_pii_positions_take_linear_time(spark, docs_of):
+    def seconds(n):
+        began = time.perf_counter()
+        r = pii.find_pii(docs_of([(1, "é me@x.yz " * n)])).first()
+        assert [(x.s, x.e) for x in r.email] == [(10 * i + 2, 10 * i + 9) for i in range(n)]
+        return time.perf_counter() - began
+
+    seconds(10)
+    short = min(seconds(4000) for _ in range(2))
+    assert seconds(32_000) < 24 * short  # 64 times and more if it grew with the square
 
 
 def test_pii_query(spark, odd):
@@ -205,6 +253,20 @@ def test_sharding_brute(spark, limit):
     assert {k: sorted(v) for k, v in by.items()} == brute_shards([(r.h, r.size) for r in got.collect()], limit)
 
 
+def test_sharding_hot_key_and_own_names(spark):
+    rows = [(1, 7, "h")] * 900 + [(2, 30, "h")] * 3 + [(3, 0, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, size long, __h string").repartition(7).withColumns({"_h": F.lit("x"), "_b": F.lit(1), "depth": F.lit("y")})
+    out = sharding.assign_shards(df, F.col("size"), 20, [F.col("doc_id")])
+    assert set(out.columns) == {*df.columns, "shard", "bytes"}
+    got = out.collect()
+    assert len(got) == len(rows) and all(r["_h"] == "x" and r["_b"] == 1 for r in got)
+    per = defaultdict(list)
+    for r in got:
+        per[r.shard].append(r.bytes)
+    assert all(sum(v) <= 20 or len(v) == 1 for v in per.values())
+    assert sum("+" in s for s in per) >= 450 and max(len(v) for s, v in per.items() if "+" in s) == 2
+
+
 def test_sharding_odd(spark, odd, tmp_path):
     out = sharding.assign_shards(odd, F.octet_length("text"), 12, [F.col("doc_id"), F.col("text")])
     got = out.collect()
@@ -217,3 +279,15 @@ def test_sharding_odd(spark, odd, tmp_path):
     assert sharding.assign_shards(odd.limit(0), F.octet_length("text"), 12, [F.col("doc_id")]).count() == 0
     sharding.write_shards(out, str(tmp_path / "s"))
     assert len(os.listdir(tmp_path / "s")) >= len(per)
+
+
+@pytest.mark.parametrize("block_words", [1, 1000])
+def test_items_without_identifier_hit(spark, block_words):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(13)) for x in "abc")
+    bench = spark.createDataFrame([("k", a), (None, b), (None, c), (None, None)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"p {a} q {b} r {c}"), (2, f"p {b} q r s"), (3, "p q r"), (4, a)], "doc_id long, text string")
+    out = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, bench, block_words=block_words).collect()}
+    assert out == {1: (39, 2, True), 2: (13, 1, True), 3: (0, 0, False), 4: (13, 1, True)}
+    sums = {r.doc_id: r.items_sha256 for r in decontaminate.report(docs, bench, block_words=block_words).collect()}
+    assert sums[1] == sums[4] and sums[2] == sums[3]
+    assert {r.doc_id for r in decontaminate.clean_rows(docs, bench, block_words=block_words).collect()} == {3}
