@@ -67,10 +67,48 @@ def test_jaccard_odd(spark, odd):
     got = jaccard.jaccard_components(odd).collect()
     assert len(got) == len(ROWS)
     by = {(r.doc_id, r.n_shingles): r.component_id for r in got}
-    assert by[(2, 0)] == 2 and by[(6, 1)] == 5 and by[(None, 1)] is None
+    assert by[(2, 0)] == 2 and by[(6, 1)] == 5 and by[(None, 1)] is None and by[(None, 0)] is None
     assert jaccard.jaccard_components(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket_bytes", [300, 1 << 26])
+def test_jaccard_nulls_link_and_rows_repeat(spark, docs_of, bucket_bytes):
+    base = [f"w{i}" for i in range(60)]
+    text = lambda *edits: " ".join(f"e{i}" if i in edits else w for i, w in enumerate(base))
+    # 1 and 3 link only through the row without an identifier
+    docs = [(1, text(0, 1)), (None, text(1)), (3, text(1, 59, 58)), (3, "quite another text under the same number"), (3, "quite another text under the same number"), (4, "apart")]
+    assert not 185 * 51 >= 85 * 114  # 51 of 57 shingles are shared by 1 and 3
+    got = jaccard.jaccard_components(docs_of(docs), percent=92, bucket_bytes=bucket_bytes).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == [(0, 57, 1), (1, 57, 1), (3, 4, 3), (3, 4, 3), (3, 57, 1), (4, 1, 4)]
+
+
+def brute_keep_one(docs, words, percent):
+    """(doc_id, text) of the rows that stay, by holding every row against every other."""
+    comps = brute_components([(i, t) for i, (_, t) in enumerate(docs)], words, percent)
+    groups, out = {}, []
+    for i, n, c in comps:
+        groups.setdefault(c, []).append(docs[i]) if n else out.append(docs[i])
+    return sorted(out + [min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in groups.values()], key=repr)
+
+
+def test_keep_one_by_row(spark, docs_of):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    docs = [(1, a), (5, a), (5, b), (7, "x y"), (7, "x y"), (None, b), (None, "lone words"), (8, None), (8, None), (9, ""), (10, " \n")]
+    got = sorted((tuple(r) for r in jaccard.keep_one(docs_of(docs)).collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (7, "x y"), (None, "lone words"), (8, None), (8, None), (9, ""), (10, " \n")], key=repr) == brute_keep_one(docs, 4, 85)
+    rnd = [(i % 50 if i % 7 else None, t) for i, (_, t) in enumerate(near_copies(5))]
+    got = jaccard.keep_one(docs_of(rnd), words=5, percent=80).collect()
+    ids = lambda rows: sorted(str(i) for i, _ in rows)  # noqa: E731  of several texts under the smallest identifier any may stay
+    assert ids(map(tuple, got)) == ids(brute_keep_one(rnd, 5, 80))
+
+
+def test_keep_one_odd(spark, odd):
+    out = jaccard.keep_one(odd)
+    assert out.columns == odd.columns and out.schema == odd.schema
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted((i or 0, t or "") for i, t in {(i, t) for i, t in ROWS if i != 6})
+    assert jaccard.keep_one(odd.limit(0)).count() == 0
+
+
 def test_bucket_search_brute():
     rnd = np.random.default_rng(4)
     for _ in range(20):
