@@ -34,10 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join, with five words and a similarity of 0.8, the document with the smallest doc_id stays; rows without an identifier stay too."""
-    found = jaccard.jaccard_components(docs, words=5, percent=80)
-    drop = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of the n-gram Jaccard join, with five words and a similarity of 0.8, the row with the smallest doc_id stays; texts without words stay all."""
+    return jaccard.keep_one(docs.select(*COLUMNS), words=5, percent=80)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
