@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.llm import decontaminate
 from locusframe.operators import stats as T
 from locusframe.plans import extraction as X
 from locusframe.plans.queries import QUERIES
@@ -96,18 +95,6 @@ def test_auto_extract_strategies(spark, monkeypatch):
     assert X.auto_extract(c, strategy="ms", reference=ref)[0].select("sig").distinct().count() == 2
 
 
-@pytest.mark.parametrize("block_words", [1, 1000])
-def test_items_without_identifier_hit(spark, block_words):
-    a, b, c = (" ".join(f"{x}{i}" for i in range(13)) for x in "abc")
-    bench = spark.createDataFrame([("k", a), (None, b), (None, c), (None, None)], "item_id string, text string")
-    docs = spark.createDataFrame([(1, f"p {a} q {b} r {c}"), (2, f"p {b} q r s"), (3, "p q r"), (4, a)], "doc_id long, text string")
-    out = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(docs, bench, block_words=block_words).collect()}
-    assert out == {1: (39, 2, True), 2: (13, 1, True), 3: (0, 0, False), 4: (13, 1, True)}
-    sums = {r.doc_id: r.items_sha256 for r in decontaminate.report(docs, bench, block_words=block_words).collect()}
-    assert sums[1] == sums[4] and sums[2] == sums[3]
-    assert {r.doc_id for r in decontaminate.clean_rows(docs, bench, block_words=block_words).collect()} == {3}
-
-
 def test_rs32_by_segmentation(spark):
     whole = {tuple(r) for r in QUERIES["sv_clustered_segmented"](spark, SF).select("sample", "component", "n").collect()}
     got = {tuple(r) for r in QUERIES["sv_clustered_segmented_rs32"](spark, SF).select("sample", "component", "n").collect()}
