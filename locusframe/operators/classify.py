@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from locusframe.operators.segments import AUTOSOMES, ORDER, length, per_chromosome
 
+# Length classes and components of the two catalogues of 40 and 48 classes.
 LENGTHS_40 = ("0-10Kb", "10Kb-100Kb", "100Kb-1Mb", "1Mb-10Mb", ">10Mb")
 LENGTHS_48 = ("0-100Kb", "100Kb-1Mb", "1Mb-10Mb", "10Mb-40Mb", ">40Mb")
 CN_40 = tuple(f"{cn}:{state}:{size}" for cn, states in (("0-1", ("homdel", "LOH")), ("2", ("het", "LOH")), ("3-4", ("het", "LOH")), ("5+", ("het", "LOH"))) for state in states for size in LENGTHS_40)
@@ -44,7 +45,11 @@ def label_40_48(segments: DataFrame) -> DataFrame:
     short = cut(size, (100_000, 1_000_000), ("0-100Kb", "100Kb-1Mb", ">1Mb"))
     long = cut(size, (100_000, 1_000_000, 10_000_000, 40_000_000), LENGTHS_48)
     c48 = F.concat_ws(":", cut(v, (0, 1, 2, 4, 8), ("0", "1", "2", "3-4", "5-8", "9+")), state, F.when(state == "homdel", short).otherwise(long))
-    return segments.withColumns({"cn40": F.when(c40.isin(*CN_40), c40), "cn48": F.when(c48.isin(*CN_48), c48)})
+    # One struct, made before it is tested, so that no label is worked out twice.
+    at = "__labels"
+    d = segments.withColumn(at, F.struct(c40.alias("a"), c48.alias("b")))
+    known = lambda c, names: F.when(c.isin(*names), c)
+    return d.withColumns({"cn40": known(F.col(at)["a"], CN_40), "cn48": known(F.col(at)["b"], CN_48)}).drop(at)
 
 
 def context(segments: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
@@ -61,12 +66,24 @@ def size_class() -> Column:
     return cut(length(), (50_000, 500_000, 5_000_000), ("S", "M", "L", "E"))
 
 
-def _few(ss: Column, cs: Column, cn: Column) -> tuple[Column, Column]:
-    """Where AB, BA and BB are one class (3C), and where AB and BA are (2C)."""
-    ladder = cs.isin("HL", "LH") & cn.isin("1", "2", "3", "4")
-    three = ladder | ((cs == "LL") & cn.isin("3", "4")) | ((cs == "HH") & (ss.isin("L", "E") & cn.isin("0", "1", "2", "3", "4", "5+") | (ss == "M") & cn.isin("0", "1") | (ss == "S") & (cn == "0")))
-    two = ss.isin("S", "M") & ((cs == "LL") & (cn == "5+") | (cs == "HH") & (cn.isin("3", "4", "5+") | (ss == "S") & (cn == "1") | (ss == "M") & (cn == "2")))
-    return three, two
+# Size, shape and copy number of the classes in which AB, BA and BB count as one class, 3C.
+MERGED_3C = (
+    "S:HH:0", "S:HL:1", "S:HL:2", "S:HL:3", "S:HL:4", "S:LH:1", "S:LH:2", "S:LH:3", "S:LH:4", "S:LL:3", "S:LL:4",
+    "M:HH:0", "M:HH:1", "M:HL:1", "M:HL:2", "M:HL:3", "M:HL:4", "M:LH:1", "M:LH:2", "M:LH:3", "M:LH:4", "M:LL:3", "M:LL:4",
+    "L:HH:0", "L:HH:1", "L:HH:2", "L:HH:3", "L:HH:4", "L:HH:5+", "L:HL:1", "L:HL:2", "L:HL:3", "L:HL:4", "L:LH:1", "L:LH:2", "L:LH:3", "L:LH:4", "L:LL:3", "L:LL:4",
+    "E:HH:0", "E:HH:1", "E:HH:2", "E:HH:3", "E:HH:4", "E:HH:5+", "E:HL:1", "E:HL:2", "E:HL:3", "E:HL:4", "E:LH:1", "E:LH:2", "E:LH:3", "E:LH:4", "E:LL:3", "E:LL:4",
+)
+# Those in which AB and BA count as one class, 2C.
+MERGED_2C = ("S:HH:1", "S:HH:3", "S:HH:4", "S:HH:5+", "S:LL:5+", "M:HH:2", "M:HH:3", "M:HH:4", "M:HH:5+", "M:LL:5+")
+# Shape, copy number and steps that are no class, of any size.
+NEVER_T = (
+    "HL:0:AA", "HL:0:AB", "HL:0:BA", "HL:0:BB", "LH:0:AA", "LH:0:AB", "LH:0:BA", "LH:0:BB", "LL:0:AA", "LL:0:AB", "LL:0:BA", "LL:0:BB",
+    "LL:1:AB", "LL:1:BA", "LL:1:BB", "LL:2:AB", "LL:2:BA", "LL:2:BB",
+)
+NEVER_X = (
+    "HL:0:AA", "HL:0:BB", "LH:0:AA", "LH:0:BB", "LL:0:AA", "LL:0:BB", "HL:1:BB", "LH:1:BB", "LL:1:BB", "HL:2:BB", "LH:2:BB", "LL:2:BB", "HL:2LOH:BB", "LH:2LOH:BB", "LL:2LOH:BB",
+)
+SIZES, SHAPES = ("S", "M", "L", "E"), ("HH", "HL", "LH", "LL")
 
 
 def label_t(segments: DataFrame, order: Sequence[str] = ORDER, with_loh: bool = False) -> DataFrame:
@@ -77,9 +94,9 @@ def label_t(segments: DataFrame, order: Sequence[str] = ORDER, with_loh: bool =
     cn = F.when(loh & (v != 1), "2+LOH").otherwise(cut(v, (0, 1, 2, 3, 4), ("0", "1", "2", "3", "4", "5+")))
     c_cn = F.when(loh & (v != 1), "2+LOH").otherwise(cut(v, (0, 1, 2, 3, 4, 5, 6, 7, 8), ("0", "1", "2", "3", "4", "5", "6", "7", "8", "9+")))
     d = d.withColumns({"_ss": ss, "_cn": cn, "_ccn": c_cn})
-    three, two = _few(F.col("_ss"), cs, F.col("_cn"))
-    steps = F.when(three & (ab != "AA"), "3C").when(two & ab.isin("AB", "BA"), "2C").otherwise(ab)
-    never = (cs != "HH") & (F.col("_cn") == "0") | (cs == "LL") & F.col("_cn").isin("1", "2") & (ab != "AA")
+    kind = F.concat_ws(":", "_ss", cs, "_cn")
+    steps = F.when((ab != "AA") & kind.isin(*MERGED_3C), "3C").when(ab.isin("AB", "BA") & kind.isin(*MERGED_2C), "2C").otherwise(ab)
+    never = F.concat_ws(":", cs, F.col("_cn"), ab).isin(*NEVER_T)
     flat = F.when(cs.isin("HL", "LH"), "LD").otherwise(cs)
     simple = F.when(F.col("_cn") == "2+LOH", F.concat_ws(":", "_ss", flat, F.lit("2+:LOH"))).otherwise(F.concat_ws(":", F.col("_ss"), flat, F.col("_cn"), steps))
     out = {"t_standard": F.when(~never, F.concat_ws(":", F.col("_ss"), cs, F.col("_cn"), steps)), "t_simple": F.when(~never, simple)}
@@ -98,7 +115,7 @@ def label_x(segments: DataFrame, order: Sequence[str] = ORDER, with_loh: bool =
     cn = F.when(loh & (v == 2), "2LOH").when(loh & (v > 2), "3+LOH").otherwise(cut(v, (0, 1, 2, 3, 4, 8), ("0", "1", "2", "3", "4", "5-8", "9+")))
     ab = F.when(F.col("ab") == "AA", "AA").otherwise("BB")
     d = d.withColumns({"_ss": size_class(), "_cn": cn, "_ab": ab})
-    never = (cs != "HH") & ((F.col("_cn") == "0") | F.col("_cn").isin("1", "2", "2LOH") & (F.col("_ab") == "BB"))
+    never = F.concat_ws(":", cs, F.col("_cn"), F.col("_ab")).isin(*NEVER_X)
     name = lambda shape: F.when(~never, F.concat_ws(":", F.col("_ss"), shape, F.col("_cn"), F.col("_ab")))
     return d.withColumns({"x_standard": name(cs), "x_simple": name(F.when(cs.isin("HL", "LH"), "LD").otherwise(cs))}).drop("_ss", "_cn", "_ab")
 
@@ -106,16 +123,20 @@ def label_x(segments: DataFrame, order: Sequence[str] = ORDER, with_loh: bool =
 def vocabulary_t(with_loh: bool = False) -> list[str]:
     """Components of t_standard."""
     out = set()
-    for ss, cs, cn, ab in product("SMLE", ("HH", "HL", "LH", "LL"), ("0", "1", "2", "3", "4", "5+") + ("2+LOH",) * with_loh, ("AA", "AB", "BA", "BB")):
-        ladder = cs in ("HL", "LH") and cn in ("1", "2", "3", "4")
-        three = ladder or (cs == "LL" and cn in ("3", "4")) or (cs == "HH" and cn != "2+LOH" and (ss in "LE" or (ss == "M" and cn in ("0", "1")) or (ss == "S" and cn == "0")))
-        two = ss in "SM" and ((cs == "LL" and cn == "5+") or (cs == "HH" and (cn in ("3", "4", "5+") or (ss == "S" and cn == "1") or (ss == "M" and cn == "2"))))
-        if (cs != "HH" and cn == "0") or (cs == "LL" and cn in ("1", "2") and ab != "AA"):
-            continue
-        out.add(":".join((ss, cs, cn, "3C" if three and ab != "AA" else "2C" if two and ab in ("AB", "BA") else ab)))
+    for ss, cs, cn, ab in product(SIZES, SHAPES, ("0", "1", "2", "3", "4", "5+") + ("2+LOH",) * with_loh, ("AA", "AB", "BA", "BB")):
+        kind = f"{ss}:{cs}:{cn}"
+        steps = "3C" if ab != "AA" and kind in MERGED_3C else "2C" if ab in ("AB", "BA") and kind in MERGED_2C else ab
+        if f"{cs}:{cn}:{ab}" not in NEVER_T:
+            out.add(f"{kind}:{steps}")
     return sorted(out)
 
 
+def vocabulary_x(with_loh: bool = False) -> list[str]:
+    """Components of x_standard."""
+    copies = ("0", "1", "2", "3", "4", "5-8", "9+") + ("2LOH", "3+LOH") * with_loh
+    return sorted(":".join(x) for x in product(SIZES, SHAPES, copies, ("AA", "BB")) if ":".join(x[1:]) not in NEVER_X)
+
+
 def count_components(labelled: DataFrame, label: str, keys: Sequence[str] = ("sample",)) -> DataFrame:
     """Catalogue in long form: keys, component and n; rows whose label is null count nowhere."""
     return labelled.where(F.col(label).isNotNull()).groupBy(*keys, F.col(label).alias("component")).agg(F.count("*").alias("n"))
