@@ -226,6 +226,49 @@ def test_secrets_brute(spark, docs_of, odd):
     assert secrets.find_secrets(odd).count() == len(ROWS) and secrets.find_secrets(odd.limit(0)).count() == 0
 
 
+LITERALS = [
+    ('password = """Tr1ple\nquoted9"""', ["Tr1ple\nquoted9"]), ('secret = "Ab1" + "Cd2-x9"', ['Ab1" + "Cd2-x9']), ("password: |\n  Blk1-Scalar9\n  more2X\nother: 3", ["Blk1-Scalar9\n  more2X"]),
+    ("<password>Xm1-Elem9z</password>", ["Xm1-Elem9z"]), ('<property name="db.password" value="at-Tr1b9x"/>', ["at-Tr1b9x"]), ('db_password = base\nbase = "l8ter-Defin3d"', ["l8ter-Defin3d"]),
+    ('secret_key = os.environ["SECRET_KEY_NAME"]', []), ('secret_key = os.getenv("SECRET_KEY_NAME", "d3fault-Val9")', ["d3fault-Val9"]), ('x = "f1rst-Valu3X"\nx = "s3cond-Valu3X"\ntoken_secret = x', ["f1rst-Valu3X", "s3cond-Valu3X"]),
+    ('{"secrets": {"db": "nEst3d-Val9x", "n": 4}, "host": "Zx81kQ0pLmN2"}', ["nEst3d-Val9x"]), ("secrets:\n  sub:\n    a: deeP-3r9x\nhost: Zx81kQ0pLmN2", ["deeP-3r9x"]), ("define('DB_PASSWORD', 'php-D3fin9x');", ["php-D3fin9x"]),
+    ('api_key: str = "ann0-Tat9xZ"', ["ann0-Tat9xZ"]), ('conn = connect(host="Zx81kQ0pLmN2", password="kw-Arg9xZ1")', ["kw-Arg9xZ1"]), ('password: (see below\ntoken = "afT3r-Op3nx"', ["afT3r-Op3nx"]), ("password = config.password", []), ('passwd = SecretStr("wr4p-Ped9xZ")', ["wr4p-Ped9xZ"]),
+    ('export API_TOKEN=tok-N3nv9x; echo hi', ["tok-N3nv9x"]), ("the password = don't know what is this key: the author", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LITERALS)
+def test_literals(text, want):
+    assert [text[s:e] for s, e, _ in secrets.literals(text)] == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_literals_brute(seed):
+    """Assignments in random order, of which a plain closure over (name, literals, references) says what a sensitive name reaches."""
+    rnd = random.Random(seed)
+    names = [f"n{i}" for i in range(8)] + ["db_password", "api_token_secret", "host"]
+    value = lambda: "".join(rnd.choice(x) for x in ("ABCD", "0123456789", "xyzw", "-", "0123456789", "efgh", "WXYZ", "ijk", "56789"))
+    lines, holds, refers = [], defaultdict(set), defaultdict(set)
+    for _ in range(25):
+        name, v, other = rnd.choice(names), value(), rnd.choice(names)
+        form = rnd.randrange(6)
+        if form == 5:
+            lines.append(f"{name} = {other}")
+            refers[name].add(other)
+            continue
+        lines.append([f'{name} = "{v}"', f"{name}: '{v}'", f"export {name}={v}", f'{name} = "{v}" + {other}', f"{name}: |\n    {v}"][form])
+        holds[name].add(v)
+        if form == 3:
+            refers[name].add(other)
+    reached, todo = set(), ["db_password", "api_token_secret"]
+    while todo:
+        k = todo.pop()
+        if k not in reached:
+            reached.add(k)
+            todo += refers[k]
+    text = "\n".join(lines)
+    assert {text[s:e] for s, e, _ in secrets.literals(text)} == set().union(set(), *(holds[k] for k in reached))
+
+
 def brute_shards(rows, limit):
     """Splits buckets one by one, as extendible hashing does."""
     out, todo = {}, [("", rows)]
