@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.intervals import dimension
+
 
 def share(value: str, *by: str) -> Column:
     """value over its sum within the columns `by`; 0 where the sum is 0."""
@@ -24,25 +26,37 @@ def feature_of(component: Column) -> Column:
     return F.regexp_extract(component, r"^([^\[]+)", 1)
 
 
-def hyper_split(catalog: DataFrame, max_rounds: int = 100) -> DataFrame:
+def hyper_split(catalog: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """Samples whose total exceeds median + 1.5 IQR split in two halves, until none does.
 
-    Only the totals are looked at in each round; the rounds double the number
-    of parts, so that a part is total / 2**k.
+    A part is total / 2**k. How often a sample has been halved follows from its
+    total and the limits of the rounds before, so a round is one aggregate over
+    the totals and nothing is joined; only the limits are kept. Raises if some
+    total still exceeds the limit after max_rounds.
     """
-    totals = catalog.groupBy("sample").agg(F.sum("n").cast("double").alias("total")).withColumn("k", F.lit(0))
+    totals = catalog.groupBy("sample").agg(F.sum("n").cast("double").alias("total")).persist()
+    limits: list[float] = []
+
+    def halvings() -> Column:
+        zero = F.lit(0)
+        if not limits:
+            return zero
+        return F.aggregate(F.array(*[F.lit(x) for x in limits]), zero, lambda k, x: F.when(F.col("total") / F.pow(F.lit(2.0), k) > x, k + 1).otherwise(k))
+
     for _ in range(max_rounds):
         # each sample stands 2**k times in the distribution of totals
-        weighted = totals.withColumn("x", F.col("total") / F.pow(F.lit(2.0), F.col("k"))).withColumn("times", F.pow(F.lit(2), F.col("k")).cast("long"))
-        q = weighted.agg(F.expr("percentile(x, array(0.25, 0.5, 0.75), times)").alias("q")).first()["q"]
-        if q is None:
+        weighted = totals.withColumn("k", halvings()).withColumns({"x": F.col("total") / F.pow(F.lit(2.0), F.col("k")), "times": F.pow(F.lit(2), F.col("k")).cast("long")})
+        r = weighted.agg(F.expr("percentile(x, array(0.25, 0.5, 0.75), times)").alias("q"), F.max("x").alias("most")).first()
+        if r["q"] is None:
             break
+        q = r["q"]
         limit = q[1] + 1.5 * (q[2] - q[0])
-        over = weighted.where(F.col("x") > limit).select("sample")
-        if over.isEmpty():
+        if r["most"] <= limit:
             break
-        totals = totals.join(over.withColumn("o", F.lit(1)), "sample", "left").withColumn("k", F.col("k") + F.coalesce("o", F.lit(0))).drop("o")
-    d = catalog.join(totals.select("sample", "k"), "sample")
+        limits.append(limit)
+    else:
+        raise ValueError(f"totals still exceed the limit after {max_rounds} rounds")
+    d = catalog.join(totals.select("sample", halvings().alias("k")), "sample")
     part = F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.col("k")).cast("int"))).alias("part")
     d = d.select("sample", "component", "n", "k", part)
     name = F.when(F.col("k") > 0, F.concat("sample", F.lit("_[hyper]_"), F.col("part").cast("string"))).otherwise(F.col("sample"))
@@ -74,7 +88,7 @@ def signature_order(exposure: DataFrame) -> DataFrame:
 
 def convert_opportunities(signature: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
     """Weights times the ratio of opportunities (component, n) of two sequences, as shares again."""
-    f, t = F.broadcast(source.select("component", F.col("n").alias("_f"))), F.broadcast(target.select("component", F.col("n").alias("_t")))
+    f, t = dimension(source.select("component", F.col("n").alias("_f"))), dimension(target.select("component", F.col("n").alias("_t")))
     d = signature.join(f, "component").join(t, "component").withColumn("_w", F.col("weight") * F.col("_t") / F.col("_f"))
     return d.select("sig", "component", share("_w", "sig").alias("weight"))
 
@@ -88,6 +102,18 @@ def simulate_signature(catalog: DataFrame, weights: DataFrame | None = None) ->
     return d.groupBy("component").agg(F.sum(F.col("_w") * F.col("_p")).alias("_s")).crossJoin(F.broadcast(whole)).select("component", (F.col("_s") / F.col("_all")).alias("weight"))
 
 
+#: Keys of the second side of an all-pairs comparison at most: signatures, not samples without number.
+MOST_KEYS = 10_000
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """keys to be broadcast; raises if there are more than MOST_KEYS, as the result has a row for each of them and each key of the other side."""
+    rows = keys.limit(MOST_KEYS + 1).toArrow()
+    if rows.num_rows > MOST_KEYS:
+        raise ValueError(f"the second side of a comparison of all pairs has over {MOST_KEYS} keys")
+    return F.broadcast(keys.sparkSession.createDataFrame(rows, keys.schema))
+
+
 def cosine_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, value: str = "weight", component: str = "component") -> DataFrame:
     """key_a, key_b, cosine of all pairs of vectors in long form; b's side is joined on components, so absent entries cost nothing.
 
@@ -98,7 +124,7 @@ def cosine_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, value: str
     x = a.select(key_a, F.col(component).alias("_c"), F.col(value).alias("_x"))
     y = b.select(F.col(key_b).alias(f"_{key_b}"), F.col(component).alias("_c"), F.col(value).alias("_y"))
     dot = x.join(y, "_c").groupBy(key_a, f"_{key_b}").agg(F.sum(F.col("_x") * F.col("_y")).alias("_dot"))
-    pairs = norm(a, key_a).crossJoin(F.broadcast(norm(b, key_b).withColumnsRenamed({key_b: f"_{key_b}", f"_n_{key_b}": "_m"})))
+    pairs = norm(a, key_a).crossJoin(_few(norm(b, key_b)).withColumnsRenamed({key_b: f"_{key_b}", f"_n_{key_b}": "_m"}))
     d = pairs.join(dot, [key_a, f"_{key_b}"], "left")
     cos = F.when((F.col(f"_n_{key_a}") > 0) & (F.col("_m") > 0), F.coalesce("_dot", F.lit(0.0)) / (F.col(f"_n_{key_a}") * F.col("_m")))
     return d.select(F.col(key_a).alias("a"), F.col(f"_{key_b}").alias("b"), cos.alias("cosine"))
@@ -110,7 +136,7 @@ def rss_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, value: str = "
     x = a.select(F.col(key_a).alias("a"), "component", F.col(value).alias("x"))
     y = b.select(F.col(key_b).alias("b"), "component", F.col(value).alias("y"))
     dot = x.join(y, "component").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("d"))
-    p = sq(a, key_a).select(F.col(key_a).alias("a"), F.col("s").alias("sa")).crossJoin(F.broadcast(sq(b, key_b).select(F.col(key_b).alias("b"), F.col("s").alias("sb"))))
+    p = sq(a, key_a).select(F.col(key_a).alias("a"), F.col("s").alias("sa")).crossJoin(_few(sq(b, key_b).select(F.col(key_b).alias("b"), F.col("s").alias("sb"))))
     return p.join(dot, ["a", "b"], "left").select("a", "b", (F.col("sa") + F.col("sb") - 2 * F.coalesce("d", F.lit(0.0))).alias("rss"))
 
 
@@ -122,7 +148,7 @@ def best_match(similarity: DataFrame) -> DataFrame:
 
 def reconstruction_similarity(catalog: DataFrame, signature: DataFrame, exposure: DataFrame) -> DataFrame:
     """Per sample the cosine, the residual sum of squares and its share of the squared counts between the catalogue and signature times exposure."""
-    made = exposure.select("sample", "sig", "amount").join(F.broadcast(signature.select("sig", "component", "weight")), "sig").groupBy("sample", "component").agg(F.sum(F.col("amount") * F.col("weight")).alias("y"))
+    made = exposure.select("sample", "sig", "amount").join(dimension(signature.select("sig", "component", "weight")), "sig").groupBy("sample", "component").agg(F.sum(F.col("amount") * F.col("weight")).alias("y"))
     d = catalog.select("sample", "component", F.col("n").cast("double").alias("x")).join(made, ["sample", "component"], "full_outer").na.fill(0.0, ["x", "y"])
     x, y = F.col("x"), F.col("y")
     a = d.groupBy("sample").agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))

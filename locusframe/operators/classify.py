@@ -12,6 +12,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.intervals import dimension
 from locusframe.operators.segments import AUTOSOMES, ORDER, length, per_chromosome
 
 # Length classes and components of the two catalogues of 40 and 48 classes.
@@ -222,14 +223,14 @@ def feature_breakpoints(segments: DataFrame, sizes: DataFrame, order: Sequence[s
     w = per_chromosome(order)
     ends = segments.withColumn("_last", F.lead("start_pos").over(w).isNull()).where("NOT _last")
     at = ends.groupBy("sample", "chromosome", F.greatest(F.ceil((F.col("end_pos") - 1) / bin_size) - 1, F.lit(0)).alias("bin")).agg(F.count("*").alias("c"))
-    dim = F.broadcast(sizes.select(F.col("chrom").alias("chromosome"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") + bin_size - 1) / bin_size) - 1)).alias("bin")))
+    dim = dimension(sizes.select(F.col("chrom").alias("chromosome"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") + bin_size - 1) / bin_size) - 1)).alias("bin")))
     spine = segments.select("sample", "chromosome").distinct().join(dim, "chromosome")
     return spine.join(at, ["sample", "chromosome", "bin"], "left").select("sample", F.coalesce("c", F.lit(0)).cast("long").alias("value"))
 
 
 def feature_bparm(segments: DataFrame, centromeres: DataFrame) -> DataFrame:
     """Breakpoints on each side of the centromere of each chromosome that a sample has."""
-    c = F.broadcast(centromeres.select(F.col("chrom").alias("chromosome"), "cen_left", "cen_right"))
+    c = dimension(centromeres.select(F.col("chrom").alias("chromosome"), "cen_left", "cen_right"))
     d = segments.join(c, "chromosome").where(~((F.col("start_pos") > F.col("cen_left")) & (F.col("end_pos") < F.col("cen_right"))))
     per = d.groupBy("sample", "chromosome").agg(
         F.count("*").alias("k"), F.sum(F.when(F.col("end_pos") < F.col("cen_right"), 1).otherwise(0)).alias("q1"), F.sum(F.when(F.col("end_pos") > F.col("cen_right"), 1).otherwise(0)).alias("q2")
@@ -267,7 +268,7 @@ def component_bins() -> list[tuple[str, str, str, float, float]]:
 
 def count_bins(values: DataFrame, bins: DataFrame) -> DataFrame:
     """sample, component, n of (sample, feature, value) rows over a small table of bins: points are equal, ranges (low, high]."""
-    v, b = values.alias("v"), F.broadcast(bins).alias("b")
+    v, b = values.alias("v"), dimension(bins).alias("b")
     hit = (F.col("b.label") == "point") & (F.col("v.value") == F.col("b.low")) | (F.col("b.label") == "range") & (F.col("v.value") > F.col("b.low")) & (F.col("v.value") <= F.col("b.high"))
     return v.join(b, (F.col("v.feature") == F.col("b.feature")) & hit).groupBy("v.sample", "b.component").agg(F.count("*").alias("n"))
 

@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 SMALL = 200_000
 
 
+def fetched(df: DataFrame, most: int = SMALL) -> DataFrame | None:
+    """df to be broadcast, if it has at most `most` rows; these are fetched once, so that the check costs no second run. None if it has more."""
+    rows = df.limit(most + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= most else None
+
+
+def dimension(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, to be broadcast if it is small."""
+    found = fetched(df, most)
+    return df if found is None else found
+
+
 def intersect_size(xs: Column, xe: Column, ys: Column, ye: Column) -> Column:
     """Number of points that two closed intervals share."""
     return F.greatest(F.lit(0), F.least(xe, ye) - F.greatest(xs, ys) + 1)
@@ -23,10 +35,12 @@ def intersect_size(xs: Column, xe: Column, ys: Column, ye: Column) -> Column:
 def overlap_join(left: DataFrame, right: DataFrame, lk: tuple[str, str, str], rk: tuple[str, str, str], how: str = "inner", bin_size: int | None = None, small: bool | None = None) -> DataFrame:
     """Rows of left with each row of right that overlaps them; lk and rk name chromosome, start and end.
 
-    how is inner, left or left_semi. small says whether right is a small
-    dimension; if None its rows are counted. Otherwise both sides are cut into
-    bins of bin_size (10 Mb unless given); a long interval is copied to each bin
-    that it meets, and a pair counts in the bin of the later start.
+    how is inner, left or left_semi. Points, whose start and end are one column,
+    lie in one bin each and are joined by (chromosome, bin) in every case.
+    Otherwise a right side of up to SMALL rows is broadcast, unless small is
+    False; beyond that both sides are cut into bins of bin_size (10 Mb unless
+    given); a long interval is copied to each bin that it meets, and a pair
+    counts in the bin of the later start.
     """
     lc, ls, le = (F.col(x) for x in lk)
     rc, rs, re_ = (F.col(x) for x in rk)
@@ -34,8 +48,13 @@ def overlap_join(left: DataFrame, right: DataFrame, lk: tuple[str, str, str], rk
     if clash:
         raise ValueError(f"rename columns on both sides: {', '.join(sorted(clash))}")
     meets = (ls <= re_) & (le >= rs)
-    if small if small is not None else right.count() <= SMALL:
-        return left.join(F.broadcast(right), (lc == rc) & meets, how)
+    if lk[1] == lk[2]:
+        right = right if small is False else dimension(right)
+        size = bin_size or _width(right, rk)
+        b = right.withColumn("_rbin", F.explode(F.sequence(F.floor(rs / size), F.floor(F.greatest(rs, re_) / size))))
+        return left.join(b, (lc == rc) & (F.floor(ls / size) == F.col("_rbin")) & meets, how).drop("_rbin")
+    if small is not False and (few := fetched(right)) is not None:
+        return left.join(few, (lc == rc) & meets, how)
     size = bin_size or 10_000_000
     row = "_row"
     d = left.withColumn(row, F.struct(*left.columns))
@@ -54,6 +73,26 @@ def overlap_join(left: DataFrame, right: DataFrame, lk: tuple[str, str, str], rk
     return pairs.drop(row).unionByName(rest, allowMissingColumns=True)
 
 
+def _width(right: DataFrame, rk: tuple[str, str, str]) -> int:
+    """Bin size for points: four times the mean length of the intervals, so that one lies in a bin or two."""
+    mean = right.agg(F.avg(F.col(rk[2]) - F.col(rk[1]) + 1)).first()[0]
+    return max(1, int(4 * (mean or 1)))
+
+
+def covered(regions: DataFrame, chrom: str, start: str, end: str, flags: dict[str, Column]) -> DataFrame:
+    """Disjoint stretches chrom, start, end of what the regions cover, and for each flag whether a region with it covers the stretch."""
+    delta = [F.sum(F.when(c, F.col("_d")).otherwise(0)).alias(k) for k, c in flags.items()]
+    ends = regions.select("*", F.explode(F.array(F.struct(F.col(start).alias("_p"), F.lit(1).alias("_d")), F.struct((F.col(end) + 1).alias("_p"), F.lit(-1).alias("_d")))).alias("_x"))
+    at = ends.select("*", "_x._p", "_x._d").groupBy(chrom, "_p").agg(*delta)
+    w = Window.partitionBy(chrom).orderBy("_p")
+    run = {k: F.sum(k).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0 for k in flags}
+    d = at.select(chrom, F.col("_p").alias(start), (F.lead("_p").over(w) - 1).alias(end), *[c.alias(k) for k, c in run.items()])
+    any_ = F.lit(False)
+    for k in flags:
+        any_ = any_ | F.col(k)
+    return d.where(any_)
+
+
 def first_match(left: DataFrame, right: DataFrame, lk: tuple[str, str, str], rk: tuple[str, str, str], row_id: list[str], value: str, small: bool | None = None) -> DataFrame:
     """row_id and the value of the overlapping right interval that comes first by start and end; rows without one are absent."""
     hit = overlap_join(left, right, lk, rk, small=small)
@@ -84,8 +123,7 @@ def self_flank(segments: DataFrame, flank: int = 5_000_000) -> DataFrame:
 
 def point_in(points: DataFrame, regions: DataFrame, pk: tuple[str, str], rk: tuple[str, str, str], small: bool | None = None) -> DataFrame:
     """Points that some region contains."""
-    p = points.withColumn("_end", F.col(pk[1]))
-    return overlap_join(p, regions, (pk[0], pk[1], "_end"), rk, "left_semi", small=small).drop("_end")
+    return overlap_join(points, regions, (pk[0], pk[1], pk[1]), rk, "left_semi", small=small)
 
 
 def chunks(df: DataFrame, start: str, end: str, n: int) -> DataFrame:

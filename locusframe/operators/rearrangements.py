@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Size classes of rearrangements.
 SIZES = ("<1Kb", "1-10Kb", "10-100Kb", "100Kb-1Mb", "1Mb-10Mb", ">10Mb")
 RS_38 = tuple(sorted(f"{c}:{t}:{s}" for c, t, s in product(("clustered", "non-clustered"), ("del", "inv", "tds"), SIZES)) + ["clustered:trans", "non-clustered:trans"])
 RS_32 = tuple(c for c in RS_38 if "<1Kb" not in c)
@@ -100,11 +101,23 @@ def low_distance_regions(d: DataFrame, factor: float = 0.1) -> DataFrame:
 
 
 def label_clustered(d: DataFrame, row_id: list[str], factor: float = 0.1, regions: DataFrame | None = None) -> DataFrame:
-    """clustered or non-clustered: whether an end lies in a region of low distances."""
-    r = (low_distance_regions(d, factor) if regions is None else regions).select(F.col("sample").alias("rs"), F.col("chrom").alias("rc"), F.col("start_pos").alias("r1"), F.col("end_pos").alias("r2"))
-    ends = d.select(*row_id, "sample", F.explode(F.array(F.struct(F.col("chr1").alias("c"), F.col("start1").alias("p")), F.struct(F.col("chr2").alias("c"), F.col("start2").alias("p")))).alias("x"))
-    hit = ends.join(r, (F.col("sample") == F.col("rs")) & (F.col("x.c") == F.col("rc")) & F.col("x.p").between(F.col("r1"), F.col("r2")), "left_semi").select(*row_id).distinct()
-    return d.join(hit.withColumn("_hit", F.lit(True)), row_id, "left").withColumn("clustered", F.when(F.col("_hit"), "clustered").otherwise("non-clustered")).drop("_hit")
+    """clustered or non-clustered: whether an end lies in a region of low distances.
+
+    Ends and region starts are sorted along each chromosome of a sample; an end
+    lies in a region if the furthest end of those begun before it reaches it.
+    """
+    r = low_distance_regions(d, factor) if regions is None else regions
+    row = F.struct(*d.columns)
+    none = F.lit(None).cast(d.select(row.alias("row")).schema["row"].dataType)
+    ends = d.select("sample", F.explode(F.array(F.struct(F.col("chr1").alias("c"), F.col("start1").cast("long").alias("p")), F.struct(F.col("chr2").alias("c"), F.col("start2").cast("long").alias("p")))).alias("x"), row.alias("row"))
+    line = ends.select("sample", "x.c", "x.p", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("to"), "row").unionByName(
+        r.select("sample", F.col("chrom").alias("c"), F.col("start_pos").cast("long").alias("p"), F.lit(0).alias("kind"), F.col("end_pos").cast("long").alias("to"), none.alias("row"))
+    )
+    w = Window.partitionBy("sample", "c").orderBy("p", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    hit = line.withColumn("far", F.max("to").over(w)).where("kind = 1").select("row", F.coalesce(F.col("far") >= F.col("p"), F.lit(False)).alias("hit"))
+    per = hit.groupBy(*[F.col(f"row.`{c}`").alias(c) for c in row_id], "row").agg(F.max("hit").alias("hit"), (F.count("*") / 2).cast("int").alias("times"))
+    one = per.select(F.explode(F.array_repeat("row", F.col("times"))).alias("row"), "hit")
+    return one.select("row.*", F.when(F.col("hit"), "clustered").otherwise("non-clustered").alias("clustered"))
 
 
 def label_rs(d: DataFrame) -> DataFrame:

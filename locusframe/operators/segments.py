@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.intervals import dimension
+
 AUTOSOMES = tuple(f"chr{i}" for i in range(1, 23))
 CHROMOSOMES = (*AUTOSOMES, "chrX", "chrY")
 ORDER = ("t1", "t2", "t3", "t4")
@@ -142,7 +144,7 @@ def ploh_score(segments: DataFrame, sizes: DataFrame, exclude: Sequence[str] = (
 
 def arm_annotation(segments: DataFrame, centromeres: DataFrame) -> DataFrame:
     """location (chromosome arm), annotation and fraction of each segment. centromeres: chrom, size, cen_left, cen_right."""
-    c = F.broadcast(centromeres.select(F.col("chrom").alias("chromosome"), "size", F.col("cen_left").alias("p_end"), F.col("cen_right").alias("q_start")))
+    c = dimension(centromeres.select(F.col("chrom").alias("chromosome"), "size", F.col("cen_left").alias("p_end"), F.col("cen_right").alias("q_start")))
     d = segments.join(c, "chromosome", "left")
     s, e, p_end, q_start, q_end = F.col("start_pos"), F.col("end_pos"), F.col("p_end"), F.col("q_start"), F.col("size")
     flag = (
@@ -186,8 +188,8 @@ def freq_by_band(segments: DataFrame, bands: DataFrame, low: int = 2, high: int
     """Per band the shares of samples with a gain (above high) and a loss (below low); bands that nothing covers have 0."""
     n = segments.agg(F.countDistinct("sample").alias("_n"))
     s = segments.select(F.col("sample"), F.col("chromosome").alias("chrom"), F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), "seg_val").where((F.col("seg_val") > high) | (F.col("seg_val") < low))
-    b = bands.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band")
-    hit = s.join(F.broadcast(b), "chrom").where((F.col("s") <= F.col("be")) & (F.col("e") >= F.col("bs")))
+    b = dimension(bands.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band"))
+    hit = s.join(b, "chrom").where((F.col("s") <= F.col("be")) & (F.col("e") >= F.col("bs")))
     per = hit.groupBy("chrom", "bs", "be", "band").agg(F.countDistinct(F.when(F.col("seg_val") > high, F.col("sample"))).alias("a"), F.countDistinct(F.when(F.col("seg_val") < low, F.col("sample"))).alias("d"))
     out = b.join(per, ["chrom", "bs", "be", "band"], "left").crossJoin(F.broadcast(n))
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("_n")
@@ -197,8 +199,8 @@ def freq_by_band(segments: DataFrame, bands: DataFrame, low: int = 2, high: int
 def band_values(segments: DataFrame, bands: DataFrame, value: Column | None = None) -> DataFrame:
     """band and sample with one value for the overlapping segments: their rounded mean, or the given aggregate of seg_val. Long form; pivot it for few samples."""
     s = segments.select("sample", F.col("chromosome").alias("chrom"), F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), "seg_val")
-    b = bands.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band")
-    hit = s.join(F.broadcast(b), "chrom").where((F.col("s") <= F.col("be")) & (F.col("e") >= F.col("bs")))
+    b = dimension(bands.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band"))
+    hit = s.join(b, "chrom").where((F.col("s") <= F.col("be")) & (F.col("e") >= F.col("bs")))
     return hit.groupBy("chrom", "band", "sample").agg((F.bround(F.avg("seg_val")).cast("int") if value is None else value).alias("value"))
 
 
@@ -249,7 +251,9 @@ def scoring(segments: DataFrame, order: Sequence[str] = ORDER, digits: int | Non
 
 def profile_table(segments: DataFrame, sizes: DataFrame) -> DataFrame:
     """Genome-wide coordinates and a type (Amp, Normal, Del) of each segment. sizes (chrom, size) is a small dimension."""
-    rank = F.regexp_replace("chrom", "^chr", "").cast("int")
+    bare = F.regexp_replace("chrom", "^chr", "")
+    rank = F.when(bare == "X", 23).when(bare == "Y", 24).otherwise(bare.try_cast("int"))
+    sizes = dimension(sizes)
     w = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     offset = sizes.withColumn("_k", rank).select(F.col("chrom").alias("chromosome"), F.coalesce(F.sum("size").over(w), F.lit(0)).alias("_off"))
     d = segments.join(F.broadcast(offset), "chromosome")

@@ -28,7 +28,18 @@ def kernel(fn: Callable[..., float], *cols: Column | str) -> Column:
 
 
 def fisher_p(a, b, c, d, alternative: str = "two-sided") -> Column:
-    return kernel(lambda *x: T.fisher(*(int(v) for v in x), alternative)[0], a, b, c, d)
+    """p value of Fisher's exact test of each row's table, all rows of a batch at once; null in, null out."""
+
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        cells = np.column_stack([x.to_numpy(float) for x in (a, b, c, d)])
+        ok = ~np.isnan(cells).any(axis=1)
+        out = np.full(len(cells), None, object)
+        if ok.any():
+            out[ok] = T.fisher_many(*cells[ok].T, alternative=alternative)
+        return pd.Series(out, dtype="float64")
+
+    return run(a, b, c, d)
 
 
 def bh_adjust(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "fdr") -> DataFrame:
@@ -43,9 +54,25 @@ def bh_adjust(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "fdr") -
     return d.withColumn(out, F.when(F.col(p).isNotNull(), F.least(least, F.lit(1.0)))).drop("_q")
 
 
-def average_rank(value: str, by: Sequence[str] = ()) -> Column:
-    w = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def value_ranks(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """counts (by, value, c rows each) with rank, the average rank of the value's rows within `by`.
+
+    With `by` empty the distinct values are cut into blocks at quantiles; ranks
+    are counted within blocks from the sums of the blocks before, so the whole
+    column meets in no task.
+    """
+    block = "__block"
+    if by:
+        own, d = Window.partitionBy(*by).orderBy(value), counts.withColumn("__before", F.lit(0))
+    else:
+        n = max(1, min(KENDALL_BLOCKS, -(-counts.count() // KENDALL_CELLS)))
+        cut = counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+        own, d = Window.partitionBy(block).orderBy(value), counts.withColumn(block, _block(value, sorted(set(cut))))
+        sums = d.groupBy(block).agg(F.sum("c").alias("__c"))  # 2 KENDALL_BLOCKS rows at most
+        before = F.coalesce(F.sum("__c").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        d = d.join(F.broadcast(sums.select(block, before.alias("__before"))), block)
+    up_to = F.sum("c").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("rank", F.col("__before") + up_to - (F.col("c") - 1) / 2).drop("__before", block)
 
 
 def two_groups(df: DataFrame, flag: Column, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -69,9 +96,11 @@ def welch_columns(stats: DataFrame) -> DataFrame:
 
 def rank_sum(df: DataFrame, flag: Column, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank-sum statistic w of the flagged group (its rank sum less the least possible), n1, n2 and p_value."""
-    d = df.where(F.col(value).isNotNull()).withColumns({"_f": F.coalesce(flag, F.lit(False)), "_r": average_rank(value, by), "_t": F.count("*").over(Window.partitionBy(*by, value))})
-    n1, n2 = F.count(F.when(F.col("_f"), 1)), F.count(F.when(~F.col("_f"), 1))
-    aggs = [n1.alias("n1"), n2.alias("n2"), (F.sum(F.when(F.col("_f"), F.col("_r"))) - n1 * (n1 + 1) / 2).alias("w"), F.sum(F.col("_t") * F.col("_t") - 1).alias("ties")]
+    f = F.coalesce(flag, F.lit(False))
+    per = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"), F.count(F.when(f, 1)).alias("c1"))
+    d = value_ranks(per, value, by)
+    n1, n2, c = F.sum("c1"), F.sum(F.col("c") - F.col("c1")), F.col("c")
+    aggs = [F.coalesce(n1, F.lit(0)).alias("n1"), F.coalesce(n2, F.lit(0)).alias("n2"), (F.sum(F.col("c1") * F.col("rank")) - n1 * (n1 + 1) / 2).alias("w"), F.sum(c * (c * c - 1)).alias("ties")]
     a = (d.groupBy(*by) if by else d.groupBy()).agg(*aggs)
     p = kernel(lambda w, x, y, t: T.rank_sum(w, int(x), int(y), t) if x and y else float("nan"), F.col("w"), F.col("n1"), F.col("n2"), F.col("ties").cast("double"))
     return a.withColumn("p_value", p)
@@ -103,9 +132,15 @@ def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str], rank:
     out = None
     if rank:  # ranks are taken over the rows in which both are present, so each pair is ranked for itself
         for a, b in pairs:
-            d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("x"), F.col(b).alias("y"))
-            d = d.select(average_rank("x").alias("x"), average_rank("y").alias("y"))
-            one = d.agg(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count("*").alias("n"), F.corr("x", "y").alias("r"))
+            cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("c"))
+            ranks = lambda v: value_ranks(cells.groupBy(v).agg(F.sum("c").alias("c")), v).select(v, F.col("rank").alias(f"r{v}"))  # noqa: B023,E731
+            d = cells.join(ranks("x"), "x").join(ranks("y"), "y")
+            n, total = F.sum("c"), lambda *v: F.sum(F.col("c").cast("double") * v[0] * v[1])
+            mid = (F.col("rx"), F.col("ry"))
+            both = d.agg(n.alias("n"), *[total(x, F.lit(1.0)).alias(k) for k, x in zip(("sx", "sy"), mid, strict=True)], total(mid[0], mid[1]).alias("xy"), total(mid[0], mid[0]).alias("xx"), total(mid[1], mid[1]).alias("yy"))
+            vx, vy = (F.col(q) - F.col(s_) * F.col(s_) / F.col("n") for q, s_ in (("xx", "sx"), ("yy", "sy")))
+            r = F.when((vx > 0) & (vy > 0), (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy))
+            one = both.select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce("n", F.lit(0)).alias("n"), r.alias("r"))
             out = one if out is None else out.unionByName(one)
     else:
         aggs = []
@@ -195,7 +230,7 @@ def group_enrichment(df: DataFrame, groups: Sequence[str], numeric: Sequence[str
 
     def p_of(kind, stat, df1, n1, s1, n2, s2):
         if kind == "logical":
-            return T.fisher(int(s1), int(n1 - s1), int(s2), int(n2 - s2))[0]
+            return T.fisher_many([s1], [n1 - s1], [s2], [n2 - s2])[0]
         return 2 * T.t_tail(abs(stat), df1) if stat == stat and df1 == df1 else float("nan")
 
     @F.pandas_udf(DoubleType())

@@ -38,35 +38,30 @@ def label_sbs(variants: DataFrame) -> DataFrame:
     return d.withColumns({"sbs6": F.col("_sub"), "sbs96": F.concat(part(2, 1), boxed, part(4, 1)), "sbs1536": F.concat(part(1, 2), boxed, part(4, 2)), "should_reverse": turned}).drop("_sub", "_ctx")
 
 
+# The classes of doublets with both bases changed, by their reference pair.
+DOUBLETS = {
+    "AC": ("CA", "CG", "CT", "GA", "GG", "GT", "TA", "TG", "TT"),
+    "AT": ("CA", "CC", "CG", "GA", "GC", "TA"),
+    "CC": ("AA", "AG", "AT", "GA", "GG", "GT", "TA", "TG", "TT"),
+    "CG": ("AT", "GC", "GT", "TA", "TC", "TT"),
+    "CT": ("AA", "AC", "AG", "GA", "GC", "GG", "TA", "TC", "TG"),
+    "GC": ("AA", "AG", "AT", "CA", "CG", "TA"),
+    "TA": ("AT", "CG", "CT", "GC", "GG", "GT"),
+    "TC": ("AA", "AG", "AT", "CA", "CG", "CT", "GA", "GG", "GT"),
+    "TG": ("AA", "AC", "AT", "CA", "CC", "CT", "GA", "GC", "GT"),
+    "TT": ("AA", "AC", "AG", "CA", "CC", "CG", "GA", "GC", "GG"),
+}
+DBS_78 = tuple(f"{r}>{a}" for r, changed in DOUBLETS.items() for a in changed)
+
+
 def doublet_pairs() -> dict[str, str]:
-    """Each of the 144 doublets with both bases changed, and the name of its class: the strand whose reference pair is one of ten, the first by alphabet where both are the same pair."""
-    ten = ("AC", "AT", "CC", "CG", "CT", "GC", "TA", "TC", "TG", "TT")
+    """Class of each doublet, in either strand's writing."""
     turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
     out = {}
-    for r, a in product(product(BASES, BASES), product(BASES, BASES)):
-        r, a = "".join(r), "".join(a)
-        if r[0] == a[0] or r[1] == a[1]:
-            continue
-        own, other = f"{r}>{a}", f"{turn(r)}>{turn(a)}"
-        if r not in ten:
-            out[own] = other
-        elif turn(r) == r:
-            # a pair that is its own complement: two writings, of which the class keeps one
-            out[own] = own if _kept(r, a, turn(a)) else other
-        else:
-            out[own] = own
-    return out
-
-
-#: Kept writings of doublets whose reference pair is its own complement.
-SELF_PAIRS = {"AT": ("CA", "CC", "CG", "GA", "GC", "TA"), "CG": ("AT", "GC", "GT", "TA", "TC", "TT"), "GC": ("AA", "AG", "AT", "CA", "CG", "TA"), "TA": ("AT", "CG", "CT", "GC", "GG", "GT")}
-
-
-def _kept(r: str, a: str, turned: str) -> bool:
-    return a in SELF_PAIRS[r] or turned not in SELF_PAIRS[r]
-
-
-DBS_78 = tuple(sorted(set(doublet_pairs().values())))
+    for name in DBS_78:
+        r, a = name.split(">")
+        out[f"{turn(r)}>{turn(a)}"] = name
+    return out | {name: name for name in DBS_78}
 
 
 def find_doublets(variants: DataFrame, order: Sequence[str] = ("t1", "t2", "t3", "t4")) -> DataFrame:
@@ -146,17 +141,20 @@ ID_83 = (
 )
 
 
-def strand_label(variants: DataFrame, transcripts: DataFrame, row_id: Sequence[str]) -> DataFrame:
-    """strand_label of each variant with should_reverse: B on both strands, T or U on one, N outside transcripts. transcripts (chrom, start_pos, end_pos, strand) is a checked small dimension or is dealt by bins."""
-    from locusframe.operators.intervals import overlap_join
+def strand_label(variants: DataFrame, transcripts: DataFrame, row_id: Sequence[str] = ()) -> DataFrame:
+    """strand_label of each variant with should_reverse: B on both strands, T or U on one, N outside transcripts.
+
+    The transcripts (chrom, start_pos, end_pos, strand) are cut into disjoint
+    stretches that know their strands; a position lies in one at most, so a
+    variant is looked up once and no row is put together again.
+    """
+    from locusframe.operators.intervals import covered, overlap_join
 
-    v = variants.withColumn("_e", F.col("pos"))
-    t = transcripts.select(F.col("chrom").alias("tc"), F.col("start_pos").alias("ts"), F.col("end_pos").alias("te"), F.col("strand").alias("tstrand"))
-    hit = overlap_join(v.select(*row_id, "chrom", "pos", "_e"), t, ("chrom", "pos", "_e"), ("tc", "ts", "te"))
-    per = hit.groupBy(*row_id).agg(F.min("tstrand").alias("_a"), F.max("tstrand").alias("_b"))
-    d = variants.join(per, list(row_id), "left")
-    one = F.when(F.col("should_reverse") != (F.col("_a") == "-"), "T").otherwise("U")
-    return d.withColumn("strand_label", F.when(F.col("_a").isNull(), "N").when(F.col("_a") != F.col("_b"), "B").otherwise(one)).drop("_a", "_b")
+    t = transcripts.select(F.col("chrom").alias("_tc"), F.col("start_pos").alias("_ts"), F.col("end_pos").alias("_te"), F.col("strand").alias("_st"))
+    runs = covered(t, "_tc", "_ts", "_te", {"_plus": F.col("_st") == "+", "_minus": F.col("_st") == "-"})
+    d = overlap_join(variants, runs, ("chrom", "pos", "pos"), ("_tc", "_ts", "_te"), "left")
+    one = F.when(F.col("should_reverse") != F.col("_minus"), "T").otherwise("U")
+    return d.withColumn("strand_label", F.when(F.col("_tc").isNull(), "N").when(F.col("_plus") & F.col("_minus"), "B").otherwise(one)).drop("_tc", "_ts", "_te", "_plus", "_minus")
 
 
 def apobec_counts(variants: DataFrame) -> DataFrame:

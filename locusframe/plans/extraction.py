@@ -39,8 +39,11 @@ def signature_matrix(signature: DataFrame) -> tuple[list[str], list[str], np.nda
 
 
 def sample_arrays(catalog: DataFrame, components: Sequence[str]) -> DataFrame:
-    """sample and counts: its numbers in the order of the components; others are left out."""
+    """sample and counts: its numbers in the order of the components. Raises if a component with counts is none of these."""
     at = {c: i for i, c in enumerate(components)}
+    lost = [r["component"] for r in catalog.where(~F.col("component").isin(list(at)) & (F.col("n") != 0)).select("component").distinct().limit(5).collect()]
+    if lost:
+        raise ValueError(f"components without signature weights: {', '.join(map(str, lost))}")
     d = catalog.where(F.col("component").isin(list(at))).groupBy("sample").agg(F.collect_list(F.struct("component", F.col("n").cast("double").alias("n"))).alias("x"))
     spark = catalog.sparkSession
     shared = spark.sparkContext.broadcast(at)
@@ -298,6 +301,18 @@ def kmeans_groups(relative: DataFrame, k: int, seed: int = 1024) -> DataFrame:
     return KMeans(k=k, seed=seed).fit(d).transform(d).select("sample", F.col("prediction").alias("grp"))
 
 
+def equal_size_clusters(exposure: DataFrame, size: int, method: str = "nearest", seed: int = 1) -> DataFrame:
+    """sample and cluster: groups of `size` samples each, near one another by their exposures (sample, sig, amount). All distances are looked at in one task, after a check of their number."""
+    n, k = exposure.agg(F.countDistinct("sample"), F.countDistinct("sig")).first()
+    _limited(n * max(n, k))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.pivot(index="sample", columns="sig", values="amount").fillna(0).sort_index()
+        return pd.DataFrame({"sample": m.index, "cluster": solvers.same_size_clusters(m.to_numpy(float), size, method, seed).astype(np.int64)})
+
+    return exposure.groupBy(F.lit(1).alias("one")).applyInPandas(run, "sample string, cluster long")
+
+
 def attribute_activity(catalog: DataFrame, signature: DataFrame, loss: float = 0.01) -> DataFrame:
     """sample, sig, exposure: signatures whose removal costs less than `loss` of the cosine are dropped one by one, the least costly first."""
     components, sigs, p = signature_matrix(signature)

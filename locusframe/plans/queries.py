@@ -69,18 +69,11 @@ def _(s):
     return S.at_least(s, 590).groupBy("sample").agg(F.count("*").alias("n"))
 
 
-@query("complement_chromosomes", "segments", "chrom_sizes", sql="""
-, f AS (SELECT * FROM segments WHERE t2 % 7 <> 0 AND (t2 % 22 <> 5 OR t1 % 3 = 0)), p AS (SELECT sample, chrom, size FROM (SELECT DISTINCT sample FROM f), chrom_sizes WHERE chrom <> 'chr22')
-SELECT sample, chromosome, start_pos, end_pos, seg_val FROM f UNION ALL SELECT sample, chrom, 1, size, 2 FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.sample = p.sample AND f.chromosome = p.chrom)""")
-def _(s, sizes):
-    return base(S.complement_chromosomes(s.where("t2 % 7 <> 0 AND (t2 % 22 <> 5 OR t1 % 3 = 0)"), sizes, exclude=("chr22",)))
-
-
 _GAPS = "CASE WHEN chromosome = 'chr7' AND sample LIKE '%1' THEN 'chrX' ELSE chromosome END"
 
 
-# All segments: gaps arise where chr7 goes by the name of chrX, so that some samples have none of the one and the others none of the other.
-@query("complement_chromosomes_whole", "segments", "chrom_sizes", sql=f"""
+# Gaps arise where chr7 goes by the name of chrX, so that some samples have none of the one and the others none of the other.
+@query("complement_chromosomes", "segments", "chrom_sizes", sql=f"""
 , f AS (SELECT sample, {_GAPS} AS chromosome, start_pos, end_pos, seg_val FROM segments), z AS (SELECT chrom, size FROM chrom_sizes UNION ALL SELECT 'chrX', 155000000 UNION ALL SELECT 'chrY', 57000000), p AS (SELECT sample, chrom, size FROM (SELECT DISTINCT sample FROM f), z WHERE chrom <> 'chrY')
 SELECT sample, chromosome, start_pos, end_pos, seg_val FROM f UNION ALL SELECT sample, chrom, 1, size, 2 FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.sample = p.sample AND f.chromosome = p.chrom)""")
 def _(s, sizes):
@@ -208,14 +201,7 @@ def _(s):
 
 # Interval joins
 
-@query("interval_overlap_left", "segments", "bands", sql="SELECT sample, chromosome, s.start_pos, s.end_pos, s.t1, band FROM segments s LEFT JOIN bands b ON chrom = chromosome AND s.start_pos <= b.end_pos AND s.end_pos >= b.start_pos WHERE s.t2 % 5 = 0")
-def _(s, b):
-    right = b.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band")
-    left = s.where("t2 % 5 = 0").select("sample", "chromosome", "start_pos", "end_pos", "t1")
-    return I.overlap_join(left, right, ("chromosome", "start_pos", "end_pos"), ("chrom", "bs", "be"), "left").select("sample", "chromosome", "start_pos", "end_pos", "t1", "band")
-
-
-@query("interval_overlap_left_whole", "segments", "bands", sql="SELECT sample, chromosome, s.start_pos, s.end_pos, s.t1, band FROM segments s LEFT JOIN bands b ON chrom = chromosome AND s.start_pos <= b.end_pos AND s.end_pos >= b.start_pos")
+@query("interval_overlap_left", "segments", "bands", sql="SELECT sample, chromosome, s.start_pos, s.end_pos, s.t1, band FROM segments s LEFT JOIN bands b ON chrom = chromosome AND s.start_pos <= b.end_pos AND s.end_pos >= b.start_pos")
 def _(s, b):
     right = b.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band")
     left = s.select("sample", "chromosome", "start_pos", "end_pos", "t1")
@@ -232,7 +218,7 @@ def _(s, b):
 @query("interval_first_match", "variants", "transcripts", sql="""SELECT v.t1, v.t2, v.t3, v.t4, arg_min(gene, (t.start_pos, t.end_pos, gene)) AS gene FROM variants v JOIN transcripts t ON t.chrom = v.chrom AND pos BETWEEN t.start_pos AND t.end_pos GROUP BY 1, 2, 3, 4""")
 def _(v, t):
     right = t.select(F.col("chrom").alias("tc"), F.col("start_pos").alias("ts"), F.col("end_pos").alias("te"), "gene")
-    return I.first_match(v.withColumn("pe", F.col("pos")), right, ("chrom", "pos", "pe"), ("tc", "ts", "te"), ["t1", "t2", "t3", "t4"], "gene")
+    return I.first_match(v, right, ("chrom", "pos", "pos"), ("tc", "ts", "te"), ["t1", "t2", "t3", "t4"], "gene")
 
 
 _DBL = ", o AS (SELECT sample, chrom, pos, arg_min(ref, (t1, t2, t3, t4)) AS r, arg_min(alt, (t1, t2, t3, t4)) AS a FROM variants GROUP BY 1, 2, 3), d AS (SELECT sample, chrom, pos, lead(pos) OVER w AS np, concat(r, lead(r) OVER w) AS ref, concat(a, lead(a) OVER w) AS alt FROM o WINDOW w AS (PARTITION BY sample, chrom ORDER BY pos))"
@@ -475,7 +461,7 @@ _STRAND = ", h AS (SELECT v.t1, v.t2, v.t3, v.t4, min(strand) AS a, max(strand)
 
 @query("strand_labels", "variants", "transcripts", sql=_STRAND + " SELECT sample, c AS component, count(*) AS n FROM l GROUP BY 1, 2")
 def _(v, t):
-    d = V.strand_label(V.label_sbs(v), t, ["t1", "t2", "t3", "t4"])
+    d = V.strand_label(V.label_sbs(v), t)
     return K.count_components(d.withColumn("c", F.concat_ws(":", "strand_label", "sbs6")), "c")
 
 
@@ -529,23 +515,23 @@ l AS (SELECT sample, {_SVC} AS k, {_SVS} AS s, CASE WHEN EXISTS (SELECT 1 FROM g
 n AS (SELECT sample, CASE WHEN k = 'translocation' THEN concat(c, ':trans') ELSE concat_ws(':', c, CASE k WHEN 'deletion' THEN 'del' WHEN 'inversion' THEN 'inv' ELSE 'tds' END, s) END AS component FROM l)"""
 
 
-@query("rs38_catalog", "sv", sql=_RS + " SELECT sample, component, count(*) AS n FROM n GROUP BY 1, 2")
+@query("rs38_plain_rule", "sv", sql=_RS + " SELECT sample, component, count(*) AS n FROM n GROUP BY 1, 2")
 def _(d):
     return _rs(d, "rs38")
 
 
-@query("rs32_catalog", "sv", sql=_RS + " SELECT sample, component, count(*) AS n FROM n WHERE component NOT LIKE '%<1Kb%' GROUP BY 1, 2")
+@query("rs32_plain_rule", "sv", sql=_RS + " SELECT sample, component, count(*) AS n FROM n WHERE component NOT LIKE '%<1Kb%' GROUP BY 1, 2")
 def _(d):
     return _rs(d, "rs32")
 
 
-@query("sv_clustered_segmented", "sv")
+@query("rs38_catalog", "sv")  # no SQL: the piecewise constant segmentation
 def _(d):
     x = R.label_size(R.clean(d))
     return K.count_components(R.label_rs(R.label_clustered(x, ["t1", "t2", "start1", "sample"]).drop("t1")), "rs38")
 
 
-@query("sv_clustered_segmented_rs32", "sv")
+@query("rs32_catalog", "sv")
 def _(d):
     x = R.label_size(R.clean(d))
     return K.count_components(R.label_rs(R.label_clustered(x, ["t1", "t2", "start1", "sample"]).drop("t1")), "rs32")
@@ -645,7 +631,7 @@ def _(s):
     return C.cosine_pairs(*_sets(s), "sig", "sig").select("a", "b", *r6("cosine"))
 
 
-@query("signature_similarity", "catalog", "signature", sql=_SIG + ", m AS (SELECT sig, sqrt(sum(w * w)) AS m FROM w GROUP BY 1) SELECT x.sig AS a, y.sig AS b, round(sum(x.w * y.w) / (any_value(p.m) * any_value(q.m)), 6) AS cosine FROM w x JOIN w y USING (component) JOIN m p ON p.sig = x.sig JOIN m q ON q.sig = y.sig GROUP BY 1, 2")
+@query("signature_similarity", "catalog", "signature", sql=_SIG + ", m AS (SELECT sig, sqrt(sum(w * w)) AS m FROM w GROUP BY 1), d AS (SELECT p.sig AS a, q.sig AS b, sum(p.w * q.w) AS d FROM w p JOIN w q USING (component) GROUP BY 1, 2) SELECT x.sig AS a, y.sig AS b, round(coalesce(d, 0) / (x.m * y.m), 6) AS cosine FROM m x CROSS JOIN m y LEFT JOIN d ON d.a = x.sig AND d.b = y.sig")
 def _(c, s):
     w = C.normalize(s, "n", ["sig"])
     return C.cosine_pairs(w, w, "sig", "sig").select("a", "b", *r6("cosine"))
@@ -707,12 +693,7 @@ def _(t):
     return T.correlations(t, ["score"], ["extra"], rank=True).select("a", "b", "n", *r6("r"))
 
 
-@query("kendall_tau", "traits", sql=", q AS (SELECT id % 40 AS x, extra AS y FROM traits WHERE id % 3 = 0), s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM q a, q b), n AS (SELECT count(*) * (count(*) - 1) / 2 AS n FROM q), tx AS (SELECT sum(c * (c - 1) / 2) AS t FROM (SELECT count(*) AS c FROM q GROUP BY x)), ty AS (SELECT sum(c * (c - 1) / 2) AS t FROM (SELECT count(*) AS c FROM q GROUP BY y)) SELECT round(s / sqrt((n - tx.t) * (n - ty.t)), 6) AS tau FROM s, n, tx, ty")
-def _(t):
-    return T.kendall(t.where("id % 3 = 0").withColumn("x", F.col("id") % 40), "x", "extra").select(*r6("tau"))
-
-
-@query("kendall_tau_whole", "traits")  # no SQL: a join of all pairs of rows would be quadratic
+@query("kendall_tau", "traits")  # no SQL: a join of all pairs of rows would be quadratic
 def _(t):
     return T.kendall(t, "score", "extra").select(*r6("tau"))
 
@@ -765,7 +746,7 @@ def _(t):
 
 @query("strand_bias_enrichment", "variants", "transcripts", sql=_STRAND + ", k AS (SELECT sample, substr(c, 3) AS component, count(*) FILTER (c LIKE 'T%') AS t, count(*) FILTER (c LIKE 'U%') AS u FROM l WHERE c LIKE 'T%' OR c LIKE 'U%' GROUP BY 1, 2) SELECT sample, component, t, u, CAST(sum(t) OVER (PARTITION BY sample) AS BIGINT) AS t_total, CAST(sum(u) OVER (PARTITION BY sample) AS BIGINT) AS u_total, round(CASE WHEN u <> 0 THEN t / u END, 6) AS enrichment FROM k")
 def _(v, t):
-    d = V.strand_label(V.label_sbs(v), t, ["t1", "t2", "t3", "t4"]).where("strand_label IN ('T', 'U')")
+    d = V.strand_label(V.label_sbs(v), t).where("strand_label IN ('T', 'U')")
     counts = d.groupBy("sample", F.col("sbs6").alias("component"), F.col("strand_label").alias("strand")).agg(F.count("*").alias("n"))
     return T.strand_bias(counts).select("sample", "component", "t", "u", "t_total", "u_total", *r6("enrichment"))
 
@@ -790,16 +771,7 @@ def _(e):
 
 @query("equal_size_clusters", "exposure")
 def _(e):
-    import numpy as np
-    import pandas as pd
-
-    from locusframe.functions.solvers import same_size_clusters
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="sample", columns="sig", values="amount").fillna(0).sort_index()
-        return pd.DataFrame({"sample": m.index, "cluster": same_size_clusters(m.to_numpy(float), 5).astype(np.int64)})
-
-    return e.groupBy(F.lit(1).alias("one")).applyInPandas(run, "sample string, cluster long")  # a matrix of one group by its definition
+    return X.equal_size_clusters(e, 5)
 
 
 # Bootstrap tables
@@ -923,7 +895,7 @@ def _(v):
 
 @query("sbs_strand_catalog", "variants", "transcripts", sql=_STRAND + " SELECT sample, c AS component, count(*) AS n FROM l WHERE c LIKE 'T:%' OR c LIKE 'U:%' GROUP BY 1, 2")
 def _(v, t):
-    d = V.with_strand(V.strand_label(V.label_sbs(v), t, ["t1", "t2", "t3", "t4"]), "sbs6", ("T", "U"))
+    d = V.with_strand(V.strand_label(V.label_sbs(v), t), "sbs6", ("T", "U"))
     return K.count_components(d, "sbs6_strand")
 
 

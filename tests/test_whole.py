@@ -14,7 +14,7 @@ from tests.conftest import SF
 
 def test_overlap_left_keeps_every_segment(spark):
     key = ["sample", "chromosome", "start_pos", "end_pos", "t1"]
-    out = QUERIES["interval_overlap_left_whole"](spark, SF)
+    out = QUERIES["interval_overlap_left"](spark, SF)
     s = view(spark, SF, "segments").select(key)
     assert s.exceptAll(out.select(key)).count() == 0
     assert out.select(key).distinct().count() == s.distinct().count()
@@ -22,7 +22,7 @@ def test_overlap_left_keeps_every_segment(spark):
 
 def test_complement_keeps_every_segment_and_fills_gaps(spark):
     s = view(spark, SF, "segments")
-    out = QUERIES["complement_chromosomes_whole"](spark, SF)
+    out = QUERIES["complement_chromosomes"](spark, SF)
     samples, ones = s.select("sample").distinct().count(), s.select("sample").distinct().where("sample LIKE '%1'").count()
     assert 0 < ones < samples
     assert s.select("sample", "start_pos", "end_pos", "seg_val").exceptAll(out.select("sample", "start_pos", "end_pos", "seg_val")).count() == 0
@@ -43,7 +43,7 @@ def tau_b(rows):
 
 def test_kendall_counts_every_row(spark):
     rows = [tuple(r) for r in view(spark, SF, "traits").select("score", "extra").collect()]
-    assert QUERIES["kendall_tau_whole"](spark, SF).first().tau == pytest.approx(tau_b(rows), abs=1e-6)
+    assert QUERIES["kendall_tau"](spark, SF).first().tau == pytest.approx(tau_b(rows), abs=1e-6)
 
 
 @pytest.mark.parametrize("cells", [5, 10_000])
@@ -96,6 +96,6 @@ def test_auto_extract_strategies(spark, monkeypatch):
 
 
 def test_rs32_by_segmentation(spark):
-    whole = {tuple(r) for r in QUERIES["sv_clustered_segmented"](spark, SF).select("sample", "component", "n").collect()}
-    got = {tuple(r) for r in QUERIES["sv_clustered_segmented_rs32"](spark, SF).select("sample", "component", "n").collect()}
+    whole = {tuple(r) for r in QUERIES["rs38_catalog"](spark, SF).select("sample", "component", "n").collect()}
+    got = {tuple(r) for r in QUERIES["rs32_catalog"](spark, SF).select("sample", "component", "n").collect()}
     assert got and got == {r for r in whole if "<1Kb" not in r[1]}
