@@ -64,14 +64,16 @@ def simplex_ls(p: np.ndarray, m: np.ndarray) -> np.ndarray:
     return e / e.sum() if e.sum() > 0 else e
 
 
-def anneal(p: np.ndarray, m: np.ndarray, seed: int = 1, steps: int = 4000) -> np.ndarray:
-    """Shares that minimise |m - p e|, by simulated annealing on the simplex."""
+def anneal(p: np.ndarray, m: np.ndarray, seed: int = 1, steps: int = 4000, enough: float = -1.0) -> np.ndarray:
+    """Shares that minimise |m - p e|, by simulated annealing on the simplex; it ends at the first cost up to `enough`."""
     rng = np.random.default_rng(seed)
     k = p.shape[1]
     e = np.full(k, 1.0 / k)
     cost = np.linalg.norm(m - p @ e)
     best, least = e, cost
     for i in range(steps):
+        if least <= enough:
+            break
         heat = (1 - i / steps) ** 2
         x = np.maximum(e + rng.normal(0, 0.3 * heat + 0.003, k) * (rng.random(k) < 0.4), 0)
         if x.sum() <= 0:
@@ -134,6 +136,57 @@ def bootstrap(counts: np.ndarray, p: np.ndarray, seed: int, method: str = "QP")
     return fit_one(draw.astype(float), p, method, seed=seed) * total, draw
 
 
+def suboptimal(counts: np.ndarray, p: np.ndarray, seed: int, factor: float = 1.05) -> np.ndarray:
+    """An exposure whose error is within factor times the least one, from a random start of the annealing; all 0 for an empty catalogue."""
+    total = counts.sum()
+    if total <= 0:
+        return np.zeros(p.shape[1])
+    m = counts / total
+    best = np.linalg.norm(m - p @ simplex_ls(p, m))
+    return anneal(p, m, seed, enough=factor * best) * total
+
+
+def attribute_stepwise(counts: np.ndarray, p: np.ndarray, flag: np.ndarray, loss: float = 0.01, gain: float = 0.05) -> tuple[np.ndarray, float]:
+    """Exposure and cosine: of the allowed signatures (flag 1) those go whose removal costs up to `loss` of the cosine; global ones (flag 2) come in that gain over `gain`."""
+    allowed, far = np.flatnonzero(flag == 1), np.flatnonzero(flag == 2)
+
+    def fitted(at: np.ndarray) -> tuple[np.ndarray, float]:
+        e = np.zeros(p.shape[1])
+        if len(at):
+            e[at] = fit_one(counts, p[:, at]) * counts.sum()
+        return e, cosine(counts, p @ e)
+
+    e, now = fitted(allowed)
+    kept = np.array([i for i in allowed if fitted(allowed[allowed != i])[1] - now < -loss], int)
+    if len(kept):
+        e, now = fitted(kept)
+    base = kept if len(kept) < len(allowed) else allowed
+    more = [i for i in far if fitted(np.sort(np.r_[base, i]))[1] - (now if len(base) else 0.0) > gain]
+    if more:
+        base = np.sort(np.r_[base, more])
+        e, now = fitted(base)
+    return (e, now) if len(base) else fitted(allowed)
+
+
+def attribute_bootstrap(counts: np.ndarray, p: np.ndarray, flag: np.ndarray, seed: int, n: int = 100, share: float = 0.01, by_proportion: bool = False) -> tuple[np.ndarray, float]:
+    """Median exposure of the allowed signatures over n resamples, and the cosine; 0 where the exposure is not significantly over a share of the total."""
+    from locusframe.functions.tests_of_significance import exceeds
+
+    at, total = np.flatnonzero(flag == 1), counts.sum()
+    e = np.zeros(p.shape[1])
+    if not len(at) or total <= 0:
+        return e, 0.0
+    rng = np.random.default_rng(seed)
+    draws = rng.multinomial(int(round(total)), counts / total, n)
+    reps = np.stack([fit_one(d.astype(float), p[:, at]) * d.sum() for d in draws])
+    limit = share * total
+    low = (reps < limit).mean(axis=0)
+    sd = reps.std(axis=0, ddof=1) if n > 1 else np.zeros(len(at))
+    p_value = low if by_proportion else np.array([exceeds(n, m, s, limit) if s > 0 else q for m, s, q in zip(reps.mean(axis=0), sd, low, strict=True)])
+    e[at] = np.where(p_value > 0.05, 0.0, np.median(reps, axis=0))
+    return e, cosine(counts, p @ e)
+
+
 def kl(v: np.ndarray, y: np.ndarray) -> float:
     return float((np.where(v > 0, v * np.log(np.maximum(v, 1e-300) / y), 0) - v + y).sum())
 

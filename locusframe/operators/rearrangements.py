@@ -34,9 +34,8 @@ def clean(raw: DataFrame) -> DataFrame:
     need = [c for c in ("sample", "chr1", "start1", "end1", "chr2", "start2", "end2") if c not in d.columns]
     if need or ("svclass" not in d.columns and not {"strand1", "strand2"} <= set(d.columns)):
         raise ValueError(f"missing columns: {', '.join(need) or 'svclass, or strand1 and strand2'}")
-    if "svclass" not in d.columns:
-        d = d.withColumn("svclass", sv_class())
-    return d.withColumns({c: F.regexp_replace(c, "^(?i)chr", "") for c in ("chr1", "chr2")})
+    d = d.withColumns({c: F.regexp_replace(c, "^(?i)chr", "") for c in ("chr1", "chr2")})  # before the class, which compares them
+    return d if "svclass" in d.columns else d.withColumn("svclass", sv_class())
 
 
 def label_size(d: DataFrame) -> DataFrame:

@@ -78,9 +78,11 @@ def find_doublets(variants: DataFrame, order: Sequence[str] = ("t1", "t2", "t3",
 
 
 def label_dbs(doublets: DataFrame) -> DataFrame:
-    """dbs78 of each doublet; dbs1248 too if upstream and downstream hold the flanking bases. Null unless both bases change."""
+    """dbs78 of each doublet, should_reverse and pure (a reference pair of pyrimidines); dbs1248 too if upstream and downstream hold the flanking bases. Null unless both bases change."""
     pairs = F.create_map(*[F.lit(x) for kv in doublet_pairs().items() for x in kv])
     d = doublets.withColumn("dbs78", F.try_element_at(pairs, F.concat("ref", F.lit(">"), "alt")))
+    first = F.substring("dbs78", 1, 2)
+    d = d.withColumns({"should_reverse": first != F.col("ref"), "pure": F.coalesce(first.isin("TT", "TC", "CT", "CC"), F.lit(False))})
     if "upstream" in doublets.columns:
         d = d.withColumn("dbs1248", F.concat("upstream", F.lit("["), "dbs78", F.lit("]"), "downstream"))
     return d
@@ -116,7 +118,7 @@ def homology(unit: Column, upstream: Column, downstream: Column) -> Column:
 
 
 def label_indels(indels: DataFrame) -> DataFrame:
-    """id83 and id28 of indels with upstream and downstream sequence; id83 is null for complex ones."""
+    """id83 and id28 of indels with upstream and downstream sequence; id83 is null for complex ones. pure: the inserted or deleted bases are all purines or all pyrimidines, should_reverse: purines."""
     d = trim_indels(indels)
     complex_ = (F.col("ref") != "-") & (F.col("alt") != "-")
     d = d.withColumns({"_kind": F.when(F.col("ref") == "-", "Ins").otherwise("Del"), "_unit": F.when(F.col("ref") == "-", F.col("alt")).otherwise(F.col("ref")), "_complex": complex_})
@@ -131,6 +133,8 @@ def label_indels(indels: DataFrame) -> DataFrame:
     count = F.when(F.col("_base") == "M", F.col("n_homology")).otherwise(F.col("n_repeat"))
     name = F.concat_ws(":", F.col("id_len").cast("string"), "_kind", "_base", count.cast("string"))
     short = F.when(F.col("id_len") == 1, name).when(F.col("_base") == "M", "MH").when(F.col("_kind") == "Del", "long_Del").otherwise("long_Ins")
+    turned = unit.rlike("^[AG]+$")
+    d = d.withColumns({"should_reverse": turned, "pure": turned | unit.rlike("^[CT]+$")})
     return d.withColumns({"id83": F.when(~F.col("_complex"), name), "id28": F.when(F.col("_complex"), "complex").otherwise(short)}).drop("_kind", "_unit", "_base", "_complex")
 
 
@@ -141,20 +145,29 @@ ID_83 = (
 )
 
 
-def strand_label(variants: DataFrame, transcripts: DataFrame, row_id: Sequence[str] = ()) -> DataFrame:
-    """strand_label of each variant with should_reverse: B on both strands, T or U on one, N outside transcripts.
+def strand_label(variants: DataFrame, transcripts: DataFrame, end: str | None = None) -> DataFrame:
+    """strand_label of each variant with should_reverse: B on both strands, T or U on one, N outside transcripts; Q if a column pure says that its bases have no strand.
 
     The transcripts (chrom, start_pos, end_pos, strand) are cut into disjoint
-    stretches that know their strands; a position lies in one at most, so a
-    variant is looked up once and no row is put together again.
+    stretches that know their strands. A position lies in one at most, so a
+    variant is looked up once and no row is put together again; with `end`, the
+    last position of a longer variant, all stretches that it meets count.
     """
     from locusframe.operators.intervals import covered, overlap_join
 
     t = transcripts.select(F.col("chrom").alias("_tc"), F.col("start_pos").alias("_ts"), F.col("end_pos").alias("_te"), F.col("strand").alias("_st"))
     runs = covered(t, "_tc", "_ts", "_te", {"_plus": F.col("_st") == "+", "_minus": F.col("_st") == "-"})
-    d = overlap_join(variants, runs, ("chrom", "pos", "pos"), ("_tc", "_ts", "_te"), "left")
+    if end is None:
+        d = overlap_join(variants, runs, ("chrom", "pos", "pos"), ("_tc", "_ts", "_te"), "left")
+    else:
+        row = variants.select("chrom", "pos", F.col(end).alias("_end"), F.struct(*variants.columns).alias("_own"), F.monotonically_increasing_id().alias("_id"))
+        hit = overlap_join(row, runs, ("chrom", "pos", "_end"), ("_tc", "_ts", "_te"), "left")
+        d = hit.groupBy("_id").agg(F.first("_own").alias("_own"), F.max("_tc").alias("_tc"), F.max("_plus").alias("_plus"), F.max("_minus").alias("_minus")).select("_own.*", "_tc", "_plus", "_minus")
     one = F.when(F.col("should_reverse") != F.col("_minus"), "T").otherwise("U")
-    return d.withColumn("strand_label", F.when(F.col("_tc").isNull(), "N").when(F.col("_plus") & F.col("_minus"), "B").otherwise(one)).drop("_tc", "_ts", "_te", "_plus", "_minus")
+    label = F.when(F.col("_tc").isNull(), "N").when(F.col("_plus") & F.col("_minus"), "B").otherwise(one)
+    if "pure" in variants.columns:
+        label = F.when(F.col("pure"), label).otherwise("Q")
+    return d.withColumn("strand_label", label).drop("_tc", "_ts", "_te", "_plus", "_minus")
 
 
 def apobec_counts(variants: DataFrame) -> DataFrame:

@@ -103,6 +103,89 @@ def fit_bootstrap(catalog: DataFrame, signature: DataFrame, n: int = 100, method
     return d.mapInPandas(run, "sample string, type string, sig string, exposure double, error double, cosine double")
 
 
+def fit_bootstrap_batch(catalog: DataFrame, signature: DataFrame, methods: Sequence[str] = ("QP",), n: int = 100, min_count: int = 1, thresholds: Sequence[float] = (0.05,), seed: int = SEED, folder: str | None = None) -> dict[str, DataFrame]:
+    """Four tables over samples, methods and repetitions: expo (method, sample, sig, exposure, type), error, cosine (method, sample, type, value) and p_val.
+
+    With a folder each method's fits are written there as Parquet when they are
+    done and read again by a later call, so that a stopped batch goes on.
+    """
+    spark = catalog.sparkSession
+    whole = None
+    for m in methods:
+        path = f"{folder}/method={m}" if folder else None
+        if path and spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+            one = spark.read.parquet(path)
+        else:
+            one = fit_bootstrap(catalog, signature, n, m, min_count, seed)
+            if path:
+                one.write.mode("overwrite").parquet(path)
+                one = spark.read.parquet(path)
+        one = one.withColumn("method", F.lit(m))
+        whole = one if whole is None else whole.unionByName(one)
+    single = lambda c: whole.groupBy("method", "sample", "type").agg(F.first(c).alias(c))
+    p = None
+    for m in methods:
+        q = bootstrap_p_values(whole.where(F.col("method") == m), thresholds).withColumn("method", F.lit(m))
+        p = q if p is None else p.unionByName(q)
+    return {"expo": whole.select("method", "sample", "sig", "exposure", "type"), "error": single("error"), "cosine": single("cosine"), "p_val": p}
+
+
+def fit_suboptimal(catalog: DataFrame, signature: DataFrame, n: int = 100, factor: float = 1.05, seed: int = SEED) -> DataFrame:
+    """sample, type (Rep_i), sig, exposure, error, cosine of n fits of each catalogue whose error is within factor times the least one; the catalogues are not resampled."""
+    components, sigs, p = signature_matrix(signature)
+    shared = catalog.sparkSession.sparkContext.broadcast(p)
+    d = sample_arrays(catalog, components).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("seed", F.abs(F.xxhash64("sample", "rep", F.lit(seed)) % (1 << 31)))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for s, c, rep, sd in zip(pdf["sample"], pdf["counts"], pdf["rep"], pdf["seed"], strict=True):
+                c = np.asarray(c)
+                e = solvers.suboptimal(c, shared.value, int(sd), factor)
+                made = shared.value @ e
+                rows += [(s, f"Rep_{rep}", k, v, float(np.linalg.norm(c - made)), solvers.cosine(c, made)) for k, v in zip(sigs, np.round(e, 6).tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["sample", "type", "sig", "exposure", "error", "cosine"])
+
+    return d.mapInPandas(run, "sample string, type string, sig string, exposure double, error double, cosine double")
+
+
+def attribute(catalog: DataFrame, signature: DataFrame, exposure: DataFrame, classes: DataFrame | None = None, method: str = "bt", cutoff: float = 0.05, by_proportion: bool = False, seed: int = SEED) -> DataFrame:
+    """sample, sig, exposure, cosine: activities of the signatures with which signatures may be in which sample decided first.
+
+    exposure (sample, sig, amount) is an earlier estimate and classes (sample,
+    cls) the samples' classes, see tables.allowed_signatures. bt: medians over
+    resamples, without what is not significantly there; stepwise: allowed ones
+    removed and global ones added by their worth for the cosine.
+    """
+    from locusframe.operators.catalog import relative_exposure
+    from locusframe.operators.tables import allowed_signatures
+
+    if method not in ("bt", "stepwise"):
+        raise ValueError("method must be bt or stepwise")
+    components, sigs, p = signature_matrix(signature)
+    at = {s: i for i, s in enumerate(sigs)}
+    flags = allowed_signatures(relative_exposure(exposure), classes, cutoff)
+    held = flags.groupBy("sample").agg(F.collect_list(F.struct("sig", "flag")).alias("flags"))
+    d = sample_arrays(catalog, components).join(held, "sample", "left").withColumn("seed", F.abs(F.xxhash64("sample", F.lit(seed)) % (1 << 31)))
+    shared = catalog.sparkSession.sparkContext.broadcast((p, at))
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p, at = shared.value
+        for pdf in it:
+            rows = []
+            for s, c, fs, sd in zip(pdf["sample"], pdf["counts"], pdf["flags"], pdf["seed"], strict=True):
+                c = np.asarray(c)
+                flag = np.full(len(at), 1 if fs is None else 2)
+                for f in fs if fs is not None else ():
+                    if f["sig"] in at:
+                        flag[at[f["sig"]]] = f["flag"]
+                e, cos = solvers.attribute_bootstrap(c, p, flag, int(sd), by_proportion=by_proportion) if method == "bt" else solvers.attribute_stepwise(c, p, flag)
+                rows += [(s, k, v, cos) for k, v in zip(at, np.round(e, 6).tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["sample", "sig", "exposure", "cosine"])
+
+    return d.mapInPandas(run, "sample string, sig string, exposure double, cosine double")
+
+
 def bootstrap_p_values(boot: DataFrame, thresholds: Sequence[float] = (0.05,)) -> DataFrame:
     """sample, sig, threshold, p_value: that the mean relative exposure over repetitions exceeds the threshold (one-sided t-test); where it does not vary, the share of repetitions at or below it."""
     from locusframe.functions import tests_of_significance as T
@@ -170,15 +253,50 @@ def _solution(spark: SparkSession, components: list[str], samples: list[str], w:
     return spark.createDataFrame(a, "sig string, component string, weight double, share double"), spark.createDataFrame(b, "sample string, sig string, amount double, rel double")
 
 
-def extract(catalog: DataFrame, n_sig: int, n_run: int = 10, seed: int = SEED, n_iter: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """Signatures and exposures of the best of n_run factorisations with n_sig signatures."""
+def _refitted(catalog: DataFrame, sig: DataFrame) -> DataFrame:
+    """Exposures (sample, sig, amount, rel) of the catalogue fitted to the signatures by quadratic programming."""
+    from locusframe.operators.catalog import share
+
+    e = fit(catalog, sig.select("sig", "component", F.col("share").alias("weight"))).select("sample", "sig", F.col("exposure").alias("amount"))
+    return e.withColumn("rel", share("amount", "sample"))
+
+
+def extract(catalog: DataFrame, n_sig: int, n_run: int = 10, seed: int = SEED, n_iter: int = 2000, optimize: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Signatures and exposures of the best of n_run factorisations with n_sig signatures; with optimize the exposures are those of a fit to the signatures found. Halves of split samples (hyper_split) are summed again."""
+    from locusframe.operators.catalog import hyper_collapse, share
+
+    sig, expo = _extract(catalog, n_sig, n_run, seed, n_iter)
+    if optimize:
+        expo = _refitted(catalog, sig)
+    whole = hyper_collapse(expo.select("sample", "sig", "amount"), "amount", ["sig"])
+    return sig, whole.withColumn("rel", share("amount", "sample"))
+
+
+def _extract(catalog: DataFrame, n_sig: int, n_run: int, seed: int, n_iter: int) -> tuple[DataFrame, DataFrame]:
     tasks = [(n_sig, 0, r, seed + r) for r in range(n_run)]
     components, samples, runs = _factorise(catalog, tasks, "KL", False, n_iter)
     best = runs.orderBy(F.desc("score"), "run").first()
     return _solution(catalog.sparkSession, components, samples, np.array(best["w"]).reshape(-1, n_sig), np.array(best["h"]).reshape(n_sig, -1))
 
 
-def estimate(catalog: DataFrame, ranks: Sequence[int], n_run: int = 10, seed: int = SEED, n_iter: int = 500) -> DataFrame:
+def randomised(catalog: DataFrame, seed: int = SEED) -> DataFrame:
+    """The catalogue with each sample's counts dealt anew over its components, at random but alike in every run."""
+    parts = F.col("component"), F.xxhash64("sample", "component", F.lit(seed))
+    a = Window.partitionBy("sample").orderBy("component")
+    b = Window.partitionBy("sample").orderBy(parts[1], "component")
+    d = catalog.select("sample", "component", "n", F.row_number().over(a).alias("_i"), F.row_number().over(b).alias("_j"))
+    return d.select("sample", "component", "_i").join(d.select("sample", F.col("_j").alias("_i"), "n"), ["sample", "_i"]).select("sample", "component", "n")
+
+
+def estimate(catalog: DataFrame, ranks: Sequence[int], n_run: int = 10, seed: int = SEED, n_iter: int = 500, use_random: bool = False) -> DataFrame:
+    """Survey of ranks over the catalogue, and with use_random over a randomised one too (column data tells them apart). See _estimate for the columns."""
+    out = _estimate(catalog, ranks, n_run, seed, n_iter)
+    if use_random:
+        out = out.withColumn("data", F.lit("own")).unionByName(_estimate(randomised(catalog, seed), ranks, n_run, seed, n_iter).withColumn("data", F.lit("random")))
+    return out
+
+
+def _estimate(catalog: DataFrame, ranks: Sequence[int], n_run: int, seed: int, n_iter: int) -> DataFrame:
     """Survey of ranks: k, residual (divergence), rss, evar, cophenetic, dispersion, sparseness of the basis and mean silhouette of the consensus."""
     tasks = [(k, 0, r, seed + r) for k in ranks for r in range(n_run)]
     _, samples, runs = _factorise(catalog, tasks, "KL", False, n_iter)
@@ -242,6 +360,61 @@ def auto_extract(catalog: DataFrame, k0: int = 25, n_run: int = 10, prior: str =
     return _solution(catalog.sparkSession, components, samples, np.array(best["w"]).reshape(-1, k), np.array(best["h"]).reshape(k, -1))
 
 
+def worthwhile(catalog: DataFrame, min_contribution: float = 0.0, handle_hyper_mutation: bool = True) -> DataFrame:
+    """The catalogue without empty samples and without components that hold less than min_contribution of all counts, samples with far too many counts split."""
+    from locusframe.operators.catalog import hyper_split
+
+    d = catalog.join(catalog.groupBy("sample").agg(F.sum("n").alias("_t")).where("_t > 0").select("sample"), "sample", "left_semi")
+    if min_contribution > 0:
+        whole = d.agg(F.sum("n").alias("_all"))
+        kept = d.groupBy("component").agg(F.sum("n").alias("_c")).crossJoin(F.broadcast(whole)).where(F.col("_c") >= min_contribution * F.col("_all")).select("component")
+        d = d.join(kept, "component", "left_semi")
+    return hyper_split(d) if handle_hyper_mutation else d
+
+
+def unify_extract(catalog: DataFrame, ranks: Sequence[int], approach: str = "bayes_auto", **options):
+    """One entry to the extractions: bayes_auto (auto_extract), repeated_nmf (extract, ranks of one number), bootstrap_nmf (best_practice)."""
+    if approach == "bayes_auto":
+        return auto_extract(catalog, k0=max(ranks), **options)
+    if approach == "repeated_nmf":
+        if len(ranks) != 1:
+            raise ValueError("repeated_nmf takes one number of signatures; survey others with estimate")
+        return extract(catalog, ranks[0], **options)
+    if approach == "bootstrap_nmf":
+        return best_practice(worthwhile(catalog, options.pop("min_contribution", 0.0), options.pop("handle_hyper_mutation", True)), ranks, **options)
+    raise ValueError("approach must be one of bayes_auto, repeated_nmf, bootstrap_nmf")
+
+
+def cluster_iterations(signatures: DataFrame, ranks: Sequence[int]) -> DataFrame:
+    """k, sig, cluster, silhouette: average-linkage clusters of signatures (sig, component, weight; of several extractions) by their cosine distances, for each number k. All distances are looked at in one task, after a check of their number."""
+    _, sigs, p = signature_matrix(signatures)
+    n = len(sigs)
+    _limited(n * n)
+    unit = p / np.maximum(np.linalg.norm(p, axis=0), 1e-300)
+    shared = signatures.sparkSession.sparkContext.broadcast((sigs, unit))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sigs, unit = shared.value
+        dist = np.maximum(1 - unit.T @ unit, 0)
+        np.fill_diagonal(dist, 0)
+        label = solvers.cut_tree(solvers.hclust(dist), len(sigs), int(pdf["k"].iloc[0]))
+        return pd.DataFrame({"k": int(pdf["k"].iloc[0]), "sig": sigs, "cluster": label.astype(np.int32), "silhouette": solvers.silhouette(dist, label)})
+
+    tasks = signatures.sparkSession.createDataFrame([(int(k),) for k in ranks if 1 < k < n], "k int")
+    return tasks.groupBy("k").applyInPandas(run, "k int, sig string, cluster int, silhouette double")
+
+
+def saved_run(runs: DataFrame, components: Sequence[str], samples: Sequence[str], run: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures and exposures of one run of a table of runs, columns of W with sums up to 1 left out."""
+    r = runs.where(F.col("run") == run).first()
+    if r is None:
+        raise ValueError(f"no run {run}")
+    k = r["kept"]
+    w, h = np.array(r["w"]).reshape(-1, k), np.array(r["h"]).reshape(k, -1)
+    at = solvers.kept_signatures(w)
+    return _solution(runs.sparkSession, list(components), list(samples), w[:, at], h[at])
+
+
 def best_practice(catalog: DataFrame, ranks: Sequence[int], n_bootstrap: int = 20, n_run: int = 50, rtol: float = 1e-3, seed: int = SEED, n_iter: int = 1000) -> DataFrame:
     """Runs over resampled catalogues, those near the best of their catalogue aligned: k, sig, component, mean, sd, least, most, silhouette and l2_error per number of signatures."""
     tasks = [(k, b, r, seed + 1000 * b + r) for k in ranks for b in range(n_bootstrap) for r in range(n_run)]

@@ -13,8 +13,12 @@ from locusframe.operators import intervals as I
 from locusframe.operators import rearrangements as R
 from locusframe.operators import segments as S
 from locusframe.operators import stats as T
+from locusframe.operators import tables as B
 from locusframe.operators import variants as V
 from locusframe.plans import extraction as X
+from locusframe.plans import tally as Y
+from locusframe.sources import genomes as G
+from locusframe.sources.readers import reordered
 from locusframe.sources.domain import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -366,10 +370,44 @@ def _(s):
     return K.count_bins(values, s.sparkSession.createDataFrame(K.component_bins(), "feature string, component string, label string, low double, high double"))
 
 
-@query("cnw_all_components", "segments", "chrom_sizes")
+_FEATURES = {"BP10MB": "cnw_bp10mb", "BPArm": "cnw_bparm", "CN": "cnw_cn", "CNCP": "cnw_changepoint", "OsCN": "cnw_oscillation", "NC50": "cnw_nc50", "BoChr": "cnw_bochr", "SS": "cnw_segsize"}
+_EDGE = {float("inf"): "'Infinity'::DOUBLE", float("-inf"): "'-Infinity'::DOUBLE"}
+_BINS = "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{c}', '{k}', {_EDGE.get(a, a)}, {_EDGE.get(z, z)})" for f, c, k, a, z in K.component_bins()) + ") AS b(feature, component, label, low, high)"
+_W_ALL = f", bins AS ({_BINS}), f AS (" + " UNION ALL ".join(
+    f"SELECT sample, '{f}' AS feature, {'log10(value)' if f == 'SS' else 'CAST(value AS DOUBLE)'} AS value, {'1' if q == 'cnw_nc50' else 'n'} AS n FROM ({ORACLES[q]})" for f, q in _FEATURES.items()
+) + ") SELECT sample, component, CAST(sum(n) AS BIGINT) AS n FROM f JOIN bins ON bins.feature = f.feature AND ((label = 'point' AND value = low) OR (label = 'range' AND value > low AND value <= high)) GROUP BY 1, 2"
+
+
+@query("cnw_all_components", "segments", "chrom_sizes", sql=_W_ALL)
 def _(s, c):
-    bins = s.sparkSession.createDataFrame(K.component_bins(), "feature string, component string, label string, low double, high double")
-    return K.count_bins(K.features_w(s, c), bins)
+    return Y.tally(s, "segments", method="W", sizes=c)["cn_w"]
+
+
+_NEAR = ", n AS (SELECT a.sample, a.chromosome, a.start_pos, a.t1, a.t2, a.t3, a.t4, count(*) - 1 AS n_near FROM segments a JOIN segments b ON a.sample = b.sample AND a.chromosome = b.chromosome AND b.start_pos <= a.start_pos + 5000000 AND b.end_pos >= greatest(a.start_pos - 5000000, 1) GROUP BY ALL)"
+
+
+@query("cn_t_complex_catalog", "segments", sql=_CTX + _NEAR + f""" SELECT sample, concat_ws(':', CASE WHEN floor(log10({_LEN})) <= 2 THEN '2-' WHEN floor(log10({_LEN})) > 7 THEN '8+' ELSE CAST(CAST(floor(log10({_LEN})) AS INTEGER) AS STRING) END, cs, CASE WHEN seg_val <= 8 THEN CAST(seg_val AS STRING) ELSE '9+' END,
+  concat('P', CASE WHEN n_near <= 2 THEN '2-' WHEN n_near <= 4 THEN '4-' WHEN n_near <= 6 THEN '6-' WHEN n_near <= 8 THEN '8-' WHEN n_near <= 10 THEN '10-' ELSE '11+' END)) AS component, count(*) AS n FROM k JOIN n USING (sample, chromosome, start_pos, t1, t2, t3, t4) GROUP BY 1, 2""")
+def _(s):
+    return Y.tally(I.self_flank(s), "segments", method="T")["cn_t_complex"]
+
+
+_T_LOH = _TCLASS.replace("IN ('LHH', 'EHH')", "IN ('LHH', 'EHH') AND cn <> '2+LOH'").replace("FROM k WHERE", f"FROM (SELECT * REPLACE (CASE WHEN {_LOH} AND seg_val <> 1 THEN '2+LOH' ELSE cn END AS cn) FROM k) WHERE")
+
+
+@query("cn_t_loh_catalog", "segments", sql=_T_LOH + " SELECT sample, concat_ws(':', ss, cs, cn, st) AS component, count(*) AS n FROM m GROUP BY 1, 2")
+def _(s):
+    return Y.tally(S.label_loh(s), "segments", method="T", with_loh=True)["cn_t_standard"]
+
+
+@query("cn_x_loh_catalog", "segments", sql=_CTX + f", m AS (SELECT sample, ss, cs, CASE WHEN {_LOH} AND seg_val = 2 THEN '2LOH' WHEN {_LOH} AND seg_val > 2 THEN '3+LOH' ELSE xn END AS xn, CASE WHEN ab = 'AA' THEN 'AA' ELSE 'BB' END AS st FROM k) SELECT sample, concat_ws(':', ss, cs, xn, st) AS component, count(*) AS n FROM m WHERE NOT (cs <> 'HH' AND (xn = '0' OR (xn IN ('1', '2', '2LOH') AND st = 'BB'))) GROUP BY 1, 2")
+def _(s):
+    return Y.tally(S.label_loh(s), "segments", method="X", with_loh=True)["cn_x_standard"]
+
+
+@query("tally_without_chromosomes", "segments", sql=f"SELECT sample, c AS component, count(*) AS n FROM (SELECT sample, {_C48} AS c FROM segments WHERE chromosome NOT IN ('chr1', 'chr2')) WHERE c NOT LIKE '1:het:%' GROUP BY 1, 2")
+def _(s):
+    return Y.tally(S.label_loh(s), "segments", method="S", ignore_chrs=("chr1", "chr2"))["cn48"]
 
 
 # Small variants
@@ -575,9 +613,17 @@ def _(c):
 _SKEWED = ", k AS (SELECT CASE WHEN CAST(sample AS BIGINT) % 9 = 0 THEN n * 40 ELSE n END AS n, sample, component FROM catalog)"
 
 
-@query("hyper_split", "catalog")
+#: Rounds of halving in the SQL; a round that halves nothing changes nothing.
+_ROUNDS = 12
+_HYPER = _SKEWED + ", t0 AS (SELECT sample, CAST(sum(n) AS DOUBLE) AS total, 0 AS k FROM k GROUP BY 1)" + "".join(
+    f", x{i} AS (SELECT quantile_cont(x, 0.5) + 1.5 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) AS l FROM (SELECT total / 2.0 ** k AS x, unnest(range(CAST(2 ** k AS BIGINT))) FROM t{i})), t{i + 1} AS (SELECT sample, total, k + CASE WHEN total / 2.0 ** k > l THEN 1 ELSE 0 END AS k FROM t{i}, x{i})"
+    for i in range(_ROUNDS)
+)
+
+
+@query("hyper_split", "catalog", sql=_HYPER + f", p AS (SELECT sample, k, unnest(range(1, CAST(2 ** k AS BIGINT) + 1)) AS part FROM t{_ROUNDS}) SELECT CASE WHEN p.k > 0 THEN concat(p.sample, '_[hyper]_', part) ELSE p.sample END AS sample, component, round(n / 2.0 ** p.k, 6) AS n FROM k JOIN p ON p.sample = k.sample")
 def _(c):
-    return C.hyper_split(c.withColumn("n", F.when(F.col("sample").cast("long") % 9 == 0, F.col("n") * 40).otherwise(F.col("n"))))
+    return C.hyper_split(c.withColumn("n", F.when(F.col("sample").cast("long") % 9 == 0, F.col("n") * 40).otherwise(F.col("n")))).select("sample", "component", *r6("n"))
 
 
 @query("hyper_collapse", "catalog", sql=_SKEWED + " SELECT sample, component, round(CAST(n AS DOUBLE), 6) AS n FROM k")
@@ -912,3 +958,188 @@ def _(c):
 @query("nmf_consensus_groups", "catalog")
 def _(c):
     return X.consensus_groups(c, 3)
+
+
+# The entry to all catalogues, and strand catalogues
+
+_LABEL = "CASE WHEN NOT pure THEN 'Q' WHEN a IS NULL THEN 'N' WHEN a <> b THEN 'B' WHEN rev <> (a = '-') THEN 'T' ELSE 'U' END"
+
+
+@query("dbs78_strand_catalog", "variants", "transcripts", sql=_DBL + f""", p AS ({_D78}), e AS (SELECT row_number() OVER () AS id, sample, chrom, pos, cls, substr(cls, 1, 2) <> ref AS rev, substr(cls, 1, 2) IN ('TT', 'TC', 'CT', 'CC') AS pure FROM d JOIN p ON pair = concat(ref, '>', alt) WHERE np = pos + 1),
+h AS (SELECT id, min(strand) AS a, max(strand) AS b FROM e JOIN transcripts t ON t.chrom = e.chrom AND t.start_pos <= pos + 1 AND t.end_pos >= pos GROUP BY 1) SELECT sample, concat({_LABEL}, ':', cls) AS component, count(*) AS n FROM e LEFT JOIN h USING (id) GROUP BY 1, 2""")
+def _(v, t):
+    return Y.tally(v, "variants", mode="DBS", add_trans_bias=True, transcripts=t, order=("t1", "t2", "t3", "t4"))["dbs78_strand"]
+
+
+@query("id83_strand_catalog", "indels", "transcripts", sql=_ID83 + f""", e AS (SELECT row_number() OVER () AS id2, sample, concat('chr', CAST(1 + t2 % 22 AS STRING)) AS chrom, pos, pos + length(ref) - 1 AS stop, id, regexp_full_match(u, '[AG]+') AS rev, regexp_full_match(u, '[AG]+|[CT]+') AS pure FROM m WHERE ref = '-' OR alt = '-'),
+h AS (SELECT id2, min(strand) AS a, max(strand) AS b FROM e JOIN transcripts t ON t.chrom = e.chrom AND t.start_pos <= stop AND t.end_pos >= pos GROUP BY 1) SELECT sample, concat({_LABEL}, ':', id) AS component, count(*) AS n FROM e LEFT JOIN h USING (id2) GROUP BY 1, 2""")
+def _(v, t):
+    d = v.withColumn("chrom", F.concat(F.lit("chr"), (1 + F.col("t2") % 22).cast("string")))
+    return Y.tally(d, "variants", mode="ID", add_trans_bias=True, transcripts=t)["id83_strand"]
+
+
+@query("sbs96_strand_catalog", "variants", "transcripts", sql=_SBS + """, h AS (SELECT v.t1, v.t2, v.t3, v.t4, min(strand) AS a, max(strand) AS b FROM variants v JOIN transcripts t ON t.chrom = v.chrom AND pos BETWEEN t.start_pos AND t.end_pos GROUP BY 1, 2, 3, 4)
+SELECT sample, concat(CASE WHEN a IS NULL THEN 'N' WHEN a <> b THEN 'B' WHEN (ref IN ('A', 'G')) <> (a = '-') THEN 'T' ELSE 'U' END, ':', substr(ctx, 2, 1), '[', sub, ']', substr(ctx, 4, 1)) AS component, count(*) AS n FROM f LEFT JOIN h USING (t1, t2, t3, t4) GROUP BY 1, 2""")
+def _(v, t):
+    return Y.tally(v, "variants", mode="SBS", add_trans_bias=True, transcripts=t)["sbs96_strand"]
+
+
+@query("genome_annotation", "chrom_sizes", sql=", g AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {n}, {a}, {i + 1})" for i, (c, n, a) in enumerate(zip(G.chromosomes("hg19"), G.SIZES["hg19"], G.CENTROMERES_HG19, strict=True))) + ") AS g(chrom, size, cen_left, place)) SELECT chrom, size, cen_left, cen_left + 3000000 AS cen_right, place FROM g WHERE chrom IN (SELECT chrom FROM chrom_sizes)")
+def _(c):
+    return G.genome_annotation(c.sparkSession, "centro_loc", "hg19").join(c.select("chrom"), "chrom", "left_semi")
+
+
+# Selections, histograms and mappings
+
+@query("cn_profile_range", "segments", sql="SELECT sample, start_pos, end_pos, seg_val FROM segments WHERE chromosome = 'chr3' AND start_pos <= 60000000 AND end_pos >= 20000000")
+def _(s):
+    return B.selected_segments(s, region=("chr3", 20_000_000, 60_000_000)).select("sample", "start_pos", "end_pos", "seg_val")
+
+
+@query("cn_sample_segments", "segments", sql="SELECT sample, chromosome, start_pos, end_pos, seg_val FROM segments WHERE sample IN ('s1', 's2') AND chromosome IN ('chr1', 'chr2')")
+def _(s):
+    return base(B.selected_segments(s, ["s1", "s2"], ["chr1", "chr2"]))
+
+
+@query("gene_highlight", "bands", "transcripts", sql="SELECT b.chrom, b.start_pos, band, count(*) AS n, count(CASE WHEN t.end_pos <= b.end_pos AND t.start_pos >= b.start_pos THEN gene END) AS held FROM bands b LEFT JOIN transcripts t ON t.chrom = b.chrom GROUP BY 1, 2, 3")
+def _(b, t):
+    genes = t.select("chrom", F.col("start_pos").alias("gene_start"), F.col("end_pos").alias("gene_end"), "gene")
+    return B.highlight(b, genes).groupBy("chrom", "start_pos", "band").agg(F.count("*").alias("n"), F.count("highlight").alias("held"))
+
+
+@query("cn_burden_per_mb", "segments", "chrom_sizes", sql=_ARM + " SELECT chromosome, arm, count(*) AS n, round(count(*) * 1e6 / any_value(size), 6) AS per_mb FROM b GROUP BY 1, 2")
+def _(s, c):
+    return B.burden_per_mb(S.arm_annotation(s, c), c).select("chromosome", "arm", "n", *r6("per_mb"))
+
+
+@query("cn_fraction_histogram", "segments", "chrom_sizes", sql=_ARM + " SELECT CAST(least(floor(fraction / 0.1), 9) AS INTEGER) AS bin, count(*) AS n FROM b GROUP BY 1")
+def _(s, c):
+    return B.fraction_histogram(S.arm_annotation(s, c))
+
+
+_VAL = ", v AS (SELECT 'CN' AS feature, CAST(seg_val AS DOUBLE) AS value FROM segments UNION ALL SELECT 'MINOR', CAST(minor_cn AS DOUBLE) FROM segments)"
+
+
+def _two_features(s: DataFrame) -> DataFrame:
+    one = lambda f, c: s.select(F.lit(f).alias("feature"), F.col(c).cast("double").alias("value"))
+    return one("CN", "seg_val").unionByName(one("MINOR", "minor_cn"))
+
+
+@query("cn_feature_histogram", "segments", sql=_VAL + ", m AS (SELECT feature, min(value) AS lo, max(value) AS hi FROM v GROUP BY 1) SELECT feature, CAST(least(floor((value - lo) * 5 / (hi - lo)), 4) AS INTEGER) AS bin, count(*) AS n FROM v JOIN m USING (feature) GROUP BY 1, 2")
+def _(s):
+    return B.feature_histogram(_two_features(s), 5)
+
+
+@query("cn_feature_outliers", "segments", sql=_VAL + ", w AS (SELECT feature, CASE WHEN feature = 'CN' AND value = 7 THEN 700 ELSE value END AS value FROM v), q AS (SELECT feature, quantile_disc(value, 0.25) AS a, quantile_disc(value, 0.75) AS b FROM w GROUP BY 1) SELECT feature, value, count(*) AS n FROM w JOIN q USING (feature) WHERE value >= a - 1.5 * (b - a) AND value <= b + 1.5 * (b - a) GROUP BY 1, 2")
+def _(s):
+    d = _two_features(s).withColumn("value", F.when((F.col("feature") == "CN") & (F.col("value") == 7), 700.0).otherwise(F.col("value")))
+    return B.without_outliers(d).groupBy("feature", "value").agg(F.count("*").alias("n"))
+
+
+@query("catalogue_profile", "catalog", sql="SELECT component, CAST(sum(n) AS BIGINT) AS n FROM catalog GROUP BY 1")
+def _(c):
+    return B.catalogue_profile(c)
+
+
+@query("profile_split_sbs", "variants", sql=_SBS + " SELECT sub AS base, concat(substr(ctx, 2, 1), substr(sub, 1, 1), substr(ctx, 4, 1)) AS context, count(*) AS n FROM f GROUP BY 1, 2")
+def _(v):
+    d = B.profile_split(K.count_components(V.label_sbs(v), "sbs96"), "SBS")
+    return d.groupBy("base", "context").agg(F.sum("n").alias("n"))
+
+
+@query("profile_split_rs", "sv", sql=_RS + " SELECT concat_ws(':', split_part(component, ':', 1), split_part(component, ':', 2)) AS base, split_part(component, ':', 3) AS context, count(*) AS n FROM n GROUP BY 1, 2")
+def _(d):
+    return B.profile_split(_rs(d, "rs38"), "RS").groupBy("base", "context").agg(F.sum("n").alias("n"))
+
+
+_PV = ", p AS (SELECT id, CAST(extra AS DOUBLE) / 97 AS fdr, CASE WHEN flag THEN 2.0 ELSE 0.5 END AS measure_observed FROM traits)"
+
+
+@query("signed_log_p", "traits", sql=_PV + " SELECT id, round(CASE WHEN measure_observed >= 1 THEN 1 ELSE -1 END * abs(log10(CASE WHEN fdr = 0 THEN 2.2250738585072014e-308 ELSE fdr END)), 6) AS p_value_up, CASE WHEN fdr < 0.001 THEN '< 0.001' WHEN fdr < 0.01 THEN '< 0.01' WHEN fdr < 0.05 THEN '< 0.05' ELSE '>= 0.05' END AS p_bin FROM p")
+def _(t):
+    d = t.select("id", (F.col("extra").cast("double") / 97).alias("fdr"), F.when(F.col("flag"), 2.0).otherwise(0.5).alias("measure_observed"))
+    return B.signed_log_p(d).select("id", *r6("p_value_up"), "p_bin")
+
+
+@query("mapping_table", "traits", sql=", d AS (SELECT grp, region, flag, count(*) AS n FROM traits GROUP BY 1, 2, 3), a AS (SELECT concat_ws('|', grp, region, CAST(flag AS STRING)) AS alluvium, * FROM d) SELECT alluvium, n, 'grp' AS axis, grp AS stratum FROM a UNION ALL SELECT alluvium, n, 'region', region FROM a UNION ALL SELECT alluvium, n, 'flag', CAST(flag AS STRING) FROM a")
+def _(t):
+    return B.mapping_table(t, ["grp", "region", "flag"])
+
+
+@query("adjusted_pairs", "traits", sql=", g AS (SELECT DISTINCT grp FROM traits), p AS (SELECT a.grp AS g1, b.grp AS g2 FROM g a JOIN g b ON a.grp < b.grp), r AS (SELECT g1, g2, grp, rank() OVER (PARTITION BY g1, g2 ORDER BY extra) + (count(*) OVER (PARTITION BY g1, g2, extra) - 1) / 2 AS r FROM p JOIN traits ON grp IN (g1, g2)), w AS (SELECT g1, g2, count(*) FILTER (grp = g1) AS n1, count(*) FILTER (grp = g2) AS n2, sum(r) FILTER (grp = g1) - count(*) FILTER (grp = g1) * (count(*) FILTER (grp = g1) + 1) / 2 AS statistic FROM r GROUP BY 1, 2) SELECT g1, g2, n1, n2, statistic, round((SELECT max(extra) FROM traits) * (1 + row_number() OVER (ORDER BY g1, g2) / 10), 6) AS y_position FROM w")
+def _(t):
+    return B.adjusted_pairs(t, "extra", "grp").select("g1", "g2", "n1", "n2", "statistic", *r6("y_position"))
+
+
+@query("reordered_catalog", "catalog", sql=", v AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate([*reversed(_COMPONENTS), "none"])) + ") AS v(place, component)), s AS (SELECT DISTINCT sample FROM catalog) SELECT s.sample, place, v.component, coalesce(n, 0) AS n FROM s CROSS JOIN v LEFT JOIN catalog c ON c.sample = s.sample AND c.component = v.component")
+def _(c):
+    return reordered(c, [*reversed(_COMPONENTS), "none"])
+
+
+# Clusters of signatures, and which signatures may be in which sample
+
+_CL = _SIG + ", c AS (SELECT sig, CAST(length(sig) % 2 AS INTEGER) AS cluster FROM (SELECT DISTINCT sig FROM signature)), n AS (SELECT cluster, count(*) AS k FROM c GROUP BY 1), mean AS (SELECT cluster, component, sum(w) / any_value(k) AS weight FROM w JOIN c USING (sig) JOIN n USING (cluster) GROUP BY 1, 2)"
+
+
+def _clusters(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return C.normalize(s, "n", ["sig"]), s.select("sig").distinct().withColumn("cluster", F.length("sig") % 2)
+
+
+@query("cluster_means", "signature", sql=_CL + " SELECT cluster, component, round(weight, 6) AS weight FROM mean")
+def _(s):
+    return B.cluster_means(*_clusters(s)).select("cluster", "component", *r6("weight"))
+
+
+@query("cluster_similarity_to_mean", "signature", sql=_CL + ", m AS (SELECT cluster, sqrt(sum(weight * weight)) AS m FROM mean GROUP BY 1) SELECT sig, cluster, round(sum(w * coalesce(weight, 0)) / (sqrt(sum(w * w)) * any_value(m)), 6) AS cosine FROM w JOIN c USING (sig) LEFT JOIN mean USING (cluster, component) JOIN m USING (cluster) GROUP BY 1, 2")
+def _(s):
+    return B.similarity_to_mean(*_clusters(s)).select("sig", "cluster", *r6("cosine"))
+
+
+@query("allowed_signatures", "exposure", sql=", r AS (SELECT sample, sig, CAST(sample AS BIGINT) % 3 AS cls, amount / sum(amount) OVER (PARTITION BY sample) > 0.2 AS own FROM exposure) SELECT sample, sig, CASE WHEN own OR count(*) FILTER (own) OVER (PARTITION BY cls, sig) > 5 THEN 1 ELSE 2 END AS flag FROM r")
+def _(e):
+    classes = e.select("sample").distinct().withColumn("cls", F.col("sample").cast("long") % 3)
+    return B.allowed_signatures(C.relative_exposure(e), classes, 0.2)
+
+
+@query("segment_size_order", "signature", sql=", c AS (SELECT sig, CAST(length(component) % 9 AS INTEGER) AS k, sum(n) AS w FROM signature GROUP BY 1, 2), b AS (SELECT sig, arg_max(k, (w, -k)) AS k FROM c GROUP BY 1) SELECT sig, CAST(row_number() OVER (ORDER BY k, sig) AS INTEGER) AS place FROM b")
+def _(s):
+    d = s.groupBy("sig", (F.length("component") % 9).alias("k")).agg(F.sum("n").alias("weight"))
+    return B.segment_size_order(d.select("sig", F.concat(F.lit("SS[>"), F.col("k").cast("string"), F.lit("]")).alias("component"), "weight"))
+
+
+@query("attribute_bootstrap", "catalog")
+def _(c):
+    sig = _signatures(c)
+    return X.attribute(c, sig, X.fit(c, sig).select("sample", "sig", F.col("exposure").alias("amount")))
+
+
+@query("attribute_stepwise", "catalog")
+def _(c):
+    sig = _signatures(c)
+    classes = c.select("sample").distinct().withColumn("cls", F.col("sample").cast("long") % 2)
+    return X.attribute(c, sig, X.fit(c, sig).select("sample", "sig", F.col("exposure").alias("amount")), classes, "stepwise")
+
+
+@query("fit_suboptimal", "catalog")
+def _(c):
+    return X.fit_suboptimal(c, _signatures(c))
+
+
+@query("fit_bootstrap_batch", "catalog")
+def _(c):
+    return X.fit_bootstrap_batch(c, _signatures(c), ("QP", "NNLS"))["p_val"]
+
+
+@query("cluster_iterations", "signature")
+def _(s):
+    return X.cluster_iterations(s.select("sig", "component", F.col("n").alias("weight")), range(2, 7))
+
+
+@query("nmf_survey_random", "catalog")
+def _(c):
+    return X.estimate(c, [2, 3], use_random=True)
+
+
+@query("contingency_p", "traits")
+def _(t):
+    return t.sparkSession.createDataFrame([("grp", "region", B.contingency_p(t, "grp", "region"))], "a string, b string, p_value double")

@@ -126,6 +126,33 @@ def read_vcf(spark: SparkSession, path: str | Sequence[str], keep_only_pass: boo
     return d.withColumns({"end_pos": F.col("pos") + F.length("ref") - 1, "variant_type": variant_type(F.col("ref"), F.col("alt"))})
 
 
+def read_xena_variants(spark: SparkSession, path: str | Sequence[str], keep_gene: bool = True) -> DataFrame:
+    """Variants of a Xena table, whatever its headers are called; without keep_gene the gene is Unknown."""
+    d = minimal_variants(spark.read.csv(path if isinstance(path, str) else list(path), sep="\t", header=True))
+    return d if keep_gene else d.withColumn("gene", F.lit("Unknown"))
+
+
+def read_rearrangements(spark: SparkSession, path: str | Sequence[str], sep: str = "\t") -> DataFrame:
+    """Rearrangements of delimited files with headers in any case, classes derived where they are absent."""
+    from locusframe.operators.rearrangements import clean
+
+    d = clean(spark.read.csv(path if isinstance(path, str) else list(path), sep=sep, header=True))
+    return d.withColumns({c: F.col(c).try_cast("long") for c in ("start1", "end1", "start2", "end2")})
+
+
+def read_solution(spark: SparkSession, folder: str, signatures: str = "*Signatures*.txt", activities: str = "*Activities*.txt") -> tuple[DataFrame, DataFrame]:
+    """Signatures (sig, component, weight as shares) and exposures (sample, sig, amount, rel) of another tool's solution folder: tables with a column per signature. Signatures are named Sig1, Sig2, ... by their total exposure."""
+    from locusframe.operators.catalog import share, signature_order
+
+    sig = read_signatures(spark, f"{folder}/{signatures}")
+    raw = spark.read.csv(f"{folder}/{activities}", sep="\t", header=True, inferSchema=True)
+    key = raw.columns[0]
+    expo = raw.unpivot([key], raw.columns[1:], "sig", "amount").select(F.col(key).cast("string").alias("sample"), "sig", F.col("amount").cast("double").alias("amount"))
+    names = signature_order(expo).select("sig", F.concat(F.lit("Sig"), F.col("place").cast("string")).alias("_name"))
+    named = lambda d: d.join(names, "sig").drop("sig").withColumnRenamed("_name", "sig")
+    return named(sig).select("sig", "component", "weight"), named(expo).withColumn("rel", share("amount", "sample")).select("sample", "sig", "amount", "rel")
+
+
 def read_reference(spark: SparkSession, path: str, chunk: int = 10_000, overlap: int = 300) -> DataFrame:
     """chrom, chunk_id, seq of FASTA files with one sequence each: chunks that overlap, so that a window around a base lies in one chunk."""
     raw = spark.read.text(path, wholetext=True).select("value")
@@ -145,6 +172,11 @@ def with_context(variants: DataFrame, reference: DataFrame, flank: int = 2, chun
     return d.withColumn(out, F.substr("seq", first.cast("int"), (start + flank - first + 1).cast("int"))).drop("_c", "_k", "_q", "seq")
 
 
+def signature_set(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """sig, component, weight of a named set: folder/<name>.tsv, a wide table."""
+    return read_signatures(spark, f"{folder}/{name}.tsv")
+
+
 def read_signatures(spark: SparkSession, path: str, sep: str = "\t", component: str | None = None) -> DataFrame:
     """sig, component, weight of a wide table (a column per signature), each signature as shares."""
     from locusframe.operators.catalog import share
@@ -155,9 +187,13 @@ def read_signatures(spark: SparkSession, path: str, sep: str = "\t", component:
     return d.select("sig", F.regexp_replace("component", "kb", "Kb").alias("component"), share("w", "sig").alias("weight"))
 
 
-def cancer_type_signatures(index: DataFrame, keyword: str) -> DataFrame:
-    """Rows of an index (cancer_type, signatures) whose cancer type matches the keyword, case ignored; one row per signature of the comma list."""
+def cancer_type_signatures(index: DataFrame, keyword: str, seq_type: str | None = None, source: str | None = None) -> DataFrame:
+    """Rows of an index (cancer_type, signatures, and seq_type and source if asked for) whose cancer type matches the keyword, case ignored; one row per signature of the comma list."""
     d = index.where(F.col("cancer_type").rlike(f"(?i){keyword}"))
+    for column, wanted in (("seq_type", seq_type), ("source", source)):
+        if wanted is not None:
+            require_columns(d, column)
+            d = d.where(F.col(column) == wanted)
     return d.withColumn("sig", F.explode(F.split(F.regexp_replace("signatures", " ", ""), ",")))
 
 
@@ -170,6 +206,41 @@ def write_catalog(catalog: DataFrame, path: str, vocabulary: Sequence[str], sep:
     vocab.join(wide, "component", "left").na.fill(0).orderBy("place").drop("place").coalesce(1).write.mode("overwrite").csv(path, sep=sep, header=True)
 
 
+def reordered(catalog: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
+    """The catalogue in the order of another vocabulary (column place), components without counts as 0. Raises if a component is not in it."""
+    vocab = catalog.sparkSession.createDataFrame(list(enumerate(vocabulary)), "place int, component string")
+    lost = catalog.join(vocab, "component", "left_anti").select("component").distinct().limit(5).collect()
+    if lost:
+        raise ValueError(f"not in the vocabulary: {', '.join(r['component'] for r in lost)}")
+    spine = catalog.select("sample").distinct().crossJoin(F.broadcast(vocab))
+    return spine.join(catalog, ["sample", "component"], "left").select("sample", "place", "component", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def write_signature_tables(signature: DataFrame, exposure: DataFrame, folder: str, reference: DataFrame | None = None) -> None:
+    """CSV folders of an extraction: signature, exposure_absolute, exposure_relative, dominant, and with reference signatures similarity and best_match."""
+    from locusframe.operators import catalog as C
+
+    tables = {"signature": signature, "exposure_absolute": exposure.select("sample", "sig", "amount"), "exposure_relative": C.relative_exposure(exposure), "dominant": C.dominant_signature(exposure)}
+    if reference is not None:
+        pairs = C.cosine_pairs(signature.select("sig", "component", F.col("share" if "share" in signature.columns else "weight").alias("weight")), reference, "sig", "sig")
+        tables |= {"similarity": pairs, "best_match": C.best_match(pairs)}
+    write_tables(tables, folder, "csv")
+
+
+def write_fit_tables(fitted: DataFrame, folder: str) -> None:
+    """CSV folders of a fit: exposure_absolute, exposure_relative (shares of a sample) and error."""
+    from locusframe.operators.catalog import share
+
+    d = fitted.select("sample", "sig", "exposure")
+    errors = fitted.groupBy("sample").agg(F.first("error").alias("error"), F.first("cosine").alias("cosine"))
+    write_tables({"exposure_absolute": d, "exposure_relative": d.select("sample", "sig", share("exposure", "sample").alias("rel")), "error": errors}, folder, "csv")
+
+
+def write_bootstrap_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
+    """CSV folders of fit_bootstrap_batch: expo, error and p_val."""
+    write_tables({k: tables[k] for k in ("expo", "error", "p_val")}, folder, "csv")
+
+
 def write_tables(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
     """Each table under its name in the folder."""
     for name, df in tables.items():
