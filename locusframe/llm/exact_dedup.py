@@ -1,9 +1,11 @@
 """Exact dedup through a cuckoo-filter index of live digests.
 
 Each text is reduced, JVM-side, to the SHA-256 of its white-space-normalised
-form. A task folds the digests of its own rows into a cuckoo index first, so a
-text that makes up a third of the corpus leaves each task once; the partial
-entries are then dealt by digest and folded again. Only 32-byte digests move.
+form. The bucketed content against which a hit of the filter is verified is this
+digest, kept whole beside the 16-bit fingerprint. A task folds the digests of
+its own rows into a cuckoo index first, so a text that makes up a third of the
+corpus leaves each task once; the partial entries are then dealt by digest,
+sorted and folded again, a bounded index at a time. Only 32-byte digests move.
 """
 
 from __future__ import annotations
@@ -142,21 +144,39 @@ def _entries(index: CuckooIndex, rows: int = 50_000) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], schema=_ENTRY)
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, keep_id, group_size, live) rows to one row a digest; a row that is not live deletes its digest, whatever the order."""
-    index, dead = CuckooIndex(), set()
+#: Distinct digests that a task's index holds at most before it hands them on.
+HELD = 200_000
+
+
+def _fold(batches: Iterator[pa.RecordBatch], held: int | None = None) -> Iterator[pa.RecordBatch]:
+    """(digest, keep_id, group_size, live) rows to one row a digest; a row that is not live deletes its digest, whatever the order.
+
+    A full index is handed on before the next new digest. If the rows come
+    sorted by digest nothing of it comes again; otherwise a digest may have
+    several partial rows, which a later fold joins.
+    """
+    held = held or HELD
+    index, dead, last = CuckooIndex(), set(), None
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for key in dead:
+            index.delete(key)
+        yield from _entries(index)
+
     for batch in batches:
         digest, ids, sizes, live = (batch.column(i).to_pylist() for i in range(4))
         for key, i, size, lives in zip(digest, ids, sizes, live, strict=True):
+            if index.live + len(dead) >= held and key != last:
+                yield from told()
+                index, dead = CuckooIndex(), set()
+            last = key
             if not lives:
                 dead.add(key)
             elif (entry := index.get(key)) is None:
                 index.insert(key, [i, size])
             else:
                 entry[0], entry[1] = _least(entry[0], i), entry[1] + size
-    for key in dead:
-        index.delete(key)
-    yield from _entries(index)
+    yield from told()
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,7 +201,7 @@ def _index_of(rows: DataFrame) -> DataFrame:
 
 
 def _merged(partial: DataFrame) -> DataFrame:
-    return _indexed(partial.repartition("digest"))
+    return _indexed(partial.repartition("digest").sortWithinPartitions("digest"))
 
 
 def update_index(index: DataFrame, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:

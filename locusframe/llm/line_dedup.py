@@ -183,6 +183,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the text that stays of every document."""
     return line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
 
 

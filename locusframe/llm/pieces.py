@@ -346,7 +346,9 @@ _SQL = "doc_id long, n_tokens long, token_ids array<int>, exact boolean"
 def encode_documents(docs: DataFrame, model_path: str = DEFAULT_MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: doc_id, n_tokens, token_ids, and exact: whether decoding gives the text back.
 
-    Null and empty texts have no tokens and are exact. A literal space mark in a
+    Null and empty texts have no tokens and are exact; repeated rows, and rows
+    with a null identifier, are encoded each; an empty table gives no rows;
+    other columns stay outside. A literal space mark in a
     text is read as a space, as the model does, so such a text is not exact. The
     model's pieces (its size is fixed) are broadcast; executors need no file.
     """

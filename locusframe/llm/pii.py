@@ -169,6 +169,7 @@ def _joined(kinds: tuple[str, ...]) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts and hash of the base kinds, all spans and their scores of every document."""
     found = find_pii(read(spark, sf_dir, "documents"))
     scores = F.array_join(F.transform(F.concat(*KINDS), lambda x: x["score"].cast("string")), ",")
     return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(_joined(BASE), 256).alias("base_sha256"), _joined(tuple(KINDS)).alias("spans"), scores.alias("scores"))

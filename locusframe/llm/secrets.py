@@ -364,6 +364,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans count code points, ends exclusive. Null and empty texts hold nothing
-    (the hash is that of the empty string); an empty table gives no rows.
+    (the hash is that of the empty string); repeated rows get their own result
+    each; an empty table gives no rows. Other columns stay outside.
     """
     return id_text(docs, id_col, text_col).mapInArrow(_run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

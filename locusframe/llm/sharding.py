@@ -99,6 +99,7 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, shard, depth, bytes of every document, shards of up to LIMIT bytes of text."""
     docs = read(spark, sf_dir, "documents")
     d = docs.select("doc_id", "text")
     return assign_shards(d, F.octet_length("text"), LIMIT, [F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))]).select("doc_id", "shard", F.col("depth").cast("long").alias("depth"), "bytes")

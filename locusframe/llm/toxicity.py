@@ -213,7 +213,7 @@ def _scores(shared, texts: list[str], known: dict[str, tuple]) -> np.ndarray:
         for w in words(text):
             f = known.get(w)
             if f is None:
-                if len(known) > 400_000:
+                if len(known) > 150_000:
                     known.clear()
                 f = known[w] = tuple(x for x in features(w) if x in model.weight)
             if f:

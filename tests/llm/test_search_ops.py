@@ -356,3 +356,54 @@ def test_pipeline_stages(spark):
         else:
             assert {r.doc_id for r in out.collect()} == {r.doc_id for r in kept}
     assert cp.run(spark, sf).count() == len(kept)
+
+
+def test_pipeline_stages_brute(spark):
+    """The stages with a model, a scan and an encoding, each held against a plain version over its own input."""
+    import sentencepiece
+
+    import corpus_pipeline as cp
+    from tests.llm.test_simple_ops import brute_windows
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    large = "/root/testdata/sf0.01"  # enough labels to learn from
+    more = spark.read.parquet(f"{large}/documents.parquet")
+    model = toxicity.train(more, spark.read.parquet(f"{large}/labels.parquet"))
+    all_ = {r.doc_id: r.text for r in more.collect()}
+
+    def score(text):
+        held = {f for w in toxicity.words(text or "") for f in toxicity.features(w) if f in model.weight}
+        return 1 / (1 + np.exp(-(model.bias + sum(model.weight[f] for f in held))))
+
+    kept = {r.doc_id for r in cp.drop_toxic(spark, more, large).collect()}
+    assert kept == {i for i, t in all_.items() if t is None or score(t) < toxicity.CUT} and 0 < len(kept) < len(all_)
+
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    cleaned = {r.doc_id: r.text for r in cp.cut_benchmark(spark, docs, sf).collect()}
+    hit = {i: (n, h) for i, n, h, *_ in brute_windows(list(texts.items()), bench)}
+    assert set(cleaned) == {i for i, (n, h) in hit.items() if h <= 0.5 * n}
+    assert all((cleaned[i] == texts[i]) == (hit[i][1] == 0) for i in cleaned)
+    rest = brute_windows([(i, cleaned[i]) for i in cleaned if hit[i][1]], [(0, "never occurs")])
+    assert all(n == hit[i][0] - hit[i][1] for i, n, *_ in rest)
+
+    p = sentencepiece.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
+    assert all(r.token_ids == p.encode(texts[r.doc_id] or "") for r in cp.tokenize(spark, docs, sf).collect())
+
+
+def test_pipeline_odd_rows(spark, odd):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = odd.select("doc_id", "text", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars"), F.lit(1).alias("_id"))
+    for d in (docs, docs.limit(0)):
+        n = d.count()
+        for i, (name, stage) in enumerate(cp.STAGES):
+            out = stage(spark, d, sf)
+            if i < 4:
+                assert tuple(out.columns) == cp.COLUMNS, name
+            rows = out.collect()
+            assert len(rows) <= n and (n == 0 or len(rows) > 0), name
+            nulls = [r for r in rows if i < 4 and r.text is None]
+            assert len(nulls) == (0 if i == 4 or n == 0 else 2), name  # null texts go through every stage

@@ -55,6 +55,21 @@ def test_exact_dedup_odd(spark, odd):
     assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("held", [1, 3, 10_000])
+def test_index_hands_on_what_it_holds(spark, docs_of, monkeypatch, held):
+    rnd = random.Random(held)
+    rows = [(rnd.randrange(1000), rnd.choice("abcdefghij") * rnd.randrange(3)) for _ in range(300)]
+    fold = exact_dedup._fold
+    monkeypatch.setattr(exact_dedup, "_fold", lambda batches: fold(batches, held))
+    got = sorted((r.keep_id, r.group_size) for r in exact_dedup.build_index(docs_of(rows)).collect())
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    assert got == sorted((min(g), len(g)) for g in groups.values())
+    index = exact_dedup.update_index(exact_dedup.build_index(docs_of(rows)), deletes=docs_of([(1, "a"), (2, "bb"), (3, "no such text")]))
+    assert sorted((r.keep_id, r.group_size) for r in index.collect()) == sorted((min(g), len(g)) for t, g in groups.items() if t not in ("a", "bb"))
+
+
 def test_index_update(spark, docs_of):
     index = exact_dedup.build_index(docs_of([(3, "a"), (1, "a"), (2, "b")]))
     assert sorted((r.keep_id, r.group_size) for r in index.collect()) == [(1, 2), (2, 1)]
