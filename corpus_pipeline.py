@@ -4,6 +4,12 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
 return the columns of documents. `run` applies them one after another; between
 two stages the rows are kept in the checkpoint folder, so that a lost executor
 costs one stage at most.
+
+Null and empty texts pass every stage. Rows that repeat an identifier and a
+text are treated alike; the third stage leaves one of them. Columns beside
+those of documents go; an empty table gives no rows. Rows with a null
+identifier take part like any other, but in line dedup, which leaves them as
+they are.
 """
 
 from __future__ import annotations
@@ -22,13 +28,13 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score toxicity.CUT or more go. The model learns from this stage's documents and the labels."""
+    """Documents that score toxicity.CUT or more go, null texts stay. The model learns from this stage's documents and the labels, held-out rows left out."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
     return toxicity.keep_civil(docs.select(*COLUMNS), model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Superseded lines go; so do documents of which no other line is left."""
+    """Superseded lines go; so do documents of which no other line is left. Texts without words stay."""
     out = line_dedup.line_dedup(docs.select(*COLUMNS))
     return _columns(out.where((F.col("n_dropped") == 0) | (F.col("n_dropped") < F.col("n_lines"))))
 
@@ -39,13 +45,13 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents of which they are more than half go."""
+    """Benchmark passages are cut out; documents of which they are more than half go. Texts without words stay."""
     benchmark = read(spark, sf_dir, "benchmark")
     return _columns(decontaminate.clean_rows(docs.select(*COLUMNS), benchmark))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids, exact of every document left."""
+    """doc_id, n_tokens, token_ids, exact of every row left; a null text has no tokens."""
     return pieces.encode_documents(docs)
 
 
