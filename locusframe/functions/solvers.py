@@ -385,6 +385,32 @@ def cut_tree(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray
     return label
 
 
+def pam(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cluster of each item and the medoids, by partitioning around medoids: built greedily, then swapped while a swap helps."""
+    n = len(dist)
+    k = min(k, n)
+    medoids = [int(dist.sum(axis=1).argmin())]
+    while len(medoids) < k:
+        near = dist[:, medoids].min(axis=1)
+        gain = np.maximum(near[:, None] - dist, 0).sum(axis=0)
+        gain[medoids] = -1
+        medoids.append(int(gain.argmax()))
+    cost = dist[:, medoids].min(axis=1).sum()
+    while True:
+        best = (cost - 1e-12, None, None)
+        for i in range(k):
+            rest = dist[:, medoids[:i] + medoids[i + 1 :]].min(axis=1) if k > 1 else np.full(n, np.inf)
+            totals = np.minimum(rest[:, None], dist).sum(axis=0)
+            j = int(totals.argmin())
+            if totals[j] < best[0]:
+                best = (totals[j], i, j)
+        if best[1] is None:
+            break
+        cost, medoids[best[1]] = best[0], best[2]
+    medoids = np.array(sorted(medoids))
+    return dist[:, medoids].argmin(axis=1), medoids
+
+
 def same_size_clusters(x: np.ndarray, size: int, method: str = "nearest", seed: int = 1) -> np.ndarray:
     """Clusters of equal size (the last may be smaller): the point farthest from the rest with its nearest (nearest), or centres with limited room (kmeans), or subtrees of a dendrogram (hclust)."""
     n = len(x)

@@ -140,6 +140,29 @@ def rss_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, value: str = "
     return p.join(dot, ["a", "b"], "left").select("a", "b", (F.col("sa") + F.col("sb") - 2 * F.coalesce("d", F.lit(0.0))).alias("rss"))
 
 
+def similarity(signature: DataFrame, reference: DataFrame, feature: Column | None = None, remove: str | None = None, strict: bool = True) -> DataFrame:
+    """a, b, cosine (three decimals), rss (six decimals) and best (whether b is a's best match, ties all) of two sets of signatures (sig, component, weight).
+
+    Weights are shares of a signature, or with feature, a column over component,
+    of a signature's feature. remove is a pattern of components to leave out
+    first. strict raises if the sets have different components.
+    """
+    sets = []
+    for d in (signature, reference):
+        d = d.where(~F.col("component").rlike(remove)) if remove else d
+        d = d.withColumn("_f", F.lit(1) if feature is None else feature)
+        sets.append(normalize(d, "weight", ["sig", "_f"]).drop("_f"))
+    a, b = sets
+    if strict:
+        names = [d.select("component").distinct() for d in sets]
+        lost = names[0].exceptAll(names[1]).unionByName(names[1].exceptAll(names[0])).limit(5).collect()
+        if lost:
+            raise ValueError(f"components of one set only: {', '.join(r['component'] for r in lost)}")
+    d = cosine_pairs(a, b, "sig", "sig").join(rss_pairs(a, b, "sig", "sig"), ["a", "b"])
+    d = d.select("a", "b", F.round("cosine", 3).alias("cosine"), F.abs(F.round("rss", 6)).alias("rss"))
+    return d.withColumn("best", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cosine"))) == 1)
+
+
 def best_match(similarity: DataFrame) -> DataFrame:
     """For each a the b of the highest cosine, to three decimals; ties are all kept."""
     d = similarity.withColumn("cosine", F.round("cosine", 3))

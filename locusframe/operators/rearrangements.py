@@ -70,11 +70,17 @@ def segment_constant(y: np.ndarray, gamma: float = 25.0, kmin: int = 10) -> list
     s1, s2 = np.r_[0.0, np.cumsum(y)], np.r_[0.0, np.cumsum(y**2)]
     best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
+    # A start that is worse at j than a cut at j goes once pieces behind j are long enough, so few starts are looked at.
+    starts, until = np.zeros(1, int), np.full(1, n + 1)
     for j in range(kmin, n + 1):
-        i = np.r_[0, np.arange(kmin, j - kmin + 1)]
-        cost = best[i] + s2[j] - s2[i] - (s1[j] - s1[i]) ** 2 / (j - i) + penalty
-        k = int(cost.argmin())
-        best[j], back[j] = cost[k], i[k]
+        if j >= 2 * kmin:
+            starts, until = np.r_[starts, j - kmin], np.r_[until, n + 1]
+        live = until > j
+        starts, until = starts[live], until[live]
+        own = best[starts] + s2[j] - s2[starts] - (s1[j] - s1[starts]) ** 2 / (j - starts)
+        k = int(own.argmin())
+        best[j], back[j] = own[k] + penalty, starts[k]
+        until = np.where(own > best[j] + 1e-9 * abs(best[j]), np.minimum(until, j + kmin), until)
     out, j = [], n
     while j:
         i = back[j]

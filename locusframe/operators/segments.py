@@ -204,6 +204,18 @@ def band_values(segments: DataFrame, bands: DataFrame, value: Column | None = No
     return hit.groupBy("chrom", "band", "sample").agg((F.bround(F.avg("seg_val")).cast("int") if value is None else value).alias("value"))
 
 
+def band_matrix(segments: DataFrame, bands: DataFrame, samples: Sequence[str], value: Column | None = None, fill: float | None = None, resolution: int = 1) -> DataFrame:
+    """One row per band (each cut into `resolution` equal parts), a column per sample named: the value of its overlapping segments, or fill. Without fill, bands that a sample lacks go."""
+    b = bands.select("chrom", "start_pos", "end_pos", "band")
+    if resolution > 1:
+        from locusframe.operators.intervals import chunks
+
+        b = chunks(b, "start_pos", "end_pos", resolution).select("chrom", F.col("chunk_start").alias("start_pos"), F.col("chunk_end").alias("end_pos"), F.concat_ws("_", "band", (F.col("chunk") + 1).cast("string")).alias("band"))
+    long = band_values(segments.where(F.col("sample").isin(*samples)), b, value)
+    wide = long.groupBy("chrom", "band").pivot("sample", list(samples)).agg(F.first("value"))
+    return wide.na.fill(fill) if fill is not None else wide.na.drop()
+
+
 def cna_load(segments: DataFrame, digits: int | None = 2) -> DataFrame:
     """log2 of one more than the number of altered autosome segments, two decimals."""
     n = F.sum(F.when(F.col("seg_val") != 2, 1).otherwise(0))

@@ -197,26 +197,31 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     return d.select((F.col("s") / F.when(free > 0, free)).alias("tau"))
 
 
-def group_enrichment(df: DataFrame, groups: Sequence[str], numeric: Sequence[str] = (), logical: Sequence[str] = (), by: Sequence[str] = (), reference: str | None = None) -> DataFrame:
+def group_enrichment(df: DataFrame, groups: Sequence[str], numeric: Sequence[str] = (), logical: Sequence[str] = (), by: Sequence[str] = (), reference: str | None = None, method: str = "t") -> DataFrame:
     """Each level of each group column against all other rows (or against the level `reference`), for each variable.
 
     grp_var, grp, enrich_var, type (continuous or logical), n1, n2, measure1,
-    measure2, statistic, p_value and fdr (within grp_var, enrich_var and by).
-    A logical variable compares shares by Fisher's test, a numeric one means
-    by Welch's test.
+    measure2, measure_observed, statistic, p_value and fdr (within grp_var,
+    enrich_var and by). A logical variable compares shares by Fisher's test, a
+    numeric one means by Welch's test or, with method wilcox, ranks.
+    measure_observed is the ratio of the measures, those of a numeric variable
+    taken above the least value compared.
     """
+    if method not in ("t", "wilcox"):
+        raise ValueError("method must be t or wilcox")
     long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(g).alias("grp_var"), F.col(g).cast("string").alias("grp")) for g in groups])).alias("g"), *numeric, *logical).select(*by, "g.*", *numeric, *logical).where("grp IS NOT NULL")
     values = [F.struct(F.lit(v).alias("enrich_var"), F.lit("continuous").alias("type"), F.col(v).cast("double").alias("x")) for v in numeric]
     values += [F.struct(F.lit(v).alias("enrich_var"), F.lit("logical").alias("type"), F.col(v).cast("int").cast("double").alias("x")) for v in logical]
     long = long.select(*by, "grp_var", "grp", F.explode(F.array(*values)).alias("v")).select(*by, "grp_var", "grp", "v.*").where("x IS NOT NULL")
     keys = [*by, "grp_var", "enrich_var", "type"]
     # Sums of each level; the rest of a level is the total less its own sums. Values are shifted by nothing: counts and sums of squares suffice.
-    per = long.groupBy(*keys, "grp").agg(F.count("*").alias("n1"), F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("q1"))
+    per = long.groupBy(*keys, "grp").agg(F.count("*").alias("n1"), F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("q1"), F.min("x").alias("lo1"))
     w = Window.partitionBy(*keys)
     if reference is None:
-        d = per.withColumns({"n2": F.sum("n1").over(w) - F.col("n1"), "s2": F.sum("s1").over(w) - F.col("s1"), "q2": F.sum("q1").over(w) - F.col("q1")})
+        d = per.withColumns({"lo": F.min("lo1").over(w), "n2": F.sum("n1").over(w) - F.col("n1"), "s2": F.sum("s1").over(w) - F.col("s1"), "q2": F.sum("q1").over(w) - F.col("q1")})
     else:
-        d = per.withColumns({f"{c}2": F.max(F.when(F.col("grp") == reference, F.col(f"{c}1"))).over(w) for c in "nsq"}).where(F.col("grp") != reference)
+        d = per.withColumns({f"{c}2": F.max(F.when(F.col("grp") == reference, F.col(f"{c}1"))).over(w) for c in ("n", "s", "q", "lo")}).where(F.col("grp") != reference)
+        d = d.withColumn("lo", F.least("lo1", "lo2"))
     d = d.where("n2 > 0")
     for k in (1, 2):
         n, s, q = F.col(f"n{k}"), F.col(f"s{k}"), F.col(f"q{k}")
@@ -226,7 +231,11 @@ def group_enrichment(df: DataFrame, groups: Sequence[str], numeric: Sequence[str
     t = F.when(se > 0, (F.col("measure1") - F.col("measure2")) / F.sqrt(se))
     odds = F.when((F.col("n1") - F.col("s1")) * F.col("s2") != 0, F.col("s1") * (F.col("n2") - F.col("s2")) / ((F.col("n1") - F.col("s1")) * F.col("s2")))
     number = F.col("type") == "continuous"
+    least = F.when(number, F.col("lo")).otherwise(0.0)
+    d = d.withColumn("measure_observed", F.when(F.col("measure2") != least, (F.col("measure1") - least) / (F.col("measure2") - least)))
     d = d.withColumn("statistic", F.when(number, t).otherwise(odds)).withColumn("_df", F.when(number & (se > 0), df_))
+    if method == "wilcox":
+        d = d.drop("statistic").join(_level_ranks(long, keys, reference), [*keys, "grp"], "left").withColumn("statistic", F.when(number, F.col("_w")).otherwise(odds))
 
     def p_of(kind, stat, df1, n1, s1, n2, s2):
         if kind == "logical":
@@ -237,8 +246,29 @@ def group_enrichment(df: DataFrame, groups: Sequence[str], numeric: Sequence[str
     def p_value(kind: pd.Series, stat: pd.Series, df1: pd.Series, n1: pd.Series, s1: pd.Series, n2: pd.Series, s2: pd.Series) -> pd.Series:
         return pd.Series([p_of(*x) for x in zip(kind, stat.astype(float), df1.astype(float), n1, s1, n2, s2, strict=True)], dtype="float64")
 
-    d = d.withColumn("p_value", F.nanvl(p_value("type", F.col("statistic"), F.col("_df"), "n1", "s1", "n2", "s2"), F.lit(None).cast("double")))
-    return bh_adjust(d, "p_value", keys).select(*keys, "grp", "n1", "n2", "measure1", "measure2", "statistic", "p_value", "fdr")
+    if method == "wilcox":
+        ranks = kernel(lambda w, x, y, t: T.rank_sum(w, int(x), int(y), t), F.col("_w"), F.col("n1"), F.col("n2"), F.col("_ties").cast("double"))
+        d = d.withColumn("_p", F.when(number, ranks))
+    own = F.nanvl(p_value("type", F.col("statistic"), F.col("_df"), "n1", "s1", "n2", "s2"), F.lit(None).cast("double"))
+    d = d.withColumn("p_value", F.when(number, F.col("_p")).otherwise(own) if method == "wilcox" else own)
+    return bh_adjust(d, "p_value", keys).select(*keys, "grp", "n1", "n2", "measure1", "measure2", "measure_observed", "statistic", "p_value", "fdr")
+
+
+def _level_ranks(long: DataFrame, keys: Sequence[str], reference: str | None) -> DataFrame:
+    """keys, grp, _w (rank-sum statistic of a level of a numeric variable against the rest or the reference) and _ties."""
+    cells = long.where("type = 'continuous'").groupBy(*keys, "grp", "x").agg(F.count("*").alias("c"))
+    if reference is None:
+        pool = value_ranks(cells.groupBy(*keys, "x").agg(F.sum("c").alias("c")), "x", keys)
+        ties = pool.groupBy(*keys).agg(F.sum(F.col("c") * (F.col("c") * F.col("c") - 1)).alias("_ties"))
+        own = cells.join(pool.select(*keys, "x", "rank"), [*keys, "x"]).groupBy(*keys, "grp").agg(F.sum(F.col("c") * F.col("rank")).alias("_r"), F.sum("c").alias("_n"))
+        d = own.join(ties, list(keys))
+    else:
+        levels = cells.where(F.col("grp") != reference)
+        other = levels.select(*keys, "grp").distinct().join(cells.where(F.col("grp") == reference).drop("grp"), list(keys))
+        both = levels.withColumn("c1", F.col("c")).unionByName(other.withColumn("c1", F.lit(0).cast("long"))).groupBy(*keys, "grp", "x").agg(F.sum("c").alias("c"), F.sum("c1").alias("c1"))
+        r = value_ranks(both, "x", [*keys, "grp"])
+        d = r.groupBy(*keys, "grp").agg(F.sum(F.col("c1") * F.col("rank")).alias("_r"), F.sum("c1").alias("_n"), F.sum(F.col("c") * (F.col("c") * F.col("c") - 1)).alias("_ties"))
+    return d.select(*keys, "grp", (F.col("_r") - F.col("_n") * (F.col("_n") + 1) / 2).alias("_w"), "_ties")
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:

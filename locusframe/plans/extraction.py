@@ -385,6 +385,36 @@ def unify_extract(catalog: DataFrame, ranks: Sequence[int], approach: str = "bay
     raise ValueError("approach must be one of bayes_auto, repeated_nmf, bootstrap_nmf")
 
 
+def pam_groups(relative: DataFrame, k: int) -> DataFrame:
+    """sample, grp and silhouette: k groups around medoids by the distances of the samples' shares (sample, sig, rel). All distances are looked at in one task, after a check of their number."""
+    n, m = relative.agg(F.countDistinct("sample"), F.countDistinct("sig")).first()
+    _limited(n * max(n, m))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot(index="sample", columns="sig", values="rel").fillna(0.0).sort_index()
+        v = x.to_numpy(float)
+        dist = np.sqrt(np.maximum(((v[:, None] - v[None]) ** 2).sum(axis=2), 0))
+        grp, _ = solvers.pam(dist, k)
+        return pd.DataFrame({"sample": x.index, "grp": grp.astype(np.int32), "silhouette": solvers.silhouette(dist, grp)})
+
+    return relative.groupBy(F.lit(1).alias("one")).applyInPandas(run, "sample string, grp int, silhouette double")
+
+
+def consensus_matrix(catalog: DataFrame, n_sig: int, n_run: int = 20, seed: int = SEED, n_iter: int = 500) -> DataFrame:
+    """a, b, share: how often runs give two samples the same dominant signature."""
+    _, samples, runs = _factorise(catalog, [(n_sig, 0, r, seed + r) for r in range(n_run)], "KL", False, n_iter)
+    shared = catalog.sparkSession.sparkContext.broadcast(samples)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = shared.value
+        label = [np.array(x).reshape(n_sig, -1).argmax(axis=0) for x in pdf.sort_values("run")["h"]]
+        m = np.mean([x[:, None] == x[None] for x in label], axis=0)
+        i, j = np.indices(m.shape)
+        return pd.DataFrame({"a": [names[x] for x in i.ravel()], "b": [names[x] for x in j.ravel()], "share": m.ravel()})
+
+    return runs.groupBy("k").applyInPandas(run, "a string, b string, share double")  # n_run rows
+
+
 def cluster_iterations(signatures: DataFrame, ranks: Sequence[int]) -> DataFrame:
     """k, sig, cluster, silhouette: average-linkage clusters of signatures (sig, component, weight; of several extractions) by their cosine distances, for each number k. All distances are looked at in one task, after a check of their number."""
     _, sigs, p = signature_matrix(signatures)

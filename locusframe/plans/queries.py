@@ -1143,3 +1143,29 @@ def _(c):
 @query("contingency_p", "traits")
 def _(t):
     return t.sparkSession.createDataFrame([("grp", "region", B.contingency_p(t, "grp", "region"))], "a string, b string, p_value double")
+
+
+@query("group_enrichment_ranks", "traits", sql=", l AS (SELECT grp, CAST(extra AS DOUBLE) AS x FROM traits), r AS (SELECT grp, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS r FROM l) SELECT grp, count(*) AS n1, round((avg(x) - (SELECT min(x) FROM l)) / ((SELECT sum(x) FROM l) - sum(x)) * ((SELECT count(*) FROM l) - count(*)), 6) AS measure_observed, sum(r) - count(*) * (count(*) + 1) / 2 AS statistic FROM r GROUP BY 1")
+def _(t):
+    return T.group_enrichment(t, ["grp"], ["extra"], method="wilcox").select("grp", "n1", *r6("measure_observed"), "statistic")
+
+
+@query("signature_similarity_table", "signature", sql=_SIG.replace("FROM signature", "FROM signature WHERE component NOT LIKE '%TIN%'") + ", m AS (SELECT sig, sqrt(sum(w * w)) AS m FROM w GROUP BY 1), d AS (SELECT p.sig AS a, q.sig AS b, sum(p.w * q.w) AS d FROM w p JOIN w q USING (component) GROUP BY 1, 2), c AS (SELECT x.sig AS a, y.sig AS b, round(coalesce(d, 0) / (x.m * y.m), 3) AS cosine, abs(round(x.m * x.m + y.m * y.m - 2 * coalesce(d, 0), 6)) AS rss FROM m x CROSS JOIN m y LEFT JOIN d ON d.a = x.sig AND d.b = y.sig) SELECT a, b, cosine, rss, rank() OVER (PARTITION BY a ORDER BY cosine DESC) = 1 AS best FROM c")
+def _(s):
+    w = s.select("sig", "component", F.col("n").alias("weight"))
+    return C.similarity(w, w, remove="TIN")
+
+
+@query("band_matrix", "segments", "bands", sql=", v AS (SELECT chrom, band, sample, CAST(max(seg_val) AS BIGINT) AS value FROM bands b JOIN segments s ON chrom = chromosome AND s.start_pos <= b.end_pos AND s.end_pos >= b.start_pos WHERE sample IN ('s1', 's2', 's3') GROUP BY 1, 2, 3) SELECT chrom, band, " + ", ".join(f"coalesce(max(value) FILTER (sample = '{x}'), 2) AS {x}" for x in ("s1", "s2", "s3")) + " FROM v GROUP BY 1, 2")
+def _(s, b):
+    return S.band_matrix(s, b, ["s1", "s2", "s3"], F.max("seg_val"), 2)
+
+
+@query("pam_groups", "exposure")
+def _(e):
+    return X.pam_groups(C.relative_exposure(e), 3)
+
+
+@query("consensus_matrix", "catalog")
+def _(c):
+    return X.consensus_matrix(c, 3)

@@ -101,3 +101,58 @@ def test_all_pairs_are_refused_beyond_their_limit(spark, monkeypatch):
     d = spark.range(5).select(F.col("id").cast("string").alias("sig"), F.lit("x").alias("component"), F.lit(1.0).alias("weight"))
     with pytest.raises(ValueError, match="all pairs"):
         C.cosine_pairs(d, d, "sig", "sig")
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_segmentation_is_the_best_there_is(seed):
+    rng = np.random.default_rng(seed)
+    y = np.concatenate([rng.normal(m, 1, k) for m, k in zip(rng.normal(0, 6, 5), rng.integers(3, 40, 5), strict=True)])
+    kmin = int(rng.integers(2, 6))
+    sd = np.median(np.abs(np.diff(y))) * 1.4826 / np.sqrt(2) or 1.0
+    worth = lambda cuts: sum(((y[a:b] - y[a:b].mean()) ** 2).sum() + 25.0 * sd**2 for a, b in cuts)
+    best = {0: (0.0, [])}
+    for j in range(kmin, len(y) + 1):
+        options = [(best[i][0] + worth([(i, j)]), [*best[i][1], (i, j)]) for i in best if j - i >= kmin]
+        best[j] = min(options, key=lambda x: x[0])
+    got = [(a, b) for a, b, _ in R.segment_constant(y, 25.0, kmin)]
+    assert got[0][0] == 0 and got[-1][1] == len(y) and worth(got) == pytest.approx(best[len(y)][0])
+
+
+def test_enrichment_by_ranks_and_reference(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice("abc"), rnd.randrange(20) * 1.0) for _ in range(90)]
+    d = spark.createDataFrame(rows, "g string, x double")
+
+    def want(level, others):
+        x, y = [v for g, v in rows if g == level], [v for g, v in rows if g in others]
+        w = sum((a > b) + 0.5 * (a == b) for a in x for b in y)
+        lo = min(x + y)
+        return w, (np.mean(x) - lo) / (np.mean(y) - lo)
+
+    for ref, rest in ((None, None), ("c", "c")):
+        got = {r.grp: r for r in T.group_enrichment(d, ["g"], ["x"], reference=ref, method="wilcox").collect()}
+        assert set(got) == ({"a", "b", "c"} if ref is None else {"a", "b"})
+        for level, r in got.items():
+            w, m = want(level, rest or "abc".replace(level, ""))
+            assert r.statistic == w and r.measure_observed == pytest.approx(m) and 0 <= r.p_value <= 1
+    with pytest.raises(ValueError, match="method"):
+        T.group_enrichment(d, ["g"], ["x"], method="other")
+
+
+def test_pam_finds_clusters():
+    from locusframe.functions import solvers
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.3, (15, 2)) for c in ((0, 0), (5, 0), (0, 5))])
+    dist = np.linalg.norm(x[:, None] - x[None], axis=2)
+    label, medoids = solvers.pam(dist, 3)
+    assert len(medoids) == 3 and all(len(set(label[i : i + 15])) == 1 for i in (0, 15, 30)) and len(set(label)) == 3
+    assert solvers.pam(dist[:2, :2], 5)[0].tolist() == [0, 1]
+
+
+def test_similarity_needs_the_same_components(spark):
+    a = spark.createDataFrame([("A", "x", 1.0), ("A", "y", 3.0)], "sig string, component string, weight double")
+    with pytest.raises(ValueError, match="y"):
+        C.similarity(a, a.where("component = 'x'"))
+    r = C.similarity(a, a.where("component = 'x'"), remove="y").first()
+    assert (r.cosine, r.rss, r.best) == (1.0, 0.0, True)
