@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from locusframe.llm.common import SPACE, cut, fresh, read
 
-#: Words from which on a line is compared with lines one word away, not only with equal ones.
-MIN_WORDS = 8
+#: Words from which on a line is compared with lines one word away, not only with equal ones: one edit then leaves four fifths of its words or more.
+MIN_WORDS = 5
 #: Rows of a few numbers up to which a side of a join is broadcast; it is counted first, and beyond it both sides are shuffled.
 SMALL_ROWS = 200_000
 

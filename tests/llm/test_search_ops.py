@@ -159,7 +159,7 @@ def brute_lines(docs):
 def test_line_dedup_brute(spark, docs_of, seed):
     rnd = random.Random(seed)
     lines = []
-    for n in [1, 3, 7, 8, 9, 15, 16, 17, 18, 40, 300]:
+    for n in [*range(1, 21), 40, 300]:
         base = [rnd.choice("abcdefgh") + str(rnd.randrange(9)) for _ in range(n)]
         lines.append(base)
         for _ in range(8):
@@ -171,7 +171,7 @@ def test_line_dedup_brute(spark, docs_of, seed):
             lines.append(ws)
         lines.append(["same"] * n)
     docs = []
-    for d in range(30):
+    for d in range(60):
         body = [("  " if rnd.random() < 0.2 else " ").join(rnd.choice(lines)) for _ in range(rnd.randrange(6))]
         docs.append((d, "\n".join(x + rnd.choice(["", " ", "\t"]) for x in body + [""] * rnd.randrange(2))))
     docs += [(50, None), (51, ""), (52, "\n\n")]
