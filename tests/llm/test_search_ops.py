@@ -82,6 +82,34 @@ def test_jaccard_nulls_link_and_rows_repeat(spark, docs_of, bucket_bytes):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == [(0, 57, 1), (1, 57, 1), (3, 4, 3), (3, 4, 3), (3, 57, 1), (4, 1, 4)]
 
 
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_jaccard_ships_near_copies_once(spark, docs_of, monkeypatch, bucket):
+    base = [f"w{i}" for i in range(200)]
+    # a pair that meets in many buckets, as every four words of it are a text of their own; most of the nodes in its buckets link with none
+    docs = [(1, " ".join(base)), (2, " ".join([*base[:-1], "end"])), *((10 + i, " ".join(base[i : i + 4])) for i in range(196))]
+    shipped, search = [], jaccard._search
+
+    def seen(docs, names, targets, percent, words):
+        shipped.extend(r.node for r in targets.select("node").collect())
+        return search(docs, names, targets, percent, words)
+
+    monkeypatch.setattr(jaccard, "_search", seen)
+    got = jaccard.jaccard_components(docs_of(docs), bucket=bucket)
+    assert sorted(map(tuple, got.collect())) == brute_components(docs, 4, 85)
+    pair = [jaccard.node_of(jaccard.shingles(t.encode(), jaccard.Hashes())) for _, t in docs[:2]]
+    assert [shipped.count(x) for x in pair] == [1, 1] and len(shipped) < 60  # sketches of one shingle may be alike
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_sifted_loses_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "SIEVE_BITS", bits)
+    rows = spark.range(4000).selectExpr("id % 2 = 0 AS nil", "id * 7919 - 9000000 AS at")
+    got = [tuple(r) for r in jaccard._sifted(rows, rows.where("at % 100 = 0"), "nil", "at").collect()]
+    assert len(got) == len(set(got)) and {a for _, a in got if a % 100 == 0} == {i * 7919 - 9000000 for i in range(4000) if i * 7919 % 100 == 0}
+    assert len(got) < 400 or bits == 64
+    assert jaccard._sifted(rows, rows.limit(0), "nil", "at").count() == 0
+
+
 def brute_keep_one(docs, words, percent):
     """(doc_id, text) of the rows that stay, by holding every row against every other."""
     comps = brute_components([(i, t) for i, (_, t) in enumerate(docs)], words, percent)
