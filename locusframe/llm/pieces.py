@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,6 +29,8 @@ from locusframe.llm.common import id_text, slices
 MARK = "▁"
 #: Distinct words, and pairs of pieces, that a worker remembers at most between slices; some 60 MB in all.
 REMEMBERED, PAIRS = 200_000, 200_000
+#: Characters up to which a string is merged by plain search of the best pair; beyond it by a heap.
+SHORT = 14
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -107,12 +109,36 @@ class Encoder:
             if len(w) > 2:
                 ends.setdefault(w[-3:], set()).add(len(w))
         self.ends = {k: (*sorted(v, reverse=True), 2, 1) for k, v in ends.items()}
+        self.tails = self._tails() if model.bpe else {}
         self.stays: dict[int, bool] = {}
         self.floor = min(model.scores.values(), default=0.0) - 10.0
 
+    def _tails(self) -> dict[str, tuple[tuple[int, int], ...]]:
+        """Last four characters of pieces, and whole pieces of two and three: length and code of all pieces that a text with this end can end in but single characters, longest first; code -1 for pieces of over four characters."""
+        ids, longer = self.m.ids, {}
+        for w in ids:
+            longer.setdefault(w[-4:], set()).add(len(w))
+        out = {}
+        for t, lengths in longer.items():
+            if len(t) > 1:
+                out[t] = (*((n, -1) for n in sorted(lengths, reverse=True) if n > 4), *((n, ids[t[-n:]]) for n in range(min(4, len(t)), 1, -1) if t[-n:] in ids))
+        return out
+
     def merge(self, s: str) -> list[str]:
         """Pieces of s when the adjacent pair of the best score, the leftmost among equals, merges again and again."""
         scores, n = self.m.scores, len(s)
+        if n <= SHORT:
+            short = list(s)
+            while len(short) > 1:
+                at, top = -1, 0.0
+                for i in range(len(short) - 1):
+                    score = scores.get(short[i] + short[i + 1])
+                    if score is not None and (at < 0 or score > top):
+                        at, top = i, score
+                if at < 0:
+                    break
+                short[at : at + 2] = [short[at] + short[at + 1]]
+            return short
         part: list[str | None] = list(s)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list[tuple[float, int, str]] = []
@@ -148,7 +174,7 @@ class Encoder:
     def walk(self, words: list[str]) -> Iterator[list[int]]:
         """Codes of the pieces of each word; words must be sorted, so that each shares with the one before all that any earlier one shares."""
         bpe, ids, scores, size, span = self.m.bpe, self.m.ids, self.m.scores, self.size, self.span
-        ends, stays, plain = self.ends, self.stays, (2, 1)
+        ends, tails, stays, plain = self.ends, self.tails, self.stays, (2, 1)
         last: list[int] = [0]  # length of the last piece of each prefix
         code: list[int] = [span - 1]  # and its code
         best: list[float] = [0.0]
@@ -161,17 +187,18 @@ class Encoder:
             if not bpe:
                 del best[k + 1 :]
             for i in range(k + 1, len(w) + 1):
-                lengths = ends.get(w[i - 3 : i], plain) if i > 2 else plain
                 if bpe:
-                    for n in lengths:
+                    found = tails.get(w[i - 4 : i]) if i > 3 else None
+                    if found is None:
+                        found = tails.get(w[i - 3 : i]) if i > 2 else None
+                        if found is None:
+                            found = tails.get(w[i - 2 : i], ()) if i > 1 else ()
+                    for n, c in found:
                         j = i - n
-                        if j < 0:
-                            continue
-                        c = ids.get(w[j:i])
-                        if c is None:
-                            if n > 1:
+                        if c < 0:
+                            c = ids.get(w[j:i], -1) if j >= 0 else -1
+                            if c < 0:
                                 continue
-                            c = size + ord(w[j])
                         key = code[j] * span + c
                         ok = stays.get(key)
                         if ok is None:
@@ -181,8 +208,20 @@ class Encoder:
                             code.append(c)
                             break
                     else:
-                        raise AssertionError(f"no encoding of {w[:i]!r}")
+                        t = w[i - 1]
+                        c = ids.get(t, -1)
+                        if c < 0:
+                            c = size + ord(t)
+                        key = code[i - 1] * span + c
+                        ok = stays.get(key)
+                        if ok is None:
+                            ok = self._stay(key, w[i - 1 - last[i - 1] : i - 1], t)
+                        if not ok:
+                            raise AssertionError(f"no encoding of {w[:i]!r}")
+                        last.append(1)
+                        code.append(c)
                 else:
+                    lengths = ends.get(w[i - 3 : i], plain) if i > 2 else plain
                     t = w[i - 1]
                     top_n, top_s = 1, best[i - 1] + scores.get(t, self.floor)
                     for n in reversed(lengths):
@@ -248,28 +287,32 @@ class Lexicon:
         self.encoder, self.model, self.most = Encoder(model), model, most
         self.slot: dict[str, int] = {}
         self.flat, self.start, self.length = array("i"), array("q"), array("i")
-        self.seen = np.zeros(0, np.uint8)  # slices that held each word, 2 for more
+        self.seen = np.zeros(0, np.uint8)  # slices that held each word, halved whenever words are forgotten
         self.runs: dict[int, list[int]] = {}
 
-    def _add(self, keys: list[str], ids: list[list[int]]) -> None:
-        at = len(self.start)
-        self.slot.update(zip(keys, range(at, at + len(keys)), strict=True))
-        lens = np.fromiter(map(len, ids), np.int32, len(ids))
-        first = len(self.flat) + np.r_[0, np.cumsum(lens)[:-1]].astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-        self.flat.extend(chain.from_iterable(ids))
-        self.start.frombytes(first.tobytes())
-        self.length.frombytes(lens.tobytes())
+    def _add(self, keys: Iterable[str], ids: Iterable[list[int]]) -> None:
+        """Takes words and their ids in; ids come one by one, so that the lists of many words never stand side by side."""
+        flat, start, length, at = self.flat, self.start, self.length, len(self.flat)
+        for x in ids:
+            flat.extend(x)
+            start.append(at)
+            length.append(len(x))
+            at += len(x)
+        self.slot.update(zip(keys, range(len(self.slot), len(start)), strict=True))
 
     def _forget(self) -> None:
-        """Keeps the words that several slices held, if they are not too many themselves."""
+        """Keeps the words that several slices held, at most half of those that may stay: those of the most slices."""
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > self.most // 2:
+            keep = np.sort(keep[np.argsort(self.seen[keep], kind="stable")[len(keep) - self.most // 2 :]])
+        start, length, flat = (np.frombuffer(x, d) for x, d in ((self.start, np.int64), (self.length, np.int32), (self.flat, np.int32)))
+        lens = length[keep].astype(np.int64)
+        first = np.cumsum(lens) - lens
+        ids = flat[np.repeat(start[keep] - first, lens) + np.arange(int(lens.sum()))]
         words = list(self.slot)
-        keep = np.flatnonzero(self.seen > 1) if self.seen.size else np.zeros(0, np.int64)
-        keep = keep if len(keep) <= self.most // 2 else keep[:0]
-        start, length, flat = self.start, self.length, self.flat
-        kept = [(words[i], flat[start[i] : start[i] + length[i]].tolist()) for i in keep.tolist()]
-        self.slot, self.flat, self.start, self.length = {}, array("i"), array("q"), array("i")
-        self._add([w for w, _ in kept], [x for _, x in kept])
-        self.seen = np.ones(len(kept), np.uint8)
+        self.slot = {words[i]: at for at, i in enumerate(keep.tolist())}
+        self.flat, self.start, self.length = array("i", ids.tobytes()), array("q", first.tobytes()), array("i", length[keep].tobytes())
+        self.seen = self.seen[keep] // 2
 
     def learn(self, keys: set[str]) -> None:
         if len(self.slot) > self.most:
@@ -277,7 +320,7 @@ class Lexicon:
         m, e = self.model, self.encoder
         new = sorted(keys.difference(self.slot))
         plain = [k for k in new if k[:1] not in (" ", "\n", "")]
-        self._add(plain, [e.numbers(x) for x in e.walk([MARK + k for k in plain])])
+        self._add(plain, map(e.numbers, e.walk([MARK + k for k in plain])))
         tasks: dict[str, list[str]] = {}  # word: the keys with blanks or a line feed before it
         ids: dict[str, list[int]] = {}
         for key in new:
@@ -322,7 +365,7 @@ class Lexicon:
         del parts
         self.seen = np.r_[self.seen, np.zeros(len(self.start) - len(self.seen), np.uint8)]
         held = np.flatnonzero(np.bincount(at, minlength=len(self.seen)))
-        self.seen[held] = np.minimum(self.seen[held] + 1, 2)
+        self.seen[held] += self.seen[held] < 255
         start, length, flat = (np.frombuffer(x, d) for x, d in ((self.start, np.int64), (self.length, np.int32), (self.flat, np.int32))) if len(self.start) else (np.zeros(1, np.int64),) * 3
         lens = length[at].astype(np.int64)
         ends = np.cumsum(lens)

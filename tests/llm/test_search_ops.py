@@ -305,6 +305,25 @@ def test_lexicon_forgets(spark):
     assert len(lexicon.slot) <= 60 and "often" in lexicon.slot
 
 
+def test_lexicon_keeps_the_commonest():
+    lexicon = pieces.Lexicon(pieces.PieceModel(pieces.DEFAULT_MODEL), most=20)
+    common, often = [f"common{i}" for i in range(8)], [f"often{i}" for i in range(8)]
+    for i in range(6):
+        lexicon.encode([" ".join(common + often * (i < 2))])
+    want = lexicon.encode([" ".join(common)])[0].tolist()
+    lexicon._forget()  # 16 words of several slices, 10 of which may stay
+    assert len(lexicon.slot) == 10 and set(common) <= set(lexicon.slot)
+    assert lexicon.encode([" ".join(common)])[0].tolist() == want and len(lexicon.slot) == len(lexicon.start) == 10
+
+
+def test_merge_by_search_as_by_heap(monkeypatch):
+    e, rnd = pieces.Encoder(pieces.PieceModel(pieces.DEFAULT_MODEL)), random.Random(4)
+    words = ["".join(rnd.choices(list(e.m.ids), k=3))[: pieces.SHORT] for _ in range(500)] + ["a" * 14, "é你x", "", "x"]
+    short = [e.merge(w) for w in words]
+    monkeypatch.setattr(pieces, "SHORT", -1)
+    assert short == [e.merge(w) for w in words]
+
+
 def test_pieces_odd(spark, odd):
     assert pieces.encode_documents(odd).count() == len(ROWS) and pieces.encode_documents(odd.limit(0)).count() == 0
 
