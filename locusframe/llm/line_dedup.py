@@ -83,7 +83,8 @@ def _texts(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> Dat
     wanted = cut(lines.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "line_no", "held")).alias("lines_of")))
     wanted = F.broadcast(wanted) if lines.count() <= SMALL_ROWS else wanted
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("text IS NOT NULL")
-    x = d.join(wanted, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("lines_of").alias("x"))
+    # Split before the wanted lines are spread, lest the text is split again for each of them.
+    x = d.join(wanted, "doc_id").select("doc_id", F.split("text", "\n", -1).alias("lines"), "lines_of").select("doc_id", "lines", F.explode("lines_of").alias("x"))
     x = x.select("x.h1", "x.h2", "doc_id", "x.line_no", "x.held", _norm(F.get("lines", F.col("x.line_no"))).alias("norm"))
     # Rows that repeat an identifier: those that hold the line, each once.
     return x.where(F.xxhash64("norm") == F.col("h1")).dropDuplicates(["h1", "h2"])
@@ -95,7 +96,9 @@ def _keyed(texts: DataFrame) -> DataFrame:
     half = F.floor((F.col("n") - 1) / 2)
     front, back = F.col("held").bitwiseAND(1) != 0, F.col("held").bitwiseAND(2) != 0
     # Dealt by line before the words are spread, so that the running values need no exchange of words.
-    d = texts.where(front | back).repartition("h1").select("h1", "h2", "held", F.size(w).alias("n"), F.posexplode(w).alias("i", "w"))
+    d = texts.where(front | back).repartition("h1").select("h1", "h2", "held", w.alias("w"))
+    # The words are split and counted in a step of their own, lest the line is split again for each of them.
+    d = d.select("h1", "h2", "held", F.size("w").alias("n"), "w").select("h1", "h2", "held", "n", F.posexplode("w").alias("i", "w"))
     # Words behind the deleted one move up by a place: their hashes are those of u.
     d = d.select("h1", "h2", "n", "i", ((front & (F.col("i") >= half)) | (back & (F.col("i") < F.col("n") - half))).alias("out"), F.xxhash64("w", F.col("i") + 1).alias("t"), F.xxhash64("w", "i").alias("u"))
     line = Window.partitionBy("h1", "h2").orderBy("i")

@@ -207,6 +207,13 @@ def test_line_dedup_brute(spark, docs_of, seed):
     assert got == brute_lines(docs)
 
 
+def test_lines_are_split_once(spark, docs_of):
+    above = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]  # noqa: E731  a step behind the spreading of rows runs for each of them
+    texts = spark.createDataFrame([(1, 2, 3, 0, 15, "a b c d e f g")], "h1 long, h2 long, doc_id long, line_no int, held int, norm string")
+    assert "split(" not in above(line_dedup._keyed(texts))
+    assert "split(" not in above(line_dedup._texts(docs_of([(3, "a b\nc d")]), texts.drop("norm"), "doc_id", "text"))
+
+
 def test_line_dedup_odd(spark, odd):
     rows = line_dedup.line_dedup(odd)
     assert rows.columns == [*odd.columns, "n_lines", "n_dropped"]
