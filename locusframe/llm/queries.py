@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locusframe.llm import decontaminate, exact_dedup, jaccard, line_dedup, pieces, pii, quality, secrets, sharding, toxicity
+from locusframe.llm import decontaminate, divergence, exact_dedup, filter_audit, html_text, jaccard, line_dedup, pieces, pii, quality, secrets, sharding, toxicity
 from locusframe.llm.common import read
 
 
@@ -51,6 +51,9 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_sharding": sharding.query,
     "op10_secrets": op10_secrets,
+    "op11_html_text": html_text.query,
+    "op12_filter_audit": filter_audit.query,
+    "op13_divergence": divergence.query,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
@@ -58,4 +61,6 @@ ORACLES = {
     "op6_jaccard": jaccard.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op9_sharding": sharding.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
