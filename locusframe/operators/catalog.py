@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.lineage import settled
 from locusframe.operators.intervals import dimension
 
 
@@ -34,7 +35,7 @@ def hyper_split(catalog: DataFrame, max_rounds: int = 1000) -> DataFrame:
     the totals and nothing is joined; only the limits are kept. Raises if some
     total still exceeds the limit after max_rounds.
     """
-    totals = catalog.groupBy("sample").agg(F.sum("n").cast("double").alias("total")).persist()
+    totals = settled(catalog.groupBy("sample").agg(F.sum("n").cast("double").alias("total")))
     limits: list[float] = []
 
     def halvings() -> Column:

@@ -42,6 +42,22 @@ def fisher_p(a, b, c, d, alternative: str = "two-sided") -> Column:
     return run(a, b, c, d)
 
 
+def odds_interval(a, b, c, d, level: float = 0.95) -> Column:
+    """Conditional odds ratio of each row's table and the ends of its exact interval, as an array of three; null in, null out."""
+
+    @F.pandas_udf("array<double>")
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        tables = np.column_stack([x.to_numpy(float) for x in (a, b, c, d)])
+        ok = np.flatnonzero(~np.isnan(tables).any(axis=1))
+        out = [None] * len(tables)
+        if len(ok):
+            for i, r in zip(ok, T.odds_intervals(*tables[ok].T, level=level), strict=True):
+                out[i] = [None if np.isnan(v) else float(v) for v in r]
+        return pd.Series(out, dtype=object)
+
+    return run(a, b, c, d)
+
+
 def bh_adjust(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "fdr") -> DataFrame:
     """Benjamini-Hochberg within `by`; null p values are left out and stay null."""
     part = [F.col(p).isNull(), *by]
@@ -57,20 +73,29 @@ def bh_adjust(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "fdr") -
 def value_ranks(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """counts (by, value, c rows each) with rank, the average rank of the value's rows within `by`.
 
-    With `by` empty the distinct values are cut into blocks at quantiles; ranks
-    are counted within blocks from the sums of the blocks before, so the whole
-    column meets in no task.
+    Beyond KENDALL_CELLS distinct values these are cut into blocks at quantiles
+    (of each group, with `by`); ranks are counted within blocks from the sums of
+    the blocks before, so a whole column meets in no task.
     """
     block = "__block"
-    if by:
-        own, d = Window.partitionBy(*by).orderBy(value), counts.withColumn("__before", F.lit(0))
+    n = max(1, min(KENDALL_BLOCKS, -(-counts.count() // KENDALL_CELLS)))
+    at = [i / n for i in range(1, n)]
+    if n == 1:
+        d = counts.withColumn(block, F.lit(0))
+    elif by:
+        cuts = counts.groupBy(*by).agg(F.percentile_approx(F.col(value).cast("double"), at, 100 * n).alias("__cut"))
+        v = F.col(value).cast("double")
+        d = counts.join(cuts, list(by)).withColumn(block, F.size(F.filter("__cut", lambda x: x < v)) + F.size(F.filter("__cut", lambda x: x <= v))).drop("__cut")
+    else:
+        cut = counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", at, 0.2 / n)
+        d = counts.withColumn(block, _block(value, sorted(set(cut))))
+    own = Window.partitionBy(*by, block).orderBy(value)
+    if n == 1:
+        d = d.withColumn("__before", F.lit(0))
     else:
-        n = max(1, min(KENDALL_BLOCKS, -(-counts.count() // KENDALL_CELLS)))
-        cut = counts.select(F.col(value).cast("double").alias("v")).approxQuantile("v", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-        own, d = Window.partitionBy(block).orderBy(value), counts.withColumn(block, _block(value, sorted(set(cut))))
-        sums = d.groupBy(block).agg(F.sum("c").alias("__c"))  # 2 KENDALL_BLOCKS rows at most
-        before = F.coalesce(F.sum("__c").over(Window.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        d = d.join(F.broadcast(sums.select(block, before.alias("__before"))), block)
+        sums = d.groupBy(*by, block).agg(F.sum("c").alias("__c"))  # 2 KENDALL_BLOCKS rows a group at most
+        before = F.coalesce(F.sum("__c").over(Window.partitionBy(*by).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        d = d.join(sums.select(*by, block, before.alias("__before")), [*by, block])
     up_to = F.sum("c").over(own.rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn("rank", F.col("__before") + up_to - (F.col("c") - 1) / 2).drop("__before", block)
 
@@ -126,10 +151,32 @@ def tukey(df: DataFrame, group: str, value: str) -> DataFrame:
     return d.select("g1", "g2", (F.col("m2") - F.col("m1")).alias("diff"), kernel(lambda q, k, f: T.studentized_range_tail(q, int(k), f), q, F.col("k").cast("double"), F.col("df").cast("double")).alias("p_value"))
 
 
-def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str], rank: bool = False) -> DataFrame:
-    """a, b, n, r and p_value of each pair of columns, over rows where both are present (Pearson, or Spearman by rank)."""
+def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str], rank: bool = False, adjust: str | None = None, drop_constant: bool = False) -> DataFrame:
+    """a, b, n, r and p_value of each pair of columns, over rows where both are present (Pearson, or Spearman by rank).
+
+    adjust adds p_adjusted over all pairs: BH or bonferroni. With drop_constant
+    columns that do not vary take no part; otherwise their r is null. Columns
+    without nulls are ranked once each, others anew for the rows of each pair.
+    """
+    if adjust not in (None, "BH", "bonferroni"):
+        raise ValueError("adjust must be BH or bonferroni")
+    if drop_constant or rank:
+        names = list(dict.fromkeys([*left, *right]))
+        seen = df.agg(F.count("*"), *[F.count(c) for c in names], *[F.min(c) != F.max(c) for c in names]).first()
+        whole = {c for c, n in zip(names, seen[1 : len(names) + 1], strict=True) if n == seen[0]}
+        if drop_constant:
+            varies = {c for c, v in zip(names, seen[len(names) + 1 :], strict=True) if v}
+            left, right = ([c for c in x if c in varies] for x in (left, right))
+            if not left or not right:
+                raise ValueError("no column that varies is left")
     pairs = [(a, b) for a in left for b in right]
     out = None
+    if rank and whole.issuperset([*left, *right]):
+        d, used = df, list(dict.fromkeys([*left, *right]))
+        for i, c in enumerate(used):
+            ranks = value_ranks(df.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("c")), "v").select(F.col("v").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
+            d = d.join(ranks, F.col(c) == F.col(f"_v{i}")).drop(f"_v{i}")
+        return correlations(d.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(used)]), left, right, adjust=adjust)
     if rank:  # ranks are taken over the rows in which both are present, so each pair is ranked for itself
         for a, b in pairs:
             cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("c"))
@@ -147,10 +194,14 @@ def correlations(df: DataFrame, left: Sequence[str], right: Sequence[str], rank:
         for i, (a, b) in enumerate(pairs):
             both = F.col(a).isNotNull() & F.col(b).isNotNull()
             x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-            aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.corr(x, y).alias("r")).alias(f"_{i}"))
+            size = F.stddev_pop(x) * F.stddev_pop(y)
+            aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count(x).alias("n"), F.when(size > 0, F.covar_pop(x, y) / F.when(size > 0, size)).alias("r")).alias(f"_{i}"))
         one = df.agg(*aggs)
         out = one.select(F.explode(F.array(*[f"_{i}" for i in range(len(pairs))])).alias("x")).select("x.*")
-    return out.withColumn("p_value", kernel(lambda r, n: T.correlation_p(r, int(n)), F.col("r"), F.col("n").cast("double")))
+    out = out.withColumn("p_value", kernel(lambda r, n: T.correlation_p(r, int(n)), F.col("r"), F.col("n").cast("double")))
+    if adjust == "BH":
+        return bh_adjust(out, "p_value", out="p_adjusted")
+    return out if adjust is None else out.withColumn("p_adjusted", F.least(F.lit(1.0), F.col("p_value") * F.count("p_value").over(Window.partitionBy(F.lit(1)))))  # a row per pair of columns
 
 
 #: Distinct (a, b) cells of a block in `kendall`, and blocks of a column at most.
@@ -201,9 +252,10 @@ def group_enrichment(df: DataFrame, groups: Sequence[str], numeric: Sequence[str
     """Each level of each group column against all other rows (or against the level `reference`), for each variable.
 
     grp_var, grp, enrich_var, type (continuous or logical), n1, n2, measure1,
-    measure2, measure_observed, statistic, p_value and fdr (within grp_var,
-    enrich_var and by). A logical variable compares shares by Fisher's test, a
-    numeric one means by Welch's test or, with method wilcox, ranks.
+    measure2, measure_observed, statistic, p_value, fdr (within grp_var,
+    enrich_var and by), odds, odds_low and odds_high. A logical variable compares
+    shares by Fisher's test, with the conditional odds ratio and its exact 95 %
+    interval; a numeric one means by Welch's test or, with method wilcox, ranks.
     measure_observed is the ratio of the measures, those of a numeric variable
     taken above the least value compared.
     """
@@ -214,18 +266,21 @@ def group_enrichment(df: DataFrame, groups: Sequence[str], numeric: Sequence[str
     values += [F.struct(F.lit(v).alias("enrich_var"), F.lit("logical").alias("type"), F.col(v).cast("int").cast("double").alias("x")) for v in logical]
     long = long.select(*by, "grp_var", "grp", F.explode(F.array(*values)).alias("v")).select(*by, "grp_var", "grp", "v.*").where("x IS NOT NULL")
     keys = [*by, "grp_var", "enrich_var", "type"]
-    # Sums of each level; the rest of a level is the total less its own sums. Values are shifted by nothing: counts and sums of squares suffice.
-    per = long.groupBy(*keys, "grp").agg(F.count("*").alias("n1"), F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("q1"), F.min("x").alias("lo1"))
+    # Moments of each level, then those of the other levels pooled around the mean of all, so that large values lose nothing.
+    per = long.groupBy(*keys, "grp").agg(F.count("*").alias("n1"), F.sum("x").alias("s1"), F.avg("x").alias("m1"), F.coalesce(F.var_samp("x") * (F.count("*") - 1), F.lit(0.0)).alias("q1"), F.min("x").alias("lo1"))
     w = Window.partitionBy(*keys)
     if reference is None:
-        d = per.withColumns({"lo": F.min("lo1").over(w), "n2": F.sum("n1").over(w) - F.col("n1"), "s2": F.sum("s1").over(w) - F.col("s1"), "q2": F.sum("q1").over(w) - F.col("q1")})
+        d = per.withColumn("_a", F.avg("m1").over(w)).withColumn("_d", F.col("m1") - F.col("_a"))
+        d = d.withColumns({"lo": F.min("lo1").over(w), "n2": F.sum("n1").over(w) - F.col("n1"), "s2": F.sum("s1").over(w) - F.col("s1"), "_e": F.sum(F.col("n1") * F.col("_d")).over(w) - F.col("n1") * F.col("_d")})
+        d = d.withColumn("_q", F.sum(F.col("q1") + F.col("n1") * F.col("_d") * F.col("_d")).over(w) - F.col("q1") - F.col("n1") * F.col("_d") * F.col("_d"))
+        d = d.withColumns({"m2": F.col("_a") + F.col("_e") / F.col("n2"), "q2": F.greatest(F.lit(0.0), F.col("_q") - F.col("_e") * F.col("_e") / F.col("n2"))})
     else:
-        d = per.withColumns({f"{c}2": F.max(F.when(F.col("grp") == reference, F.col(f"{c}1"))).over(w) for c in ("n", "s", "q", "lo")}).where(F.col("grp") != reference)
+        d = per.withColumns({f"{c}2": F.max(F.when(F.col("grp") == reference, F.col(f"{c}1"))).over(w) for c in ("n", "s", "m", "q", "lo")}).where(F.col("grp") != reference)
         d = d.withColumn("lo", F.least("lo1", "lo2"))
     d = d.where("n2 > 0")
     for k in (1, 2):
-        n, s, q = F.col(f"n{k}"), F.col(f"s{k}"), F.col(f"q{k}")
-        d = d.withColumns({f"measure{k}": s / n, f"v{k}": F.when(n > 1, (q - s * s / n) / (n - 1))})
+        n = F.col(f"n{k}")
+        d = d.withColumns({f"measure{k}": F.col(f"m{k}"), f"v{k}": F.when(n > 1, F.col(f"q{k}") / (n - 1))})
     se = F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")
     df_ = se * se / (F.pow(F.col("v1") / F.col("n1"), F.lit(2.0)) / (F.col("n1") - 1) + F.pow(F.col("v2") / F.col("n2"), F.lit(2.0)) / (F.col("n2") - 1))
     t = F.when(se > 0, (F.col("measure1") - F.col("measure2")) / F.sqrt(se))
@@ -251,7 +306,10 @@ def group_enrichment(df: DataFrame, groups: Sequence[str], numeric: Sequence[str
         d = d.withColumn("_p", F.when(number, ranks))
     own = F.nanvl(p_value("type", F.col("statistic"), F.col("_df"), "n1", "s1", "n2", "s2"), F.lit(None).cast("double"))
     d = d.withColumn("p_value", F.when(number, F.col("_p")).otherwise(own) if method == "wilcox" else own)
-    return bh_adjust(d, "p_value", keys).select(*keys, "grp", "n1", "n2", "measure1", "measure2", "measure_observed", "statistic", "p_value", "fdr")
+    count = lambda c: F.when(~number, c).cast("double")
+    d = d.withColumn("_o", odds_interval(*[count(c) for c in (F.col("s1"), F.col("n1") - F.col("s1"), F.col("s2"), F.col("n2") - F.col("s2"))]))
+    told = [F.col("_o")[i].alias(c) for i, c in enumerate(("odds", "odds_low", "odds_high"))]
+    return bh_adjust(d, "p_value", keys).select(*keys, "grp", "n1", "n2", "measure1", "measure2", "measure_observed", "statistic", "p_value", "fdr", *told)
 
 
 def _level_ranks(long: DataFrame, keys: Sequence[str], reference: str | None) -> DataFrame:
@@ -293,14 +351,15 @@ def feature_association(df: DataFrame, signatures: Sequence[str], numeric: Seque
     if numeric:
         c = correlations(df, signatures, numeric)
         out = c.select(F.col("a").alias("signature"), F.col("b").alias("feature"), F.lit("co").alias("type"), F.col("n").alias("count"), F.col("r").alias("measure"), "p_value")
-    for s in signatures:
-        for f in logical:
-            d = df.where(F.col(f).isNotNull() & F.col(s).isNotNull())
-            m = two_groups(d, F.col(f), s)
-            p = rank_sum(d, F.col(f), s).select(F.col("p_value").alias("p"))
-            enough = (F.col("n1") >= min_n * (F.col("n1") + F.col("n2"))) & (F.col("n2") >= min_n * (F.col("n1") + F.col("n2"))) & (F.col("n1") > 0) & (F.col("n2") > 0)
-            one = m.crossJoin(p).select(F.lit(s).alias("signature"), F.lit(f).alias("feature"), F.lit("ca").alias("type"), (F.col("n1") + F.col("n2")).alias("count"), F.when(enough, F.col("m1") - F.col("m2")).alias("measure"), F.when(enough, F.col("p")).alias("p_value"))
-            out = one if out is None else out.unionByName(one)
+    if logical:  # one pass: the table is read once, each row told for every signature and feature
+        cells = lambda names, kind: F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast(kind).alias("v")) for c in names]))
+        d = df.select(cells(signatures, "double").alias("s"), *logical).select(F.col("s.name").alias("signature"), F.col("s.v").alias("x"), cells(logical, "boolean").alias("f"))
+        d = d.select("signature", F.col("f.name").alias("feature"), "x", F.col("f.v").alias("flag")).where("x IS NOT NULL AND flag IS NOT NULL")
+        by = ["signature", "feature"]
+        d = two_groups(d, F.col("flag"), "x", by).join(rank_sum(d, F.col("flag"), "x", by).select(*by, F.col("p_value").alias("p")), by)
+        enough = (F.col("n1") >= min_n * (F.col("n1") + F.col("n2"))) & (F.col("n2") >= min_n * (F.col("n1") + F.col("n2"))) & (F.col("n1") > 0) & (F.col("n2") > 0)
+        classes = d.select(*by, F.lit("ca").alias("type"), (F.col("n1") + F.col("n2")).alias("count"), F.when(enough, F.col("m1") - F.col("m2")).alias("measure"), F.when(enough, F.col("p")).alias("p_value"))
+        out = classes if out is None else out.unionByName(classes)
     return bh_adjust(out, "p_value", ["type"])
 
 

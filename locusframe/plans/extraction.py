@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import solvers
+from locusframe.plans.ledger import fingerprint, remembered, table_fingerprint
 
 #: Numbers in a matrix that is broadcast, at most.
 MATRIX_LIMIT = 20_000_000
@@ -82,45 +83,55 @@ def fit(catalog: DataFrame, signature: DataFrame, method: str = "QP", auto_reduc
     return sample_arrays(catalog, components).mapInPandas(run, "sample string, sig string, exposure double, error double, cosine double")
 
 
-def fit_bootstrap(catalog: DataFrame, signature: DataFrame, n: int = 100, method: str = "QP", min_count: int = 1, seed: int = SEED) -> DataFrame:
-    """sample, type (optimal or Rep_i), sig, exposure, error, cosine: each catalogue fitted as it is and in n multinomial resamples. Samples with totals up to min_count go."""
-    components, sigs, p = signature_matrix(signature)
-    shared = catalog.sparkSession.sparkContext.broadcast(p)
+def _bootstrap_tasks(catalog: DataFrame, components: Sequence[str], n: int, min_count: int, seed: int) -> DataFrame:
+    """sample, counts, rep (0: the catalogue as it is) and a seed of its own for each."""
     d = sample_arrays(catalog, components).where(F.aggregate("counts", F.lit(0.0), lambda a, x: a + x) > min_count)
-    d = d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("seed", F.abs(F.xxhash64("sample", "rep", F.lit(seed)) % (1 << 31)))
+    return d.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n)))).withColumn("seed", F.abs(F.xxhash64("sample", "rep", F.lit(seed)) % (1 << 31)))
+
+
+def _fit_tasks(tasks: DataFrame, sigs: list[str], p: np.ndarray, method: str) -> DataFrame:
+    """key, sample, rep, sig, exposure, error and cosine of the tasks."""
+    shared = tasks.sparkSession.sparkContext.broadcast(p)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = []
-            for s, c, rep, sd in zip(pdf["sample"], pdf["counts"], pdf["rep"], pdf["seed"], strict=True):
+            for key, s, c, rep, sd in zip(pdf["key"], pdf["sample"], pdf["counts"], pdf["rep"], pdf["seed"], strict=True):
                 c = np.asarray(c)
                 e = solvers.bootstrap(c, shared.value, int(sd), method)[0] if rep else solvers.fit_one(c, shared.value, method) * c.sum()
                 made = shared.value @ e
                 err, cos = float(np.linalg.norm(c - made)), solvers.cosine(c, made)
-                rows += [(s, f"Rep_{rep}" if rep else "optimal", k, v, err, cos) for k, v in zip(sigs, np.round(e, 6).tolist(), strict=True)]
-            yield pd.DataFrame(rows, columns=["sample", "type", "sig", "exposure", "error", "cosine"])
+                rows += [(key, s, rep, k, v, err, cos) for k, v in zip(sigs, np.round(e, 6).tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["key", "sample", "rep", "sig", "exposure", "error", "cosine"])
 
-    return d.mapInPandas(run, "sample string, type string, sig string, exposure double, error double, cosine double")
+    return tasks.select("key", "sample", "counts", "rep", "seed").mapInPandas(run, "key string, sample string, rep int, sig string, exposure double, error double, cosine double")
 
 
-def fit_bootstrap_batch(catalog: DataFrame, signature: DataFrame, methods: Sequence[str] = ("QP",), n: int = 100, min_count: int = 1, thresholds: Sequence[float] = (0.05,), seed: int = SEED, folder: str | None = None) -> dict[str, DataFrame]:
-    """Four tables over samples, methods and repetitions: expo (method, sample, sig, exposure, type), error, cosine (method, sample, type, value) and p_val.
+def fit_bootstrap(catalog: DataFrame, signature: DataFrame, n: int = 100, method: str = "QP", min_count: int = 1, seed: int = SEED, folder: str | None = None) -> DataFrame:
+    """sample, type (optimal or Rep_i), sig, exposure, error, cosine: each catalogue fitted as it is and in n multinomial resamples. Samples with totals up to min_count go.
 
-    With a folder each method's fits are written there as Parquet when they are
-    done and read again by a later call, so that a stopped batch goes on.
+    With a folder each fit of a (sample, repetition) is kept there, under a key
+    of the sample's counts, the signatures, the method and the seed. A stopped
+    job goes on with what is missing, more repetitions add to those that are
+    there, and other data or arguments never meet them.
     """
-    spark = catalog.sparkSession
+    components, sigs, p = signature_matrix(signature)
+    tasks = _bootstrap_tasks(catalog, components, n, min_count, seed)
+    if folder is None:
+        fits = _fit_tasks(tasks.withColumn("key", F.lit("")), sigs, p, method)
+    else:
+        shares = signature.groupBy("sig", "component").agg(F.sum("weight").cast("double").alias("weight"))
+        key = fingerprint(F.col("sample"), F.col("counts"), F.lit(table_fingerprint(shares)), F.lit(method), F.lit(seed))
+        fits = remembered(tasks.withColumn("key", key), ["sample", "rep"], lambda t: _fit_tasks(t, sigs, p, method), f"{folder}/fits")
+    kind = F.when(F.col("rep") > 0, F.concat(F.lit("Rep_"), F.col("rep").cast("string"))).otherwise("optimal")
+    return fits.select("sample", kind.alias("type"), "sig", "exposure", "error", "cosine")
+
+
+def fit_bootstrap_batch(catalog: DataFrame, signature: DataFrame, methods: Sequence[str] = ("QP",), n: int = 100, min_count: int = 1, thresholds: Sequence[float] = (0.05,), seed: int = SEED, folder: str | None = None) -> dict[str, DataFrame]:
+    """Four tables over samples, methods and repetitions: expo (method, sample, sig, exposure, type), error, cosine (method, sample, type, value) and p_val. A folder keeps every fit, see fit_bootstrap."""
     whole = None
     for m in methods:
-        path = f"{folder}/method={m}" if folder else None
-        if path and spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
-            one = spark.read.parquet(path)
-        else:
-            one = fit_bootstrap(catalog, signature, n, m, min_count, seed)
-            if path:
-                one.write.mode("overwrite").parquet(path)
-                one = spark.read.parquet(path)
-        one = one.withColumn("method", F.lit(m))
+        one = fit_bootstrap(catalog, signature, n, m, min_count, seed, folder).withColumn("method", F.lit(m))
         whole = one if whole is None else whole.unionByName(one)
     single = lambda c: whole.groupBy("method", "sample", "type").agg(F.first(c).alias(c))
     p = None
@@ -216,7 +227,8 @@ def _runs(spark: SparkSession, tasks: list[tuple], schema: str) -> DataFrame:
 _RUN = "k int, catalogue int, run int, seed long, score double, kept int, w array<double>, h array<double>"
 
 
-def _factorise(catalog: DataFrame, tasks: list[tuple], method: str, resample: bool, n_iter: int) -> tuple[list[str], list[str], DataFrame]:
+def _factorise(catalog: DataFrame, tasks: list[tuple], method: str, resample: bool, n_iter: int, folder: str | None = None) -> tuple[list[str], list[str], DataFrame]:
+    """Components, samples and the runs of the tasks (k, catalogue, run, seed); a folder keeps every run, under a key of the catalogue and the arguments, for a later call."""
     components, samples, v = catalogue_matrix(catalog)
     spark = catalog.sparkSession
     shared = spark.sparkContext.broadcast(v)
@@ -238,7 +250,14 @@ def _factorise(catalog: DataFrame, tasks: list[tuple], method: str, resample: bo
                 rows.append((k, cat, r, seed, score, w.shape[1], w.ravel(), h.ravel()))
             yield pd.DataFrame(rows, columns=["k", "catalogue", "run", "seed", "score", "kept", "w", "h"])
 
-    return components, samples, _runs(spark, tasks, "k int, catalogue int, run int, seed long").mapInPandas(run, _RUN)
+    todo = _runs(spark, tasks, "k int, catalogue int, run int, seed long")
+    if folder is None:
+        return components, samples, todo.mapInPandas(run, _RUN)
+    whole = table_fingerprint(catalog.groupBy("sample", "component").agg(F.sum("n").cast("double").alias("n")))
+    key = F.sha2(F.lit("|".join([whole, method, str(resample), str(n_iter)])), 256)
+    ids = ["k", "catalogue", "run", "seed"]
+    work = lambda t: t.select(*ids).mapInPandas(run, _RUN).withColumn("key", key)
+    return components, samples, remembered(todo.withColumn("key", key), ids, work, f"{folder}/runs").drop("key")
 
 
 def _solution(spark: SparkSession, components: list[str], samples: list[str], w: np.ndarray, h: np.ndarray) -> tuple[DataFrame, DataFrame]:
@@ -280,12 +299,20 @@ def _extract(catalog: DataFrame, n_sig: int, n_run: int, seed: int, n_iter: int)
 
 
 def randomised(catalog: DataFrame, seed: int = SEED) -> DataFrame:
-    """The catalogue with each sample's counts dealt anew over its components, at random but alike in every run."""
-    parts = F.col("component"), F.xxhash64("sample", "component", F.lit(seed))
-    a = Window.partitionBy("sample").orderBy("component")
-    b = Window.partitionBy("sample").orderBy(parts[1], "component")
-    d = catalog.select("sample", "component", "n", F.row_number().over(a).alias("_i"), F.row_number().over(b).alias("_j"))
-    return d.select("sample", "component", "_i").join(d.select("sample", F.col("_j").alias("_i"), "n"), ["sample", "_i"]).select("sample", "component", "n")
+    """The catalogue with each sample's counts, zeros included, dealt anew over all components, at random but alike in every run.
+
+    A component's place in the list of all components is the rank, by a hash of
+    (sample, component), of the component to which its count goes.
+    """
+    counts = catalog.groupBy("sample", "component").agg(F.sum("n").alias("n"))
+    listed = counts.select("component").distinct().withColumn("_i", F.row_number().over(Window.orderBy("component")))  # one row per component
+    _limited(listed.count())
+    listed = F.broadcast(listed)
+    dealt = counts.select("sample").distinct().crossJoin(listed.select("component"))  # the grid of a catalogue
+    dealt = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("sample").orderBy(F.xxhash64("sample", "component", F.lit(seed)), "component")))
+    held = counts.join(listed, "component").select("sample", "_i", "n")
+    none = F.lit(0).cast(counts.schema["n"].dataType)
+    return dealt.join(held, ["sample", "_i"], "left").select("sample", "component", F.coalesce("n", none).alias("n"))
 
 
 def estimate(catalog: DataFrame, ranks: Sequence[int], n_run: int = 10, seed: int = SEED, n_iter: int = 500, use_random: bool = False) -> DataFrame:
@@ -329,19 +356,22 @@ def _estimate(catalog: DataFrame, ranks: Sequence[int], n_run: int, seed: int, n
     return runs.groupBy("k").applyInPandas(survey, "k int, residual double, rss double, evar double, cophenetic double, dispersion double, sparseness double, silhouette double")
 
 
-def auto_extract(catalog: DataFrame, k0: int = 25, n_run: int = 10, prior: str = "L1KL", strategy: str = "stable", seed: int = SEED, n_iter: int = 20_000, reference: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def auto_extract(catalog: DataFrame, k0: int = 25, n_run: int = 10, prior: str = "L1KL", strategy: str = "stable", seed: int = SEED, n_iter: int = 20_000, reference: DataFrame | None = None, optimize: bool = False, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Signatures and exposures of a factorisation that finds its own number of signatures.
 
     stable: the most frequent number, then the best posterior; optimal: the best
     posterior; ms: the largest mean, over a run's signatures, of the best cosine
-    with a signature of reference (sig, component, weight).
+    with a signature of reference (sig, component, weight). With optimize the
+    exposures are those of a fit to the signatures found. A folder keeps the
+    runs: a stopped extraction goes on, and other strategies choose among the
+    same runs.
     """
     if strategy not in ("stable", "optimal", "ms"):
         raise ValueError("strategy must be one of stable, optimal, ms")
     if strategy == "ms" and reference is None:
         raise ValueError("strategy ms needs reference signatures")
     tasks = [(k0, 0, r, seed + r) for r in range(n_run)]
-    components, samples, runs = _factorise(catalog, tasks, prior, False, n_iter)
+    components, samples, runs = _factorise(catalog, tasks, prior, False, n_iter, folder)
     runs = runs.where("kept > 0").withColumn("_n", F.count("*").over(Window.partitionBy("kept")))
     if strategy == "ms":
         names, _, p = signature_matrix(reference)
@@ -357,7 +387,8 @@ def auto_extract(catalog: DataFrame, k0: int = 25, n_run: int = 10, prior: str =
         order = [F.desc("_n"), F.desc("score")] if strategy == "stable" else [F.desc("score")]
         best = runs.orderBy(*order, "run").first()
     k = best["kept"]
-    return _solution(catalog.sparkSession, components, samples, np.array(best["w"]).reshape(-1, k), np.array(best["h"]).reshape(k, -1))
+    sig, expo = _solution(catalog.sparkSession, components, samples, np.array(best["w"]).reshape(-1, k), np.array(best["h"]).reshape(k, -1))
+    return sig, _refitted(catalog, sig) if optimize else expo
 
 
 def worthwhile(catalog: DataFrame, min_contribution: float = 0.0, handle_hyper_mutation: bool = True) -> DataFrame:

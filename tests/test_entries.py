@@ -17,6 +17,10 @@ from locusframe.sources.domain import view
 from tests.conftest import SF
 
 
+def rows_of(df):
+    return sorted(map(repr, map(tuple, df.collect())))
+
+
 def test_genome_dimensions(spark):
     assert [G.genome_size(b) for b in ("hg19", "hg38", "mm10")] == [2881033286, 2875001522, 2462745373]
     d = G.genome_annotation(spark, "chr_size", "hg38", ["chrX", "chr2"]).collect()
@@ -80,8 +84,55 @@ def test_batch_goes_on_where_it_stopped(spark, mixed, tmp_path, monkeypatch):
     tables = X.fit_bootstrap_batch(c, sig, ("QP", "NNLS"), n=5, folder=str(tmp_path))
     assert {r.method for r in tables["expo"].select("method").distinct().collect()} == {"QP", "NNLS"}
     assert tables["error"].count() == 2 * 8 * 6 and tables["p_val"].count() == 2 * 8 * 3
-    monkeypatch.setattr(X, "fit_bootstrap", lambda *a: pytest.fail("fitted again"))
-    assert X.fit_bootstrap_batch(c, sig, ("QP", "NNLS"), n=5, folder=str(tmp_path))["error"].count() == 2 * 8 * 6
+    seen, fit, stop = [], X._fit_tasks, [99]
+
+    def counted(tasks, *a):
+        n = tasks.count()
+        if n:
+            if len(seen) >= stop[0]:
+                raise RuntimeError("lost")
+            seen.append(n)
+        return fit(tasks, *a)
+
+    monkeypatch.setattr(X, "_fit_tasks", counted)
+
+    def again(data=c, **options):
+        seen.clear()
+        out = X.fit_bootstrap_batch(data, sig, ("QP", "NNLS"), folder=str(tmp_path), **options)
+        return out, sum(seen)
+
+    out, fitted = again(n=5)
+    assert fitted == 0 and rows_of(out["expo"]) == rows_of(tables["expo"])
+    out, fitted = again(n=7)  # what is there is taken, what is more is added
+    assert fitted == 2 * 8 * 2 and out["error"].select("type").distinct().count() == 8
+    out, fitted = again(n=2)
+    assert fitted == 0 and out["error"].select("type").distinct().count() == 3
+    assert again(n=2, seed=9)[1] == 2 * 8 * 3
+    more = c.withColumn("n", F.when(F.col("sample") == "s0", F.col("n") * 100).otherwise(F.col("n")))
+    out, fitted = again(more, n=2)  # only the sample that has changed
+    assert fitted == 2 * 3
+    sums = {r.sample: r.e for r in out["expo"].where("method = 'QP' AND type = 'optimal'").groupBy("sample").agg(F.sum("exposure").alias("e")).collect()}
+    totals = {r.sample: r.n for r in more.groupBy("sample").agg(F.sum("n").alias("n")).collect()}
+    assert all(abs(sums[s] - totals[s]) < 1e-3 * totals[s] for s in totals)
+    stop[0] = 3
+    with pytest.raises(RuntimeError):
+        again(n=2, seed=11)
+    done, stop[0] = sum(seen), 99
+    out, fitted = again(n=2, seed=11)
+    assert 0 < done < 2 * 8 * 3 and fitted == 2 * 8 * 3 - done
+    assert rows_of(out["expo"]) == rows_of(X.fit_bootstrap_batch(c, sig, ("QP", "NNLS"), n=2, seed=11)["expo"])
+
+
+def test_extraction_goes_on(spark, mixed, tmp_path):
+    c, sig = mixed
+    one = X.auto_extract(c, 4, 3, n_iter=50, folder=str(tmp_path))
+    runs = spark.read.parquet(f"{tmp_path}/runs")
+    assert runs.count() == 3
+    best = X.auto_extract(c, 4, 5, n_iter=50, strategy="optimal", folder=str(tmp_path), optimize=True)
+    assert spark.read.parquet(f"{tmp_path}/runs").count() == 5 and best[1].count() == 8 * best[0].select("sig").distinct().count()
+    assert rows_of(X.auto_extract(c, 4, 3, n_iter=50)[0]) == rows_of(one[0])
+    X.auto_extract(c.where("sample != 's1'"), 4, 3, n_iter=50, folder=str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/runs").count() == 8
 
 
 def test_suboptimal_fits_stay_near_the_best(mixed):
@@ -118,6 +169,11 @@ def test_extraction_entries(spark, mixed):
         with pytest.raises(ValueError):
             X.unify_extract(c, ranks, approach)
     totals = lambda d: sorted(map(tuple, d.groupBy("sample").agg(F.sum("n")).collect()))
+    sparse = spark.createDataFrame([("a", "c1", 5), ("a", "c4", 7), ("b", "c2", 1), *[("z", f"c{i}", i) for i in range(1, 7)]], c.schema)
+    dealt = [X.randomised(sparse, seed) for seed in range(12)]
+    held = [sorted(r.n for r in d.where("sample = 'a'").collect()) for d in dealt]
+    assert all(h == [0, 0, 0, 0, 5, 7] for h in held)  # counts and zeros of a sample stay
+    assert {r.component for d in dealt for r in d.where("sample = 'b' AND n = 1").collect()} >= {"c1", "c3", "c5"}
     r = X.randomised(c)
     assert totals(r) == totals(c) and r.exceptAll(c).count() > 0 and r.exceptAll(X.randomised(c)).count() == 0
     tiny = c.unionByName(spark.createDataFrame([("s0", "rare", 1), ("none", "c0", 0)], c.schema))

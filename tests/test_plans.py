@@ -139,6 +139,71 @@ def test_enrichment_by_ranks_and_reference(spark):
         T.group_enrichment(d, ["g"], ["x"], method="other")
 
 
+def test_enrichment_of_large_values(spark):
+    rng = np.random.default_rng(9)
+    rows = [(g, float(1e9 + x), bool(x > 0)) for g, m, k in (("a", 0.0, 30), ("b", 0.4, 25), ("c", -0.3, 40)) for x in rng.normal(m, 1, k)]
+    d = spark.createDataFrame(rows, "g string, x double, f boolean")
+    got = {(r.grp, r.enrich_var): r for r in T.group_enrichment(d, ["g"], ["x"], ["f"]).collect()}
+    for level in "abc":
+        want = T.welch_columns(T.two_groups(d, F.col("g") == level, "x")).first()
+        r = got[level, "x"]
+        assert r.statistic == pytest.approx(want.t, rel=1e-5) and r.p_value == pytest.approx(want.p_value, rel=1e-5) and r.odds is None
+        mine = [[sum(f == v for g, _, f in rows if (g == level) == own) for v in (True, False)] for own in (True, False)]
+        o = got[level, "f"]
+        assert np.allclose([o.odds, o.odds_low, o.odds_high], K.odds_intervals(*[[x] for x in mine[0] + mine[1]])[0])
+    far = {r.grp: r.statistic for r in T.group_enrichment(d, ["g"], ["x"], reference="c").collect()}
+    for level in "ab":
+        assert far[level] == pytest.approx(T.welch_columns(T.two_groups(d.where(F.col("g").isin(level, "c")), F.col("g") == level, "x")).first().t, rel=1e-5)  # a mean near 1e9 has seven places
+
+
+def test_odds_intervals():
+    from math import comb
+
+    t = np.random.default_rng(3).integers(0, 40, (200, 4))
+    t[:2] = 0
+    for cells in (50, 1 << 20):
+        for (a, b, c, d), (odds, low, high) in zip(t.tolist(), K.odds_intervals(*t.T, cells=cells), strict=True):
+            m, n, k = a + c, b + d, a + b
+            lo, hi = max(0, k - n), min(k, m)
+            weights = {x: comb(m, x) * comb(n, k - x) for x in range(lo, hi + 1)}
+
+            def tail(w, chosen):
+                p = {x: v * w ** (x - lo) for x, v in weights.items()}  # noqa: B023
+                return sum(p[x] for x in p if chosen(x)) / sum(p.values())
+
+            if lo == hi:
+                assert np.isnan(odds) and (low, high) == (0, np.inf)
+                continue
+            assert odds == pytest.approx(K.fisher(a, b, c, d)[1], rel=1e-6)
+            assert low == 0 if a == lo else tail(low, lambda x: x >= a) == pytest.approx(0.025, rel=1e-6)
+            assert high == np.inf if a == hi else tail(high, lambda x: x <= a) == pytest.approx(0.025, rel=1e-6)
+
+
+@pytest.mark.parametrize("cells", [7, 50_000])
+def test_associations_and_correlations_in_one_pass(spark, monkeypatch, cells):
+    monkeypatch.setattr(T, "KENDALL_CELLS", cells)
+    rnd = random.Random(11)
+    rows = [(rnd.random(), rnd.choice([None, 1.0, 2.0, rnd.random()]), rnd.random() < 0.4, rnd.choice([True, False, None]), rnd.randrange(9), 3) for _ in range(120)]
+    d = spark.createDataFrame(rows, "s1 double, s2 double, f1 boolean, f2 boolean, x int, one int")
+    got = {(r.signature, r.feature): r for r in T.feature_association(d, ["s1", "s2"], ["x"], ["f1", "f2"]).collect()}
+    assert len(got) == 6
+    for i, s in enumerate(("s1", "s2")):
+        for j, f in ((2, "f1"), (3, "f2")):
+            have = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            x, y = [v for v, f in have if f], [v for v, f in have if not f]
+            r = got[s, f]
+            want = T.rank_sum(d.where(F.col(f).isNotNull()), F.col(f), s).first().p_value
+            assert r["count"] == len(have) and r.measure == pytest.approx(np.mean(x) - np.mean(y)) and r.p_value == pytest.approx(want)
+    rank = lambda vs: [sum(b < a for b in vs) + (sum(b == a for b in vs) + 1) / 2 for a in vs]
+    c = T.correlations(d, ["s1", "x"], ["x", "one"], rank=True, adjust="BH")
+    by = {(r.a, r.b): r for r in c.collect()}
+    assert by["s1", "x"].r == pytest.approx(np.corrcoef(rank([r[0] for r in rows]), rank([r[4] for r in rows]))[0, 1]) and by["s1", "one"].r is None
+    kept = T.correlations(d, ["s1", "s2"], ["x", "one"], adjust="bonferroni", drop_constant=True).collect()
+    assert {(r.a, r.b) for r in kept} == {("s1", "x"), ("s2", "x")} and all(r.p_adjusted == pytest.approx(min(1, 2 * r.p_value)) for r in kept)
+    with pytest.raises(ValueError):
+        T.correlations(d, ["one"], ["x"], drop_constant=True)
+
+
 def test_pam_finds_clusters():
     from locusframe.functions import solvers
 
