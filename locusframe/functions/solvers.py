@@ -335,46 +335,79 @@ def align_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
     return order
 
 
-def silhouette(dist: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """(b - a) / max(a, b) of each item; 0 for one alone in its cluster."""
-    n = len(label)
-    out = np.zeros(n)
-    groups = [np.flatnonzero(label == g) for g in np.unique(label)]
-    if len(groups) < 2:
-        return out
-    for i in range(n):
-        own = next(g for g in groups if label[g[0]] == label[i])
-        if len(own) == 1:
-            continue
-        a = dist[i, own].sum() / (len(own) - 1)
-        b = min(dist[i, g].mean() for g in groups if label[g[0]] != label[i])
-        out[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-    return out
-
-
-def hclust(dist: np.ndarray) -> list[tuple[int, int, float]]:
-    """Merges (a, b, height) of average linkage; new clusters are numbered from n on."""
+def silhouette(dist: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """(b - a) / max(a, b) of each item; 0 for one alone in its cluster. An item of weight w stands for w equal ones."""
+    weight = np.ones(len(label)) if weight is None else np.asarray(weight, float)
+    names, at = np.unique(label, return_inverse=True)
+    if len(names) < 2:
+        return np.zeros(len(label))
+    member = np.zeros((len(label), len(names)))
+    member[np.arange(len(label)), at] = weight
+    size, total = member.sum(axis=0), dist @ member  # sums of distances to each cluster
+    rows = np.arange(len(label))
+    a = total[rows, at] / np.maximum(size[at] - 1, 1)
+    mean = total / size
+    mean[rows, at] = np.inf
+    b = mean.min(axis=1)
+    most = np.maximum(a, b)
+    return np.where((size[at] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0.0)
+
+
+def hclust(dist: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Merges (a, b, height) of average linkage, lowest first; new clusters are numbered from n on. An item of weight w stands for w equal ones.
+
+    Chains of nearest neighbours: a pair that are each other's nearest is merged
+    wherever it is met, so a merge costs a few rows of the matrix instead of all
+    of it; the merges are put in order of height afterwards.
+    """
     n = len(dist)
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    ids, size, out = list(range(n)), [1] * n, []
-    alive = list(range(n))
-    while len(alive) > 1:
-        sub = d[np.ix_(alive, alive)]
-        k = int(sub.argmin())
-        i, j = alive[k // len(alive)], alive[k % len(alive)]
-        if i > j:
-            i, j = j, i
-        out.append((ids[i], ids[j], float(d[i, j])))
-        for x in alive:
-            if x not in (i, j):
-                d[i, x] = d[x, i] = (size[i] * d[i, x] + size[j] * d[j, x]) / (size[i] + size[j])
+    size = np.ones(n) if weight is None else np.asarray(weight, float).copy()
+    alive, chain, found = np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        while True:
+            row = d[chain[-1]]
+            j = int(row.argmin())
+            if len(chain) > 1 and row[chain[-2]] <= row[j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        i = chain.pop()
+        chain.pop()
+        i, j = min(i, j), max(i, j)
+        found.append((i, j, float(d[i, j])))
+        both = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = both, both
+        d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        ids[i] = n + len(out) - 1
-        alive.remove(j)
+        alive[j] = False
+    # a merge names the least item of each side; in order of height these become clusters
+    name, out = list(range(n)), []
+    for i, j, h in sorted(found, key=lambda m: m[2]):
+        while name[i] < 0:
+            i = -name[i] - 1
+        while name[j] < 0:
+            j = -name[j] - 1
+        i, j = min(i, j), max(i, j)
+        out.append((name[i], name[j], h))
+        name[i], name[j] = n + len(out) - 1, -i - 1
     return out
 
 
+def distances(x: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x, from their dot products."""
+    x = x - x.mean(axis=0)
+    square = (x * x).sum(axis=1)
+    d = square[:, None] + square[None] - 2 * x @ x.T
+    d = np.sqrt(np.maximum(d, 0, out=d), out=d)
+    np.fill_diagonal(d, 0)
+    return d
+
+
 def cut_tree(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray:
     members = {i: [i] for i in range(n)}
     for step, (a, b, _) in enumerate(merges[: n - k]):
@@ -414,7 +447,7 @@ def pam(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def same_size_clusters(x: np.ndarray, size: int, method: str = "nearest", seed: int = 1) -> np.ndarray:
     """Clusters of equal size (the last may be smaller): the point farthest from the rest with its nearest (nearest), or centres with limited room (kmeans), or subtrees of a dendrogram (hclust)."""
     n = len(x)
-    dist = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
+    dist = distances(x)
     label = np.full(n, -1)
     n_groups = -(-n // size)
     if method == "nearest":
@@ -425,10 +458,11 @@ def same_size_clusters(x: np.ndarray, size: int, method: str = "nearest", seed:
     elif method == "kmeans":
         rng = np.random.default_rng(seed)
         centre = x[rng.choice(n, n_groups, replace=False)]
+        apart = lambda c: (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * x @ c.T
         for _ in range(30):
-            near = ((x[:, None] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
+            near = apart(centre).argmin(axis=1)
             centre = np.stack([x[near == g].mean(axis=0) if (near == g).any() else centre[g] for g in range(n_groups)])
-        d = ((x[:, None] - centre[None]) ** 2).sum(axis=2)
+        d = apart(centre)
         room = np.full(n_groups, size)
         for i in np.argsort(d.min(axis=1) - d.max(axis=1), kind="stable"):
             g = min((g for g in range(n_groups) if room[g]), key=lambda g: d[i, g])

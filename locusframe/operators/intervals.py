@@ -8,17 +8,28 @@ spread over many tasks and no pair of intervals meets twice.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators.interval_index import indexed_join
+
 #: Rows up to which a dimension may be broadcast; it is counted first.
 SMALL = 200_000
+#: Intervals a chromosome from which a broadcast side is probed through an index instead of one by one.
+DENSE = 64
+
+
+def _few(df: DataFrame, most: int) -> pa.Table | None:
+    rows = df.limit(most + 1).toArrow()
+    return rows if rows.num_rows <= most else None
 
 
 def fetched(df: DataFrame, most: int = SMALL) -> DataFrame | None:
     """df to be broadcast, if it has at most `most` rows; these are fetched once, so that the check costs no second run. None if it has more."""
-    rows = df.limit(most + 1).toArrow()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= most else None
+    rows = _few(df, most)
+    return None if rows is None else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def dimension(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -38,7 +49,8 @@ def overlap_join(left: DataFrame, right: DataFrame, lk: tuple[str, str, str], rk
     how is inner, left or left_semi. Points, whose start and end are one column,
     lie in one bin each and are joined by (chromosome, bin) in every case.
     Otherwise a right side of up to SMALL rows is broadcast, unless small is
-    False; beyond that both sides are cut into bins of bin_size (10 Mb unless
+    False, and probed through an IntervalIndex if it has over DENSE intervals a
+    chromosome; beyond that both sides are cut into bins of bin_size (10 Mb unless
     given); a long interval is copied to each bin that it meets, and a pair
     counts in the bin of the later start.
     """
@@ -53,8 +65,10 @@ def overlap_join(left: DataFrame, right: DataFrame, lk: tuple[str, str, str], rk
         size = bin_size or _width(right, rk)
         b = right.withColumn("_rbin", F.explode(F.sequence(F.floor(rs / size), F.floor(F.greatest(rs, re_) / size))))
         return left.join(b, (lc == rc) & (F.floor(ls / size) == F.col("_rbin")) & meets, how).drop("_rbin")
-    if small is not False and (few := fetched(right)) is not None:
-        return left.join(few, (lc == rc) & meets, how)
+    if small is not False and (few := _few(right, SMALL)) is not None:
+        if few.num_rows > DENSE * len(pc.unique(few.column(rk[0]))):
+            return indexed_join(left, few, right.schema, lk, rk, how)
+        return left.join(F.broadcast(right.sparkSession.createDataFrame(few, right.schema)), (lc == rc) & meets, how)
     size = bin_size or 10_000_000
     row = "_row"
     d = left.withColumn(row, F.struct(*left.columns))

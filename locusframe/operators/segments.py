@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.operators.intervals import dimension
+from locusframe.operators.intervals import dimension, overlap_join
 
 AUTOSOMES = tuple(f"chr{i}" for i in range(1, 23))
 CHROMOSOMES = (*AUTOSOMES, "chrX", "chrY")
@@ -187,10 +187,12 @@ def aneuploidy_score(annotated: DataFrame, ploidies: DataFrame | None = None, dr
 def freq_by_band(segments: DataFrame, bands: DataFrame, low: int = 2, high: int = 2) -> DataFrame:
     """Per band the shares of samples with a gain (above high) and a loss (below low); bands that nothing covers have 0."""
     n = segments.agg(F.countDistinct("sample").alias("_n"))
-    s = segments.select(F.col("sample"), F.col("chromosome").alias("chrom"), F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), "seg_val").where((F.col("seg_val") > high) | (F.col("seg_val") < low))
+    s = segments.select("sample", "chromosome", "start_pos", "end_pos", "seg_val").where((F.col("seg_val") > high) | (F.col("seg_val") < low))
+    s = s.select("sample", "chromosome", "start_pos", "end_pos", (F.col("seg_val") > high).alias("gain"))
     b = dimension(bands.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band"))
-    hit = s.join(b, "chrom").where((F.col("s") <= F.col("be")) & (F.col("e") >= F.col("bs")))
-    per = hit.groupBy("chrom", "bs", "be", "band").agg(F.countDistinct(F.when(F.col("seg_val") > high, F.col("sample"))).alias("a"), F.countDistinct(F.when(F.col("seg_val") < low, F.col("sample"))).alias("d"))
+    hit = overlap_join(s, b, ("chromosome", "start_pos", "end_pos"), ("chrom", "bs", "be"))
+    each = hit.groupBy("chrom", "bs", "be", "band", "sample").agg(F.max(F.col("gain").cast("int")).alias("a"), F.max((~F.col("gain")).cast("int")).alias("d"))
+    per = each.groupBy("chrom", "bs", "be", "band").agg(F.sum("a").alias("a"), F.sum("d").alias("d"))
     out = b.join(per, ["chrom", "bs", "be", "band"], "left").crossJoin(F.broadcast(n))
     share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("_n")
     return out.select("chrom", F.col("bs").alias("start_pos"), F.col("be").alias("end_pos"), "band", share("a").alias("amp"), share("d").alias("del"))
@@ -198,9 +200,9 @@ def freq_by_band(segments: DataFrame, bands: DataFrame, low: int = 2, high: int
 
 def band_values(segments: DataFrame, bands: DataFrame, value: Column | None = None) -> DataFrame:
     """band and sample with one value for the overlapping segments: their rounded mean, or the given aggregate of seg_val. Long form; pivot it for few samples."""
-    s = segments.select("sample", F.col("chromosome").alias("chrom"), F.col("start_pos").alias("s"), F.col("end_pos").alias("e"), "seg_val")
-    b = dimension(bands.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band"))
-    hit = s.join(b, "chrom").where((F.col("s") <= F.col("be")) & (F.col("e") >= F.col("bs")))
+    s = segments.select("sample", "chromosome", "start_pos", "end_pos", "seg_val")
+    b = bands.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band")
+    hit = overlap_join(s, b, ("chromosome", "start_pos", "end_pos"), ("chrom", "bs", "be"))
     return hit.groupBy("chrom", "band", "sample").agg((F.bround(F.avg("seg_val")).cast("int") if value is None else value).alias("value"))
 
 

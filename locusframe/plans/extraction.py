@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from locusframe.functions import solvers
+from locusframe.functions.lineage import settled
 from locusframe.plans.ledger import fingerprint, remembered, table_fingerprint
 
 #: Numbers in a matrix that is broadcast, at most.
@@ -330,6 +331,7 @@ def _estimate(catalog: DataFrame, ranks: Sequence[int], n_run: int, seed: int, n
     _, _, v = catalogue_matrix(catalog)
     shared = catalog.sparkSession.sparkContext.broadcast(v)
     n = len(samples)
+    _limited(n * n)  # a survey looks at the consensus of all pairs of samples
 
     def survey(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(pdf["k"].iloc[0])
@@ -423,27 +425,51 @@ def pam_groups(relative: DataFrame, k: int) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.pivot(index="sample", columns="sig", values="rel").fillna(0.0).sort_index()
-        v = x.to_numpy(float)
-        dist = np.sqrt(np.maximum(((v[:, None] - v[None]) ** 2).sum(axis=2), 0))
+        dist = solvers.distances(x.to_numpy(float))
         grp, _ = solvers.pam(dist, k)
         return pd.DataFrame({"sample": x.index, "grp": grp.astype(np.int32), "silhouette": solvers.silhouette(dist, grp)})
 
     return relative.groupBy(F.lit(1).alias("one")).applyInPandas(run, "sample string, grp int, silhouette double")
 
 
-def consensus_matrix(catalog: DataFrame, n_sig: int, n_run: int = 20, seed: int = SEED, n_iter: int = 500) -> DataFrame:
-    """a, b, share: how often runs give two samples the same dominant signature."""
+def _dominant(catalog: DataFrame, n_sig: int, n_run: int, seed: int, n_iter: int) -> tuple[DataFrame, DataFrame]:
+    """(sample, kind) and (kind, labels, n): samples whose dominant signatures agree in every run are one kind, n of them."""
     _, samples, runs = _factorise(catalog, [(n_sig, 0, r, seed + r) for r in range(n_run)], "KL", False, n_iter)
     shared = catalog.sparkSession.sparkContext.broadcast(samples)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = shared.value
-        label = [np.array(x).reshape(n_sig, -1).argmax(axis=0) for x in pdf.sort_values("run")["h"]]
-        m = np.mean([x[:, None] == x[None] for x in label], axis=0)
-        i, j = np.indices(m.shape)
-        return pd.DataFrame({"a": [names[x] for x in i.ravel()], "b": [names[x] for x in j.ravel()], "share": m.ravel()})
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for r, h in pdf.itertuples(index=False):
+                yield pd.DataFrame({"sample": shared.value, "run": r, "label": np.asarray(h).reshape(n_sig, -1).argmax(axis=0).astype(np.int32)})
+
+    each = runs.select("run", "h").mapInPandas(run, "sample string, run int, label int")
+    held = settled(each.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("run", "label"))).alias("x")).select("sample", F.col("x.label").alias("labels")))  # n_run entries
+    kinds = held.groupBy("labels").agg(F.count("*").alias("n"))
+    kinds = settled(kinds.withColumn("kind", F.row_number().over(Window.orderBy("labels")) - 1))
+    n = kinds.count()
+    _limited(n * n)
+    return held.join(F.broadcast(kinds), "labels").select("sample", "kind"), kinds
+
+
+def _kinds(kinds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of the kinds, the share of runs in which their labels differ, and their sizes."""
+    d = kinds.orderBy("kind").toPandas()
+    x = np.stack(d["labels"].to_list())
+    dist = np.zeros((len(x), len(x)))
+    for column in x.T:
+        dist += column[:, None] != column[None]
+    return dist / x.shape[1], d["n"].to_numpy(float)
+
 
-    return runs.groupBy("k").applyInPandas(run, "a string, b string, share double")  # n_run rows
+def consensus_matrix(catalog: DataFrame, n_sig: int, n_run: int = 20, seed: int = SEED, n_iter: int = 500) -> DataFrame:
+    """a, b, share: how often runs give two samples the same dominant signature. A row for each pair of samples, whose number is checked first."""
+    held, kinds = _dominant(catalog, n_sig, n_run, seed, n_iter)
+    n = held.count()
+    _limited(n * n)
+    dist, _ = _kinds(kinds)
+    cells = catalog.sparkSession.createDataFrame([(i, j, float(1 - v)) for (i, j), v in np.ndenumerate(dist)], "kind int, other int, share double")
+    other = held.select(F.col("sample").alias("b"), F.col("kind").alias("other"))
+    return held.withColumnRenamed("sample", "a").join(F.broadcast(cells), "kind").join(other, "other").select("a", "b", "share")
 
 
 def cluster_iterations(signatures: DataFrame, ranks: Sequence[int]) -> DataFrame:
@@ -525,14 +551,14 @@ def simulate_catalogs(catalog: DataFrame, n: int = 1, seed: int = SEED) -> DataF
 
 
 def kmeans_groups(relative: DataFrame, k: int, seed: int = 1024) -> DataFrame:
-    """sample and grp: k-means over the shares of the signatures (sample, sig, rel)."""
+    """sample, grp and silhouette (of squared distances): k-means over the shares of the signatures (sample, sig, rel)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     sigs = [r["sig"] for r in relative.select("sig").distinct().orderBy("sig").collect()]  # one row per signature
     wide = relative.groupBy("sample").pivot("sig", sigs).agg(F.first("rel")).na.fill(0.0)
     d = wide.select("sample", array_to_vector(F.array(*[F.col(f"`{s}`") for s in sigs])).alias("features"))
-    return KMeans(k=k, seed=seed).fit(d).transform(d).select("sample", F.col("prediction").alias("grp"))
+    return _with_silhouette(relative, KMeans(k=k, seed=seed).fit(d).transform(d).select("sample", F.col("prediction").alias("grp")))
 
 
 def equal_size_clusters(exposure: DataFrame, size: int, method: str = "nearest", seed: int = 1) -> DataFrame:
@@ -592,13 +618,46 @@ def extract_iterative(catalog: DataFrame, n_sig: int, n_run: int = 10, threshold
 
 
 def consensus_groups(catalog: DataFrame, n_sig: int, n_run: int = 20, seed: int = SEED, n_iter: int = 500) -> DataFrame:
-    """sample, grp and silhouette: average-linkage groups of how often runs give two samples the same dominant signature."""
-    _, samples, runs = _factorise(catalog, [(n_sig, 0, r, seed + r) for r in range(n_run)], "KL", False, n_iter)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = [np.array(x).reshape(n_sig, -1).argmax(axis=0) for x in pdf.sort_values("run")["h"]]
-        dist = 1 - np.mean([x[:, None] == x[None] for x in label], axis=0)
-        grp = solvers.cut_tree(solvers.hclust(dist), len(samples), min(n_sig, len(samples)))
-        return pd.DataFrame({"sample": samples, "grp": grp.astype(np.int32), "silhouette": solvers.silhouette(dist, grp)})
+    """sample, grp and silhouette: average-linkage groups of how often runs give two samples the same dominant signature.
 
-    return runs.groupBy("k").applyInPandas(run, "sample string, grp int, silhouette double")  # n_run rows
+    Samples of one kind, with the same dominant signature in every run, are a
+    node with their number as its weight: the linkage meets kinds, not samples.
+    """
+    held, kinds = _dominant(catalog, n_sig, n_run, seed, n_iter)
+    dist, size = _kinds(kinds)
+    grp = solvers.cut_tree(solvers.hclust(dist, size), len(size), min(n_sig, len(size)))
+    rows = [(i, int(g), float(s)) for i, (g, s) in enumerate(zip(grp, solvers.silhouette(dist, grp, size), strict=True))]
+    return held.join(F.broadcast(catalog.sparkSession.createDataFrame(rows, "kind int, grp int, silhouette double")), "kind").select("sample", "grp", "silhouette")
+
+
+def sample_groups(catalog: DataFrame, n_sig: int, method: str = "consensus", **options) -> DataFrame:
+    """sample, grp and silhouette by consensus (average linkage of the samples that share dominant signatures) or samples (each in the group of the signature that is dominant in the best run)."""
+    if method == "consensus":
+        return consensus_groups(catalog, n_sig, **options)
+    if method != "samples":
+        raise ValueError("method must be consensus or samples")
+    _, expo = extract(catalog, n_sig, **options)
+    w = Window.partitionBy("sample").orderBy(F.desc("rel"), "sig")
+    top = expo.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("sample", F.regexp_extract("sig", r"(\d+)$", 1).cast("int").alias("grp"))
+    return _with_silhouette(expo, top)
+
+
+def _with_silhouette(relative: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups (sample, grp) with silhouette of squared distances between the samples' shares (sample, sig, rel).
+
+    The mean squared distance of a sample to a group follows from the group's
+    mean and its mean of squares, so a sample meets the groups' sums only.
+    """
+    sigs = [r["sig"] for r in relative.select("sig").distinct().orderBy("sig").collect()]  # one row per signature
+    wide = relative.groupBy("sample").pivot("sig", sigs).agg(F.first("rel")).na.fill(0.0).select("sample", F.array(*[F.col(f"`{s}`") for s in sigs]).alias("x"))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)
+    d = wide.join(groups, "sample")
+    means = d.groupBy("grp").agg(F.count("*").alias("n"), F.avg(square("x")).alias("q"), F.array(*[F.avg(F.element_at("x", i + 1)) for i in range(len(sigs))]).alias("m"))
+    means = F.broadcast(means.select(F.col("grp").alias("other"), "n", "q", "m"))  # a row per group
+    dot = F.aggregate(F.zip_with("x", "m", lambda a, b: a * b), F.lit(0.0), lambda a, y: a + y)
+    e = d.crossJoin(means).withColumn("mean", F.greatest(F.lit(0.0), square("x") - 2 * dot + F.col("q")))
+    own = F.col("grp") == F.col("other")
+    a = F.max(F.when(own & (F.col("n") > 1), F.col("mean") * F.col("n") / (F.col("n") - 1)))
+    e = e.groupBy("sample", "grp").agg(a.alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b"))
+    most = F.greatest("a", "b")
+    return e.select("sample", "grp", F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & (most > 0), (F.col("b") - F.col("a")) / most).otherwise(0.0).alias("silhouette"))

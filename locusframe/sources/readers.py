@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.lineage import settled
 from locusframe.operators.segments import clean_segments, complement_chromosomes, label_loh, merge_adjacent, require_columns
 from locusframe.operators.variants import variant_type
 
@@ -154,13 +155,66 @@ def read_solution(spark: SparkSession, folder: str, signatures: str = "*Signatur
 
 
 def read_reference(spark: SparkSession, path: str, chunk: int = 10_000, overlap: int = 300) -> DataFrame:
-    """chrom, chunk_id, seq of FASTA files with one sequence each: chunks that overlap, so that a window around a base lies in one chunk."""
-    raw = spark.read.text(path, wholetext=True).select("value")
-    name = F.regexp_extract("value", r"^>(\S+)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace("value", r"^>[^\n]*\n", ""), r"\s", ""))
-    d = raw.select(name.alias("chrom"), seq.alias("s"))
-    d = d.withColumn("chunk_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / chunk).cast("int"))))
-    return d.select("chrom", F.col("chunk_id").cast("long").alias("chunk_id"), F.expr(f"substring(s, chunk_id * {chunk} + 1 - least({overlap}, chunk_id * {chunk}), {chunk + 2 * overlap})").alias("seq"))
+    """chrom, chunk_id, seq of FASTA files, any number of sequences each: chunks that overlap, so that a window around a base lies in one chunk.
+
+    Files are read by lines, and a line's place in its sequence comes from sums
+    over the lines of its block of the file and over the blocks before it, so no
+    row is longer than a line or a chunk. Names end at white space; lines before
+    a first name and empty sequences give nothing.
+    """
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    raw = settled(spark.read.text(path).select("value", *meta).withColumn("i", F.monotonically_increasing_id()))  # rows of a block keep the order of its lines
+    head = F.col("value").startswith(">")
+    seq = F.when(~head, F.upper(F.regexp_replace("value", r"\s", "")))
+    w = Window.partitionBy("file", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    d = raw.withColumns({"name": F.when(head, F.regexp_extract("value", r"^>\s*(\S*)", 1)), "seq": seq}).drop("value")
+    d = d.withColumn("run", F.sum(F.coalesce(F.length("seq"), F.lit(0))).over(w))
+    began = F.when(F.col("name").isNotNull(), F.struct("name", F.col("run").alias("base"), F.col("i").alias("nth")))
+    d = d.withColumn("own", F.last(began, ignorenulls=True).over(w))
+    blocks = d.groupBy("file", "block").agg(F.sum(F.coalesce(F.length("seq"), F.lit(0))).alias("n"), F.max_by("own", "i").alias("last"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of a file
+    blocks = blocks.withColumn("past", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    carried = F.when(F.col("last").isNotNull(), F.struct(F.col("last.name").alias("name"), (F.col("past") + F.col("last.base")).alias("base"), F.col("last.nth").alias("nth")))
+    blocks = blocks.withColumn("carry", F.last(carried, ignorenulls=True).over(before)).select("file", "block", "past", "carry")
+    d = d.where("length(seq) > 0").join(blocks, ["file", "block"])
+    at = F.coalesce(F.struct(F.col("own.name").alias("name"), (F.col("past") + F.col("own.base")).alias("base"), F.col("own.nth").alias("nth")), "carry")
+    d = d.withColumn("at", F.when(F.col("own").isNotNull(), at).otherwise(F.col("carry"))).where("at.name IS NOT NULL")
+    d = d.select(F.col("at.name").alias("chrom"), "file", F.col("at.nth").alias("nth"), (F.col("past") + F.col("run") - F.length("seq") - F.col("at.base")).alias("s"), "seq").withColumn("e", F.col("s") + F.length("seq"))
+    first, last = F.greatest(F.lit(0), F.floor((F.col("s") - chunk - 2 * overlap) / chunk)), F.floor((F.col("e") - 1 + overlap) / chunk)
+    d = d.withColumn("chunk_id", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    begin = F.col("chunk_id") * chunk - F.least(F.lit(overlap), F.col("chunk_id") * chunk)
+    a, z = F.greatest(F.col("s"), begin), F.least(F.col("e"), begin + chunk + 2 * overlap)
+    core = (F.col("s") < (F.col("chunk_id") + 1) * chunk) & (F.col("e") > F.col("chunk_id") * chunk)
+    d = d.where(a < z).select("chrom", "file", "nth", "chunk_id", F.struct(a.alias("a"), F.substr("seq", (a - F.col("s") + 1).cast("int"), (z - a).cast("int")).alias("t")).alias("piece"), core.alias("core"))
+    whole = d.groupBy("chrom", "file", "nth", "chunk_id").agg(F.sort_array(F.collect_list("piece")).alias("p"), F.bool_or("core").alias("core")).where("core")
+    return whole.select("chrom", "chunk_id", F.array_join(F.col("p.t"), "").alias("seq"))
+
+
+def opportunities(reference: DataFrame, k: int = 3, chunk: int = 10_000, overlap: int = 300, fold: bool = True) -> DataFrame:
+    """component and n: how often each word of k bases starts in the reference (chrom, chunk_id, seq), each start counted once, in the chunk that it belongs to.
+
+    Words with other letters than A, C, G and T do not count. With fold a word
+    and its reverse complement are one: the one whose middle base is C or T, or
+    for an even k the lesser one.
+    """
+    if not 0 < k <= overlap:
+        raise ValueError("k must be from 1 to the overlap of the chunks")
+    begin = F.least(F.lit(overlap), F.col("chunk_id") * chunk)
+    starts = F.least(F.lit(chunk), F.length("seq") - begin - k + 1)
+    words = F.expr(f"transform(sequence(0, cast(_n - 1 AS int)), i -> substring(seq, cast(_b AS int) + i + 1, {k}))")
+    d = reference.withColumns({"_b": begin, "_n": starts}).where("_n > 0").select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("w").rlike("^[ACGT]+$"))
+    if fold:
+        other = F.reverse(F.translate("w", "ACGT", "TGCA"))
+        w = F.least(F.col("w"), other) if k % 2 == 0 else F.when(F.substring("w", k // 2 + 1, 1).isin("C", "T"), F.col("w")).otherwise(other)
+        d = d.withColumn("w", w)
+    return d.groupBy(F.col("w").alias("component")).agg(F.sum("n").alias("n"))
+
+
+def component_opportunities(words: DataFrame, components: DataFrame) -> DataFrame:
+    """component and n of mutation components such as A[C>T]G, each with the opportunities (component, n) of its context, here ACG."""
+    context = F.regexp_replace("component", r"\[(\w+)>\w+\]", "$1")
+    d = components.select("component").distinct().withColumn("_w", context)
+    return d.join(words.select(F.col("component").alias("_w"), "n"), "_w").select("component", "n")
 
 
 def with_context(variants: DataFrame, reference: DataFrame, flank: int = 2, chunk: int = 10_000, overlap: int = 300, out: str = "context") -> DataFrame:
