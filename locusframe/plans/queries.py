@@ -16,9 +16,10 @@ from locusframe.operators import stats as T
 from locusframe.operators import tables as B
 from locusframe.operators import variants as V
 from locusframe.plans import extraction as X
+from locusframe.plans import solutions as N
 from locusframe.plans import tally as Y
 from locusframe.sources import genomes as G
-from locusframe.sources.readers import reordered
+from locusframe.sources.readers import component_opportunities, opportunities, reordered
 from locusframe.sources.domain import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1169,3 +1170,66 @@ def _(e):
 @query("consensus_matrix", "catalog")
 def _(c):
     return X.consensus_matrix(c, 3)
+
+
+# Consensus extraction, intervals through the index, opportunities, moments of large values
+
+
+@query("nmf_consensus_stats", "catalog")
+def _(c):
+    return N.consensus_extract(c, [2, 3]).rank
+
+
+@query("cn_freq_by_fine_band", "segments", "bands", sql="""SELECT chrom, band, part, round(count(DISTINCT sample) FILTER (seg_val > 2) / (SELECT count(DISTINCT sample) FROM segments), 6) AS amp, round(count(DISTINCT sample) FILTER (seg_val < 2) / (SELECT count(DISTINCT sample) FROM segments), 6) AS del
+FROM (SELECT chrom, band, part, start_pos + part * 1000000 AS a, start_pos + part * 1000000 + 999999 AS z FROM bands, (SELECT unnest(range(10)) AS part)) b LEFT JOIN segments s ON chrom = chromosome AND s.start_pos <= z AND s.end_pos >= a GROUP BY 1, 2, 3""")
+def _(s, b):
+    fine = I.chunks(b, "start_pos", "end_pos", 10).select("chrom", F.col("chunk_start").alias("start_pos"), F.col("chunk_end").alias("end_pos"), F.concat_ws("|", "band", "chunk").alias("band"))
+    at = F.split("band", r"\|")
+    return S.freq_by_band(s, fine).select("chrom", at[0].alias("band"), at[1].cast("long").alias("part"), *r6("amp", "del"))
+
+
+_WORDS = """, w AS (SELECT substr(context, CAST(i AS BIGINT), 3) AS w FROM variants, (SELECT unnest([1, 2, 3]) AS i)),
+f AS (SELECT CASE WHEN substr(w, 2, 1) IN ('C', 'T') THEN w ELSE reverse(translate(w, 'ACGT', 'TGCA')) END AS component, count(*) AS n FROM w GROUP BY 1)"""
+
+
+def _contexts(v: DataFrame) -> DataFrame:
+    """Each variant's context as a sequence of its own."""
+    return v.select(F.concat_ws("|", "sample", "t1", "t2", "t3").alias("chrom"), F.lit(0).cast("long").alias("chunk_id"), F.col("context").alias("seq"))
+
+
+@query("kmer_opportunities", "variants", sql=_WORDS + " SELECT component, n FROM f")
+def _(v):
+    return opportunities(_contexts(v), 3)
+
+
+@query("component_opportunities", "variants", sql=_WORDS + """, c AS (SELECT DISTINCT CASE WHEN ref IN ('C', 'T') THEN substr(context, 2, 1) || '[' || ref || '>' || alt || ']' || substr(context, 4, 1) END AS component FROM variants WHERE ref IN ('C', 'T'))
+SELECT c.component, n FROM c JOIN f ON f.component = substr(c.component, 1, 1) || substr(c.component, 3, 1) || substr(c.component, 7, 1)""")
+def _(v):
+    made = v.where(F.col("ref").isin("C", "T")).select(F.concat(F.substring("context", 2, 1), F.lit("["), "ref", F.lit(">"), "alt", F.lit("]"), F.substring("context", 4, 1)).alias("component"))
+    return component_opportunities(opportunities(_contexts(v), 3), made)
+
+
+@query("group_enrichment_shifted", "traits", sql=_GE + " SELECT grp, n1, n2, round(m1, 4) + 1000000000 AS measure1, round(m2, 4) + 1000000000 AS measure2, round((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) AS statistic FROM p WHERE v = 'score'")
+def _(t):
+    moved = t.withColumn("score", F.col("score") + 1_000_000_000)  # a test of means does not see where the values lie
+    return T.group_enrichment(moved, ["grp"], ["score"]).select("grp", "n1", "n2", *[F.round(c, 4).alias(c) for c in ("measure1", "measure2", "statistic")])
+
+
+@query("randomised_totals", "catalog", sql=", k AS (SELECT count(DISTINCT component) AS k FROM catalog) SELECT sample, CAST(sum(n) AS BIGINT) AS total, CAST(any_value(k) - count(*) FILTER (n <> 0) AS BIGINT) AS zeros, CAST(max(n) AS BIGINT) AS most FROM catalog, k GROUP BY 1")
+def _(c):
+    return X.randomised(c).groupBy("sample").agg(F.sum("n").alias("total"), F.count(F.when(F.col("n") == 0, 1)).alias("zeros"), F.max("n").alias("most"))
+
+
+@query("fit_totals", "catalog", sql=" SELECT sample, CAST(sum(n) AS BIGINT) AS total FROM catalog GROUP BY 1")
+def _(c):
+    return X.fit(c, _signatures(c)).groupBy("sample").agg(F.round(F.sum("exposure"), 2).cast("long").alias("total"))  # shares of a fit add to 1
+
+
+@query("simulated_totals", "catalog", sql=" SELECT sample, CAST(rep AS INTEGER) AS rep, CAST(sum(n) AS BIGINT) AS total FROM catalog, (SELECT unnest([1, 2, 3]) AS rep) GROUP BY 1, 2")
+def _(c):
+    return X.simulate_catalogs(c, 3).groupBy("sample", "rep").agg(F.sum("n").alias("total"))
+
+
+@query("correlations_adjusted", "traits", sql=", r AS (SELECT corr(score, extra) AS a, corr(score, id) AS b FROM traits) SELECT 'score' AS a, unnest(['extra', 'id']) AS b, round(unnest([r.a, r.b]), 6) AS r FROM r")
+def _(t):
+    return T.correlations(t.withColumn("one", F.lit(1)), ["score"], ["extra", "id", "one"], adjust="BH", drop_constant=True).select("a", "b", *r6("r"))
