@@ -47,14 +47,14 @@ class SuffixAutomaton:
             for w in seq:
                 last = self._extend(last, w)
         self.full: dict[int, list[str]] = {}
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        self.short: dict[int, dict[int, list[str]]] = {}  # names by length, the longest first
         for name, seq in items:
             if len(seq) < window:
                 if seq:
                     state = 0
                     for w in seq:
                         state = self.next[state][w]
-                    self.short.setdefault(state, []).append((len(seq), name))
+                    self.short.setdefault(state, {}).setdefault(len(seq), []).append(name)
                 continue
             state = n = 0
             seen = set()
@@ -66,6 +66,7 @@ class SuffixAutomaton:
                 if n >= window and state not in seen:
                     seen.add(state)
                     self.full.setdefault(state, []).append(name)
+        self.short = {u: dict(sorted(by.items(), reverse=True)) for u, by in self.short.items()}
         self._mark()
 
     def _mark(self) -> None:
@@ -105,25 +106,33 @@ class SuffixAutomaton:
         return c
 
     def scan(self, seq: list[int], offset: int, hits: list[tuple[int, int]], found: set[str]) -> None:
-        """Adds to hits the (start, end) word spans of all windows that occur in seq, and their items to found."""
+        """Adds to hits (start, end) word spans that cover all windows that occur in seq, and their items to found; a state's items are added once, however often it is met."""
         state = n = 0
         nxt, link, length, window, at, near = self.next, self.link, self.length, self.window, self.at, self.near
+        met: set[tuple[int, int]] = set()
         for i, w in enumerate(seq):
             while state and w not in nxt[state]:
                 state = link[state]
                 n = length[state]
             if w in nxt[state]:
                 state, n = nxt[state][w], n + 1
+            longest = 0
             if n >= window and (names := self.full.get(at[state])):
-                hits.append((offset + i + 1 - window, offset + i + 1))
-                found.update(names)
+                longest = window
+                if (at[state], window) not in met:
+                    met.add((at[state], window))
+                    found.update(names)
             u = near[state]
             while u:  # at most one state for each length under the window
-                for k, name in self.short[u]:
+                for k, names in self.short[u].items():
                     if k <= n:
-                        hits.append((offset + i + 1 - k, offset + i + 1))
-                        found.add(name)
+                        longest = max(longest, k)
+                        if (u, k) not in met:
+                            met.add((u, k))
+                            found.update(names)
                 u = near[link[u]]
+            if longest:  # shorter windows that end here lie within
+                hits.append((offset + i + 1 - longest, offset + i + 1))
 
 
 class Matcher:

@@ -2,7 +2,7 @@
 
 A line is compared after white space runs became one space and the ends were
 trimmed. A line is superseded if an earlier line, by (doc_id, line number),
-equals it or, for lines of MIN_WORDS words or more, is one word away: inserted,
+equals it or, where both have `least` words or more, is one word away: inserted,
 deleted or replaced. All superseded lines go; the earliest stays.
 
 Lines are reduced to hashes at once; equal lines meet in an aggregate that
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from locusframe.llm.common import SPACE, cut, fresh, read
 
-#: Words from which on a line is compared with lines one word away, not only with equal ones: one edit then leaves four fifths of its words or more.
+#: Words from which on a line is compared with lines one word away, unless the caller says otherwise: one edit then leaves four fifths of its words or more.
 MIN_WORDS = 5
 #: Rows of a few numbers up to which a side of a join is broadcast; it is counted first, and beyond it both sides are shuffled.
 SMALL_ROWS = 200_000
@@ -43,15 +43,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL_ROWS else df
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, halves: bool = False) -> DataFrame:
-    """h1, h2 (the line), doc_id, line_no of each line with words; with halves also nw (words) and the hashes of its halves, see _halves."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, halves: int = 0) -> DataFrame:
+    """h1, h2 (the line), doc_id, line_no of each line with words; with halves, the least number of words that is compared, also nw (words) and the hashes of its halves, see _halves."""
     d = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     x = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     x = x.select("doc_id", "line_no", _norm(F.col("line")).alias("norm")).where("norm != ''")
     found = [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), F.col("doc_id"), F.col("line_no")]
     if halves:
         x = x.withColumn("nw", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
-        found += [F.col("nw"), *_halves()]
+        found += [F.col("nw"), *_halves(halves)]
     return x.select(*found)
 
 
@@ -59,23 +59,23 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, halves: bool = False) ->
 HALVES = ("k0", "k1", "k2", "k3")
 
 
-def _halves() -> list[Column]:
+def _halves(least: int) -> list[Column]:
     """Keys of the halves of norm, of nw words, in two buckets: lines of b and of b - 1 words meet in bucket b, where a half is (b - 1) // 2 words."""
     out = []
     for i, name in enumerate(HALVES):
         bucket = F.col("nw") + i // 2
         size = F.floor((bucket - 1) / 2).cast("int")
         half = F.call_function("substring_index", F.col("norm"), F.lit(" "), -size if i % 2 else size)
-        out.append(F.when(F.col("nw") >= MIN_WORDS, F.xxhash64(F.lit(i % 2), bucket, half)).alias(name))
+        out.append(F.when(F.col("nw") >= least, F.xxhash64(F.lit(i % 2), bucket, half)).alias(name))
     return out
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
+def _candidates(distinct: DataFrame, least: int) -> DataFrame:
     """h1, h2, doc_id, line_no and held (bit i: HALVES[i] is shared) of the distinct lines that share a half with another line of their bucket."""
-    k = distinct.where(F.col("nw") >= MIN_WORDS).select("h1", F.posexplode(F.array(*HALVES)).alias("i", "k"))
+    k = distinct.where(F.col("nw") >= least).select("h1", F.posexplode(F.array(*HALVES)).alias("i", "k"))
     shared = cut(k.groupBy("k").count().where("count > 1").select("k"))
     found = cut(k.join(_small(shared), "k", "left_semi").groupBy("h1").agg(F.bit_or(F.expr("shiftleft(1, i)")).alias("held")))
-    return cut(distinct.where(F.col("nw") >= MIN_WORDS).join(_small(found), "h1").select("h1", "h2", "doc_id", "line_no", "held"))
+    return cut(distinct.where(F.col("nw") >= least).join(_small(found), "h1").select("h1", "h2", "doc_id", "line_no", "held"))
 
 
 def _texts(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,14 +123,14 @@ def _whole(texts: DataFrame) -> DataFrame:
     return texts.where(shorter).select(F.xxhash64(value, F.size(w)).alias("k"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
 
 
-def _nearest(texts: DataFrame) -> DataFrame:
+def _nearest(texts: DataFrame, least: int) -> DataFrame:
     """h1, h2 of candidate lines that an earlier line is one word away from."""
     d = _spread(cut(_keyed(texts)))
     often = cut(d.groupBy("r").count().where("count > 1").select("r", F.lit(True).alias("often")))
     short = cut(_whole(texts))
-    hits = d.join(_small(often), "r", "left").join(_small(short), "k", "left").where(F.col("often") | (F.col("g1").isNotNull() & (F.col("n") > MIN_WORDS)))
+    hits = d.join(_small(often), "r", "left").join(_small(short), "k", "left").where(F.col("often") | (F.col("g1").isNotNull() & (F.col("n") > least)))
     first = texts.select("h1", "h2", F.struct("doc_id", "line_no").alias("first"))
-    hits = cut(hits.select("h1", "h2", "at", "r", "often", F.when(F.col("n") > MIN_WORDS, F.col("g1")).alias("g1"), "g2").join(first, ["h1", "h2"]))
+    hits = cut(hits.select("h1", "h2", "at", "r", "often", F.when(F.col("n") > least, F.col("g1")).alias("g1"), "g2").join(first, ["h1", "h2"]))
     # Replaced: the same value without the word at the same place. The earliest line of a key stands for all earlier ones.
     same = hits.where("often").select("h1", "h2", "first", "r", "at")
     least = same.groupBy("r").agg(F.min(F.struct("first", "h1", "h2")).alias("m"))
@@ -149,12 +149,17 @@ def _nearest(texts: DataFrame) -> DataFrame:
     return both.where(true).select("h1", "h2").distinct()
 
 
-def superseded_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def superseded_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, bound: int = 1) -> DataFrame:
     """doc_id and gone: line_no (from 0) and h1 of the lines that go, of each document with such lines."""
-    lines = _lines(docs, id_col, text_col, halves=True)
+    if least < 1 or bound not in (0, 1):
+        raise ValueError("least must be 1 or more, and bound 0 or 1")
+    lines = _lines(docs, id_col, text_col, halves=least)
     distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("x"), F.count("*").alias("c"), *[F.min(x).alias(x) for x in ("nw", *HALVES)])
     distinct = cut(distinct.select("h1", "h2", "x.doc_id", "x.line_no", "c", "nw", *HALVES))
-    near = cut(_nearest(cut(_texts(docs, _candidates(distinct), id_col, text_col))))
+    if bound:
+        near = cut(_nearest(cut(_texts(docs, _candidates(distinct, least), id_col, text_col)), least))
+    else:
+        near = distinct.select("h1", "h2").limit(0)
     late = distinct.select("h1", "h2", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), "c").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 OR near").drop("c")
     late = cut(late)
     held = _lines(docs, id_col, text_col).join(_small(late), ["h1", "h2"])
@@ -162,9 +167,13 @@ def superseded_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "h1")).alias("gone"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_WORDS, bound: int = 1) -> DataFrame:
     """docs with text cut down to the lines that stay, and n_lines, n_dropped (lines with words, and those that went).
 
+    bound is the number of words that may be inserted, deleted or replaced, 1 or
+    0; least the number of words from which on lines are compared so, 1 or more.
+    Shorter lines, and all with bound 0, go only where they equal an earlier one.
+
     Lines end with a line feed; lines without words are never dropped. A null
     or empty text and a row with a null identifier are left as they are, and
     their lines supersede none. Rows that repeat an identifier and its text are
@@ -172,7 +181,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     those named n_lines or n_dropped are replaced. An empty table gives no rows.
     """
     key, gone, lines, own = fresh(docs, "id", "gone", "lines", "own")
-    found = superseded_lines(docs, id_col, text_col).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
+    found = superseded_lines(docs, id_col, text_col, least, bound).select(F.col("doc_id").alias(key), F.col("gone").alias(gone))
     x = docs.join(found, docs[id_col].cast("long") == found[key], "left")
     # The lines are a column of their own, lest a lambda splits the text for each of them.
     x = x.withColumn(lines, F.split(F.col(text_col), "\n", -1))

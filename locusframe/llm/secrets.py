@@ -45,8 +45,9 @@ _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
 _BLOCK = re.compile(r"[|>][-+0-9]{0,2}[\x20\t]*+(?=\n)")
 _BLOCK_LINE = re.compile(r"\n(?:([\x20\t]*+)[^\n]*+)")
 _REFERENCE = re.compile(r"\$?\{\s*([A-Za-z_][A-Za-z0-9_.]*)\s*\}|\$([A-Za-z_][A-Za-z0-9_]*)|%\(([A-Za-z_][A-Za-z0-9_]*)\)s|\$\(([A-Za-z_][A-Za-z0-9_]*)\)")
-_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>\s*+([^<>]+?)\s*</\1\s*>")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1\s*+>")
 _ATTRIBUTES = re.compile(r"""\b(?:name|key|id)\s*=\s*(["'])([A-Za-z_][A-Za-z0-9_.-]*)\1\s+value\s*=\s*(["'])([^"'<>\n]*)\3""", re.I)
+_QUOTED_NAME = re.compile(r"[A-Za-z_$@][A-Za-z0-9_.$ -]*+")
 #: Words before a name that belong to its declaration.
 _DECLARES = {"export", "set", "const", "let", "var", "final", "static", "public", "private", "readonly", "my", "our", "local", "val", "define", "string", "String", "str", "auto", "char", "setenv"}
 #: Last parts of names of calls whose first argument names what is looked up, and of calls that set the name that their first argument gives.
@@ -73,8 +74,8 @@ def _literal_score(value: str) -> float:
     """What the literal itself speaks for: mixed alphabet, entropy and length; placeholders speak against."""
     if len(value) < 6 or _PLACEHOLDER.fullmatch(value):
         return -1.0
-    value = value[:4096]  # long blocks show their alphabet at once
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
+    letters = set(value)
+    kinds = sum(any(f(c) for c in letters) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in letters)
     return 0.1 * (kinds - 1) + 0.05 * min(4.0, max(0.0, _entropy(value) - 2)) - 0.3 * (" " in value) - 0.2 * value.isalpha()
 
 
@@ -121,10 +122,13 @@ class Lexer:
         self.refers: dict[str, set[str]] = {}
         self.named: dict[str, float] = {}
         self.maybe: dict[tuple[int, int], str] = {}  # unquoted values that may be a name
-        self.above: list[tuple[str, int, float]] = []  # open mappings and brackets: bracket or blank, indentation, sensitivity
+        self.above: list[tuple[str, int, float]] = []  # open mappings and brackets: bracket or blank, indentation, greatest sensitivity so far
         self._pairs()
         self._markup()
 
+    def _open(self, bracket: str, indent: int, score: float = 0.0) -> None:
+        self.above.append((bracket, indent, max(score, self.above[-1][2] if self.above else 0.0)))
+
     def _bind(self, name: str, found: list[tuple[int, int, str]], names: set[str], above: float = 0.0) -> None:
         key = _bare_name(name)
         self.named[key] = max(self.named.get(key, 0.0), _name_score(name), above)
@@ -140,7 +144,10 @@ class Lexer:
     def _markup(self) -> None:
         if "<" in self.text:
             for m in _ELEMENT.finditer(self.text):
-                self._bind(m[1], [(m.start(2), m.end(2), m[2])], set())
+                value = m[2].strip()
+                if value:
+                    start = m.start(2) + len(m[2]) - len(m[2].lstrip())
+                    self._bind(m[1], [(start, start + len(value), value)], set())
             for m in _ATTRIBUTES.finditer(self.text):
                 self._bind(m[2], [(m.start(4), m.end(4), m[4])], set())
 
@@ -158,28 +165,28 @@ class Lexer:
                 continue
             if x.kind == "op":
                 if x.text in "{[(":
-                    above.append((x.text, indent, 0.0))
+                    self._open(x.text, indent)
                 elif x.text in _CLOSES:
                     while above and above[-1][0] == " ":
                         above.pop()
                     if above and above[-1][0] == _CLOSES[x.text]:
                         above.pop()
-            if x.kind in ("name", "string") and (x.kind == "name" or re.fullmatch(r"[A-Za-z_$@][A-Za-z0-9_.$ -]{0,127}", x.text)):
-                inherited = max((a[2] for a in above[-8:]), default=0.0)
+            if x.kind in ("name", "string") and (x.kind == "name" or _QUOTED_NAME.fullmatch(x.text)):
+                inherited = above[-1][2] if above else 0.0
                 j = i + 1
                 if t[j].kind == "op" and t[j].text == ":" and t[j + 1].kind == "name" and t[j + 2].kind == "op" and t[j + 2].text == "=":
                     j += 2  # a type stands between the name and its value
                 if t[j].kind == "op" and t[j].text in _ASSIGNS and x.text not in _DECLARES:
                     nxt = t[j + 1]
                     if nxt.kind == "op" and nxt.text in "{[" and t[j].text != "+=":
-                        above.append((nxt.text, indent, max(0.0, _name_score(x.text) - 0.1)))
+                        self._open(nxt.text, indent, _name_score(x.text) - 0.1)
                         i = j + 2
                         continue
                     if t[j].text == ":" and (block := _BLOCK.match(self.text, nxt.start)):
                         i = self._block(x.text, block.end(), indent, inherited)
                         continue
                     if t[j].text == ":" and nxt.kind in ("line", "end"):
-                        above.append((" ", indent, max(0.0, _name_score(x.text) - 0.1)))
+                        self._open(" ", indent, _name_score(x.text) - 0.1)
                         i = j + 1
                         continue
                     i = self._value(x.text, j + 1, inherited, indent)
@@ -272,7 +279,8 @@ class Lexer:
                         if run and t[i - 1].kind == "string":
                             run.pop()
                         worth = max(above, _name_score(name)) - 0.1
-                        self.above += [(b, indent, max(0.0, worth)) for b in opened]
+                        for b in opened:
+                            self._open(b, indent, worth)
                         self._bind(name, found + self._joined(run), names - {_bare_name(t[i - 1].text)}, above)
                         return i - 1
                 plus = x.text == "+"
@@ -320,26 +328,33 @@ class Lexer:
         return sorted(x for x in out if x[2] >= THRESHOLD)
 
 
-def literals(text: str) -> list[tuple[int, int, float]]:
-    """Spans of literals and their scores; a literal takes the most sensitive name that reaches it."""
-    return Lexer(text).scored() if _SENSITIVE_TARGET.search(text) else []
+_HINT = re.compile(r"pass|secret|token|api_?key|pwd|key|auth|cred|salt|cert|signature", re.I | re.A)
+#: A name, each run of its characters taken once, before what assigns to it, quotes it, opens its element or hands it to a call.
+_TARGET = re.compile(r"""(?<![A-Za-z0-9_.$@-])(<)?([A-Za-z0-9_.$@-]++)(?:["'`]?[\x20\t]*+(?:[:=>,]|\()|["'`]|(?(1)\s|(?!)))""")
+_QUOTED_TARGET = re.compile(r"""["'`]([A-Za-z_$@][A-Za-z0-9_.$ -]*+)["'`]\s*+[:=,]""")
+_SETENV = re.compile(r"\bsetenv[\x20\t]++([A-Za-z0-9_.$@-]++)")
 
 
-_HINT = re.compile(r"pass|secret|token|api_?key|pwd|key|auth|cred|salt|cert|signature", re.I | re.A)
-#: A name that may be sensitive, before what assigns to it, opens its element or hands it to a call.
-_SENSITIVE_TARGET = re.compile(r"""(?:pass|secret|token|key|pwd|auth|cred|salt|cert|signature)[A-Za-z0-9_.-]{0,64}+["'`]?[\x20\t]*+(?:[:=>,]|["'`\x20])""", re.I | re.A)
+def _may_hold(text: str) -> bool:
+    """Whether some name that literals can be bound to is sensitive, in time proportional to the text."""
+    return any(_HINT.search(m[m.lastindex]) for p in (_TARGET, _QUOTED_TARGET, _SETENV) for m in p.finditer(text))
+
+
+def literals(text: str) -> list[tuple[int, int, float]]:
+    """Spans of literals and their scores; a literal takes the most sensitive name that reaches it."""
+    return Lexer(text).scored() if _may_hold(text) else []
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all findings, by start and kind."""
     found: list[tuple[int, int, int]] = []
-    assignable = ("=" in text or ":" in text) and _HINT.search(text)
-    if assignable:
+    hinted = _HINT.search(text)
+    if hinted and ("=" in text or ":" in text):
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 6]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    if assignable:
+    if hinted:  # elements, calls and setenv bind names without either sign
         found += [(s, 3, e) for s, e, _ in literals(text)]
     return [(s, e, KINDS[k]) for s, k, e in sorted(found)]
 

@@ -157,7 +157,7 @@ def test_components(spark):
     assert all(got[a] == got[b] for a, b in edges if a is not None and a != b) and all(v <= k for k, v in got.items())
 
 
-def brute_lines(docs):
+def brute_lines(docs, least=line_dedup.MIN_WORDS, bound=1):
     """Texts after line dedup, by holding every line against every earlier one."""
 
     def one_away(a, b):
@@ -174,7 +174,7 @@ def brute_lines(docs):
         keep = []
         for line in (t or "").split("\n"):
             w = line.split()
-            gone = bool(w) and any(w == e or (min(len(w), len(e)) >= line_dedup.MIN_WORDS and one_away(w, e)) for e in earlier)
+            gone = bool(w) and any(w == e or (bound and min(len(w), len(e)) >= least and one_away(w, e)) for e in earlier)
             if w:
                 earlier.append(w)
             if not gone:
@@ -183,8 +183,8 @@ def brute_lines(docs):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup_brute(spark, docs_of, seed):
+@pytest.mark.parametrize(("seed", "least", "bound"), [(1, 5, 1), (2, 5, 1), (3, 1, 1), (4, 2, 1), (5, 3, 1), (6, 9, 1), (7, 5, 0)])
+def test_line_dedup_brute(spark, docs_of, seed, least, bound):
     rnd = random.Random(seed)
     lines = []
     for n in [*range(1, 21), 40, 300]:
@@ -203,8 +203,10 @@ def test_line_dedup_brute(spark, docs_of, seed):
         body = [("  " if rnd.random() < 0.2 else " ").join(rnd.choice(lines)) for _ in range(rnd.randrange(6))]
         docs.append((d, "\n".join(x + rnd.choice(["", " ", "\t"]) for x in body + [""] * rnd.randrange(2))))
     docs += [(50, None), (51, ""), (52, "\n\n")]
-    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs_of(docs)).collect()}
-    assert got == brute_lines(docs)
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs_of(docs), least=least, bound=bound).collect()}
+    assert got == brute_lines(docs, least, bound)
+    with pytest.raises(ValueError):
+        line_dedup.line_dedup(docs_of(docs), least=0)
 
 
 def test_lines_are_split_once(spark, docs_of):
