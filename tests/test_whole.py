@@ -64,7 +64,7 @@ def test_kendall_in_blocks_without_pairs(spark, monkeypatch, cells):
     [("nmf_bayes", 10, {25}, 1, 20_000), ("nmf_best_practice", 2000, {2, 3}, 20, 1000), ("nmf_kl", 10, {3}, 1, 2000), ("nmf_survey", 30, {2, 3, 4}, 1, 500), ("nmf_iterative", 10, {2}, 1, 1000), ("nmf_consensus_groups", 20, {3}, 1, 500)],
 )
 def test_extraction_queries_run_in_full(spark, monkeypatch, name, runs, ranks, catalogues, n_iter):
-    def seen(catalog, tasks, method, resample, iterations):
+    def seen(catalog, tasks, method, resample, iterations, folder=None):
         assert (len(tasks), {t[0] for t in tasks}, len({t[1] for t in tasks}), iterations) == (runs, ranks, catalogues, n_iter)
         raise StopIteration
 
