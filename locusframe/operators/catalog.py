@@ -141,12 +141,14 @@ def rss_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, value: str = "
     return p.join(dot, ["a", "b"], "left").select("a", "b", (F.col("sa") + F.col("sb") - 2 * F.coalesce("d", F.lit(0.0))).alias("rss"))
 
 
-def similarity(signature: DataFrame, reference: DataFrame, feature: Column | None = None, remove: str | None = None, strict: bool = True) -> DataFrame:
+def similarity(signature: DataFrame, reference: DataFrame, feature: Column | None = None, remove: str | None = None, strict: bool = True, set_order: bool = False) -> DataFrame:
     """a, b, cosine (three decimals), rss (six decimals) and best (whether b is a's best match, ties all) of two sets of signatures (sig, component, weight).
 
     Weights are shares of a signature, or with feature, a column over component,
     of a signature's feature. remove is a pattern of components to leave out
-    first. strict raises if the sets have different components.
+    first. strict raises if the sets have different components. set_order adds
+    position, the place of b: best matches in the order of the signatures that
+    they match, then the others by name.
     """
     sets = []
     for d in (signature, reference):
@@ -161,7 +163,12 @@ def similarity(signature: DataFrame, reference: DataFrame, feature: Column | Non
             raise ValueError(f"components of one set only: {', '.join(r['component'] for r in lost)}")
     d = cosine_pairs(a, b, "sig", "sig").join(rss_pairs(a, b, "sig", "sig"), ["a", "b"])
     d = d.select("a", "b", F.round("cosine", 3).alias("cosine"), F.abs(F.round("rss", 6)).alias("rss"))
-    return d.withColumn("best", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cosine"))) == 1)
+    d = d.withColumn("best", F.rank().over(Window.partitionBy("a").orderBy(F.desc("cosine"))) == 1)
+    if not set_order:
+        return d
+    first = d.groupBy("b").agg(F.min(F.when(F.col("best"), F.col("a"))).alias("_a"))  # a row per reference, whose number has been checked
+    place = first.select("b", F.row_number().over(Window.orderBy(F.col("_a").asc_nulls_last(), "b")).alias("position"))
+    return d.join(F.broadcast(place), "b").select("a", "b", "cosine", "rss", "best", "position")
 
 
 def best_match(similarity: DataFrame) -> DataFrame:

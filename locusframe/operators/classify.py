@@ -218,6 +218,22 @@ def feature_oscillation(segments: DataFrame, order: Sequence[str] = ORDER) -> Da
     return told.unionByName(few)
 
 
+def oscillation_index(segments: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+    """segments with n_oscillation: the length of the longest run of returns (as in feature_oscillation) that the segment takes part in, 0 outside.
+
+    A run begins two segments before its first return, so 4 1 4 6 4 has 1 1 1 1 1
+    and 2 2 3 2 has 0 1 1 1. In a stretch that begins with a segment that does
+    not return all others do: it belongs to its own stretch and to the next.
+    """
+    w = per_chromosome(order)
+    v = F.col("seg_val")
+    back = F.coalesce((v == F.lag(v, 2).over(w)) & (v != F.lag(v, 1).over(w)), F.lit(False))
+    d = segments.withColumn("_hit", F.when(back, 1).otherwise(0))
+    d = d.withColumn("_grp", F.sum(1 - F.col("_hit")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_run", F.sum("_hit").over(Window.partitionBy("sample", "chromosome", "_grp")))
+    return d.withColumn("n_oscillation", F.greatest("_run", F.coalesce(F.lead("_run").over(w), F.lit(0)))).drop("_hit", "_grp", "_run")
+
+
 def feature_breakpoints(segments: DataFrame, sizes: DataFrame, order: Sequence[str] = ORDER, bin_size: int = 10_000_000) -> DataFrame:
     """Number of segment ends, the last of a chromosome left out, in each 10 Mb bin of the chromosomes that a sample has."""
     w = per_chromosome(order)

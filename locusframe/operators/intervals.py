@@ -121,17 +121,15 @@ def self_flank(segments: DataFrame, flank: int = 5_000_000) -> DataFrame:
     """
     keys = ["sample", "chromosome"]
     lo, hi = F.greatest(F.col("start_pos") - flank, F.lit(1)), F.col("start_pos") + flank
-    d = segments.select(*keys, "start_pos", "end_pos")
     # kind 0 sorts before 1: a start at the right bound counts, an end at the left bound does not count as before it
-    events = (
-        d.select(*keys, F.col("start_pos").alias("x"), F.lit(0).alias("kind"), F.lit(1).alias("s"), F.lit(0).alias("e"), F.lit(None).cast("long").alias("q"))
-        .unionByName(d.select(*keys, F.col("end_pos").alias("x"), F.lit(2).alias("kind"), F.lit(0).alias("s"), F.lit(1).alias("e"), F.lit(None).cast("long").alias("q")))
-        .unionByName(d.select(*keys, "start_pos").distinct().select(*keys, hi.alias("x"), F.lit(1).alias("kind"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.col("start_pos").alias("q")))
-        .unionByName(d.select(*keys, "start_pos").distinct().select(*keys, lo.alias("x"), F.lit(-1).alias("kind"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.col("start_pos").alias("q")))
-    )
+    nothing = F.lit(None).cast("long")
+    event = lambda x, kind, q: F.struct(x.cast("long").alias("x"), F.lit(kind).alias("kind"), q.cast("long").alias("q"))
+    four = F.array(event(F.col("start_pos"), 0, nothing), event(F.col("end_pos"), 2, nothing), event(hi, 1, F.col("start_pos")), event(lo, -1, F.col("start_pos")))
     w = Window.partitionBy(*keys).orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    run = events.withColumns({"_s": F.sum("s").over(w), "_e": F.sum("e").over(w)}).where("q IS NOT NULL")
-    per = run.groupBy(*keys, F.col("q").alias("start_pos")).agg((F.sum(F.when(F.col("kind") == 1, F.col("_s")).otherwise(-F.col("_e"))) - 1).alias("n_near"))
+    begun, ended = (F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).over(w) for k in (0, 2))
+    run = segments.select(*keys, F.inline(four)).withColumns({"_s": begun, "_e": ended}).where("q IS NOT NULL")
+    # segments with the same start ask alike
+    per = run.groupBy(*keys, F.col("q").alias("start_pos")).agg((F.max(F.when(F.col("kind") == 1, F.col("_s"))) - F.max(F.when(F.col("kind") == -1, F.col("_e"))) - 1).alias("n_near"))
     return segments.join(per, [*keys, "start_pos"])
 
 

@@ -345,20 +345,36 @@ def pairwise_fisher(df: DataFrame, flag: str, group: str) -> DataFrame:
     return bh_adjust(d.withColumn("p_value", p), "p_value")
 
 
-def feature_association(df: DataFrame, signatures: Sequence[str], numeric: Sequence[str] = (), logical: Sequence[str] = (), min_n: float = 0.01) -> DataFrame:
-    """signature, feature, type, count, measure, p_value and fdr (within type): correlations, and differences of means between a feature's classes (rank-sum test; null if a class is rarer than min_n)."""
+def feature_association(df: DataFrame, signatures: Sequence[str], numeric: Sequence[str] = (), logical: Sequence[str] = (), min_n: float = 0.01, rank: bool = False, test: str | Callable[..., float] = "wilcox") -> DataFrame:
+    """signature, feature, type, count, measure, p_value and fdr (within type): correlations (Spearman's by rank), and differences of means between a feature's classes.
+
+    test of the classes: wilcox (rank sums), t (Welch), or a function of n1, m1,
+    v1, n2, m2, v2 (count, mean and sample variance where the feature holds and
+    where not) that returns p; it sees moments, as a column fits no task. Measure
+    and p are null if a class is rarer than min_n, a share below 1 or a number.
+    """
+    if not callable(test) and test not in ("wilcox", "t"):
+        raise ValueError("test must be wilcox, t or a function of the moments of two classes")
     out = None
     if numeric:
-        c = correlations(df, signatures, numeric)
+        c = correlations(df, signatures, numeric, rank)
         out = c.select(F.col("a").alias("signature"), F.col("b").alias("feature"), F.lit("co").alias("type"), F.col("n").alias("count"), F.col("r").alias("measure"), "p_value")
     if logical:  # one pass: the table is read once, each row told for every signature and feature
         cells = lambda names, kind: F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast(kind).alias("v")) for c in names]))
         d = df.select(cells(signatures, "double").alias("s"), *logical).select(F.col("s.name").alias("signature"), F.col("s.v").alias("x"), cells(logical, "boolean").alias("f"))
         d = d.select("signature", F.col("f.name").alias("feature"), "x", F.col("f.v").alias("flag")).where("x IS NOT NULL AND flag IS NOT NULL")
         by = ["signature", "feature"]
-        d = two_groups(d, F.col("flag"), "x", by).join(rank_sum(d, F.col("flag"), "x", by).select(*by, F.col("p_value").alias("p")), by)
-        enough = (F.col("n1") >= min_n * (F.col("n1") + F.col("n2"))) & (F.col("n2") >= min_n * (F.col("n1") + F.col("n2"))) & (F.col("n1") > 0) & (F.col("n2") > 0)
-        classes = d.select(*by, F.lit("ca").alias("type"), (F.col("n1") + F.col("n2")).alias("count"), F.when(enough, F.col("m1") - F.col("m2")).alias("measure"), F.when(enough, F.col("p")).alias("p_value"))
+        moments = two_groups(d, F.col("flag"), "x", by)
+        if test == "wilcox":
+            e = moments.join(rank_sum(d, F.col("flag"), "x", by).select(*by, F.col("p_value").alias("p")), by)
+        elif test == "t":
+            e = welch_columns(moments).withColumnRenamed("p_value", "p")
+        else:  # classes of one row have no variance: it is 0 for the function
+            told = [F.coalesce(F.col(c), F.lit(0.0)) if c[0] == "v" else F.col(c) for c in ("n1", "m1", "v1", "n2", "m2", "v2")]
+            e = moments.withColumn("p", kernel(test, *[c.cast("double") for c in told]))
+        least = min_n * (F.col("n1") + F.col("n2")) if min_n < 1 else F.lit(min_n)
+        enough = (F.col("n1") >= least) & (F.col("n2") >= least) & (F.col("n1") > 0) & (F.col("n2") > 0)
+        classes = e.select(*by, F.lit("ca").alias("type"), (F.col("n1") + F.col("n2")).alias("count"), F.when(enough, F.col("m1") - F.col("m2")).alias("measure"), F.when(enough, F.col("p")).alias("p_value"))
         out = classes if out is None else out.unionByName(classes)
     return bh_adjust(out, "p_value", ["type"])
 

@@ -104,11 +104,11 @@ def adjusted_pairs(df: DataFrame, value: str, group: str, method: str = "wilcox"
     groups = sorted(r["g"] for r in d.select("g").distinct().limit(1001).collect())
     if len(groups) > 1000:
         raise ValueError("over 1000 groups have too many pairs")
-    pairs = [(a, b) for i, a in enumerate(groups) for b in groups[i + 1 :]]
     if method == "wilcox":
         cells = d.groupBy("g", "x").agg(F.count("*").alias("c"))
-        both = F.explode(F.array(*[F.struct(F.lit(a).alias("g1"), F.lit(b).alias("g2")) for a, b in pairs])).alias("p")
-        per = cells.select("*", both).select("g", "x", "c", "p.*").where("g IN (g1, g2)").groupBy("g1", "g2", "x").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("g") == F.col("g1"), F.col("c")).otherwise(0)).alias("c1"))
+        others = F.explode(F.array(*map(F.lit, groups))).alias("h")  # a cell meets the pairs of its own group
+        pair = cells.select("*", others).where("g <> h").select("g", "x", "c", F.least("g", "h").alias("g1"), F.greatest("g", "h").alias("g2"))
+        per = pair.groupBy("g1", "g2", "x").agg(F.sum("c").alias("c"), F.sum(F.when(F.col("g") == F.col("g1"), F.col("c")).otherwise(0)).alias("c1"))
         r = T.value_ranks(per, "x", ["g1", "g2"])
         n1, n2, c = F.sum("c1"), F.sum(F.col("c") - F.col("c1")), F.col("c")
         a = r.groupBy("g1", "g2").agg(n1.alias("n1"), n2.alias("n2"), (F.sum(F.col("c1") * F.col("rank")) - n1 * (n1 + 1) / 2).alias("statistic"), F.sum(c * (c * c - 1)).alias("ties"))

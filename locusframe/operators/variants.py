@@ -99,18 +99,31 @@ def trim_indels(indels: DataFrame) -> DataFrame:
     return d.withColumn("end_pos", F.col("pos") + F.length("ref") - 1).drop("_c")
 
 
-def repeats(unit: Column, sequence: Column, downstream: bool = True) -> Column:
-    """Number of copies of unit that follow one another at the start of sequence, or at its end."""
+def repeats(unit: Column, sequence: Column, downstream: bool = True, cap: int | None = None) -> Column:
+    """Number of copies of unit that follow one another at the start of sequence, or at its end; counted up to cap where only the lower numbers matter."""
     n = F.length(unit)
+    if cap is not None:  # k copies begin with k - 1 copies, so the number of fitting k is the greatest
+        fits = F.startswith if downstream else F.endswith
+        return F.when(n > 0, _times([fits(sequence, F.repeat(unit, F.lit(k))) for k in range(1, cap + 1)])).otherwise(0)
     most = F.floor(F.length(sequence) / n).cast("int")
     piece = (lambda k: F.substr(sequence, F.lit(1), k * n)) if downstream else (lambda k: F.substr(sequence, F.length(sequence) - k * n + 1, k * n))
     fits = F.filter(F.sequence(F.lit(0), most), lambda k: piece(k) == F.repeat(unit, k))
     return F.when((n > 0) & (most > 0), F.array_max(fits)).otherwise(0)
 
 
-def homology(unit: Column, upstream: Column, downstream: Column) -> Column:
-    """Longest proper beginning of unit at the start of downstream, or proper end of it at the end of upstream."""
+def _times(conditions: Sequence[Column]) -> Column:
+    """How many conditions hold; null counts as false."""
+    ones = [F.when(c, 1).otherwise(0) for c in conditions]
+    return sum(ones[1:], ones[0])
+
+
+def homology(unit: Column, upstream: Column, downstream: Column, cap: int | None = None) -> Column:
+    """Longest proper beginning of unit at the start of downstream, or proper end of it at the end of upstream; measured up to cap where only the lower numbers matter."""
     n = F.length(unit)
+    if cap is not None:
+        down = _times([(n > k) & F.startswith(downstream, F.substr(unit, F.lit(1), F.lit(k))) for k in range(1, cap + 1)])
+        up = _times([(n > k) & F.endswith(upstream, F.substr(unit, n - k + 1, F.lit(k))) for k in range(1, cap + 1)])
+        return F.greatest(down, up)
     sizes = F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)))
     down = F.array_max(F.filter(sizes, lambda k: F.startswith(downstream, F.substr(unit, F.lit(1), k))))
     up = F.array_max(F.filter(sizes, lambda k: F.endswith(upstream, F.substr(unit, n - k + 1, k))))
@@ -124,8 +137,8 @@ def label_indels(indels: DataFrame) -> DataFrame:
     d = d.withColumns({"_kind": F.when(F.col("ref") == "-", "Ins").otherwise("Del"), "_unit": F.when(F.col("ref") == "-", F.col("alt")).otherwise(F.col("ref")), "_complex": complex_})
     unit = F.col("_unit")
     d = d.withColumns({
-        "id_len": F.least(F.length(unit), F.lit(5)), "n_repeat": F.least(repeats(unit, F.col("downstream")) + repeats(unit, F.col("upstream"), False), F.lit(5)),
-        "n_homology": F.least(homology(unit, F.col("upstream"), F.col("downstream")), F.lit(5)),
+        "id_len": F.least(F.length(unit), F.lit(5)), "n_repeat": F.least(repeats(unit, F.col("downstream"), cap=5) + repeats(unit, F.col("upstream"), False, 5), F.lit(5)),
+        "n_homology": homology(unit, F.col("upstream"), F.col("downstream"), 5),
     })
     first = F.translate(F.substring("_unit", 1, 1), "AG", "TC")
     base = F.when(F.col("id_len") == 1, first).when((F.col("_kind") == "Del") & (F.col("n_repeat") == 0) & (F.col("n_homology") > 0), "M").otherwise("R")
@@ -160,9 +173,11 @@ def strand_label(variants: DataFrame, transcripts: DataFrame, end: str | None =
     if end is None:
         d = overlap_join(variants, runs, ("chrom", "pos", "pos"), ("_tc", "_ts", "_te"), "left")
     else:
-        row = variants.select("chrom", "pos", F.col(end).alias("_end"), F.struct(*variants.columns).alias("_own"), F.monotonically_increasing_id().alias("_id"))
-        hit = overlap_join(row, runs, ("chrom", "pos", "_end"), ("_tc", "_ts", "_te"), "left")
-        d = hit.groupBy("_id").agg(F.first("_own").alias("_own"), F.max("_tc").alias("_tc"), F.max("_plus").alias("_plus"), F.max("_minus").alias("_minus")).select("_own.*", "_tc", "_plus", "_minus")
+        # equal rows are looked up once and told apart by their number only, so a repeated task cannot name rows otherwise
+        own = [F.col(f"`{c}`") for c in variants.columns]
+        hit = overlap_join(variants.groupBy(*own).agg(F.count("*").cast("int").alias("_times")), runs, ("chrom", "pos", end), ("_tc", "_ts", "_te"), "left")
+        d = hit.groupBy(*own, "_times").agg(F.max("_tc").alias("_tc"), F.max("_plus").alias("_plus"), F.max("_minus").alias("_minus"))
+        d = d.withColumn("_times", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).drop("_times")
     one = F.when(F.col("should_reverse") != F.col("_minus"), "T").otherwise("U")
     label = F.when(F.col("_tc").isNull(), "N").when(F.col("_plus") & F.col("_minus"), "B").otherwise(one)
     if "pure" in variants.columns:

@@ -350,6 +350,15 @@ def _(s):
     return _values(K.feature_oscillation(s))
 
 
+@query("cnw_oscillation_index", "segments", sql=f"""
+, v AS (SELECT sample, chromosome, row_number() OVER w AS i, CASE WHEN seg_val = lag(seg_val, 2) OVER w AND seg_val <> lag(seg_val) OVER w THEN 1 ELSE 0 END AS h FROM segments WINDOW w AS (PARTITION BY sample, chromosome ORDER BY {ORD})),
+g AS (SELECT *, sum(h) OVER (PARTITION BY sample, chromosome ORDER BY i) AS run FROM v), q AS (SELECT *, max(CASE WHEN h = 0 THEN i END) OVER (PARTITION BY sample, chromosome ORDER BY i) AS head FROM g),
+e AS (SELECT sample, chromosome, head - 1 AS a, max(i) AS b, CAST(sum(h) AS BIGINT) AS value FROM q GROUP BY sample, chromosome, head)
+SELECT sample, value, count(*) AS n FROM (SELECT v.sample, max(coalesce(e.value, 0)) AS value FROM v JOIN e ON e.sample = v.sample AND e.chromosome = v.chromosome AND v.i BETWEEN e.a AND e.b GROUP BY v.sample, v.chromosome, v.i) GROUP BY 1, 2""")
+def _(s):
+    return _values(K.oscillation_index(s).select("sample", F.col("n_oscillation").cast("long").alias("value")))
+
+
 @query("cnw_bp10mb", "segments", "chrom_sizes", sql=f"""
 , e AS (SELECT sample, chromosome, end_pos, lead(start_pos) OVER (PARTITION BY sample, chromosome ORDER BY {ORD}) AS nx FROM segments), c AS (SELECT sample, chromosome, greatest((end_pos + 9999998) // 10000000 - 1, 0) AS bin, count(*) AS c FROM e WHERE nx IS NOT NULL GROUP BY 1, 2, 3),
 p AS (SELECT DISTINCT sample, chromosome FROM segments), d AS (SELECT chrom, unnest(range((size + 9999999) // 10000000)) AS bin FROM chrom_sizes)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locusframe.operators import classify as K
 from locusframe.operators import rearrangements as R
 from locusframe.operators import variants as V
+from locusframe.operators.intervals import dimension
 from locusframe.operators.segments import ORDER, normalize_chromosome, require_columns
 
 # Classifications of variants that change a protein.
@@ -61,13 +62,16 @@ def tally_rearrangements(sv: DataFrame, row_id: Sequence[str], regions: DataFram
     return {"rs38": K.count_components(d, "rs38"), "rs32": K.count_components(d, "rs32")}
 
 
-def tally_variants(variants: DataFrame, mode: str = "ALL", add_trans_bias: bool = False, transcripts: DataFrame | None = None, ignore_chrs: Sequence[str] = (), use_syn: bool = True, order: Sequence[str] = ("ref", "alt")) -> dict[str, DataFrame]:
+def tally_variants(variants: DataFrame, mode: str = "ALL", add_trans_bias: bool = False, transcripts: DataFrame | None = None, ignore_chrs: Sequence[str] = (), use_syn: bool = True, order: Sequence[str] = ("ref", "alt"), sizes: DataFrame | None = None, apobec: bool = False) -> dict[str, DataFrame]:
     """Catalogues of small variants (sample, chrom, pos, ref, alt).
 
     SBS needs context, ID needs upstream and downstream; with mode ALL the modes
     whose columns are there are made. add_trans_bias adds the catalogues with
     strand labels (T, U, B, N, and Q for classes without a strand). use_syn =
-    False keeps NON_SYNONYMOUS classifications only. Alleles that are null go.
+    False keeps NON_SYNONYMOUS classifications only. Alleles that are null go, and with sizes
+    (chrom) chromosomes that the genome lacks. apobec adds a table apobec beside
+    the SBS catalogues, as of variants.apobec_test; order tells equal positions
+    apart where doublets are looked for.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
@@ -76,6 +80,8 @@ def tally_variants(variants: DataFrame, mode: str = "ALL", add_trans_bias: bool
     d = variants.where("ref IS NOT NULL AND alt IS NOT NULL").withColumn("chrom", normalize_chromosome(F.col("chrom")))
     if ignore_chrs:
         d = d.where(~F.col("chrom").isin(*ignore_chrs))
+    if sizes is not None:
+        d = d.join(dimension(sizes.select("chrom").distinct()), "chrom", "left_semi")
     if not use_syn:
         require_columns(d, "classification")
         d = d.where(F.col("classification").isin(*NON_SYNONYMOUS))
@@ -94,6 +100,10 @@ def tally_variants(variants: DataFrame, mode: str = "ALL", add_trans_bias: bool
     if mode == "SBS" or mode == "ALL" and "context" in has:
         require_columns(d, "context")
         add(V.label_sbs(d.where(single)), {"sbs96": "sbs96", "sbs6": "sbs6", "sbs1536": "sbs1536"})
+        if apobec:
+            out["apobec"] = V.apobec_test(V.apobec_counts(d.where(single)))
+    elif apobec:
+        raise ValueError("apobec needs SBS catalogues")
     if mode in ("DBS", "ALL"):
         pairs = V.find_doublets(d.where(single), order)
         own = d.where((F.length("ref") == 2) & (F.length("alt") == 2)).select("sample", "chrom", "pos", "ref", "alt")

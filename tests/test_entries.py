@@ -64,6 +64,9 @@ def test_tally_variants(spark):
     assert out["dbs78"] == {"CC>TA": 1, "CC>TT": 1} and out["dbs78_strand"] == {"B:CC>TA": 1, "T:CC>TT": 1}
     assert set(Y.tally(v, "variants", use_syn=False)["sbs6"].toPandas()["component"]) == {"C>A", "T>C"}
     assert set(Y.tally(v, "variants", mode="SBS", ignore_chrs=["chrX"])["sbs6"].toPandas()["component"]) == {"C>T", "C>A"}
+    known = Y.tally(v, "variants", mode="SBS", sizes=spark.createDataFrame([("chr1",), ("chr1",)], "chrom string"), apobec=True)
+    assert {r.component for r in known["sbs6"].collect()} == {"C>T", "C>A"}
+    assert [(r.sample, r.n_mutations) for r in known["apobec"].collect()] == [("s", 2)]
     with pytest.raises(ValueError, match="transcripts"):
         Y.tally(v, "variants", add_trans_bias=True)
     with pytest.raises(ValueError):

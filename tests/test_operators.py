@@ -49,6 +49,23 @@ def test_merge_adjacent_sequential(segs):
     assert S.merge_adjacent(S.label_loh(segs), order=(), loh_min_frac=0.5).where("loh_frac > 1 OR loh_frac < 0").count() == 0
 
 
+def test_oscillation_index(spark, segs):
+    def plain(v):
+        out, count = [0] * len(v), 0
+        for j in range(2, len(v)):
+            count = count + 1 if v[j] == v[j - 2] and v[j] != v[j - 1] else 0
+            if count:
+                out[j - count - 1 : j + 1] = [max(x, count) for x in out[j - count - 1 : j + 1]]
+        return out
+
+    got = grouped(K.oscillation_index(segs, order=()))
+    for key, rows in grouped(segs).items():
+        assert [r.n_oscillation for r in got[key]] == plain([r.seg_val for r in rows])
+    known = [("s", "chr1", i, v) for i, v in enumerate((4, 1, 4, 6, 4))] + [("s", "chr2", i, v) for i, v in enumerate((2, 2, 3, 2))] + [("s", "chr3", 1, 5)]
+    d = K.oscillation_index(spark.createDataFrame(known, "sample string, chromosome string, start_pos long, seg_val int"), order=())
+    assert [r.n_oscillation for r in d.orderBy("chromosome", "start_pos").collect()] == [1, 1, 1, 1, 1, 0, 1, 1, 1, 0]
+
+
 def test_oscillation_sequential(segs):
     want = []
     for (s, _), rows in grouped(segs).items():
@@ -107,6 +124,17 @@ def test_homology(spark, x, up, down, n):
     assert spark.range(1).select(V.homology(*map(F.lit, (x, up, down))).alias("n")).first().n == n
 
 
+def test_capped_counts_are_the_uncapped(spark):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("AC") for _ in range(rnd.randrange(n)))
+    rows = [(text(9), text(30), text(30)) for _ in range(400)] + [("A", "A" * 30, "A" * 30), ("ACACACAC", "ACACACA", "CACACAC"), (None, "A", "A"), ("AC", None, None), ("", "A", "A")]
+    u, x, y = map(F.col, "uxy")
+    pairs = [(V.repeats(u, x), V.repeats(u, x, cap=5)), (V.repeats(u, y, False), V.repeats(u, y, False, 5)), (V.homology(u, x, y), V.homology(u, x, y, 5))]
+    d = spark.createDataFrame(rows, "u string, x string, y string")
+    wrong = [F.least(a, F.lit(5)) != b for a, b in pairs]
+    assert d.where(wrong[0] | wrong[1] | wrong[2]).count() == 0
+
+
 def test_repeats(spark):
     r = spark.range(1).select(V.repeats(F.lit("AC"), F.lit("ACACAG")).alias("a"), V.repeats(F.lit("T"), F.lit("GATT"), False).alias("b"), V.repeats(F.lit("AC"), F.lit("")).alias("c")).first()
     assert tuple(r) == (2, 2, 0)

@@ -221,3 +221,58 @@ def test_similarity_needs_the_same_components(spark):
         C.similarity(a, a.where("component = 'x'"))
     r = C.similarity(a, a.where("component = 'x'"), remove="y").first()
     assert (r.cosine, r.rss, r.best) == (1.0, 0.0, True)
+
+
+def test_strand_label_of_repeated_rows(spark):
+    rnd = random.Random(8)
+    genes = [(rnd.choice("ab"), s := rnd.randrange(200), s + rnd.randrange(40), rnd.choice("+-")) for _ in range(30)]
+    muts = [(rnd.choice(["a", "b", "c", None]), p := rnd.choice([None, *range(0, 230, 5)]), None if p is None else p + rnd.randrange(25), rnd.random() < 0.5, rnd.choice(["x", None])) for _ in range(150)]
+    muts += muts[:40] + muts[:9]
+    t = spark.createDataFrame(genes, "chrom string, start_pos long, end_pos long, strand string")
+    d = spark.createDataFrame(muts, "chrom string, pos long, last long, should_reverse boolean, start_pos string")
+
+    def label(c, p, e, turned, _):
+        strands = {g[3] for g in genes if c == g[0] and p is not None and p <= g[2] and e >= g[1]}
+        return "N" if not strands else "B" if len(strands) == 2 else "T" if turned != ("-" in strands) else "U"
+
+    key = lambda r: tuple(map(str, r))
+    got = V.strand_label(d, t, "last").collect()
+    assert sorted(map(tuple, got), key=key) == sorted([(*m, label(*m)) for m in muts], key=key)
+
+
+def test_tests_of_associations(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.choice([None, rnd.gauss(0, 1)]), rnd.choice([True, False, None]), i == 3, rnd.randrange(5)) for i in range(90)]
+    d = spark.createDataFrame(rows, "s double, f boolean, rare boolean, x int")
+    cells = [(a, f) for a, f, *_ in rows if a is not None and f is not None]
+    x, y = [a for a, f in cells if f], [a for a, f in cells if not f]
+    welch = T.welch_columns(T.two_groups(d.where("f IS NOT NULL"), F.col("f"), "s")).first().p_value
+    assert T.feature_association(d, ["s"], logical=["f"], test="t").first().p_value == pytest.approx(welch)
+    seen = lambda n1, m1, v1, n2, m2, v2: (m1 - m2) ** 2 / (1 + (m1 - m2) ** 2 + v1 / n1 + v2 / n2)
+    want = seen(len(x), np.mean(x), np.var(x, ddof=1), len(y), np.mean(y), np.var(y, ddof=1))
+    got = {r.feature: r for r in T.feature_association(d, ["s"], logical=["f", "rare"], test=seen, min_n=5).collect()}
+    assert got["f"].p_value == pytest.approx(want) and got["rare"].p_value is None and got["rare"].measure is None
+    ranked = T.feature_association(d, ["s"], ["x"], rank=True).first().measure
+    assert ranked == pytest.approx(T.correlations(d, ["s"], ["x"], rank=True).first().r)
+    with pytest.raises(ValueError):
+        T.feature_association(d, ["s"], logical=["f"], test="sign")
+
+
+def test_adjusted_pairs_of_groups_by_rank(spark):
+    from locusframe.operators import tables as B
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["b", "a", "Z", "é", None]), rnd.choice([None, *range(6)])) for _ in range(120)]
+    d = spark.createDataFrame(rows, "g string, x int")
+    got = {(r.g1, r.g2): r for r in B.adjusted_pairs(d, "x", "g").collect()}
+    assert sorted(got) == [("Z", "a"), ("Z", "b"), ("Z", "é"), ("a", "b"), ("a", "é"), ("b", "é")]
+    for (a, b), r in got.items():
+        x, y = ([v for g, v in rows if g == k and v is not None] for k in (a, b))
+        assert (r.n1, r.n2) == (len(x), len(y)) and r.statistic == sum((v > w) + (v == w) / 2 for v in x for w in y)
+
+
+def test_order_of_similar_references(spark):
+    sig = spark.createDataFrame([("A", "x", 1.0), ("A", "y", 0.0), ("B", "x", 0.0), ("B", "y", 1.0)], "sig string, component string, weight double")
+    ref = spark.createDataFrame([(s, c, w) for s, p in (("P", (1, 1)), ("Q", (0, 1)), ("R", (1, 0)), ("O", (2, 1))) for c, w in zip("xy", map(float, p))], "sig string, component string, weight double")
+    d = C.similarity(sig, ref, set_order=True)
+    assert [r.b for r in d.where("a = 'A'").orderBy("position").collect()] == ["R", "Q", "O", "P"] and d.count() == 8
