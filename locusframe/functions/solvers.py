@@ -418,67 +418,17 @@ def cut_tree(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray
     return label
 
 
-def pam(dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cluster of each item and the medoids, by partitioning around medoids: built greedily, then swapped while a swap helps."""
-    n = len(dist)
-    k = min(k, n)
-    medoids = [int(dist.sum(axis=1).argmin())]
-    while len(medoids) < k:
-        near = dist[:, medoids].min(axis=1)
-        gain = np.maximum(near[:, None] - dist, 0).sum(axis=0)
-        gain[medoids] = -1
-        medoids.append(int(gain.argmax()))
-    cost = dist[:, medoids].min(axis=1).sum()
-    while True:
-        best = (cost - 1e-12, None, None)
-        for i in range(k):
-            rest = dist[:, medoids[:i] + medoids[i + 1 :]].min(axis=1) if k > 1 else np.full(n, np.inf)
-            totals = np.minimum(rest[:, None], dist).sum(axis=0)
-            j = int(totals.argmin())
-            if totals[j] < best[0]:
-                best = (totals[j], i, j)
-        if best[1] is None:
-            break
-        cost, medoids[best[1]] = best[0], best[2]
-    medoids = np.array(sorted(medoids))
-    return dist[:, medoids].argmin(axis=1), medoids
-
-
-def same_size_clusters(x: np.ndarray, size: int, method: str = "nearest", seed: int = 1) -> np.ndarray:
-    """Clusters of equal size (the last may be smaller): the point farthest from the rest with its nearest (nearest), or centres with limited room (kmeans), or subtrees of a dendrogram (hclust)."""
-    n = len(x)
+def bottom_up_groups(x: np.ndarray, size: int) -> np.ndarray:
+    """Groups of equal size (the last may be smaller): the first subtree of a dendrogram that has enough items, then those of a dendrogram of the rest."""
     dist = distances(x)
-    label = np.full(n, -1)
-    n_groups = -(-n // size)
-    if method == "nearest":
-        for g in range(n_groups):
-            left = np.flatnonzero(label < 0)
-            far = left[dist[np.ix_(left, left)].sum(axis=1).argmax()]
-            label[left[np.argsort(dist[far, left], kind="stable")[:size]]] = g
-    elif method == "kmeans":
-        rng = np.random.default_rng(seed)
-        centre = x[rng.choice(n, n_groups, replace=False)]
-        apart = lambda c: (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None] - 2 * x @ c.T
-        for _ in range(30):
-            near = apart(centre).argmin(axis=1)
-            centre = np.stack([x[near == g].mean(axis=0) if (near == g).any() else centre[g] for g in range(n_groups)])
-        d = apart(centre)
-        room = np.full(n_groups, size)
-        for i in np.argsort(d.min(axis=1) - d.max(axis=1), kind="stable"):
-            g = min((g for g in range(n_groups) if room[g]), key=lambda g: d[i, g])
-            label[i] = g
-            room[g] -= 1
-    else:
-        left, g = np.arange(n), 0
-        while len(left):
-            if len(left) <= size:
-                label[left] = g
+    label, left, g = np.full(len(x), -1), np.arange(len(x)), 0
+    while len(left) > size:
+        members = {i: [i] for i in range(len(left))}
+        for step, (a, b, _) in enumerate(hclust(dist[np.ix_(left, left)])):
+            members[len(left) + step] = both = members.pop(a) + members.pop(b)
+            if len(both) >= size:
+                label[left[both[:size]]] = g
                 break
-            members = {i: [i] for i in range(len(left))}
-            for step, (a, b, _) in enumerate(hclust(dist[np.ix_(left, left)])):
-                members[len(left) + step] = both = members.pop(a) + members.pop(b)
-                if len(both) >= size:
-                    label[left[both[:size]]] = g
-                    break
-            left, g = np.flatnonzero(label < 0), g + 1
+        left, g = np.flatnonzero(label < 0), g + 1
+    label[left] = g
     return label

@@ -418,20 +418,6 @@ def unify_extract(catalog: DataFrame, ranks: Sequence[int], approach: str = "bay
     raise ValueError("approach must be one of bayes_auto, repeated_nmf, bootstrap_nmf")
 
 
-def pam_groups(relative: DataFrame, k: int) -> DataFrame:
-    """sample, grp and silhouette: k groups around medoids by the distances of the samples' shares (sample, sig, rel). All distances are looked at in one task, after a check of their number."""
-    n, m = relative.agg(F.countDistinct("sample"), F.countDistinct("sig")).first()
-    _limited(n * max(n, m))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot(index="sample", columns="sig", values="rel").fillna(0.0).sort_index()
-        dist = solvers.distances(x.to_numpy(float))
-        grp, _ = solvers.pam(dist, k)
-        return pd.DataFrame({"sample": x.index, "grp": grp.astype(np.int32), "silhouette": solvers.silhouette(dist, grp)})
-
-    return relative.groupBy(F.lit(1).alias("one")).applyInPandas(run, "sample string, grp int, silhouette double")
-
-
 def _dominant(catalog: DataFrame, n_sig: int, n_run: int, seed: int, n_iter: int) -> tuple[DataFrame, DataFrame]:
     """(sample, kind) and (kind, labels, n): samples whose dominant signatures agree in every run are one kind, n of them."""
     _, samples, runs = _factorise(catalog, [(n_sig, 0, r, seed + r) for r in range(n_run)], "KL", False, n_iter)
@@ -561,18 +547,6 @@ def kmeans_groups(relative: DataFrame, k: int, seed: int = 1024) -> DataFrame:
     return _with_silhouette(relative, KMeans(k=k, seed=seed).fit(d).transform(d).select("sample", F.col("prediction").alias("grp")))
 
 
-def equal_size_clusters(exposure: DataFrame, size: int, method: str = "nearest", seed: int = 1) -> DataFrame:
-    """sample and cluster: groups of `size` samples each, near one another by their exposures (sample, sig, amount). All distances are looked at in one task, after a check of their number."""
-    n, k = exposure.agg(F.countDistinct("sample"), F.countDistinct("sig")).first()
-    _limited(n * max(n, k))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot(index="sample", columns="sig", values="amount").fillna(0).sort_index()
-        return pd.DataFrame({"sample": m.index, "cluster": solvers.same_size_clusters(m.to_numpy(float), size, method, seed).astype(np.int64)})
-
-    return exposure.groupBy(F.lit(1).alias("one")).applyInPandas(run, "sample string, cluster long")
-
-
 def attribute_activity(catalog: DataFrame, signature: DataFrame, loss: float = 0.01) -> DataFrame:
     """sample, sig, exposure: signatures whose removal costs less than `loss` of the cosine are dropped one by one, the least costly first."""
     components, sigs, p = signature_matrix(signature)

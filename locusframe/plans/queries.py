@@ -16,6 +16,7 @@ from locusframe.operators import stats as T
 from locusframe.operators import tables as B
 from locusframe.operators import variants as V
 from locusframe.plans import extraction as X
+from locusframe.plans import grouping as P
 from locusframe.plans import solutions as N
 from locusframe.plans import tally as Y
 from locusframe.sources import genomes as G
@@ -827,7 +828,7 @@ def _(e):
 
 @query("equal_size_clusters", "exposure")
 def _(e):
-    return X.equal_size_clusters(e, 5)
+    return P.equal_size_clusters(e, 5)
 
 
 # Bootstrap tables
@@ -1173,7 +1174,7 @@ def _(s, b):
 
 @query("pam_groups", "exposure")
 def _(e):
-    return X.pam_groups(C.relative_exposure(e), 3)
+    return P.pam_groups(C.relative_exposure(e), 3)
 
 
 @query("consensus_matrix", "catalog")

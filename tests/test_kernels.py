@@ -103,8 +103,7 @@ def test_assignment_and_alignment():
 def test_clusters():
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(0, 0.3, (50, 2)), rng.normal(1, 0.3, (50, 2))])
-    for method in ("nearest", "kmeans", "hclust"):
-        assert np.bincount(S.same_size_clusters(x, 10, method)).tolist() == [10] * 10
+    assert np.bincount(S.bottom_up_groups(x, 10)).tolist() == [10] * 10
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     label = S.cut_tree(S.hclust(d), 100, 2)
     assert len(set(label)) == 2 and -1 <= S.silhouette(d, label).mean() <= 1

@@ -204,17 +204,6 @@ def test_associations_and_correlations_in_one_pass(spark, monkeypatch, cells):
         T.correlations(d, ["one"], ["x"], drop_constant=True)
 
 
-def test_pam_finds_clusters():
-    from locusframe.functions import solvers
-
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(c, 0.3, (15, 2)) for c in ((0, 0), (5, 0), (0, 5))])
-    dist = np.linalg.norm(x[:, None] - x[None], axis=2)
-    label, medoids = solvers.pam(dist, 3)
-    assert len(medoids) == 3 and all(len(set(label[i : i + 15])) == 1 for i in (0, 15, 30)) and len(set(label)) == 3
-    assert solvers.pam(dist[:2, :2], 5)[0].tolist() == [0, 1]
-
-
 def test_similarity_needs_the_same_components(spark):
     a = spark.createDataFrame([("A", "x", 1.0), ("A", "y", 3.0)], "sig string, component string, weight double")
     with pytest.raises(ValueError, match="y"):
