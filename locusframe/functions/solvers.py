@@ -353,23 +353,21 @@ def silhouette(dist: np.ndarray, label: np.ndarray, weight: np.ndarray | None =
     return np.where((size[at] > 1) & (most > 0), (b - a) / np.where(most > 0, most, 1), 0.0)
 
 
-def hclust(dist: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[int, int, float]]:
-    """Merges (a, b, height) of average linkage, lowest first; new clusters are numbered from n on. An item of weight w stands for w equal ones.
+def _chains(n: int, nearest, merge) -> list[tuple[int, int, float]]:
+    """Merges (a, b, height) of a reducible linkage, lowest first; new clusters are numbered from n on.
 
     Chains of nearest neighbours: a pair that are each other's nearest is merged
-    wherever it is met, so a merge costs a few rows of the matrix instead of all
-    of it; the merges are put in order of height afterwards.
+    wherever it is met, so a merge costs a few rows of distances instead of all;
+    the merges are put in order of height afterwards. nearest(i) is the row of
+    distances of cluster i, infinite to itself and to what is merged away;
+    merge(i, j) makes one cluster of both under the name i.
     """
-    n = len(dist)
-    d = dist.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size = np.ones(n) if weight is None else np.asarray(weight, float).copy()
     alive, chain, found = np.ones(n, bool), [], []
     for _ in range(n - 1):
         if not chain:
             chain.append(int(np.flatnonzero(alive)[0]))
         while True:
-            row = d[chain[-1]]
+            row = nearest(chain[-1])
             j = int(row.argmin())
             if len(chain) > 1 and row[chain[-2]] <= row[j]:
                 j = chain[-2]
@@ -378,12 +376,8 @@ def hclust(dist: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[int
         i = chain.pop()
         chain.pop()
         i, j = min(i, j), max(i, j)
-        found.append((i, j, float(d[i, j])))
-        both = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = both, both
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
+        found.append((i, j, float(row[i if row[i] < np.inf else j])))
+        merge(i, j)
         alive[j] = False
     # a merge names the least item of each side; in order of height these become clusters
     name, out = list(range(n)), []
@@ -398,6 +392,56 @@ def hclust(dist: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[int
     return out
 
 
+def hclust(dist: np.ndarray, weight: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """Merges (see _chains) of average linkage. An item of weight w stands for w equal ones."""
+    n = len(dist)
+    d = dist.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    size = np.ones(n) if weight is None else np.asarray(weight, float).copy()
+
+    def merge(i: int, j: int) -> None:
+        both = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = both, both
+        d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+
+    return _chains(n, d.__getitem__, merge)
+
+
+def cosine_linkage(unit: np.ndarray) -> list[tuple[int, int, float]]:
+    """Merges (see _chains) of average linkage of the rows, unit vectors, by cosine distance: the mean over the pairs of two clusters is 1 less the product of their mean vectors, so no distances are held."""
+    mean, size, gone = unit.astype(float).copy(), np.ones(len(unit)), np.zeros(len(unit))
+
+    def nearest(i: int) -> np.ndarray:
+        row = np.maximum(1 - mean @ mean[i], 0) + gone
+        row[i] = np.inf
+        return row
+
+    def merge(i: int, j: int) -> None:
+        mean[i] = (size[i] * mean[i] + size[j] * mean[j]) / (size[i] + size[j])
+        size[i] += size[j]
+        gone[j] = np.inf
+
+    return _chains(len(unit), nearest, merge)
+
+
+def cosine_silhouette(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Silhouette of the rows, unit vectors, by cosine distance, from the clusters' sums of vectors; 0 for one alone in its cluster."""
+    names, at = np.unique(label, return_inverse=True)
+    if len(names) < 2:
+        return np.zeros(len(label))
+    member = np.eye(len(names))[at]
+    size, rows = member.sum(axis=0), np.arange(len(label))
+    total = size - unit @ (unit.T @ member)
+    a = (total[rows, at] - (1 - (unit * unit).sum(axis=1))) / np.maximum(size[at] - 1, 1)
+    mean = total / size
+    mean[rows, at] = np.inf
+    b = mean.min(axis=1)
+    most = np.maximum(a, b)
+    return np.where((size[at] > 1) & (most > 1e-15), (b - a) / np.where(most > 1e-15, most, 1), 0.0)
+
+
 def distances(x: np.ndarray) -> np.ndarray:
     """Euclidean distances of the rows of x, from their dot products."""
     x = x - x.mean(axis=0)
@@ -418,6 +462,25 @@ def cut_tree(merges: list[tuple[int, int, float]], n: int, k: int) -> np.ndarray
     return label
 
 
+def cophenetic(dist: np.ndarray, merges: list[tuple[int, int, float]], weight: np.ndarray | None = None) -> float:
+    """Correlation, over all pairs of items, of their distance and the height at which they meet; 1 where either is constant. An item of weight w stands for w equal ones."""
+    n = len(dist)
+    weight = np.ones(n) if weight is None else np.asarray(weight, float)
+    height, members = np.zeros((n, n)), {i: [i] for i in range(n)}
+    for step, (a, b, h) in enumerate(merges):
+        x, y = members.pop(a), members.pop(b)
+        height[np.ix_(x, y)] = height[np.ix_(y, x)] = h
+        members[n + step] = x + y
+    at = np.triu_indices(n, 1)
+    w = np.append(weight[at[0]] * weight[at[1]], (weight * (weight - 1) / 2).sum())  # at last the pairs of equal items
+    x, y = np.append(dist[at], 0.0), np.append(height[at], 0.0)
+    x, y, w = x[w > 0], y[w > 0], w[w > 0]
+    if len(w) == 0 or np.ptp(x) == 0 or np.ptp(y) == 0:
+        return 1.0
+    x, y = x - np.average(x, weights=w), y - np.average(y, weights=w)
+    return float((w * x * y).sum() / np.sqrt((w * x * x).sum() * (w * y * y).sum()))
+
+
 def bottom_up_groups(x: np.ndarray, size: int) -> np.ndarray:
     """Groups of equal size (the last may be smaller): the first subtree of a dendrogram that has enough items, then those of a dendrogram of the rest."""
     dist = distances(x)

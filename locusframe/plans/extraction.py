@@ -325,37 +325,38 @@ def estimate(catalog: DataFrame, ranks: Sequence[int], n_run: int = 10, seed: in
 
 
 def _estimate(catalog: DataFrame, ranks: Sequence[int], n_run: int, seed: int, n_iter: int) -> DataFrame:
-    """Survey of ranks: k, residual (divergence), rss, evar, cophenetic, dispersion, sparseness of the basis and mean silhouette of the consensus."""
+    """Survey of ranks: k, residual (divergence), rss, evar, cophenetic, dispersion, sparseness of the basis and mean silhouette of the consensus.
+
+    The consensus is looked at by kinds of samples (those with the same
+    dominant signature in every run) with their numbers as weights, so a task
+    meets the pairs of kinds, not of samples; their number is checked.
+    """
     tasks = [(k, 0, r, seed + r) for k in ranks for r in range(n_run)]
     _, samples, runs = _factorise(catalog, tasks, "KL", False, n_iter)
     _, _, v = catalogue_matrix(catalog)
     shared = catalog.sparkSession.sparkContext.broadcast(v)
-    n = len(samples)
-    _limited(n * n)  # a survey looks at the consensus of all pairs of samples
-
-    def survey(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = int(pdf["k"].iloc[0])
-        best = pdf.sort_values(["score", "run"], ascending=[False, True]).iloc[0]
+    runs = settled(runs)
+    _, kinds = _label_kinds(runs, samples)
+    first = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("score"), "run"))
+    best = runs.select("k", "score", "w", "h", first.alias("_r")).where("_r = 1").drop("_r")
+
+    def survey(kinds: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
+        best = best.iloc[0]
+        k = int(best["k"])
         w, h = np.array(best["w"]).reshape(-1, k), np.array(best["h"]).reshape(k, -1)
         rss = float(((shared.value - w @ h) ** 2).sum())
-        label = [np.array(x).reshape(k, -1).argmax(axis=0) for x in pdf["h"]]
-        consensus = np.mean([x[:, None] == x[None] for x in label], axis=0)
-        dist = 1 - consensus
-        merges = solvers.hclust(dist) if n > 1 else []
-        coph, members = np.zeros((n, n)), {i: [i] for i in range(n)}
-        for step, (a, b, height) in enumerate(merges):
-            x, y = members.pop(a), members.pop(b)
-            coph[np.ix_(x, y)] = coph[np.ix_(y, x)] = height
-            members[n + step] = x + y
-        at = np.triu_indices(n, 1)
-        flat = dist[at].std() == 0 or coph[at].std() == 0 if n > 1 else True
-        cophenetic = 1.0 if flat else float(np.corrcoef(dist[at], coph[at])[0, 1])
+        dist, size = _kinds(kinds)
+        n = len(size)
+        merges = solvers.hclust(dist, size)
         m = w.shape[0]
         sparse = float(np.mean((np.sqrt(m) - np.abs(w).sum(axis=0) / np.maximum(np.linalg.norm(w, axis=0), 1e-300)) / (np.sqrt(m) - 1)))
-        sil = float(solvers.silhouette(dist, solvers.cut_tree(merges, n, min(k, n))).mean()) if n > k else 0.0
-        return pd.DataFrame([(k, -float(best["score"]), rss, 1 - rss / float((shared.value**2).sum()), cophenetic, float((4 * (consensus - 0.5) ** 2).mean()), sparse, sil)], columns=["k", "residual", "rss", "evar", "cophenetic", "dispersion", "sparseness", "silhouette"])
+        pairs = np.outer(size, size)
+        dispersion = float((pairs * 4 * (0.5 - dist) ** 2).sum() / pairs.sum())
+        sil = float(np.average(solvers.silhouette(dist, solvers.cut_tree(merges, n, min(k, n)), size), weights=size)) if size.sum() > k else 0.0
+        return pd.DataFrame([(k, -float(best["score"]), rss, 1 - rss / float((shared.value**2).sum()), solvers.cophenetic(dist, merges, size), dispersion, sparse, sil)], columns=["k", "residual", "rss", "evar", "cophenetic", "dispersion", "sparseness", "silhouette"])
 
-    return runs.groupBy("k").applyInPandas(survey, "k int, residual double, rss double, evar double, cophenetic double, dispersion double, sparseness double, silhouette double")
+    schema = "k int, residual double, rss double, evar double, cophenetic double, dispersion double, sparseness double, silhouette double"
+    return kinds.groupBy("k").cogroup(best.groupBy("k")).applyInPandas(survey, schema)  # one run and the kinds of a number of signatures
 
 
 def auto_extract(catalog: DataFrame, k0: int = 25, n_run: int = 10, prior: str = "L1KL", strategy: str = "stable", seed: int = SEED, n_iter: int = 20_000, reference: DataFrame | None = None, optimize: bool = False, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -418,28 +419,35 @@ def unify_extract(catalog: DataFrame, ranks: Sequence[int], approach: str = "bay
     raise ValueError("approach must be one of bayes_auto, repeated_nmf, bootstrap_nmf")
 
 
-def _dominant(catalog: DataFrame, n_sig: int, n_run: int, seed: int, n_iter: int) -> tuple[DataFrame, DataFrame]:
-    """(sample, kind) and (kind, labels, n): samples whose dominant signatures agree in every run are one kind, n of them."""
-    _, samples, runs = _factorise(catalog, [(n_sig, 0, r, seed + r) for r in range(n_run)], "KL", False, n_iter)
-    shared = catalog.sparkSession.sparkContext.broadcast(samples)
+def _label_kinds(runs: DataFrame, samples: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(k, sample, kind) and (k, kind, labels, n): samples whose dominant signatures agree in every run with k signatures are one kind, n of them. The squared number of kinds is checked."""
+    shared = runs.sparkSession.sparkContext.broadcast(samples)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for r, h in pdf.itertuples(index=False):
-                yield pd.DataFrame({"sample": shared.value, "run": r, "label": np.asarray(h).reshape(n_sig, -1).argmax(axis=0).astype(np.int32)})
-
-    each = runs.select("run", "h").mapInPandas(run, "sample string, run int, label int")
-    held = settled(each.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("run", "label"))).alias("x")).select("sample", F.col("x.label").alias("labels")))  # n_run entries
-    kinds = held.groupBy("labels").agg(F.count("*").alias("n"))
-    kinds = settled(kinds.withColumn("kind", F.row_number().over(Window.orderBy("labels")) - 1))
-    n = kinds.count()
+            for k, r, h in pdf.itertuples(index=False):
+                yield pd.DataFrame({"k": np.int32(k), "sample": shared.value, "run": r, "label": np.asarray(h).reshape(k, -1).argmax(axis=0).astype(np.int32)})
+
+    each = runs.select("k", "run", "h").mapInPandas(run, "k int, sample string, run int, label int")
+    listed = F.sort_array(F.collect_list(F.struct("run", "label")))  # an entry per run
+    held = settled(each.groupBy("k", "sample").agg(listed.alias("x")).select("k", "sample", F.col("x.label").alias("labels")))
+    kinds = held.groupBy("k", "labels").agg(F.count("*").alias("n"))
+    kinds = settled(kinds.withColumn("kind", F.row_number().over(Window.partitionBy("k").orderBy("labels")) - 1))
+    n = kinds.groupBy("k").count().agg(F.max("count")).first()[0] or 0
     _limited(n * n)
-    return held.join(F.broadcast(kinds), "labels").select("sample", "kind"), kinds
+    return held.join(F.broadcast(kinds), ["k", "labels"]).select("k", "sample", "kind"), kinds
 
 
-def _kinds(kinds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _dominant(catalog: DataFrame, n_sig: int, n_run: int, seed: int, n_iter: int) -> tuple[DataFrame, DataFrame]:
+    """Kinds of samples of n_run factorisations with n_sig signatures, see _label_kinds."""
+    _, samples, runs = _factorise(catalog, [(n_sig, 0, r, seed + r) for r in range(n_run)], "KL", False, n_iter)
+    held, kinds = _label_kinds(runs, samples)
+    return held.select("sample", "kind"), kinds
+
+
+def _kinds(kinds: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Distances of the kinds, the share of runs in which their labels differ, and their sizes."""
-    d = kinds.orderBy("kind").toPandas()
+    d = kinds.sort_values("kind")
     x = np.stack(d["labels"].to_list())
     dist = np.zeros((len(x), len(x)))
     for column in x.T:
@@ -452,29 +460,35 @@ def consensus_matrix(catalog: DataFrame, n_sig: int, n_run: int = 20, seed: int
     held, kinds = _dominant(catalog, n_sig, n_run, seed, n_iter)
     n = held.count()
     _limited(n * n)
-    dist, _ = _kinds(kinds)
+    dist, _ = _kinds(kinds.toPandas())
     cells = catalog.sparkSession.createDataFrame([(i, j, float(1 - v)) for (i, j), v in np.ndenumerate(dist)], "kind int, other int, share double")
     other = held.select(F.col("sample").alias("b"), F.col("kind").alias("other"))
     return held.withColumnRenamed("sample", "a").join(F.broadcast(cells), "kind").join(other, "other").select("a", "b", "share")
 
 
 def cluster_iterations(signatures: DataFrame, ranks: Sequence[int]) -> DataFrame:
-    """k, sig, cluster, silhouette: average-linkage clusters of signatures (sig, component, weight; of several extractions) by their cosine distances, for each number k. All distances are looked at in one task, after a check of their number."""
+    """k, sig, cluster, silhouette: average-linkage clusters of signatures (sig, component, weight; of several extractions) by their cosine distances, for each number k.
+
+    Mean cosine distances are products of sums of unit vectors, so neither the
+    linkage, which is made once, nor a task for a k sees the distances of all pairs.
+    """
     _, sigs, p = signature_matrix(signatures)
     n = len(sigs)
-    _limited(n * n)
     unit = p / np.maximum(np.linalg.norm(p, axis=0), 1e-300)
-    shared = signatures.sparkSession.sparkContext.broadcast((sigs, unit))
+    ranks = [int(k) for k in ranks if 1 < k < n]
+    schema = "k int, sig string, cluster int, silhouette double"
+    if not ranks:
+        return signatures.sparkSession.createDataFrame([], schema)
+    shared = signatures.sparkSession.sparkContext.broadcast((sigs, unit.T, solvers.cosine_linkage(unit.T)))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sigs, unit = shared.value
-        dist = np.maximum(1 - unit.T @ unit, 0)
-        np.fill_diagonal(dist, 0)
-        label = solvers.cut_tree(solvers.hclust(dist), len(sigs), int(pdf["k"].iloc[0]))
-        return pd.DataFrame({"k": int(pdf["k"].iloc[0]), "sig": sigs, "cluster": label.astype(np.int32), "silhouette": solvers.silhouette(dist, label)})
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sigs, unit, merges = shared.value
+        for pdf in it:
+            for k in pdf["k"]:
+                label = solvers.cut_tree(merges, len(sigs), int(k))
+                yield pd.DataFrame({"k": np.int32(k), "sig": sigs, "cluster": label.astype(np.int32), "silhouette": solvers.cosine_silhouette(unit, label)})
 
-    tasks = signatures.sparkSession.createDataFrame([(int(k),) for k in ranks if 1 < k < n], "k int")
-    return tasks.groupBy("k").applyInPandas(run, "k int, sig string, cluster int, silhouette double")
+    return _runs(signatures.sparkSession, [(k,) for k in ranks], "k int").mapInPandas(run, schema)
 
 
 def saved_run(runs: DataFrame, components: Sequence[str], samples: Sequence[str], run: int) -> tuple[DataFrame, DataFrame]:
@@ -598,7 +612,7 @@ def consensus_groups(catalog: DataFrame, n_sig: int, n_run: int = 20, seed: int
     node with their number as its weight: the linkage meets kinds, not samples.
     """
     held, kinds = _dominant(catalog, n_sig, n_run, seed, n_iter)
-    dist, size = _kinds(kinds)
+    dist, size = _kinds(kinds.toPandas())
     grp = solvers.cut_tree(solvers.hclust(dist, size), len(size), min(n_sig, len(size)))
     rows = [(i, int(g), float(s)) for i, (g, s) in enumerate(zip(grp, solvers.silhouette(dist, grp, size), strict=True))]
     return held.join(F.broadcast(catalog.sparkSession.createDataFrame(rows, "kind int, grp int, silhouette double")), "kind").select("sample", "grp", "silhouette")

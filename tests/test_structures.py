@@ -174,3 +174,81 @@ def test_groups_by_kinds_and_sums(spark):
     assert np.allclose(k.silhouette, solvers.silhouette(square, k.grp.to_numpy()), atol=1e-9)
     with pytest.raises(ValueError):
         X.sample_groups(c, 3, method="other")
+
+
+def test_cophenetic_of_weighted_items_as_of_copies():
+    rng = np.random.default_rng(4)
+    x, weight = rng.random((9, 3)), np.array([1, 1, 3, 2, 1, 4, 1, 1, 2])
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    copy = np.repeat(np.arange(9), weight)
+    whole = d[np.ix_(copy, copy)]
+    merges = solvers.hclust(whole)
+    members, height = {i: [i] for i in range(len(copy))}, np.zeros_like(whole)
+    for step, (a, b, h) in enumerate(merges):
+        p, q = members.pop(a), members.pop(b)
+        for i in p:
+            for j in q:
+                height[i, j] = height[j, i] = h
+        members[len(copy) + step] = p + q
+    at = np.triu_indices(len(copy), 1)
+    want = np.corrcoef(whole[at], height[at])[0, 1]
+    assert solvers.cophenetic(d, solvers.hclust(d, weight), weight) == pytest.approx(want)
+    assert solvers.cophenetic(whole, merges) == pytest.approx(want)
+    assert solvers.cophenetic(np.zeros((1, 1)), []) == 1.0
+
+
+def test_survey_by_kinds_as_over_all_samples(spark):
+    rng = np.random.default_rng(6)
+    sig = rng.dirichlet(np.full(8, 0.4), 3)
+    rows = [(f"s{i:02d}", f"c{j}", int(v)) for i in range(30) for j, v in enumerate(rng.multinomial(400, sig[i % 3] * 0.8 + sig[(i + 1) % 3] * 0.2))]
+    catalog = spark.createDataFrame(rows, "sample string, component string, n long")
+    got = {r.k: r for r in X.estimate(catalog, [2, 4], n_run=6, seed=3, n_iter=60).collect()}
+    assert set(got) == {2, 4}
+    _, samples, runs = X._factorise(catalog, [(k, 0, r, 3 + r) for k in (2, 4) for r in range(6)], "KL", False, 60)
+    _, _, v = X.catalogue_matrix(catalog)
+    for k, r in got.items():
+        mine = sorted((x for x in runs.collect() if x.k == k), key=lambda x: (-x.score, x.run))
+        label = [np.array(x.h).reshape(k, -1).argmax(axis=0) for x in mine]
+        share = np.mean([a[:, None] == a[None] for a in label], axis=0)
+        assert r.dispersion == pytest.approx((4 * (share - 0.5) ** 2).mean())
+        w, h = np.array(mine[0].w).reshape(-1, k), np.array(mine[0].h).reshape(k, -1)
+        assert r.rss == pytest.approx(((v - w @ h) ** 2).sum()) and r.residual == pytest.approx(-mine[0].score)
+        dist = 1 - share
+        merges = solvers.hclust(dist)
+        assert r.cophenetic == pytest.approx(solvers.cophenetic(dist, merges), abs=0.02)  # heights of ties may differ
+        kinds = len(set(zip(*[a.tolist() for a in label], strict=True)))
+        if kinds > k:
+            assert r.silhouette == pytest.approx(solvers.silhouette(dist, solvers.cut_tree(merges, 30, k)).mean(), abs=0.05)
+
+
+def test_survey_of_more_samples_than_pairs_allow(spark, monkeypatch):
+    rows = [(f"s{i:03d}", f"c{j}", 50 if i % 2 == j // 2 else 1) for i in range(200) for j in range(4)]
+    catalog = spark.createDataFrame(rows, "sample string, component string, n long")
+    monkeypatch.setattr(X, "MATRIX_LIMIT", 5000)  # 200 x 200 samples are over it
+    (r,) = X.estimate(catalog, [2], n_run=4, n_iter=200).collect()
+    assert r.cophenetic == pytest.approx(1) and r.dispersion == pytest.approx(1) and r.silhouette == pytest.approx(1)
+
+
+def test_linkage_of_unit_vectors_without_distances(spark):
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet(np.full(6, 0.5), 40)
+    unit = p / np.linalg.norm(p, axis=1)[:, None]
+    dist = np.maximum(1 - unit @ unit.T, 0)
+    np.fill_diagonal(dist, 0)
+    want, got = solvers.hclust(dist), solvers.cosine_linkage(unit)
+    assert [m[:2] for m in got] == [m[:2] for m in want] and np.allclose([m[2] for m in got], [m[2] for m in want])
+    rows = [(f"g{i:02d}", f"c{j}", float(v)) for i, x in enumerate(p) for j, v in enumerate(x)]
+    table = X.cluster_iterations(spark.createDataFrame(rows, "sig string, component string, weight double"), [1, 2, 7, 40, 99]).orderBy("k", "sig").collect()
+    assert [r.k for r in table] == [2] * 40 + [7] * 40
+    for k in (2, 7):
+        label = solvers.cut_tree(want, 40, k)
+        mine = [r for r in table if r.k == k]
+        assert [r.cluster for r in mine] == label.tolist()
+        assert np.allclose([r.silhouette for r in mine], solvers.silhouette(dist, label))
+
+
+def test_linkage_of_equal_vectors():
+    unit = np.repeat(np.eye(3), 4, axis=0)
+    label = solvers.cut_tree(solvers.cosine_linkage(unit), 12, 3)
+    assert label.tolist() == [0] * 4 + [1] * 4 + [2] * 4 and solvers.cosine_silhouette(unit, label).tolist() == [1.0] * 12
+    assert solvers.cosine_linkage(unit[:1]) == []
