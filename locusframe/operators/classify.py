@@ -156,6 +156,13 @@ def wide(catalog: DataFrame, vocabulary: Sequence[str], key: str = "sample") ->
     return catalog.groupBy(key).pivot("component", list(vocabulary)).agg(F.sum("n")).na.fill(0)
 
 
+def long(table: DataFrame, key: str = "sample", keep_zeros: bool = False) -> DataFrame:
+    """The catalogue of a wide table: key, component and n of every column but the key; nulls count as 0, which is left out unless asked for."""
+    names = [c for c in table.columns if c != key]
+    d = table.select(key, *[F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(0)).alias(c) for c in names]).unpivot(key, [f"`{c}`" for c in names], "component", "n")
+    return d if keep_zeros else d.where("n <> 0")
+
+
 # Feature distributions: one row per value.
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from locusframe.functions import tests_of_significance as K
 from locusframe.operators import stats as T
-from locusframe.operators.intervals import dimension
+from locusframe.operators.intervals import dimension, overlap_join
 
 
 def selected_segments(segments: DataFrame, samples: Sequence[str] = (), chrs: Sequence[str] = (), region: tuple[str, int, int] | None = None) -> DataFrame:
@@ -188,3 +188,45 @@ def segment_size_order(signatures: DataFrame) -> DataFrame:
     d = signatures.select("sig").distinct().join(size, "sig", "left")
     return d.select("sig", F.row_number().over(Window.orderBy(F.col("_low").asc_nulls_last(), "sig")).alias("place"))  # one row per signature
 
+
+def group_profile(segments: DataFrame, bands: DataFrame, group: str, amp_over: float = 2, del_under: float = 2) -> DataFrame:
+    """Group, chrom, band, n_amp and n_del: samples of each group with a segment over or under the bounds that reaches into the band; bands that no segment of a group reaches have no row.
+
+    A sample is settled per band first, so the counts need no distinct. The
+    group is a column of the segments; rows without one are a group of their own.
+    """
+    s = segments.select(group, "sample", "chromosome", "start_pos", "end_pos", "seg_val")
+    b = bands.select("chrom", F.col("start_pos").alias("_bs"), F.col("end_pos").alias("_be"), "band")
+    hit = overlap_join(s, b, ("chromosome", "start_pos", "end_pos"), ("chrom", "_bs", "_be"))
+    flag = lambda c: F.coalesce(F.max(c.cast("int")), F.lit(0))
+    each = hit.groupBy(group, "chrom", "band", "sample").agg(flag(F.col("seg_val") > amp_over).alias("_a"), flag(F.col("seg_val") < del_under).alias("_d"))
+    named = F.col("sample").isNotNull().cast("int")
+    return each.groupBy(group, "chrom", "band").agg(F.sum(F.col("_a") * named).alias("n_amp"), F.sum(F.col("_d") * named).alias("n_del"))
+
+
+def exposure_table(exposure: DataFrame, value: str = "amount", min_total: float | None = None) -> DataFrame:
+    """sample, sig, value, fraction (of the sample's total; null where that is 0) and total; samples under min_total go."""
+    total = F.sum(value).over(Window.partitionBy("sample"))
+    d = exposure.select("sample", "sig", value, total.alias("total"))
+    d = d if min_total is None else d.where(F.col("total") >= min_total)
+    return d.select("sample", "sig", value, F.when(F.col("total") != 0, F.col(value) / F.col("total")).alias("fraction"), "total")
+
+
+def group_distribution(df: DataFrame, group: str, value: str, key: str, block: int = 100_000) -> DataFrame:
+    """group, key, value, place and n: each row's place by value (then key) among the rows of its group that have a value, and their number.
+
+    A group is placed in parts of the value's range between quantiles of all
+    rows, about `block` rows each (1000 parts at most), so a group that holds
+    most rows is not sorted in one task; equal values share a part.
+    """
+    d = df.where(F.col(value).isNotNull()).select(group, key, value)
+    n = d.count()
+    parts = min(-(-n // block), 1000)
+    cuts = sorted(set(d.approxQuantile(value, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    d = d.withColumn("_p", T._block(value, cuts) if cuts else F.lit(0).cast("long"))
+    sizes = d.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_p")) - F.col("_n")
+    sizes = sizes.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), before.alias("_before"), F.sum("_n").over(Window.partitionBy(group)).alias("n"))
+    inner = F.row_number().over(Window.partitionBy(group, "_p").orderBy(value, key))
+    placed = d.withColumn("_i", inner).join(sizes, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return placed.select(group, key, value, (F.col("_before") + F.col("_i")).cast("int").alias("place"), "n")

@@ -593,7 +593,7 @@ _COMPONENTS = [f"{p}:{s}" for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPE
 
 @query("catalog_long", "catalog", sql="SELECT sample, component, n FROM catalog")
 def _(c):
-    return c
+    return K.long(K.wide(c, _COMPONENTS))
 
 
 @query("catalog_wide", "catalog", sql="SELECT sample, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (component = '{c}'), 0) AS BIGINT) AS \"{c}\"" for c in _COMPONENTS) + " FROM catalog GROUP BY 1")
@@ -923,9 +923,7 @@ def _(s, c):
 
 @query("cn_group_profile_table", "segments", "bands", sql="SELECT g.grp, b.chrom, band, count(DISTINCT sample) FILTER (seg_val > 2) AS n_amp, count(DISTINCT sample) FILTER (seg_val < 2) AS n_del FROM (SELECT *, sample LIKE '%1' AS grp FROM segments) g JOIN bands b ON b.chrom = chromosome AND g.start_pos <= b.end_pos AND g.end_pos >= b.start_pos GROUP BY 1, 2, 3")
 def _(s, b):
-    right = b.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band")
-    hit = I.overlap_join(s.withColumn("grp", F.col("sample").endswith("1")), right, ("chromosome", "start_pos", "end_pos"), ("chrom", "bs", "be"), small=True)
-    return hit.groupBy("grp", "chrom", "band").agg(F.countDistinct(F.when(F.col("seg_val") > 2, F.col("sample"))).alias("n_amp"), F.countDistinct(F.when(F.col("seg_val") < 2, F.col("sample"))).alias("n_del"))
+    return B.group_profile(s.withColumn("grp", F.col("sample").endswith("1")), b, "grp")
 
 
 @query("cn_distribution", "segments", "chrom_sizes", sql=_ARM + " SELECT chromosome, arm, count(*) AS n, CAST(sum(end_pos - start_pos + 1) AS BIGINT) AS total_length FROM b GROUP BY 1, 2")
@@ -935,14 +933,12 @@ def _(s, c):
 
 @query("exposure_long", "exposure", sql="SELECT sample, sig, amount, round(amount / sum(amount) OVER (PARTITION BY sample), 6) AS fraction, CAST(sum(amount) OVER (PARTITION BY sample) AS BIGINT) AS total FROM exposure")
 def _(e):
-    return C.normalize(e, "amount", ["sample"], "fraction").withColumn("total", F.expr("sum(amount) OVER (PARTITION BY sample)")).select("sample", "sig", "amount", *r6("fraction"), "total")
+    return B.exposure_table(e).select("sample", "sig", "amount", *r6("fraction"), "total")
 
 
 @query("group_distribution_table", "traits", sql="SELECT grp, id, score, CAST(row_number() OVER (PARTITION BY grp ORDER BY score, id) AS INTEGER) AS place, count(*) OVER (PARTITION BY grp) AS n FROM traits")
 def _(t):
-    from pyspark.sql import Window
-
-    return t.select("grp", "id", "score", F.row_number().over(Window.partitionBy("grp").orderBy("score", "id")).alias("place"), F.count("*").over(Window.partitionBy("grp")).alias("n"))
+    return B.group_distribution(t, "grp", "score", "id")
 
 
 @query("apobec_test", "variants")

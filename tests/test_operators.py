@@ -9,6 +9,7 @@ from locusframe.operators import intervals as I
 from locusframe.operators import rearrangements as R
 from locusframe.operators import segments as S
 from locusframe.operators import stats as T
+from locusframe.operators import tables as B
 from locusframe.operators import variants as V
 from locusframe.sources import readers
 from locusframe.streaming.tally import incremental_tally
@@ -216,3 +217,40 @@ def test_incremental_tally(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.sample, r.n) for r in spark.sql("SELECT * FROM tally").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_wide_tables_to_long_and_back(spark):
+    wide = spark.createDataFrame([("a", 2, None, 0), ("b", 0, 5, 1)], "sample string, `A[C>T]G` long, `x.y` long, z long")
+    assert sorted(map(tuple, K.long(wide).collect())) == [("a", "A[C>T]G", 2), ("b", "x.y", 5), ("b", "z", 1)]
+    assert K.long(wide, keep_zeros=True).count() == 6
+    assert sorted(map(tuple, K.wide(K.long(wide), ["A[C>T]G", "x.y", "z"]).collect())) == [("a", 2, 0, 0), ("b", 0, 5, 1)]
+
+
+def test_group_profile_counts_samples(spark):
+    rows = [("s1", "chr1", 1, 50, 4, "g"), ("s1", "chr1", 51, 90, 1, "g"), ("s2", "chr1", 40, 60, 3, "g"), ("s3", "chr1", 1, 9, 2, None), (None, "chr1", 1, 99, 9, "g")]
+    s = spark.createDataFrame(rows, "sample string, chromosome string, start_pos long, end_pos long, seg_val long, grp string")
+    b = spark.createDataFrame([("chr1", 1, 49, "p1"), ("chr1", 50, 99, "q1"), ("chr2", 1, 9, "p1")], "chrom string, start_pos long, end_pos long, band string")
+    got = {tuple(r) for r in B.group_profile(s, b, "grp").collect()}
+    assert got == {("g", "chr1", "p1", 2, 0), ("g", "chr1", "q1", 2, 1), (None, "chr1", "p1", 0, 0)}
+    assert {tuple(r) for r in B.group_profile(s, b, "grp", amp_over=3, del_under=1).collect()} == {("g", "chr1", "p1", 1, 0), ("g", "chr1", "q1", 1, 0), (None, "chr1", "p1", 0, 0)}
+    assert B.group_profile(s.limit(0), b, "grp").count() == 0
+
+
+def test_exposure_table(spark):
+    e = spark.createDataFrame([("a", "1", 3.0), ("a", "2", 1.0), ("b", "1", 0.0), ("c", "1", 9.0)], "sample string, sig string, amount double")
+    assert sorted(map(tuple, B.exposure_table(e).collect())) == [("a", "1", 3.0, 0.75, 4.0), ("a", "2", 1.0, 0.25, 4.0), ("b", "1", 0.0, None, 0.0), ("c", "1", 9.0, 1.0, 9.0)]
+    assert {r.sample for r in B.exposure_table(e, min_total=5).collect()} == {"c"}
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_places_in_groups_by_parts(spark, block):
+    rnd = random.Random(block)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), i, rnd.choice([None, 1.5, 2.5, float(rnd.randrange(9))])) for i in range(120)]
+    d = spark.createDataFrame(rows, "grp string, id long, v double")
+    want = set()
+    for g in ("a", "b", None):
+        mine = sorted((v, i) for x, i, v in rows if x == g and v is not None)
+        want |= {(g, i, v, at + 1, len(mine)) for at, (v, i) in enumerate(mine)}
+    got = [tuple(r) for r in B.group_distribution(d, "grp", "v", "id", block).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert B.group_distribution(d.limit(0), "grp", "v", "id", block).count() == 0
