@@ -296,17 +296,68 @@ def count_bins(values: DataFrame, bins: DataFrame) -> DataFrame:
     return v.join(b, (F.col("v.feature") == F.col("b.feature")) & hit).groupBy("v.sample", "b.component").agg(F.count("*").alias("n"))
 
 
+def _named(feature: str, value: Column) -> Column:
+    return F.struct(F.lit(feature).alias("feature"), value.cast("double").alias("value"))
+
+
+def _by_segment(segments: DataFrame, sizes: DataFrame, order: Sequence[str]) -> DataFrame:
+    """CN, CNCP, OsCN, SS, BoChr of altered segments and BPArm: windows over (sample, chromosome) only, which share one shuffle and one sort."""
+    w, whole = per_chromosome(order), Window.partitionBy("sample", "chromosome")
+    v, end = F.col("seg_val"), F.col("end_pos")
+    cen = dimension(sizes.select(F.col("chrom").alias("chromosome"), F.col("cen_left").alias("_cl"), F.col("cen_right").alias("_cr")))
+    arm = F.coalesce(~((F.col("start_pos") > F.col("_cl")) & (end < F.col("_cr"))), F.lit(False))
+    total = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(whole)
+    d = segments.select("sample", "chromosome", "start_pos", "end_pos", *order, "seg_val").join(cen, "chromosome", "left")
+    d = d.withColumns({
+        "_p": F.lag(v, 1).over(w), "_pp": F.lag(v, 2).over(w), "_i": F.row_number().over(w), "_k": F.count("*").over(whole),
+        "_n": total(arm), "_q1": total(arm & (end < F.col("_cr"))), "_q2": total(arm & (end > F.col("_cr"))),
+    })
+    back = F.coalesce((v == F.col("_pp")) & (v != F.col("_p")), F.lit(False))
+    d = d.withColumn("_o", F.col("_i") - F.max(F.when(~back, F.col("_i"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))  # returns in a row up to here
+    d = d.withColumn("_next", F.lead("_o").over(w))
+    k, q1, q2 = F.col("_k"), F.col("_q1"), F.col("_q2")
+    told = (k >= 3) & (F.col("_i") >= 3) & ((F.col("_next") == 0) | F.col("_next").isNull() & (F.col("_o") > 0))
+    arms = F.when(F.col("_n") < 2, F.array(F.lit(0).cast("long"))).when(q2 == 0, F.array(q1 - 1)).when(q1 == 0, F.array(q2 - 1)).otherwise(F.array(q1, q2 - 1))
+    arms = F.when((F.col("_i") == 1) & (F.col("_n") > 0), arms).otherwise(F.array().cast("array<bigint>"))
+    values = F.array(
+        _named("CN", v.cast("long")),
+        _named("CNCP", F.when(k == 1, 0).otherwise(F.abs(v - F.col("_p"))).cast("long")),
+        _named("OsCN", F.when(told, F.col("_o")).when((k < 3) & (F.col("_i") == 1), 0)),
+        _named("SS", F.log10(length())),
+        _named("BoChr", F.when(v != 2, chromosome_number(F.col("chromosome")))),
+    )
+    return d.select("sample", F.inline(F.filter(F.concat(values, F.transform(arms, lambda x: _named("BPArm", x))), lambda x: x["value"].isNotNull())))
+
+
+def _by_sample(segments: DataFrame, sizes: DataFrame, order: Sequence[str], bin_size: int = 10_000_000) -> DataFrame:
+    """BP10MB, NC50 and the 0 of BoChr: counts by bin, folded to chromosomes and to samples, whose lists are as long as a genome has bins.
+
+    The end of a chromosome's last segment is no breakpoint, so it is taken off its bin.
+    """
+    place = F.greatest(F.ceil((F.col("end_pos") - 1) / bin_size) - 1, F.lit(0))
+    altered = F.sum(F.when(F.col("seg_val") != 2, 1).otherwise(0)).alias("a")
+    last = F.max(F.struct("start_pos", *order, "bin"))
+    per = segments.withColumn("bin", place).groupBy("sample", "chromosome", "bin").agg(F.count("*").alias("c"), altered, last.alias("last"))
+    per = per.groupBy("sample", "chromosome").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("c"), F.sum("a").alias("a"), F.max("last")["bin"].alias("last"))
+    dim = dimension(sizes.select(F.col("chrom").alias("chromosome"), (F.floor((F.col("size") + bin_size - 1) / bin_size) - 1).alias("_top")))
+    per = per.join(dim, "chromosome", "left")
+    ends = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_top")), lambda b: F.coalesce(F.try_element_at("c", b), F.lit(0)) - F.when(b == F.col("last"), 1).otherwise(0))
+    per = per.select("sample", "a", F.when(F.col("_top").isNull(), F.array().cast("array<bigint>")).otherwise(ends).alias("ends"))
+    d = per.groupBy("sample").agg(F.flatten(F.collect_list("ends")).alias("ends"), F.sort_array(F.collect_list("a"), False).alias("a"), F.sum("a").alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("run"))
+    more = lambda t, x: F.when(2 * t["run"] >= F.col("all"), t).otherwise(F.struct((t["r"] + 1).alias("r"), (t["run"] + x).alias("run")))
+    half = F.aggregate("a", start, more)["r"]  # stays at 0 where nothing is altered
+    values = F.concat(F.transform("ends", lambda x: _named("BP10MB", x)), F.array(_named("NC50", half)), F.when(F.col("all") == 0, F.array(_named("BoChr", F.lit(0)))).otherwise(F.array().cast("array<struct<feature:string,value:double>>")))
+    return d.select("sample", F.inline(values))
+
+
 def features_w(segments: DataFrame, sizes: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
-    """sample, feature, value of all eight distributions; sizes (chrom, size, cen_left, cen_right) is a small dimension. SS is log10 of the length."""
-    parts = {
-        "BP10MB": feature_breakpoints(segments, sizes, order), "BPArm": feature_bparm(segments, sizes), "CN": feature_cn(segments), "CNCP": feature_changepoint(segments, order),
-        "OsCN": feature_oscillation(segments, order), "NC50": feature_nc50(segments), "BoChr": feature_bochr(segments), "SS": segments.select("sample", F.log10(length()).alias("value")),
-    }
-    out = None
-    for name, d in parts.items():
-        one = d.select("sample", F.lit(name).alias("feature"), F.col("value").cast("double").alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """sample, feature, value of all eight distributions; sizes (chrom, size, cen_left, cen_right) is a small dimension. SS is log10 of the length.
+
+    The same values as of the functions of each feature, in two reads of the
+    segments instead of one or two a feature; values that are null have no row.
+    """
+    return _by_segment(segments, sizes, order).unionByName(_by_sample(segments, sizes, order))
 
 
 def burden_by_arm(annotated: DataFrame) -> DataFrame:

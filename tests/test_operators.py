@@ -254,3 +254,26 @@ def test_places_in_groups_by_parts(spark, block):
     got = [tuple(r) for r in B.group_distribution(d, "grp", "v", "id", block).collect()]
     assert len(got) == len(want) and set(got) == want
     assert B.group_distribution(d.limit(0), "grp", "v", "id", block).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_features_as_each_alone(spark, seed):
+    rnd, rows = random.Random(seed), []
+    for s in "abcd":
+        for c in ("chr1", "chr2", "chrX", "chrUn"):
+            at = 1
+            for _ in range(rnd.choice([0, 1, 2, 3, 12])):
+                n = rnd.choice([900, 4_000_000, 30_000_000])
+                rows.append((s, c, at, at + n - 1, 2 if s == "d" else rnd.choice([1, 2, 2, 3])))
+                at += n + rnd.choice([0, 500])
+    d = spark.createDataFrame(rows, "sample string, chromosome string, start_pos long, end_pos long, seg_val long")
+    sizes = spark.createDataFrame([("chr1", 240_000_000, 100_000_000, 105_000_000), ("chr2", 61_000_000, 20_000_000, 30_000_000), ("chrX", 150_000_000, 58_000_000, 62_000_000)], "chrom string, size long, cen_left long, cen_right long")
+    alone = {
+        "BP10MB": K.feature_breakpoints(d, sizes, ()), "BPArm": K.feature_bparm(d, sizes), "CN": K.feature_cn(d), "CNCP": K.feature_changepoint(d, ()), "OsCN": K.feature_oscillation(d, ()),
+        "NC50": K.feature_nc50(d), "BoChr": K.feature_bochr(d), "SS": d.select("sample", F.log10(F.expr("end_pos - start_pos + 1")).alias("value")),
+    }
+    want = sorted((r.sample, f, round(float(r.value), 9)) for f, x in alone.items() for r in x.collect() if r.value is not None)
+    got = K.features_w(d, sizes, ())
+    assert sorted((r.sample, r.feature, round(r.value, 9)) for r in got.collect()) == want
+    assert got._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 4  # segments and sizes, twice each
+    assert K.features_w(d.limit(0), sizes, ()).count() == 0
