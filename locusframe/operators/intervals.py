@@ -108,9 +108,33 @@ def covered(regions: DataFrame, chrom: str, start: str, end: str, flags: dict[st
 
 
 def first_match(left: DataFrame, right: DataFrame, lk: tuple[str, str, str], rk: tuple[str, str, str], row_id: list[str], value: str, small: bool | None = None) -> DataFrame:
-    """row_id and the value of the overlapping right interval that comes first by start and end; rows without one are absent."""
-    hit = overlap_join(left, right, lk, rk, small=small)
-    return hit.groupBy(*row_id).agg(F.min_by(value, F.struct(rk[1], rk[2], value)).alias(value))
+    """row_id and the value of the overlapping right interval that comes first by start and end; rows without one are absent.
+
+    Of the intervals that end at a row's start or later, the first by start is
+    the answer if it begins by the row's end; if it does not, none overlaps. So
+    the line is cut at the ends of the intervals that are first somewhere, and a
+    row is looked up once, however many intervals overlap it.
+    """
+    (lc, ls, le), (rc, rs, re_) = lk, rk
+    own = F.struct(F.col(rs).alias("s"), F.col(re_).alias("e"), F.col(value).alias("v"))
+    later = Window.partitionBy("_fc").orderBy(F.desc("_high"))
+    ends = right.dropna(subset=[rc, rs, re_]).groupBy(F.col(rc).alias("_fc"), F.col(re_).alias("_high")).agg(F.min(own).alias("_first"))
+    behind = F.min("_first").over(later.rowsBetween(Window.unboundedPreceding, -1))
+    cut = ends.withColumn("_behind", behind).where(F.col("_behind").isNull() | (F.col("_first") < F.col("_behind")))
+    cut = cut.select("_fc", "_high", "_first", F.lead("_high").over(later).alias("_low"))
+    cut = cut if small is False else dimension(cut)
+    least = F.lit(None)  # where the first cut of a chromosome begins, for rows that may begin before all intervals
+    if ls == le:
+        cut = cut.withColumn("_low", F.greatest("_low", F.col("_first.s") - 1))
+    else:
+        least = F.lit(cut.agg(F.min(F.least("_first.s", "_high"))).first()[0])
+        cut = cut.withColumn("_low", F.coalesce("_low", least - 1))
+    size = _width(cut, ("_fc", "_low", "_high"))
+    cells = F.explode(F.sequence(F.floor(F.col("_low") / size), F.floor(F.greatest("_low", "_high") / size)))
+    at = F.when(F.col(ls).isNotNull(), F.greatest(F.col(ls), least))
+    on = (F.col(lc) == F.col("_fc")) & (F.floor(at / size) == F.col("_cell")) & (at > F.col("_low")) & (at <= F.col("_high")) & (F.col(le) >= F.col("_first.s"))
+    hit = left.join(cut.withColumn("_cell", cells), on)
+    return hit.groupBy(*row_id).agg(F.min("_first").alias("_first")).select(*row_id, F.col("_first.v").alias(value))
 
 
 def self_flank(segments: DataFrame, flank: int = 5_000_000) -> DataFrame:

@@ -48,6 +48,27 @@ def test_index_joins_as_the_plain_join(spark, monkeypatch, how):
     assert I.overlap_join(a.limit(0), b, ("c", "s", "e"), ("rc", "rs", "re"), how).count() == 0
 
 
+@pytest.mark.parametrize("small", [None, False])
+@pytest.mark.parametrize("end", ["s", "e"])
+def test_first_match_looks_each_row_up_once(spark, monkeypatch, end, small):
+    rnd = random.Random(2)
+    left, right = [(i // 2, *r) for i, r in enumerate(some(rnd, 300, 500))], [(*r, f"x{i}" if i % 3 else None) for i, r in enumerate(some(rnd, 200))]
+    right += [("b", 700, 700 + i % 50, f"y{i}") for i in range(400)]
+    left = [(i, c, s, s if end == "s" else e) for i, c, s, e in left if None in (c, s, e) or s <= e]
+    a = spark.createDataFrame(left, "id long, c string, s long, e long")
+    b = spark.createDataFrame(right, "rc string, rs long, re long, gene string")
+    want = {}
+    for i, c, s, e in left:
+        for rc, rs, re, gene in right:
+            if None not in (c, s, e, rc, rs, re) and rs <= re and rc == c and s <= re and e >= rs:
+                want[i] = min(want.get(i, (10**9,)), (rs, re, gene is not None, gene or ""))
+    got = I.first_match(a, b.where("rs IS NULL OR re IS NULL OR rs <= re"), ("c", "s", end), ("rc", "rs", "re"), ["id"], "gene", small)
+    assert {r.id: r.gene for r in got.collect()} == {i: w[3] or None for i, w in want.items()}
+    monkeypatch.setattr(I, "overlap_join", None)  # pairs of a row with all that overlap it are never made
+    assert I.first_match(a, b, ("c", "s", end), ("rc", "rs", "re"), ["id"], "gene", small).count() > 0
+    assert I.first_match(a, b.limit(0), ("c", "s", end), ("rc", "rs", "re"), ["id"], "gene", small).count() == 0
+
+
 def test_a_probe_looks_at_little():
     n = 200_000
     start = np.arange(n) * 10
