@@ -6,13 +6,19 @@ either svclass or strand1 and strand2.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.functions.lineage import settled
+
+#: Breakpoints whose segmentation takes its steps together.
+BATCH = 2_000_000
 # Size classes of rearrangements.
 SIZES = ("<1Kb", "1-10Kb", "10-100Kb", "100Kb-1Mb", "1Mb-10Mb", ">10Mb")
 RS_38 = tuple(sorted(f"{c}:{t}:{s}" for c, t, s in product(("clustered", "non-clustered"), ("del", "inv", "tds"), SIZES)) + ["clustered:trans", "non-clustered:trans"])
@@ -47,7 +53,8 @@ def label_size(d: DataFrame) -> DataFrame:
 
 def breakpoints(d: DataFrame) -> DataFrame:
     """sample, chrom, pos of both ends of each rearrangement."""
-    return d.select("sample", F.col("chr1").alias("chrom"), F.col("start1").alias("pos")).unionByName(d.select("sample", F.col("chr2").alias("chrom"), F.col("start2").alias("pos")))
+    two = [F.struct(F.col(f"chr{k}").alias("chrom"), F.col(f"start{k}").alias("pos")) for k in (1, 2)]
+    return d.select("sample", F.inline(F.array(*two)))
 
 
 def distances(d: DataFrame) -> DataFrame:
@@ -62,67 +69,144 @@ def segment_constant(y: np.ndarray, gamma: float = 25.0, kmin: int = 10) -> list
     gamma is scaled by the variance of successive differences, as for
     standardised data.
     """
-    n = len(y)
-    if n < 2 * kmin:
-        return [(0, n, float(y.mean()))] if n else []
-    sd = np.median(np.abs(np.diff(y))) * 1.4826 / np.sqrt(2) or 1.0
-    penalty = gamma * sd**2
-    s1, s2 = np.r_[0.0, np.cumsum(y)], np.r_[0.0, np.cumsum(y**2)]
-    best, back = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-    best[0] = -penalty
-    # A start that is worse at j than a cut at j goes once pieces behind j are long enough, so few starts are looked at.
-    starts, until = np.zeros(1, int), np.full(1, n + 1)
-    for j in range(kmin, n + 1):
+    return segment_all([y], gamma, kmin)[0]
+
+
+def segment_all(series: Sequence[np.ndarray], gamma: float = 25.0, kmin: int = 10) -> list[list[tuple[int, int, float]]]:
+    """segment_constant of many series, which take their steps together.
+
+    A start stays for the levels of the open piece at which no other start is
+    better. Two starts keep their difference once both are long enough, so a new
+    start takes its levels from the others for good, and one without levels
+    goes. The levels of a series are a few stretches of the line, some ten in
+    noise, so that a step costs the same however long the series is.
+    """
+    out = [[(0, len(y), float(y.mean()))] if len(y) else [] for y in series]
+    long = sorted((k for k, y in enumerate(series) if len(y) >= 2 * kmin), key=lambda k: -len(series[k]))
+    if not long:
+        return out
+    n = np.array([len(series[k]) for k in long])
+    at = np.r_[0, np.cumsum(n + 1)]  # where the sums of a series begin
+    s1, s2, penalty = np.zeros(at[-1]), np.zeros(at[-1]), np.zeros(len(n))
+    for g, k in enumerate(long):
+        y = np.asarray(series[k], float)
+        penalty[g] = gamma * (np.median(np.abs(np.diff(y))) * 1.4826 / np.sqrt(2) or 1.0) ** 2
+        s1[at[g] + 1 : at[g + 1]], s2[at[g] + 1 : at[g + 1]] = np.cumsum(y), np.cumsum(y**2)
+    best, back = np.full(at[-1], np.inf), np.zeros(at[-1], int)
+    best[at[:-1]] = -penalty
+    # stretches of levels: series, start, lower and upper bound; sorted by series and level
+    own, start, low, high = np.arange(len(n)), np.zeros(len(n), int), np.full(len(n), -np.inf), np.full(len(n), np.inf)
+    first, live = own.copy(), len(n)  # first stretch of each series that is not yet at its end
+    for j in range(kmin, n[0] + 1):
+        if n[live - 1] < j:
+            live = int(np.searchsorted(-n, -j, "right"))
+            keep = int(np.searchsorted(own, live))
+            own, start, low, high, first = own[:keep], start[:keep], low[:keep], high[:keep], first[:live]
+        base = at[own]
         if j >= 2 * kmin:
-            starts, until = np.r_[starts, j - kmin], np.r_[until, n + 1]
-        live = until > j
-        starts, until = starts[live], until[live]
-        own = best[starts] + s2[j] - s2[starts] - (s1[j] - s1[starts]) ** 2 / (j - starts)
-        k = int(own.argmin())
-        best[j], back[j] = own[k] + penalty, starts[k]
-        until = np.where(own > best[j] + 1e-9 * abs(best[j]), np.minimum(until, j + kmin), until)
-    out, j = [], n
-    while j:
-        i = back[j]
-        out.append((i, j, float((s1[j] - s1[i]) / (j - i))))
-        j = i
-    return out[::-1]
+            new = j - kmin
+            a, b = base + start, base + new
+            m = new - start
+            level = (s1[b] - s1[a]) / m
+            room = best[b] - best[a] - (s2[b] - s2[a] - (s1[b] - s1[a]) * level) + 1e-12 * np.abs(best[b])
+            half = np.sqrt(np.maximum(room, 0.0) / m)
+            left, right = np.maximum(low, level - half), np.minimum(high, level + half)
+            gone = (left >= right) | (room <= 0)
+            left, right = np.where(gone, high, left), np.where(gone, high, right)
+            # what lies below left and above right goes to the new start
+            lows, highs = np.stack([low, left, right], 1).ravel(), np.stack([left, right, high], 1).ravel()
+            some = np.flatnonzero(lows < highs)
+            mine, taken = some // 3, some % 3 != 1
+            own, start = own[mine], np.where(taken, new, start[mine])
+            begins = np.ones(len(some), bool)
+            begins[1:] = ~(taken[1:] & taken[:-1]) | (own[1:] != own[:-1])
+            edge = np.flatnonzero(begins)
+            low, high = lows[some[edge]], highs[some[np.r_[edge[1:], len(some)] - 1]]
+            own, start = own[edge], start[edge]
+            first = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
+            base = at[own]
+        a, b = base + start, base + j
+        cost = best[a] + s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (j - start)
+        least = np.minimum.reduceat(cost, first)
+        to = at[:live] + j
+        best[to] = least + penalty[:live]
+        back[to] = np.minimum.reduceat(np.where(cost == least[own], start, j), first)
+    for g, k in enumerate(long):
+        pieces, j = [], int(n[g])
+        while j:
+            i = int(back[at[g] + j])
+            pieces.append((i, j, float((s1[at[g] + j] - s1[at[g] + i]) / (j - i))))
+            j = i
+        out[k] = pieces[::-1]
+    return out
+
+
+def mean_distances(d: DataFrame) -> DataFrame:
+    """sample and m, the mean of its distances: the way from the first breakpoint of a chromosome to the last, over the number of steps."""
+    per = breakpoints(d).groupBy("sample", "chrom").agg((F.max("pos") - F.min("pos")).alias("way"), F.greatest(F.count("pos") - 1, F.lit(0)).alias("steps"))
+    return per.groupBy("sample").agg(F.try_divide(F.sum("way"), F.sum("steps")).alias("m"))
 
 
 def low_distance_regions(d: DataFrame, factor: float = 0.1) -> DataFrame:
-    """Regions (sample, chrom, start_pos, end_pos) in which breakpoints lie closer than factor times the sample's mean distance."""
+    """Regions (sample, chrom, start_pos, end_pos) in which breakpoints lie closer than factor times the sample's mean distance.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        x = pdf.dropna(subset=["dist"]).sort_values("pos")
-        for i, j, mean in segment_constant(x["dist"].to_numpy(float)):
-            if mean < factor * x["whole"].iloc[0]:
-                rows.append((pdf["sample"].iloc[0], pdf["chrom"].iloc[0], int(x["pos"].iloc[i]), int(x["pos"].iloc[j - 1])))
-        return pd.DataFrame(rows, columns=["sample", "chrom", "start_pos", "end_pos"])
+    Breakpoints come sorted; the series of a task are segmented in batches of
+    about BATCH values, so a task holds one batch, or one series if that is longer.
+    """
 
-    dist = distances(d)
-    whole = dist.groupBy("sample").agg(F.avg("dist").alias("whole"))
-    return dist.join(whole, "sample").groupBy("sample", "chrom").applyInPandas(run, "sample string, chrom string, start_pos long, end_pos long")
+    def pieces(held: list[tuple[str, str, np.ndarray]]) -> pa.RecordBatch:
+        found = segment_all([np.diff(pos) for _, _, pos in held])
+        rows = [(s, c, int(pos[i + 1]), int(pos[j]), mean) for (s, c, pos), got in zip(held, found, strict=True) for i, j, mean in got]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()))], names=["sample", "chrom", "start_pos", "end_pos", "mean"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, key, size = [], [], None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = pa.StructArray.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.string())], names=["s", "c"])
+            codes = [pc.fill_null(pc.dictionary_encode(names.field(k)).indices, -1).to_numpy(zero_copy_only=False) for k in (0, 1)]
+            cuts = np.flatnonzero((np.diff(codes[0]) != 0) | (np.diff(codes[1]) != 0)) + 1
+            pos = batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, batch.num_rows], strict=True):
+                this = (names[int(a)]["s"].as_py(), names[int(a)]["c"].as_py())
+                if this != key and parts:
+                    held.append((*key, np.concatenate(parts)))
+                    size, parts = size + len(held[-1][2]), []
+                    if size >= BATCH:
+                        yield pieces(held)
+                        held, size = [], 0
+                key = this
+                parts.append(pos[a:b].copy())
+        if parts:
+            held.append((*key, np.concatenate(parts)))
+        if held:
+            yield pieces(held)
+
+    line = breakpoints(d).where("pos IS NOT NULL").select(F.col("sample").cast("string"), F.col("chrom").cast("string"), F.col("pos").cast("long"))
+    line = line.repartition("sample", "chrom").sortWithinPartitions("sample", "chrom", "pos")
+    found = line.mapInArrow(run, "sample string, chrom string, start_pos long, end_pos long, mean double")
+    return found.join(mean_distances(d), "sample").where(F.col("mean") < factor * F.col("m")).drop("mean", "m")
+
+
+def _within(d: DataFrame, regions: DataFrame, chrom: str, pos: str) -> DataFrame:
+    """d with _hit: whether it was set or the position lies in a region. Rows and region starts are sorted along the chromosome; a row lies in a region if the furthest end of those begun before reaches it."""
+    line = d.select("*", F.col(pos).cast("long").alias("_p"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_to"))
+    begun = regions.select("sample", F.col("chrom").alias(chrom), F.col("start_pos").cast("long").alias("_p"), F.lit(0).alias("_kind"), F.col("end_pos").cast("long").alias("_to"))
+    w = Window.partitionBy("sample", chrom).orderBy("_p", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    far = line.unionByName(begun, allowMissingColumns=True).withColumn("_far", F.max("_to").over(w)).where("_kind = 1")
+    return far.withColumn("_hit", F.col("_hit") | F.coalesce(F.col("_far") >= F.col("_p"), F.lit(False))).drop("_p", "_kind", "_to", "_far")
 
 
 def label_clustered(d: DataFrame, row_id: list[str], factor: float = 0.1, regions: DataFrame | None = None) -> DataFrame:
     """clustered or non-clustered: whether an end lies in a region of low distances.
 
-    Ends and region starts are sorted along each chromosome of a sample; an end
-    lies in a region if the furthest end of those begun before it reaches it.
+    The two ends are looked up one after the other, so rows keep their place and
+    are never put together again; row_id is not needed any more.
     """
-    r = low_distance_regions(d, factor) if regions is None else regions
-    row = F.struct(*d.columns)
-    none = F.lit(None).cast(d.select(row.alias("row")).schema["row"].dataType)
-    ends = d.select("sample", F.explode(F.array(F.struct(F.col("chr1").alias("c"), F.col("start1").cast("long").alias("p")), F.struct(F.col("chr2").alias("c"), F.col("start2").cast("long").alias("p")))).alias("x"), row.alias("row"))
-    line = ends.select("sample", "x.c", "x.p", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("to"), "row").unionByName(
-        r.select("sample", F.col("chrom").alias("c"), F.col("start_pos").cast("long").alias("p"), F.lit(0).alias("kind"), F.col("end_pos").cast("long").alias("to"), none.alias("row"))
-    )
-    w = Window.partitionBy("sample", "c").orderBy("p", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    hit = line.withColumn("far", F.max("to").over(w)).where("kind = 1").select("row", F.coalesce(F.col("far") >= F.col("p"), F.lit(False)).alias("hit"))
-    per = hit.groupBy(*[F.col(f"row.`{c}`").alias(c) for c in row_id], "row").agg(F.max("hit").alias("hit"), (F.count("*") / 2).cast("int").alias("times"))
-    one = per.select(F.explode(F.array_repeat("row", F.col("times"))).alias("row"), "hit")
-    return one.select("row.*", F.when(F.col("hit"), "clustered").otherwise("non-clustered").alias("clustered"))
+    r = settled(low_distance_regions(d, factor)) if regions is None else regions
+    hit = _within(_within(d.withColumn("_hit", F.lit(False)), r, "chr1", "start1"), r, "chr2", "start2")
+    return hit.withColumn("clustered", F.when(F.col("_hit"), "clustered").otherwise("non-clustered")).drop("_hit")
 
 
 def label_rs(d: DataFrame) -> DataFrame:

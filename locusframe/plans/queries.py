@@ -553,9 +553,7 @@ def _(d):
 def _rs(d: DataFrame, label: str) -> DataFrame:
     # regions of low distance by the plain rule, so that SQL can follow: single distances under a tenth of the sample's mean
     x = R.label_size(R.clean(d))
-    dist = R.distances(x)
-    mean = dist.groupBy("sample").agg(F.avg("dist").alias("m"))
-    low = dist.join(mean, "sample").where("10 * dist < m").select("sample", "chrom", (F.col("pos") - F.col("dist")).alias("start_pos"), F.col("pos").alias("end_pos"))
+    low = R.distances(x).join(I.dimension(R.mean_distances(x)), "sample").where("10 * dist < m").select("sample", "chrom", (F.col("pos") - F.col("dist")).alias("start_pos"), F.col("pos").alias("end_pos"))
     return K.count_components(R.label_rs(R.label_clustered(x, ["t1", "t2", "start1", "sample"], regions=low).drop("t1")), label)
 
 

@@ -1,6 +1,7 @@
 """Operators whose plans were made for size: same results as plain versions, no row lost."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +81,14 @@ def test_clustered_by_sweep(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_rows_are_not_put_together_again(spark):
+    d = spark.createDataFrame([("s", "1", 5, "2", 9, "lone")], "sample string, chr1 string, start1 long, chr2 string, start2 long, note string")
+    regions = spark.createDataFrame([("s", "2", 8, 9)], "sample string, chrom string, start_pos long, end_pos long")
+    plan = R.label_clustered(d, ["note"], regions=regions).select("sample", "clustered")._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line for line in plan.splitlines() if "LogicalRDD" not in line]
+    assert not any("Aggregate" in line or "note" in line for line in steps)  # what is not asked for is not shuffled
+
+
 def test_hyper_split_limits(spark):
     c = spark.createDataFrame([(f"s{i}", "x", 10.0 + i) for i in range(20)] + [("big", "x", 5000.0)], "sample string, component string, n double")
     out = C.hyper_split(c)
@@ -118,6 +127,30 @@ def test_segmentation_is_the_best_there_is(seed):
     assert got[0][0] == 0 and got[-1][1] == len(y) and worth(got) == pytest.approx(best[len(y)][0])
 
 
+def test_segmentation_of_long_series_in_few_steps():
+    rng = np.random.default_rng(5)
+    noise = [rng.exponential(1000, n) for n in (12_000, 19, 0, 7_000, 20)]
+    began = time.perf_counter()
+    got = R.segment_all(noise)  # squares of the lengths took half a minute
+    assert time.perf_counter() - began < 15
+    assert [g[-1][1] if g else 0 for g in got] == [12_000, 19, 0, 7_000, 20]
+    assert got == [R.segment_constant(y) for y in noise]
+
+
+def test_low_regions_over_batches(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(s, c, int(p)) for s in "stuv" for c in "12" for p in np.cumsum(np.r_[rng.integers(900, 1100, 40), rng.integers(1, 9, 30), rng.integers(900, 1100, 25)])] + [("w", "1", 5), ("s", "3", None)]
+    d = spark.createDataFrame([(*r, "9", None) for r in rows], "sample string, chr1 string, start1 long, chr2 string, start2 long")
+    got = {}
+    for batch in (1, 10**6):
+        monkeypatch.setattr(R, "BATCH", batch)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7 if batch == 1 else 10_000)
+        got[batch] = sorted(map(tuple, R.low_distance_regions(d).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pos = {(s, c): [p for a, b, p in rows if (a, b) == (s, c)] for s in "stuv" for c in "12"}
+    assert got[1] == got[10**6] == sorted((s, c, p[40], p[69]) for (s, c), p in pos.items())
+
+
 def test_enrichment_by_ranks_and_reference(spark):
     rnd = random.Random(8)
     rows = [(rnd.choice("abc"), rnd.randrange(20) * 1.0) for _ in range(90)]
