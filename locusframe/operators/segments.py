@@ -184,11 +184,25 @@ def aneuploidy_score(annotated: DataFrame, ploidies: DataFrame | None = None, dr
     return arms.groupBy("sample").agg(F.sum(F.abs(state)).alias("ascore"))
 
 
+def _merged(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, start_pos and end_pos of the disjoint stretches that segments of the same keys cover; one shuffle and one sort."""
+    w = Window.partitionBy(*keys).orderBy("start_pos")
+    far = F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = segments.where("start_pos <= end_pos").select(*keys, "start_pos", "end_pos", F.when(F.col("start_pos") <= far, 0).otherwise(1).alias("_begins"))
+    d = d.withColumn("_stretch", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.groupBy(*keys, "_stretch").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("_stretch")
+
+
 def freq_by_band(segments: DataFrame, bands: DataFrame, low: int = 2, high: int = 2) -> DataFrame:
-    """Per band the shares of samples with a gain (above high) and a loss (below low); bands that nothing covers have 0."""
+    """Per band the shares of samples with a gain (above high) and a loss (below low); bands that nothing covers have 0.
+
+    A sample's gains, and its losses, are merged to disjoint stretches first, so
+    it meets a band about once, however many of its segments lie there.
+    """
     n = segments.agg(F.countDistinct("sample").alias("_n"))
     s = segments.select("sample", "chromosome", "start_pos", "end_pos", "seg_val").where((F.col("seg_val") > high) | (F.col("seg_val") < low))
     s = s.select("sample", "chromosome", "start_pos", "end_pos", (F.col("seg_val") > high).alias("gain"))
+    s = _merged(s, ["sample", "chromosome", "gain"])
     b = dimension(bands.select("chrom", F.col("start_pos").alias("bs"), F.col("end_pos").alias("be"), "band"))
     hit = overlap_join(s, b, ("chromosome", "start_pos", "end_pos"), ("chrom", "bs", "be"))
     each = hit.groupBy("chrom", "bs", "be", "band", "sample").agg(F.max(F.col("gain").cast("int")).alias("a"), F.max((~F.col("gain")).cast("int")).alias("d"))

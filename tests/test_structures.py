@@ -69,6 +69,22 @@ def test_first_match_looks_each_row_up_once(spark, monkeypatch, end, small):
     assert I.first_match(a, b.limit(0), ("c", "s", end), ("rc", "rs", "re"), ["id"], "gene", small).count() == 0
 
 
+def test_bands_meet_merged_stretches(spark, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("st"), rnd.choice("ab"), s := rnd.randrange(1000), s + rnd.choice([-1, 0, 1, 9, 60]), rnd.randrange(5)) for _ in range(400)] + [("u", "a", None, 9, 1)]
+    bands = [(c, i * 10, i * 10 + rnd.choice([3, 9, 25]), f"b{i}") for c in "ab" for i in range(110)]
+    d = spark.createDataFrame(rows, "sample string, chromosome string, start_pos long, end_pos long, seg_val int")
+    seen, join = [], S.overlap_join
+    monkeypatch.setattr(S, "overlap_join", lambda left, *a: seen.append(left) or join(left, *a))
+    got = {(r.chrom, r.band): (round(r.amp * 3), round(r["del"] * 3)) for r in S.freq_by_band(d, spark.createDataFrame(bands, "chrom string, start_pos long, end_pos long, band string")).collect()}
+    ok = [r for r in rows if r[2] is not None and r[2] <= r[3]]
+    meets = lambda c, a, z, f: len({r[0] for r in ok if r[1] == c and r[2] <= z and r[3] >= a and f(r[4])})
+    assert got == {(c, n): (meets(c, a, z, lambda v: v > 2), meets(c, a, z, lambda v: v < 2)) for c, a, z, n in bands}
+    assert seen[0].count() < 150  # 400 segments before
+    a, b = seen[0].alias("a"), seen[0].alias("b")
+    assert a.join(b, ["sample", "chromosome", "gain"]).where("a.start_pos < b.start_pos AND a.end_pos >= b.start_pos").count() == 0
+
+
 def test_a_probe_looks_at_little():
     n = 200_000
     start = np.arange(n) * 10
