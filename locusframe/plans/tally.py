@@ -92,7 +92,9 @@ def tally_variants(variants: DataFrame, mode: str = "ALL", add_trans_bias: bool
         for label, name in names.items():
             out[name] = K.count_components(labelled, label)
         if add_trans_bias:
-            told = V.strand_label(labelled, transcripts, end)
+            # only what the catalogues need is looked up, so that equal rows are one and the rest is not shuffled
+            need = {"sample", "chrom", "pos", end, "should_reverse", "pure", *names}
+            told = V.strand_label(labelled.select(*[c for c in labelled.columns if c in need]), transcripts, end)
             for label, name in names.items():
                 out[f"{name}_strand"] = K.count_components(V.with_strand(told, label), f"{label}_strand")
 

@@ -73,6 +73,16 @@ def test_tally_variants(spark):
         Y.tally(v.drop("context"), "variants", mode="SBS")
 
 
+def test_strand_looks_up_needed_columns_only(spark, monkeypatch):
+    v = spark.createDataFrame([("s", "1", 5 + i % 2, "CT", "C", "GGA", "TTTA", i) for i in range(6)], "sample string, chrom string, pos long, ref string, alt string, upstream string, downstream string, note long")
+    tx = spark.createDataFrame([("chr1", 1, 5, "+"), ("chr1", 6, 9, "-")], "chrom string, start_pos long, end_pos long, strand string")
+    seen, label = [], Y.V.strand_label
+    monkeypatch.setattr(Y.V, "strand_label", lambda d, *a: seen.append(d) or label(d, *a))
+    out = Y.tally(v, "variants", mode="ID", add_trans_bias=True, transcripts=tx)["id83_strand"]
+    assert sum(r.n for r in out.collect()) == 6
+    assert not {"note", "upstream", "downstream"} & set(seen[0].columns) and seen[0].distinct().count() == 2
+
+
 @pytest.fixture()
 def mixed(spark):
     rng = np.random.default_rng(3)
