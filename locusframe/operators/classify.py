@@ -317,16 +317,19 @@ def _by_segment(segments: DataFrame, sizes: DataFrame, order: Sequence[str]) ->
     d = d.withColumn("_next", F.lead("_o").over(w))
     k, q1, q2 = F.col("_k"), F.col("_q1"), F.col("_q2")
     told = (k >= 3) & (F.col("_i") >= 3) & ((F.col("_next") == 0) | F.col("_next").isNull() & (F.col("_o") > 0))
-    arms = F.when(F.col("_n") < 2, F.array(F.lit(0).cast("long"))).when(q2 == 0, F.array(q1 - 1)).when(q1 == 0, F.array(q2 - 1)).otherwise(F.array(q1, q2 - 1))
-    arms = F.when((F.col("_i") == 1) & (F.col("_n") > 0), arms).otherwise(F.array().cast("array<bigint>"))
+    one = (F.col("_i") == 1) & (F.col("_n") > 0)
+    arm1 = F.when(one, F.when(F.col("_n") < 2, 0).when(q2 == 0, q1 - 1).when(q1 == 0, q2 - 1).otherwise(q1))
+    arm2 = F.when(one & (F.col("_n") >= 2) & (q2 != 0) & (q1 != 0), q2 - 1)
     values = F.array(
         _named("CN", v.cast("long")),
         _named("CNCP", F.when(k == 1, 0).otherwise(F.abs(v - F.col("_p"))).cast("long")),
         _named("OsCN", F.when(told, F.col("_o")).when((k < 3) & (F.col("_i") == 1), 0)),
         _named("SS", F.log10(length())),
         _named("BoChr", F.when(v != 2, chromosome_number(F.col("chromosome")))),
+        _named("BPArm", arm1),
+        _named("BPArm", arm2),
     )
-    return d.select("sample", F.inline(F.filter(F.concat(values, F.transform(arms, lambda x: _named("BPArm", x))), lambda x: x["value"].isNotNull())))
+    return d.select("sample", F.inline(values)).where("value IS NOT NULL")  # no lambdas, so that it is compiled
 
 
 def _by_sample(segments: DataFrame, sizes: DataFrame, order: Sequence[str], bin_size: int = 10_000_000) -> DataFrame:

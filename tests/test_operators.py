@@ -277,3 +277,10 @@ def test_all_features_as_each_alone(spark, seed):
     assert sorted((r.sample, r.feature, round(r.value, 9)) for r in got.collect()) == want
     assert got._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") <= 4  # segments and sizes, twice each
     assert K.features_w(d.limit(0), sizes, ()).count() == 0
+
+
+def test_features_by_segment_are_compiled(spark):
+    d = spark.createDataFrame([("s", "chr1", 1, 9, 3)], "sample string, chromosome string, start_pos long, end_pos long, seg_val int")
+    sizes = spark.createDataFrame([("chr1", 100, 40, 50)], "chrom string, size long, cen_left long, cen_right long")
+    plan = K._by_segment(d, sizes, ())._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
