@@ -6,7 +6,7 @@ either svclass or strand1 and strand2.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -19,10 +19,14 @@ from locusframe.functions.lineage import settled
 
 #: Breakpoints whose segmentation takes its steps together.
 BATCH = 2_000_000
+#: Rearrangements of which a task meets both ends at a time; whole samples.
+ROWS = 1_500_000
 # Size classes of rearrangements.
 SIZES = ("<1Kb", "1-10Kb", "10-100Kb", "100Kb-1Mb", "1Mb-10Mb", ">10Mb")
 RS_38 = tuple(sorted(f"{c}:{t}:{s}" for c, t, s in product(("clustered", "non-clustered"), ("del", "inv", "tds"), SIZES)) + ["clustered:trans", "non-clustered:trans"])
 RS_32 = tuple(c for c in RS_38 if "<1Kb" not in c)
+# Components without clustering; a catalogue counts them by their number, from 1.
+KINDS = tuple(f"{t}:{s}" for t, s in product(("del", "inv", "tds"), SIZES)) + ("trans",)
 
 
 def sv_class() -> Column:
@@ -80,35 +84,43 @@ def segment_all(series: Sequence[np.ndarray], gamma: float = 25.0, kmin: int = 1
     start takes its levels from the others for good, and one without levels
     goes. The levels of a series are a few stretches of the line, some ten in
     noise, so that a step costs the same however long the series is.
+
+    Costs are held against the newest one, sums begin at their start: a distance
+    of any size leaves the later steps as sharp as they would be without it.
     """
-    out = [[(0, len(y), float(y.mean()))] if len(y) else [] for y in series]
+    out = [[(0, len(y), float(np.mean(y)))] if len(y) else [] for y in series]
     long = sorted((k for k, y in enumerate(series) if len(y) >= 2 * kmin), key=lambda k: -len(series[k]))
     if not long:
         return out
     n = np.array([len(series[k]) for k in long])
-    at = np.r_[0, np.cumsum(n + 1)]  # where the sums of a series begin
-    s1, s2, penalty = np.zeros(at[-1]), np.zeros(at[-1]), np.zeros(len(n))
+    penalty = np.array([gamma * (np.median(np.abs(np.diff(np.asarray(series[k], float)))) * 1.4826 / np.sqrt(2) or 1.0) ** 2 for k in long])
+    # values by place: those of all series that are so long, side by side
+    width = np.searchsorted(-n, -np.arange(n[0]), "left")
+    at = np.r_[0, np.cumsum(width)]
+    value, back = np.empty(at[-1]), np.zeros(at[-1], np.int32)  # back: start of the piece that ends with the value
     for g, k in enumerate(long):
-        y = np.asarray(series[k], float)
-        penalty[g] = gamma * (np.median(np.abs(np.diff(y))) * 1.4826 / np.sqrt(2) or 1.0) ** 2
-        s1[at[g] + 1 : at[g + 1]], s2[at[g] + 1 : at[g + 1]] = np.cumsum(y), np.cumsum(y**2)
-    best, back = np.full(at[-1], np.inf), np.zeros(at[-1], int)
-    best[at[:-1]] = -penalty
-    # stretches of levels: series, start, lower and upper bound; sorted by series and level
+        value[at[: n[g]] + g] = series[k]
+    last, costs = np.empty((kmin, len(n))), np.full((kmin, len(n)), np.inf)  # values and costs of the last kmin places, by place modulo kmin
+    for i in range(kmin - 1):
+        last[i] = value[at[i] : at[i + 1]]
+    costs[0] = -penalty
+    # stretches of levels: series, start, lower and upper bound, cost and sum from the start to kmin places before; sorted by series and level
     own, start, low, high = np.arange(len(n)), np.zeros(len(n), int), np.full(len(n), -np.inf), np.full(len(n), np.inf)
+    cost, total = -penalty, np.zeros(len(n))
     first, live = own.copy(), len(n)  # first stretch of each series that is not yet at its end
     for j in range(kmin, n[0] + 1):
-        if n[live - 1] < j:
-            live = int(np.searchsorted(-n, -j, "right"))
+        new = j - kmin
+        if width[j - 1] < live:
+            live = int(width[j - 1])
             keep = int(np.searchsorted(own, live))
-            own, start, low, high, first = own[:keep], start[:keep], low[:keep], high[:keep], first[:live]
-        base = at[own]
-        if j >= 2 * kmin:
-            new = j - kmin
-            a, b = base + start, base + new
+            own, start, low, high, cost, total, first = own[:keep], start[:keep], low[:keep], high[:keep], cost[:keep], total[:keep], first[:live]
+            last, costs, penalty = last[:, :live].copy(), costs[:, :live].copy(), penalty[:live]
+        last[(j - 1) % kmin] = value[at[j - 1] : at[j]]
+        if new >= kmin:
+            begun = costs[new % kmin][own]
             m = new - start
-            level = (s1[b] - s1[a]) / m
-            room = best[b] - best[a] - (s2[b] - s2[a] - (s1[b] - s1[a]) * level) + 1e-12 * np.abs(best[b])
+            level = total / m
+            room = begun - cost + total * level + 1e-12 * (np.abs(begun) + np.abs(cost))
             half = np.sqrt(np.maximum(room, 0.0) / m)
             left, right = np.maximum(low, level - half), np.minimum(high, level + half)
             gone = (left >= right) | (room <= 0)
@@ -117,27 +129,30 @@ def segment_all(series: Sequence[np.ndarray], gamma: float = 25.0, kmin: int = 1
             lows, highs = np.stack([low, left, right], 1).ravel(), np.stack([left, right, high], 1).ravel()
             some = np.flatnonzero(lows < highs)
             mine, taken = some // 3, some % 3 != 1
-            own, start = own[mine], np.where(taken, new, start[mine])
+            whose = own[mine]
             begins = np.ones(len(some), bool)
-            begins[1:] = ~(taken[1:] & taken[:-1]) | (own[1:] != own[:-1])
+            begins[1:] = ~(taken[1:] & taken[:-1]) | (whose[1:] != whose[:-1])
             edge = np.flatnonzero(begins)
             low, high = lows[some[edge]], highs[some[np.r_[edge[1:], len(some)] - 1]]
-            own, start = own[edge], start[edge]
+            mine, taken, own = mine[edge], taken[edge], whose[edge]
+            start, cost, total = np.where(taken, new, start[mine]), np.where(taken, begun[mine], cost[mine]), np.where(taken, 0.0, total[mine])
             first = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1]
-            base = at[own]
-        a, b = base + start, base + j
-        cost = best[a] + s2[b] - s2[a] - (s1[b] - s1[a]) ** 2 / (j - start)
-        least = np.minimum.reduceat(cost, first)
-        to = at[:live] + j
-        best[to] = least + penalty[:live]
-        back[to] = np.minimum.reduceat(np.where(cost == least[own], start, j), first)
+        reached = (cost + (last * last).sum(0)[own]) - (total + last.sum(0)[own]) ** 2 / (j - start)
+        least = np.minimum.reduceat(reached, first)
+        back[at[j - 1] : at[j]] = np.minimum.reduceat(np.where(reached == least[own], start, j), first)
+        here = least + penalty
+        costs[j % kmin] = here
+        costs -= here
+        y = last[new % kmin]
+        cost, total = cost + (y * y - here)[own], total + y[own]
     for g, k in enumerate(long):
-        pieces, j = [], int(n[g])
+        ends, j = [], int(n[g])
         while j:
-            i = int(back[at[g] + j])
-            pieces.append((i, j, float((s1[at[g] + j] - s1[at[g] + i]) / (j - i))))
-            j = i
-        out[k] = pieces[::-1]
+            ends.append(j)
+            j = int(back[at[j - 1] + g])
+        begins = [0, *ends[:0:-1]]
+        means = np.add.reduceat(np.asarray(series[k], float), begins) / np.diff([*begins, int(n[g])])
+        out[k] = list(zip(begins, ends[::-1], means.tolist(), strict=True))
     return out
 
 
@@ -209,9 +224,99 @@ def label_clustered(d: DataFrame, row_id: list[str], factor: float = 0.1, region
     return hit.withColumn("clustered", F.when(F.col("_hit"), "clustered").otherwise("non-clustered")).drop("_hit")
 
 
+def _kind() -> Column:
+    """The component without clustering."""
+    kind = F.when(F.col("svclass") == "deletion", "del").when(F.col("svclass") == "inversion", "inv").when(F.col("svclass") == "tandem-duplication", "tds").when(F.col("svclass") == "translocation", "trans")
+    return F.when(kind == "trans", kind).otherwise(F.concat(kind, F.lit(":"), F.col("sv_size")))
+
+
 def label_rs(d: DataFrame) -> DataFrame:
     """rs38 and rs32 of rearrangements with svclass, sv_size and clustered."""
-    kind = F.when(F.col("svclass") == "deletion", "del").when(F.col("svclass") == "inversion", "inv").when(F.col("svclass") == "tandem-duplication", "tds").when(F.col("svclass") == "translocation", "trans")
-    name = F.when(kind == "trans", F.concat_ws(":", "clustered", kind)).otherwise(F.when(F.col("sv_size").isNotNull(), F.concat_ws(":", F.col("clustered"), kind, F.col("sv_size"))))
-    name = F.when(kind.isNotNull(), name)
+    name = F.concat(F.col("clustered"), F.lit(":"), _kind())
     return d.withColumns({"rs38": name, "rs32": F.when(~name.contains("<1Kb"), name)})
+
+
+def by_segments(pos: np.ndarray, edges: np.ndarray, m: np.ndarray, factor: float = 0.1) -> np.ndarray:
+    """Whether breakpoints lie in a region of low distances: pieces whose mean is under factor times m, from their second place on. Series begin at edges, the last of which is the end; a place is sorted and may repeat."""
+    low = np.zeros(len(pos), bool)
+    found = segment_all([np.diff(pos[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    for a, pieces in zip(edges[:-1], found, strict=True):
+        for i, j, mean in pieces:
+            low[a + i + 1 : a + j + 1] = mean < factor * m[a]
+    new = np.r_[True, np.diff(pos) != 0]
+    new[edges[:-1]] = True
+    runs = np.flatnonzero(new)  # of equal places, all lie in a region or none
+    return np.repeat(np.logical_or.reduceat(low, runs), np.diff(np.r_[runs, len(pos)]))
+
+
+def by_steps(pos: np.ndarray, edges: np.ndarray, m: np.ndarray, times: int = 10) -> np.ndarray:
+    """The plain rule: whether the way to the breakpoint before or behind goes more than `times` into m."""
+    near = np.r_[False, times * np.diff(pos) < m[1:]]
+    near[edges[:-1]] = False
+    return near | np.r_[near[1:], False]
+
+
+def _tallied(t: pa.Table, rule: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    """sample, kind, hit and n of the rearrangements of whole samples."""
+    codes = pc.dictionary_encode(t["sample"].combine_chunks())
+    sample = pc.fill_null(codes.indices, -1).to_numpy(zero_copy_only=False)
+    ends = pa.chunked_array([*t["chr1"].chunks, *t["chr2"].chunks]).combine_chunks()
+    chrom = pc.fill_null(pc.dictionary_encode(ends).indices, -1).to_numpy(zero_copy_only=False)
+    pos = np.concatenate([pc.fill_null(t[c], 0).to_numpy() for c in ("start1", "start2")])
+    series = np.r_[sample, sample].astype(np.int64) * (int(chrom.max()) + 2) + chrom + 1
+    at = np.flatnonzero(np.concatenate([pc.is_valid(t[c]).to_numpy() for c in ("start1", "start2")]))
+    hit = np.zeros(len(pos), bool)
+    if len(at):
+        at = at[np.lexsort((pos[at], series[at]))]
+        line, series = pos[at], series[at]
+        begins = np.r_[0, np.flatnonzero(np.diff(series)) + 1]
+        owner = sample[at[begins] % len(sample)]
+        edges = np.r_[begins, len(at)]
+        turns = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
+        way, steps = np.add.reduceat(line[edges[1:] - 1] - line[begins], turns), np.add.reduceat(np.diff(edges) - 1, turns)
+        mean = way / np.maximum(steps, 1)  # of a sample's distances; without any there is none to be low
+        m = np.repeat(np.repeat(mean, np.diff(np.r_[turns, len(owner)])), np.diff(edges))
+        # a sample or chromosome without name lies in no region
+        hit[at] = rule(line, edges, m) & (np.r_[sample, sample][at] >= 0) & (chrom[at] >= 0)
+    kind = pc.fill_null(t["kind"], 0).to_numpy().astype(np.int64)
+    keys, n = np.unique((sample.astype(np.int64) + 1) * 64 + 2 * kind + (hit[: len(sample)] | hit[len(sample) :]), return_counts=True)
+    who = keys // 64 - 1
+    names = codes.dictionary.take(pa.array(who, mask=who < 0))
+    return pa.RecordBatch.from_arrays([names, pa.array(keys % 64 // 2, pa.int32()), pa.array(keys % 2 == 1), pa.array(n, pa.int64())], names=["sample", "kind", "hit", "n"])
+
+
+def _by_samples(batches: Iterator[pa.RecordBatch], rule: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """_tallied of rows sorted by _key, in batches of whole samples and ROWS rows or little more."""
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if size >= ROWS:
+            cut = int(np.searchsorted(batch.column("_key").to_numpy(), held[-1].column("_key")[-1].as_py(), "right"))
+            if cut < batch.num_rows:
+                yield _tallied(pa.Table.from_batches([*held, batch.slice(0, cut)]), rule)
+                held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += batch.num_rows
+    if held:
+        yield _tallied(pa.Table.from_batches(held), rule)
+
+
+def rs_catalogue(d: DataFrame, rule: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] = by_segments) -> DataFrame:
+    """sample, component and n of rearrangements with svclass and sv_size (38 components), clustered if the rule says so of an end.
+
+    One shuffle of narrow rows deals them by sample; the ends are parted, sorted
+    and put together again where they are, ROWS rearrangements at a time or one
+    sample, if that has more.
+    """
+    kinds = F.array(*map(F.lit, KINDS))
+    rows = d.select(F.col("sample").cast("string"), F.array_position(kinds, _kind()).cast("byte").alias("kind"), F.col("chr1").cast("string"), F.col("start1").cast("long"), F.col("chr2").cast("string"), F.col("start2").cast("long"))
+    rows = rows.repartition("sample").withColumn("_key", F.xxhash64("sample")).sortWithinPartitions("_key")
+    found = rows.mapInArrow(lambda batches: _by_samples(batches, rule), "sample string, kind int, hit boolean, n long").where("kind > 0")
+    name = F.concat(F.when(F.col("hit"), "clustered:").otherwise("non-clustered:"), F.element_at(kinds, F.col("kind")))
+    return found.select(F.col("sample").cast(d.schema["sample"].dataType), name.alias("component"), "n")
+
+
+def without_smallest(catalogue: DataFrame) -> DataFrame:
+    """The 32 components of a catalogue of 38."""
+    return catalogue.where(~F.col("component").contains("<1Kb"))

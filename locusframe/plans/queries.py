@@ -574,14 +574,12 @@ def _(d):
 
 @query("rs38_catalog", "sv")  # no SQL: the piecewise constant segmentation
 def _(d):
-    x = R.label_size(R.clean(d))
-    return K.count_components(R.label_rs(R.label_clustered(x, ["t1", "t2", "start1", "sample"]).drop("t1")), "rs38")
+    return R.rs_catalogue(R.label_size(R.clean(d)))
 
 
 @query("rs32_catalog", "sv")
 def _(d):
-    x = R.label_size(R.clean(d))
-    return K.count_components(R.label_rs(R.label_clustered(x, ["t1", "t2", "start1", "sample"]).drop("t1")), "rs32")
+    return R.without_smallest(R.rs_catalogue(R.label_size(R.clean(d))))
 
 
 # Catalogue algebra

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +58,12 @@ def tally_segments(segments: DataFrame, method: str = "W", ignore_chrs: Sequence
 
 
 def tally_rearrangements(sv: DataFrame, row_id: Sequence[str], regions: DataFrame | None = None, factor: float = 0.1) -> dict[str, DataFrame]:
-    """rs38 and rs32 of structural rearrangements; row_id tells rows apart."""
-    d = R.label_rs(R.label_clustered(R.label_size(R.clean(sv)), list(row_id), factor, regions))
+    """rs38 and rs32 of structural rearrangements; row_id is not needed any more."""
+    d = R.label_size(R.clean(sv))
+    if regions is None:
+        c = R.rs_catalogue(d, partial(R.by_segments, factor=factor))
+        return {"rs38": c, "rs32": R.without_smallest(c)}
+    d = R.label_rs(R.label_clustered(d, list(row_id), factor, regions))
     return {"rs38": K.count_components(d, "rs38"), "rs32": K.count_components(d, "rs32")}
 
 

@@ -2,8 +2,12 @@
 
 import random
 import time
+from collections import Counter
+from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +141,61 @@ def test_segmentation_of_long_series_in_few_steps():
     assert got == [R.segment_constant(y) for y in noise]
 
 
+def test_segmentation_stays_sharp_behind_a_wide_gap():
+    rng = np.random.default_rng(3)
+    y = np.r_[rng.exponential(1e6, 30), 1e16, rng.exponential(1e6, 25), rng.exponential(1e7, 20), rng.exponential(1e6, 25)].round()
+    penalty = Fraction(25 * (np.median(np.abs(np.diff(y))) * 1.4826 / np.sqrt(2)) ** 2)
+    s = [Fraction(0), *accumulate(Fraction(int(v)) for v in y)]
+    q = [Fraction(0), *accumulate(Fraction(int(v)) ** 2 for v in y)]
+    best = {0: (-penalty, [])}
+    for j in range(10, len(y) + 1):
+        best[j] = min((best[i][0] + penalty + q[j] - q[i] - (s[j] - s[i]) ** 2 / (j - i), [*best[i][1], (i, j)]) for i in best if j - i >= 10)
+    assert [(i, j) for i, j, _ in R.segment_constant(y)] == best[len(y)][1]  # sums from the beginning lost all below 10^16
+
+
+@pytest.fixture
+def some_sv(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for s in ("s1", "s2", "s3", None):
+        for c in ("1", "2", None):
+            for p in np.cumsum(np.r_[rng.integers(900, 1100, 40), rng.integers(0, 9, 30), rng.integers(900, 1100, 25)]):
+                far = rng.integers(0, 3)
+                rows.append((s, c, int(p), c if far else "3", int(p) + 200_000, int(p) + int(rng.choice([500, 5000])), str(rng.choice(["deletion", "inversion", "other"])) if far and c else "translocation"))
+    rows += [("s1", "1", None, "2", 5, 9, "translocation"), ("lone", "1", 5, "2", 5, 9, "translocation"), ("lone", "2", None, "2", None, None, "deletion"), ("none", None, None, "1", None, 9, "translocation")]
+    d = spark.createDataFrame(rows, "sample string, chr1 string, start1 long, chr2 string, start2 long, end2 long, svclass string")
+    return R.label_size(d)
+
+
+def test_rs_catalogue_by_segments_is_that_of_the_labels(spark, some_sv):
+    known = R.low_distance_regions(some_sv).where("chrom IS NOT NULL AND sample IS NOT NULL")
+    want = R.label_rs(R.label_clustered(some_sv, [], regions=known)).where("rs38 IS NOT NULL").groupBy("sample", "rs38").count()
+    got = R.rs_catalogue(some_sv)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    assert got.where("component LIKE 'clustered%'").count() > 3
+
+
+def test_rs_catalogue_by_steps_is_that_of_the_labels(spark, some_sv):
+    x = R.distances(some_sv).join(R.mean_distances(some_sv), "sample").where("10 * dist < m AND chrom IS NOT NULL").selectExpr("sample", "chrom", "pos - dist AS start_pos", "pos AS end_pos")
+    want = R.label_rs(R.label_clustered(some_sv, [], regions=x)).where("rs38 IS NOT NULL").groupBy("sample", "rs38").count()
+    assert Counter(map(tuple, R.rs_catalogue(some_sv, R.by_steps).collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_rs_catalogue_over_batches(spark, some_sv, monkeypatch):
+    kinds = F.array(*map(F.lit, R.KINDS))
+    rows = some_sv.select("sample", F.array_position(kinds, R._kind()).cast("byte").alias("kind"), "chr1", "start1", "chr2", "start2", F.xxhash64("sample").alias("_key")).orderBy("_key").toArrow()
+    whole = sorted(map(str, pa.Table.from_batches(R._by_samples(iter(rows.to_batches()), R.by_segments)).to_pylist()))
+    monkeypatch.setattr(R, "ROWS", 1)
+    parts = list(R._by_samples(iter(rows.combine_chunks().to_batches(max_chunksize=7)), R.by_segments))
+    assert len(parts) > 3 and sorted(map(str, pa.Table.from_batches(parts).to_pylist())) == whole
+
+
+@pytest.mark.parametrize("rule", ["by_segments", "by_steps"])
+def test_rs_catalogue_in_one_shuffle_of_narrow_rows(some_sv, rule):
+    plan = R.rs_catalogue(some_sv.withColumn("note", F.uuid()), getattr(R, rule))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not any("note" in line for line in plan.splitlines() if "Exchange" in line)
+
+
 def test_low_regions_over_batches(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(s, c, int(p)) for s in "stuv" for c in "12" for p in np.cumsum(np.r_[rng.integers(900, 1100, 40), rng.integers(1, 9, 30), rng.integers(900, 1100, 25)])] + [("w", "1", 5), ("s", "3", None)]
