@@ -550,11 +550,9 @@ def _(d):
     return R.distances(R.clean(d)).groupBy("sample", "chrom").agg(F.count("dist").alias("n"), F.sum("dist").alias("total"), F.max("dist").alias("most"))
 
 
-def _rs(d: DataFrame, label: str) -> DataFrame:
+def _rs(d: DataFrame) -> DataFrame:
     # regions of low distance by the plain rule, so that SQL can follow: single distances under a tenth of the sample's mean
-    x = R.label_size(R.clean(d))
-    low = R.distances(x).join(I.dimension(R.mean_distances(x)), "sample").where("10 * dist < m").select("sample", "chrom", (F.col("pos") - F.col("dist")).alias("start_pos"), F.col("pos").alias("end_pos"))
-    return K.count_components(R.label_rs(R.label_clustered(x, ["t1", "t2", "start1", "sample"], regions=low).drop("t1")), label)
+    return R.rs_catalogue(R.label_size(R.clean(d)), R.by_steps)
 
 
 _RS = _SVD + f""", m AS (SELECT sample, avg(dist) AS m FROM e GROUP BY 1), g AS (SELECT e.sample, chrom, pos - dist AS a, pos AS z FROM e JOIN m USING (sample) WHERE 10 * dist < m),
@@ -564,12 +562,12 @@ n AS (SELECT sample, CASE WHEN k = 'translocation' THEN concat(c, ':trans') ELSE
 
 @query("rs38_plain_rule", "sv", sql=_RS + " SELECT sample, component, count(*) AS n FROM n GROUP BY 1, 2")
 def _(d):
-    return _rs(d, "rs38")
+    return _rs(d)
 
 
 @query("rs32_plain_rule", "sv", sql=_RS + " SELECT sample, component, count(*) AS n FROM n WHERE component NOT LIKE '%<1Kb%' GROUP BY 1, 2")
 def _(d):
-    return _rs(d, "rs32")
+    return R.without_smallest(_rs(d))
 
 
 @query("rs38_catalog", "sv")  # no SQL: the piecewise constant segmentation
@@ -1052,7 +1050,7 @@ def _(v):
 
 @query("profile_split_rs", "sv", sql=_RS + " SELECT concat_ws(':', split_part(component, ':', 1), split_part(component, ':', 2)) AS base, split_part(component, ':', 3) AS context, count(*) AS n FROM n GROUP BY 1, 2")
 def _(d):
-    return B.profile_split(_rs(d, "rs38"), "RS").groupBy("base", "context").agg(F.sum("n").alias("n"))
+    return B.profile_split(_rs(d), "RS").groupBy("base", "context").agg(F.sum("n").alias("n"))
 
 
 _PV = ", p AS (SELECT id, CAST(extra AS DOUBLE) / 97 AS fdr, CASE WHEN flag THEN 2.0 ELSE 0.5 END AS measure_observed FROM traits)"

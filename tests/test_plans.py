@@ -18,6 +18,8 @@ from locusframe.operators import rearrangements as R
 from locusframe.operators import stats as T
 from locusframe.operators import variants as V
 from locusframe.plans import extraction as X
+from locusframe.plans.queries import QUERIES
+from tests.conftest import SF
 
 
 @pytest.mark.parametrize("alternative", ["two-sided", "greater", "less"])
@@ -196,6 +198,12 @@ def test_rs_catalogue_in_one_shuffle_of_narrow_rows(some_sv, rule):
     assert plan.count("Exchange") == 1 and not any("note" in line for line in plan.splitlines() if "Exchange" in line)
 
 
+@pytest.mark.parametrize("name", ["rs38_plain_rule", "rs38_catalog", "rs32_catalog"])
+def test_rs_queries_shuffle_rearrangements_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Scan parquet") == 1
+
+
 def test_low_regions_over_batches(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(s, c, int(p)) for s in "stuv" for c in "12" for p in np.cumsum(np.r_[rng.integers(900, 1100, 40), rng.integers(1, 9, 30), rng.integers(900, 1100, 25)])] + [("w", "1", 5), ("s", "3", None)]
