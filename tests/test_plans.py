@@ -204,6 +204,11 @@ def test_rs_queries_shuffle_rearrangements_once(spark, name):
     assert plan.count("Exchange") == 1 and plan.count("Scan parquet") == 1
 
 
+def test_split_profile_shuffles_rearrangements_once(spark):
+    plan = QUERIES["profile_split_rs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("Scan parquet") == 1  # the second has counts by context
+
+
 def test_low_regions_over_batches(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(s, c, int(p)) for s in "stuv" for c in "12" for p in np.cumsum(np.r_[rng.integers(900, 1100, 40), rng.integers(1, 9, 30), rng.integers(900, 1100, 25)])] + [("w", "1", 5), ("s", "3", None)]
