@@ -198,7 +198,7 @@ def test_rs_catalogue_in_one_shuffle_of_narrow_rows(some_sv, rule):
     assert plan.count("Exchange") == 1 and not any("note" in line for line in plan.splitlines() if "Exchange" in line)
 
 
-@pytest.mark.parametrize("name", ["rs38_plain_rule", "rs38_catalog", "rs32_catalog"])
+@pytest.mark.parametrize("name", ["rs38_plain_rule", "rs32_plain_rule", "rs38_catalog", "rs32_catalog"])
 def test_rs_queries_shuffle_rearrangements_once(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Scan parquet") == 1
