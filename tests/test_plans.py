@@ -1,6 +1,7 @@
 """Operators whose plans were made for size: same results as plain versions, no row lost."""
 
 import random
+import re
 import time
 from collections import Counter
 from fractions import Fraction
@@ -198,6 +199,21 @@ def test_rs_catalogue_in_one_shuffle_of_narrow_rows(some_sv, rule):
     assert plan.count("Exchange") == 1 and not any("note" in line for line in plan.splitlines() if "Exchange" in line)
 
 
+@pytest.mark.parametrize("name", ["profile_split_rs"])
+def test_rs_queries_are_dealt_by_their_rows(spark, name, monkeypatch):
+    def run():
+        d = QUERIES[name](spark, SF)
+        found = re.findall(r"hashpartitioning\(sample#\d+, (\d+)\)", d._jdf.queryExecution().executedPlan().toString())
+        return [int(k) for k in found], Counter(map(tuple, d.collect()))
+
+    n, few = spark.read.parquet(f"{SF}/lineitem.parquet").count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, want = run()
+    assert parts == [few]
+    monkeypatch.setattr(R, "ROWS", n // (2 * few))
+    parts, got = run()
+    assert got == want and parts[0] >= 2 * few  # a task's sort does not grow with the table
+
+
 @pytest.mark.parametrize("name", ["rs38_plain_rule", "rs32_plain_rule", "rs38_catalog", "rs32_catalog"])
 def test_rs_queries_shuffle_rearrangements_once(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
