@@ -199,7 +199,7 @@ def test_rs_catalogue_in_one_shuffle_of_narrow_rows(some_sv, rule):
     assert plan.count("Exchange") == 1 and not any("note" in line for line in plan.splitlines() if "Exchange" in line)
 
 
-@pytest.mark.parametrize("name", ["profile_split_rs"])
+@pytest.mark.parametrize("name", ["profile_split_rs", "rs32_plain_rule"])
 def test_rs_queries_are_dealt_by_their_rows(spark, name, monkeypatch):
     def run():
         d = QUERIES[name](spark, SF)
