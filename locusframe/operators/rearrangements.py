@@ -308,12 +308,14 @@ def rs_catalogue(d: DataFrame, rule: Callable[[np.ndarray, np.ndarray, np.ndarra
     One shuffle of narrow rows deals them by sample; the ends are parted, sorted
     and put together again where they are, ROWS rearrangements at a time or one
     sample, if that has more. Rows are counted first: a task sorts some ROWS
-    or one sample, however few partitions the session has.
+    or one sample, however few or many partitions the session has.
     """
     kinds = F.array(*map(F.lit, KINDS))
     rows = d.select(F.col("sample").cast("string"), F.array_position(kinds, _kind()).cast("byte").alias("kind"), F.col("chr1").cast("string"), F.col("start1").cast("long"), F.col("chr2").cast("string"), F.col("start2").cast("long"))
-    least = -(-d.count() // ROWS)
-    dealt = rows.repartition(least, "sample") if least > int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition("sample")
+    least, spark = -(-d.count() // ROWS), d.sparkSession
+    # of many partitions Spark would merge some beyond ROWS, and a reading task would hold its rows to sort them by partition
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = rows.repartition(least, "sample") if least > few else rows.repartition("sample")
     rows = dealt.withColumn("_key", F.xxhash64("sample")).sortWithinPartitions("_key")
     found = rows.mapInArrow(lambda batches: _by_samples(batches, rule), "sample string, kind int, hit boolean, n long").where("kind > 0")
     name = F.concat(F.when(F.col("hit"), "clustered:").otherwise("non-clustered:"), F.element_at(kinds, F.col("kind")))

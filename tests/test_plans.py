@@ -214,6 +214,20 @@ def test_rs_queries_are_dealt_by_their_rows(spark, name, monkeypatch):
     assert got == want and parts[0] >= 2 * few  # a task's sort does not grow with the table
 
 
+def test_rs_queries_are_dealt_by_their_rows_in_a_session_of_many_partitions(spark, monkeypatch):
+    want = Counter(map(tuple, QUERIES["rs32_plain_rule"](spark, SF).collect()))
+    few = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(R, "ROWS", 500)
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        d = QUERIES["rs32_plain_rule"](spark, SF)
+        found = re.findall(r"hashpartitioning\(sample#\d+, (\d+)\)", d._jdf.queryExecution().executedPlan().toString())
+        assert Counter(map(tuple, d.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", few)
+    assert found == [str(-(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500))]  # 300 would be merged, and sorted by the tasks that read
+
+
 @pytest.mark.parametrize("name", ["rs38_plain_rule", "rs32_plain_rule", "rs38_catalog", "rs32_catalog"])
 def test_rs_queries_shuffle_rearrangements_once(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
